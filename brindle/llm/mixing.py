@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, materialize
 
-WEIGHTS, SHARE, MOST, BLOCK, SHARD_ROWS, SEED = (5, 2, 1), 1.5, 2, 8, 20000, 9
+WEIGHTS, SHARE, MOST, BLOCK, SHARD_ROWS, SEED = (5, 2, 1), 1.5, 2, 8, 2000, 9
 
 
 def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
