@@ -1,4 +1,400 @@
-"""The registered queries over the driver's tables, and the SQL that checks them."""
+"""The registered queries over the driver's tables, and the SQL that checks them.
+
+The driver's texts hold no fillers, wake phrases or odd spacing, so queries add a fixed prefix or suffix on
+both sides; otherwise a rule would pass without work.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import rules, text, versions
+from ..operators import history, vocabulary
+from ..sources.documents import case_document, data_url_bytes, file_timestamp, read_vocabulary, table, vocabulary_document
+from ..streaming import machines
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _docs(spark, d):
+    return table(spark, d, "documents").select("doc_id", "lang", "text")
+
+
+_B = r"[^\p{L}\p{M}\p{N}_]"
+_FILL = "|".join(sorted(text.FILLERS, key=lambda w: (-len(w), w)))
+_INJECT = "'Um,  I uh uh ,think -- ' || text || ' ,, erm.  '"
+
+
+@query()
+def tidy_documents(spark, d):
+    """Flagship: the whole cleanup over every document, counted by language."""
+    docs = _docs(spark, d).withColumn("given", F.expr(_INJECT))
+    tidied = docs.withColumn("tidied", text.tidy(F.col("given"), [("the the", "the"), ("think", "believe")]))
+    return tidied.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("tidied") != F.col("given")).alias("changed"), F.sum(F.length("tidied")).alias("chars"))
+
+
+@query(f"SELECT doc_id, md5(trim(regexp_replace({_INJECT}, '\\s+', ' ', 'g'))) AS tidied FROM documents")
+def tidy_whitespace(spark, d):
+    return _docs(spark, d).select("doc_id", F.md5(text.normalize_whitespace(F.expr(_INJECT))).alias("tidied"))
+
+
+@query(f"""SELECT doc_id, md5(regexp_replace(regexp_replace({_INJECT}, '(?i)(^|{_B})(?:{_FILL})($|{_B})', '\\1\\2', 'g'), '(?i)(^|{_B})(?:{_FILL})($|{_B})', '\\1\\2', 'g')) AS tidied FROM documents""")
+def tidy_fillers(spark, d):
+    return _docs(spark, d).select("doc_id", F.md5(text.remove_fillers(F.expr(_INJECT))).alias("tidied"))
+
+
+_PUNCT = _INJECT
+for _p, _r in ((r",\s*,", " "), (r"[–—]\s*[–—]", " "), (r"\s+([,.;:!?])", r"\1"), (r"([,.;:!?]){2,}", r"\1"), (r"([,;:])\s*([.!?])", r"\2"), (r"^\s*[,;:]\s*", ""), (r"\s*[,;:]\s*$", ""), (r"\s+", " ")):
+    _PUNCT = f"regexp_replace({_PUNCT}, '{_p}', '{_r}', 'g')"
+
+
+@query(f"SELECT doc_id, md5({_PUNCT}) AS tidied FROM documents")
+def tidy_punctuation(spark, d):
+    return _docs(spark, d).select("doc_id", F.md5(text.normalize_punctuation(F.expr(_INJECT))).alias("tidied"))
+
+
+_REPEAT = "text"
+for _w in text.COLLAPSIBLE:
+    _REPEAT = rf"regexp_replace({_REPEAT}, '(?i)(^|{_B})({_w})(?:\s+{_w})+($|{_B})', '\1\2\3', 'g')"
+
+
+@query(f"SELECT doc_id, md5({_REPEAT}) AS tidied FROM documents")
+def tidy_repeats(spark, d):
+    return _docs(spark, d).select("doc_id", F.md5(text.collapse_repeats(F.col("text"))).alias("tidied"))
+
+
+@query()
+def tidy_stutters(spark, d):
+    return _docs(spark, d).select("doc_id", F.md5(text.collapse_stutters(F.concat(F.lit("th- the Wh— what go-go "), "text"))).alias("tidied"))
+
+
+_CORRECTIONS = "the -> THE\n# note\nof => OF\nthe -> never\nbroken line\nand → AND\na -> b -> c"
+
+
+@query("SELECT * FROM (VALUES (0, 'the', 'THE'), (2, 'of', 'OF'), (5, 'and', 'AND')) t(ordinal, spoken, replacement)")
+def corrections_parse(spark, d):
+    return vocabulary.parse_corrections(spark.createDataFrame([(_CORRECTIONS,)], "text string"))
+
+
+@query()
+def corrections_apply(spark, d):
+    fixed = text.apply_corrections(F.col("text"), [("the", "THE"), ("of the", "OF-THE"), ("and", "AND")])
+    return _docs(spark, d).select("doc_id", F.md5(fixed).alias("fixed"))
+
+
+_SPOKEN = "CASE turn % 4 WHEN 0 THEN '  Hey, Juniper: ' || text WHEN 1 THEN 'juniper ' || text WHEN 2 THEN 'he june-iper! ' || text ELSE text END"
+_GREET, _NAME, _FUZZY = ("hey", "he", "hay", "hi"), ("juniper",), ("june iper", "june-iper")
+_SEP = r"[\s\p{P}\p{S}]"
+
+
+@query(rf"""
+WITH t AS (SELECT conv_id, turn, {_SPOKEN} AS s FROM conversations)
+SELECT conv_id, turn,
+  CASE WHEN regexp_matches(s, '(?i)^{_SEP}*(?:hey|hay|he|hi){_SEP}+(?:june iper|june-iper|juniper)($|{_SEP})') THEN 'greeting'
+       WHEN regexp_matches(s, '(?i)^{_SEP}*(?:juniper)($|{_SEP})') THEN 'plain' END AS phrase,
+  CASE WHEN regexp_matches(s, '(?i)^{_SEP}*(?:hey|hay|he|hi){_SEP}+(?:june iper|june-iper|juniper)($|{_SEP})') THEN md5(regexp_replace(s, '(?i)^{_SEP}*(?:hey|hay|he|hi){_SEP}+(?:june iper|june-iper|juniper){_SEP}*', ''))
+       WHEN regexp_matches(s, '(?i)^{_SEP}*(?:juniper)($|{_SEP})') THEN md5(regexp_replace(s, '(?i)^{_SEP}*(?:juniper){_SEP}*', '')) END AS trailing
+FROM t""")
+def wake_detect(spark, d):
+    found = text.wake_match(F.expr(_SPOKEN), _GREET, _NAME, _FUZZY, plain=True)
+    return table(spark, d, "conversations").select("conv_id", "turn", found.alias("m")).select("conv_id", "turn", "m.phrase", F.md5("m.trailing").alias("trailing"))
+
+
+_KEY = r"trim(regexp_replace(lower({0}), '[\p{{P}}\p{{S}}\s]+', ' ', 'g'))"
+_CMD = "CASE turn % 3 WHEN 0 THEN 'Scratch, that!' WHEN 1 THEN 'delete-this…' ELSE text END"
+
+
+@query(f"SELECT conv_id, turn, {_KEY.format(_CMD)} IN ('scratch that', 'scratch this', 'delete that', 'delete this') AS scratch FROM conversations")
+def scratch_commands(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", text.is_scratch(F.expr(_CMD)).alias("scratch"))
+
+
+_ENTER = "CASE WHEN turn % 2 = 0 THEN text || ', press enter.' ELSE text || ' press enter now' END"
+
+
+@query(rf"""SELECT conv_id, turn, regexp_matches(s, '(?i)(?:^|[ \t\r\n,;:\-]+)press[ \t\r\n]+enter[\s\p{{P}}]*$') AS enter,
+  md5(trim(regexp_replace(s, '(?i)(?:^|[ \t\r\n,;:\-]+)press[ \t\r\n]+enter[\s\p{{P}}]*$', ''), E' \t\r\n')) AS rest FROM (SELECT conv_id, turn, {_ENTER} AS s FROM conversations)""")
+def trailing_command(spark, d):
+    s = F.expr(_ENTER)
+    return table(spark, d, "conversations").select("conv_id", "turn", text.has_enter_command(s).alias("enter"), F.md5(text.without_enter_command(s)).alias("rest"))
+
+
+@query()
+def candidate_terms(spark, d):
+    return _docs(spark, d).select("doc_id", F.posexplode(text.candidate_terms(F.col("text"))).alias("pos", "term"))
+
+
+@query()
+def learn_terms(spark, d):
+    return vocabulary.learned(vocabulary.observed(_docs(spark, d), "doc_id", "text"))
+
+
+_TERMS = [("The", True, 5), ("of", False, 9), ("und", False, 9), ("les", True, 1), ("que", False, 0), ("Zebra", False, 9)]
+_TERM_SQL = ", ".join(f"('{t}', {s}, {u})" for t, s, u in _TERMS)
+
+
+def _entries(spark):
+    return spark.createDataFrame([(t, s, u, "active", True) for t, s, u in _TERMS], "term string, starred boolean, usage_count int, status string, enabled boolean")
+
+
+@query(rf"""SELECT term, count(*) AS uses FROM (VALUES {_TERM_SQL}) t(term, starred, usage) JOIN documents
+  ON list_contains(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'), lower(term)) GROUP BY term""")
+def usage_count(spark, d):
+    return vocabulary.usage(_docs(spark, d), _entries(spark), "doc_id")
+
+
+@query(f"SELECT term, row_number() OVER (ORDER BY starred DESC, usage DESC, lower(term))::INT AS rank FROM (VALUES {_TERM_SQL}) t(term, starred, usage)")
+def rank_terms(spark, d):
+    return vocabulary.ranking(_entries(spark)).select("term", "rank")
+
+
+_MACRO = "CASE turn % 3 WHEN 0 THEN 'My, Address!' WHEN 1 THEN 'sign-off' ELSE text END"
+
+
+@query(rf"""SELECT conv_id, turn, CASE trim(regexp_replace(lower({_MACRO}), '\p{{P}}+', '', 'g')) WHEN 'my address' THEN 'one' WHEN 'signoff' THEN 'two' END AS payload FROM conversations""")
+def macro_match(spark, d):
+    macros = spark.createDataFrame([(0, "my address", "one"), (1, "Sign-off", "two"), (2, "signoff", "three"), (3, "!", "four")], "ordinal int, command string, payload string")
+    texts = table(spark, d, "conversations").select("conv_id", "turn", F.expr(_MACRO).alias("text"))
+    return vocabulary.macro_lookup(texts, macros).select("conv_id", "turn", "payload")
+
+
+_CALL = "CASE turn % 4 WHEN 0 THEN 'Apply meeting notes.' WHEN 1 THEN 'shorten that' WHEN 2 THEN 'Meeting-Notes this' ELSE text END"
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN k IN ('meeting notes', 'meeting notes that', 'meeting notes this', 'apply meeting notes') THEN 'Meeting-notes'
+  WHEN k IN ('shorten', 'shorten that', 'shorten this', 'apply shorten') THEN 'Shorten' END AS name FROM (SELECT conv_id, turn, {_KEY.format(_CALL)} AS k FROM conversations)""")
+def transform_match(spark, d):
+    transforms = spark.createDataFrame([(0, "Meeting-notes"), (1, "Shorten"), (2, "shorten!")], "ordinal int, name string")
+    texts = table(spark, d, "conversations").select("conv_id", "turn", F.expr(_CALL).alias("text"))
+    return vocabulary.transform_lookup(texts, transforms).select("conv_id", "turn", "name")
+
+
+@query("SELECT * FROM (VALUES ('Polish', true), ('shorten', false), ('mine', false)) t(name, built_in)")
+def transforms_resolved(spark, d):
+    built = spark.createDataFrame([("Polish",), ("Shorten",)], "name string")
+    return vocabulary.resolve_transforms(built, spark.createDataFrame([("shorten",), ("mine",)], "name string"))
+
+
+_L = "VALUES ('Ada', 'learned', 'suggested', true, false, 2, 0), ('Bob', 'manual', 'active', true, true, 5, 7), ('Zoé', 'learned', 'rejected', false, false, 1, 1)"
+_I = "VALUES ('ada', 'manual', 'active', false, true, 1, 4), ('zoe', 'learned', 'rejected', true, false, 9, 0), ('Eve', 'learned', 'active', true, false, 3, 3)"
+_E = "term, source, status, enabled, starred, observations, usage_count"
+
+
+@query(f"""WITH l AS (SELECT *, lower(strip_accents(term)) AS key FROM ({_L}) t({_E})), i AS (SELECT *, lower(strip_accents(term)) AS key FROM ({_I}) t({_E}))
+SELECT coalesce(l.key, i.key) AS key, coalesce(l.term, i.term) AS term, CASE WHEN i.source = 'manual' THEN 'manual' ELSE coalesce(l.source, i.source) END AS source,
+  CASE WHEN i.status = 'active' AND l.status <> 'active' THEN 'active' ELSE coalesce(l.status, i.status) END AS status,
+  CASE WHEN i.status = 'active' AND l.status <> 'active' THEN i.enabled ELSE coalesce(l.enabled, i.enabled) END AS enabled,
+  coalesce(l.starred, false) OR coalesce(i.starred, false) AS starred, greatest(l.observations, i.observations) AS observations, greatest(l.usage_count, i.usage_count) AS usage_count,
+  CASE WHEN l.key IS NULL THEN 'added' WHEN i.key IS NULL THEN 'kept' ELSE 'matched' END AS change FROM l FULL JOIN i ON l.key = i.key""")
+def import_merge(spark, d):
+    read = lambda v: spark.sql(f"SELECT * FROM ({v}) t({_E})")
+    return vocabulary.import_merge(read(_L), read(_I))
+
+
+_HIST = "SELECT event_id AS id, ts, user_id, CASE WHEN event_type = 'view' THEN '' ELSE props END AS clean, event_type AS raw FROM events"
+
+
+def _history(spark, d):
+    return table(spark, d, "events").select(F.col("event_id").alias("id"), "ts", "user_id", F.expr("CASE WHEN event_type = 'view' THEN '' ELSE props END").alias("clean"), F.col("event_type").alias("raw"))
+
+
+@query(f"SELECT id, ts FROM ({_HIST}) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, id) <= 3")
+def retain_latest(spark, d):
+    return history.retain(_history(spark, d), 3, by=("user_id",)).select("id", "ts")
+
+
+@query(f"SELECT id, ts FROM ({_HIST}) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, id) > 3")
+def retain_dropped(spark, d):
+    return history.dropped(_history(spark, d), 3, by=("user_id",)).select("id", "ts")
+
+
+@query(f"SELECT id FROM ({_HIST}) ORDER BY ts DESC, id LIMIT 20")
+def retain_top(spark, d):
+    return history.retain(_history(spark, d), 20).select("id")
+
+
+@query(f"""SELECT id, CASE WHEN t = '' THEN '(no transcript)' WHEN length(t) > 12 THEN left(t, 12) || '...' ELSE t END AS snippet
+  FROM (SELECT id, trim(replace(coalesce(nullif(trim(clean), ''), trim(raw)), chr(10), ' ')) AS t FROM ({_HIST}))""")
+def recent_snippets(spark, d):
+    return _history(spark, d).select("id", text.snippet(rules.display_text(F.col("clean"), F.col("raw")), 12).alias("snippet"))
+
+
+@query(f"SELECT id, ts, user_id, CASE WHEN id % 7 = 0 THEN NULL ELSE clean END AS clean, CASE WHEN id % 7 = 0 THEN 'retried' ELSE raw END AS raw FROM ({_HIST})")
+def upsert_history(spark, d):
+    h = _history(spark, d)
+    changes = h.where("id % 7 = 0").select("id", F.lit(None).cast("string").alias("clean"), F.lit("retried").alias("raw"))
+    return history.update(h, changes, ["clean", "raw"])
+
+
+@query(f"SELECT id, raw FROM ({_HIST}) WHERE id % 5 = 0")
+def delete_returning(spark, d):
+    h = _history(spark, d)
+    return history.delete(h, h.where("id % 5 = 0").select("id"), ["raw"])[1]
+
+
+@query(f"""WITH h AS ({_HIST}) SELECT p.id AS probe_id, arg_max(h.id, (h.ts, h.id)) AS id, max(h.ts) AS ts FROM h p JOIN h
+  ON p.user_id = h.user_id AND trim(h.clean) <> '' AND p.ts > h.ts AND p.ts - h.ts <= INTERVAL 2 HOUR GROUP BY p.id""")
+def recent_lookup(spark, d):
+    h = _history(spark, d)
+    items = h.where("trim(clean) != ''").select("id", "ts", "user_id")
+    return history.recent_item(h.select(F.col("id").alias("probe_id"), F.col("ts").alias("at"), "user_id"), items, ["user_id"], F.col("at") > F.col("ts"), 7200)
+
+
+_APP = "['Slack','Mail','Terminal','Notes','WhatsApp','Safari'][(page_id % 6 + 1)::INT]"
+
+
+@query(f"""SELECT page_id, CASE WHEN a LIKE '%slack%' OR a LIKE '%msteams%' OR a LIKE '%microsoft teams%' THEN 'workChat' WHEN a LIKE '%discord%' OR a LIKE '%whatsapp%' OR a LIKE '%telegram%' OR app = 'messages' THEN 'casualChat'
+  WHEN app = 'mail' OR a LIKE '%outlook%' OR a LIKE '%gmail%' THEN 'email' WHEN regexp_matches(i, 'terminal|iterm|ghostty|warp|xcode|visual studio code|vscode|cursor|zed') THEN 'codeOrTerminal'
+  WHEN regexp_matches(i, 'pages|notes|obsidian|notion|microsoft word') OR title LIKE '%google docs%' THEN 'document' ELSE 'neutral' END AS context,
+  regexp_matches(a, 'obsidian|notion|bear|typora|ia writer|zettlr|logseq|github|gitlab|hackmd|stack overflow') AS markdown
+  FROM (SELECT page_id, app, app || ' ' AS i, app || '  ' || title AS a, title FROM (SELECT page_id, lower({_APP}) AS app, lower(url) AS title FROM pages))""")
+def classify_context(spark, d):
+    app = F.get(F.array(*[F.lit(x) for x in ("Slack", "Mail", "Terminal", "Notes", "WhatsApp", "Safari")]), (F.col("page_id") % 6).cast("int"))
+    none = F.lit(None).cast("string")
+    return table(spark, d, "pages").select("page_id", rules.writing_context(app, none, F.col("url")).alias("context"), rules.markdown_surface(app, none, F.col("url")).alias("markdown"))
+
+
+_OUT = "CASE turn % 6 WHEN 0 THEN text WHEN 1 THEN 'Certainly! ' || text WHEN 2 THEN left(text, 5) WHEN 3 THEN text || repeat('x', 2 * length(text) + 200) WHEN 4 THEN '# ' || text ELSE '' END"
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN o = '' THEN 'empty output' WHEN starts_with(lower(o), 'certainly') THEN 'assistant-style response' WHEN length(o) > greatest(2 * n, n + 200) THEN 'unexpectedly expanded the transcript'
+  WHEN length(o) * 2 < n THEN 'dropped most of the transcript' WHEN starts_with(trim(o), '#') AND NOT starts_with(trim(text), '#') AND NOT regexp_matches(lower(text), 'code block|code fence|heading|quote|markdown') THEN 'wrapped the transcript in markdown' END AS rejection
+  FROM (SELECT *, {_OUT} AS o, greatest(length(text), 1) AS n FROM conversations)""")
+def validate_output(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", rules.rejection(F.expr(_OUT), F.col("text")).alias("rejection"))
+
+
+_ROUTE = "CASE turn % 3 WHEN 0 THEN 'replace_previous' || chr(10) || text WHEN 1 THEN 'INSERT' || chr(10) || ' ' || text ELSE text END"
+
+
+@query(f"SELECT conv_id, turn, turn % 3 = 0 AS replaces, CASE WHEN turn % 3 < 2 THEN md5(trim(text, E' \\n')) ELSE md5(text) END AS routed FROM conversations")
+def parse_route(spark, d):
+    raw = F.expr(_ROUTE)
+    return table(spark, d, "conversations").select("conv_id", "turn", rules.replaces_previous(raw).alias("replaces"), F.md5(rules.routed_text(raw)).alias("routed"))
+
+
+_JSON = """SELECT * FROM (VALUES (1, '{"cleaned_text": "Hi."}', 'Hi.'), (2, '{"name": "Ada"}', '{"name": "Ada"}'), (3, '{"Text": "x", "result": "y"}', 'x'), (4, ' plain ', 'plain')) t(id, raw, unwrapped)"""
+
+
+@query(f"SELECT id, unwrapped FROM ({_JSON})")
+def unwrap_json(spark, d):
+    return spark.sql(f"SELECT id, raw FROM ({_JSON})").select("id", rules.unwrap(F.col("raw")).alias("unwrapped"))
+
+
+_BEFORE = "lag(text) OVER (PARTITION BY conv_id ORDER BY turn)"
+
+
+@query(f"""SELECT conv_id, turn, coalesce(b <> '' AND NOT ends_with(b, '.') AND NOT ends_with(b, '!') AND NOT ends_with(b, '?') AND NOT ends_with(b, '…'), false) AS continues
+  FROM (SELECT conv_id, turn, regexp_replace(trim({_BEFORE}), '["''”’)\\]]+$', '') AS b FROM conversations)""")
+def caret_continues(spark, d):
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.expr(_BEFORE).alias("b"))
+    return rows.select("conv_id", "turn", rules.caret_continues(F.col("b")).alias("continues"))
+
+
+@query()
+def seam_strip(spark, d):
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "text", F.expr(f"right({_BEFORE}, 60)").alias("b"))
+    joined = F.concat(F.coalesce(F.regexp_extract("b", r"\S+ \S+ \S+$", 0), F.lit("")), F.lit(", "), F.col("text"))
+    return rows.select("conv_id", "turn", F.md5(rules.strip_repeated_prefix(joined, F.coalesce("b", F.lit("")))).alias("stripped"), F.md5(rules.harmonize_case(F.col("text"), F.col("text"), F.col("b"))).alias("cased"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 500 THEN left(text, 200) || chr(10) || '[…]' || chr(10) || right(text, 296) ELSE text END AS cut FROM documents")
+def truncate_middle(spark, d):
+    return _docs(spark, d).select("doc_id", text.truncate_middle(F.col("text"), 500).alias("cut"))
+
+
+_TAGS = [("v1.2.3", "one"), ("1.10.0", "two"), ("v1.10.0-beta.2", "three"), ("1.10.0-beta.11", "four"), ("1.10.0-beta.rc", "five"), ("bad", "six"), ("1.2", "seven"), ("2.0.0+b-1", "eight")]
+
+
+@query("SELECT * FROM (VALUES ('v1.2.3', 1), ('v1.10.0-beta.2', 2), ('1.10.0-beta.11', 3), ('1.10.0-beta.rc', 4), ('1.10.0', 5), ('2.0.0+b-1', 6)) t(tag, place)")
+def semver_sort(spark, d):
+    rows = spark.createDataFrame(_TAGS, "tag string, body string").withColumn("v", versions.semver(F.col("tag"))).where("v is not null")
+    from pyspark.sql import Window
+
+    return rows.select("tag", F.row_number().over(Window.orderBy("v", "tag")).alias("place"))
+
+
+@query("SELECT 'eight' || chr(10) || chr(10) || 'two' || chr(10) || chr(10) || 'five' AS notes")
+def release_notes(spark, d):
+    return versions.release_notes(spark.createDataFrame(_TAGS, "tag string, body string"), versions.semver(F.lit("1.10.0-beta.11")))
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / len(embedding)), 6) AS rms FROM embeddings")
+def rms(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", F.round(machines.rms(F.col("embedding")), 6).alias("rms"))
+
+
+@query()
+def level_fold(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", machines.level_curve(F.transform("embedding", lambda x: F.abs(x))).alias("levels"))
+
+
+@query()
+def wake_latch(spark, d):
+    spoken = table(spark, d, "conversations").select("conv_id", "turn", F.col("turn").cast("double").alias("at"), text.wake_match(F.expr(_SPOKEN), _GREET, _NAME, _FUZZY)["phrase"].alias("phrase"))
+    return machines.fold(spoken, "conv_id", ["turn"], machines.wake_latch)
+
+
+@query()
+def session_machine(spark, d):
+    kinds = F.create_map(*[F.lit(x) for x in ("click", "holdActivated", "view", "holdDeactivated", "purchase", "toggleActivated", "signup", "toggleDeactivated", "error", "toggleActivated")])
+    events = table(spark, d, "events").select("user_id", "event_id", F.element_at(kinds, F.col("event_type")).alias("event"), (F.col("event_id") % 11 == 0).alias("busy"))
+    return machines.fold(events, "user_id", ["event_id"], machines.dictation_session)
+
+
+_ERR = "VALUES (1, 'timedOut', 'x', true), (2, NULL, 'The request timed out', false), (3, NULL, 'You appear offline', true), (4, 'other', 'Bad file', true), (5, 'cannotFindHost', 'x', true)"
+
+
+@query("SELECT * FROM (VALUES (1, 'Request timed out — try again'), (2, 'No internet — check connection'), (3, 'No internet — check connection'), (4, 'Bad file'), (5, 'No internet — check connection')) t(id, message)")
+def error_messages(spark, d):
+    rows = spark.sql(f"SELECT * FROM ({_ERR}) t(id, code, message, online)")
+    return rows.select("id", rules.error_message(F.col("code"), F.col("message"), F.col("online")).alias("message"))
+
+
+@query("SELECT event_id, n >= 2 AS bindable, CASE WHEN n < 2 THEN 'Unsupported button' WHEN n = 2 THEN 'Middle Button' ELSE 'Button ' || (n + 1) END AS label, CASE WHEN n >= 2 THEN n ELSE 3 END AS normalized FROM (SELECT event_id, (event_id % 6)::INT AS n FROM events)")
+def mouse_buttons(spark, d):
+    return table(spark, d, "events").select("event_id", rules.mouse_button((F.col("event_id") % 6).cast("int")).alias("b")).select("event_id", "b.*")
+
+
+@query("SELECT event_id, (s // 60)::BIGINT || ':' || lpad((s % 60)::VARCHAR, 2, '0') AS shown FROM (SELECT event_id, floor(value)::BIGINT AS s FROM events)")
+def durations(spark, d):
+    return table(spark, d, "events").select("event_id", text.duration(F.col("value")).alias("shown"))
+
+
+@query(f"SELECT id, CASE WHEN trim(raw) <> '' AND trim(clean) <> '' AND trim(raw) <> trim(clean) THEN trim(raw) END AS target FROM ({_HIST})")
+def raw_revert(spark, d):
+    return _history(spark, d).select("id", rules.revert_target(F.col("raw"), F.col("clean")).alias("target"))
+
+
+@query("SELECT true AS same, 6 AS entries")
+def vocabulary_round_trip(spark, d):
+    entries = _entries(spark).select("term", "starred", F.col("usage_count").alias("usageCount"))
+    back = read_vocabulary(vocabulary_document(entries)).select("term", "starred", "usageCount")
+    return back.join(entries, ["term", "starred", "usageCount"], "left_semi").agg((F.count("*") == len(_TERMS)).alias("same"), F.count("*").cast("int").alias("entries"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H-%M-%SZ') AS stamp FROM events")
+def file_timestamps(spark, d):
+    return table(spark, d, "events").select("event_id", file_timestamp(F.col("ts")).alias("stamp"))
+
+
+@query("SELECT event_id, props AS decoded FROM events")
+def data_urls(spark, d):
+    url = F.concat(F.lit("data:text/plain;base64,"), F.base64(F.encode("props", "UTF-8")))
+    return table(spark, d, "events").select("event_id", F.decode(data_url_bytes(url), "UTF-8").alias("decoded"))
+
+
+@query()
+def case_export(spark, d):
+    return _history(spark, d).select("id", case_document(["id", "ts", "raw"], ["clean"]).alias("case"))
