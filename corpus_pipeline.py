@@ -22,17 +22,24 @@ def _columns(docs: DataFrame) -> list:
     return [F.col(f"`{c}`") for c in docs.columns]
 
 
-def _with_text(found: DataFrame, docs: DataFrame, text: str, changed) -> DataFrame:
+def _apart(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns of these names out of an operator's way, and the name each column now has."""
+    now = {c: f"{c}__own" if c in names else c for c in docs.columns}
+    return docs.withColumnsRenamed({a: b for a, b in now.items() if a != b}), now
+
+
+def _with_text(found: DataFrame, docs: DataFrame, now: dict[str, str], text: str, changed) -> DataFrame:
     """The columns of docs with the new text and its length where it changed; texts of which nothing is left go."""
     new = {"text": F.col(text)} | ({"n_chars": F.when(changed, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
-    return found.where(~changed | (F.length(F.trim(text)) > 0)).select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    return found.where(~changed | (F.length(F.trim(text)) > 0)).select(*[new.get(c, F.col(f"`{now[c]}`")).alias(c) for c in docs.columns])
 
 
 def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts as toxic go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out())
-    scored = toxicity(docs, train(docs, labels))
-    return scored.where("predicted = 0").select(*_columns(docs))
+    own, now = _apart(docs, ("score", "predicted"))
+    scored = toxicity(own, train(own, labels))
+    return scored.where("predicted = 0").select(*[F.col(f"`{now[c]}`").alias(c) for c in docs.columns])
 
 
 def drop_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,16 +51,19 @@ def drop_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes that an earlier place holds too are cut out."""
-    return _with_text(suffix_dedup(docs), docs, "kept_text", F.col("n_removed") > 0)
+    own, now = _apart(docs, ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "text_key", "spans"))
+    return _with_text(suffix_dedup(own), docs, now, "kept_text", F.col("n_removed") > 0)
 
 
 def drop_benchmark(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of words that benchmark windows hit are cut out."""
-    return _with_text(decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), docs, "clean_text", F.col("n_hit") > 0)
+    own, now = _apart(docs, ("n_words", "n_hit", "items", "spans", "clean_text"))
+    return _with_text(decontaminate(own, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), docs, now, "clean_text", F.col("n_hit") > 0)
 
 
 def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which the mix takes words, with how many."""
+    docs = docs.drop("size", "source_size", "target", "taken", "text_key")
     mixed = mix(docs).where("taken > 0").groupBy("doc_id", "text_key", "source").agg(*[F.max(c).alias(c) for c in ("size", "source_size", "target", "taken")])
     keyed = docs.withColumn("text_key", F.xxhash64("text")).alias("d")
     same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.text_key") == F.col("m.text_key")) & F.col("d.source").eqNullSafe(F.col("m.source"))
