@@ -63,8 +63,13 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, alpha=ALPHA, beta=BETA, l1=L
     none = np.zeros(0, np.uint64), np.zeros(0), -50.0
     if not len(rows) or not (labels > 0).any():
         return none
-    known, counts = np.unique(np.concatenate(rows), return_counts=True)
-    known = known[counts >= min_docs]
+    known = np.concatenate(rows)
+    known.sort()  # in place: the largest array of the task
+    if len(known) >= min_docs:
+        known = known[: len(known) - min_docs + 1][known[min_docs - 1 :] == known[: len(known) - min_docs + 1]]
+        known = known[np.append(True, known[1:] != known[:-1])] if len(known) else known
+    else:
+        known = known[:0]
     n = len(known)
     inside = []
     for r in rows:
@@ -124,8 +129,8 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max
 
     def learn(table: pa.Table) -> pa.Table:
         ids = table.column("doc_id").to_pylist()
-        packed = table.column("packed").to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (xxhash.xxh3_64_intdigest(str(ids[i])), packed[i]))
+        packed = [memoryview(x.as_buffer()) for x in table.column("packed")]  # no copy
+        order = sorted(range(len(ids)), key=lambda i: (xxhash.xxh3_64_intdigest(str(ids[i])), xxhash.xxh3_64_intdigest(packed[i])))
         keys, weights, bias = fit([np.frombuffer(packed[i], np.uint64) for i in order], np.array(table.column("label").to_pylist(), float)[order], max_weights=max_weights)
         return pa.table({"keys": pa.array([keys.tobytes()], pa.binary()), "weights": pa.array([weights.tobytes()], pa.binary()), "bias": pa.array([bias], pa.float64())})
 
