@@ -398,3 +398,68 @@ def data_urls(spark, d):
 @query()
 def case_export(spark, d):
     return _history(spark, d).select("id", case_document(["id", "ts", "raw"], ["clean"]).alias("case"))
+
+
+_UTTER = """CASE turn % 5 WHEN 0 THEN '' WHEN 1 THEN 'hey juniper, ' || text WHEN 2 THEN 'my address' ELSE text END"""
+_MODE = "CASE (conv_id + turn) % 3 WHEN 0 THEN 'smart' WHEN 1 THEN 'basic' ELSE 'exact' END"
+_ELAPSED = "CASE WHEN conv_id % 4 = 0 THEN 9.0 ELSE 1.0 END"
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN turn % 5 = 0 THEN 'empty' WHEN turn % 5 = 1 AND {_ELAPSED} = 9 THEN 'wake_failed' WHEN turn % 5 = 1 THEN 'wake' WHEN turn % 5 = 2 THEN 'macro'
+  WHEN {_MODE} = 'exact' THEN 'exact' WHEN {_MODE} = 'basic' THEN 'basic' WHEN {_ELAPSED} = 9 THEN 'fallback' ELSE 'smart' END AS kind,
+  CASE WHEN turn % 5 IN (0, 2) THEN NULL WHEN turn % 5 = 1 AND {_ELAPSED} = 9 THEN 'timed out' WHEN turn % 5 > 2 AND {_MODE} = 'smart' AND {_ELAPSED} = 9 THEN 'timed out' END AS reason FROM conversations""")
+def route_utterances(spark, d):
+    from ..operators import router
+
+    u = table(spark, d, "conversations").select("conv_id", "turn", F.expr(_UTTER).alias("transcript"), F.lit("dictation").alias("intent"), F.expr(_MODE).alias("mode"), F.col("text").alias("model_output"), F.expr(_ELAPSED).cast("double").alias("model_elapsed"))
+    none = F.lit(None).cast("string")
+    u = u.withColumns({"wake": text.wake_match(F.col("transcript"), _GREET, _NAME), "macro": F.when(text.macro_key(F.col("transcript")) == "my address", "1 Main St"), "selected_text": none, "previous_text": none, "transform": none})
+    return router.route(u).select("conv_id", "turn", "outcome.kind", "outcome.reason")
+
+
+@query("""SELECT page_id, 'Window: ' || left(url, 20) || chr(10) || '<transcript>' || chr(10) || left(html, 30) || chr(10) || '</transcript>' AS prompt FROM pages""")
+def prompts(spark, d):
+    from ..operators import router
+
+    parts = [("App", F.lit(" "), 100), ("Window", F.col("url"), 20), ("Vocabulary", router.vocabulary_hint(F.lit(" , \n")), None)]
+    return table(spark, d, "pages").select("page_id", router.prompt(parts, "transcript", F.left("html", F.lit(30))).alias("prompt"))
+
+
+_BIND = ", ".join(f"({i}, 'key', {40 + i % 3}, {m})" for i, m in enumerate((1, 2, 4, 8, 3, 5, 6, 0, 31, 16, 1, 9)))
+
+
+@query(f"""WITH b AS (SELECT * FROM (VALUES {_BIND}) t(id, kind, code, modifiers))
+SELECT DISTINCT x.id AS a, y.id AS b FROM b x JOIN b y ON x.id < y.id AND x.kind = y.kind AND x.code = y.code JOIN range(512) r(m)
+  ON (m & x.modifiers) = x.modifiers AND (m & y.modifiers) = y.modifiers AND bit_count(x.modifiers) = bit_count(y.modifiers)""")
+def shortcut_conflicts(spark, d):
+    from ..functions import shortcuts
+
+    return shortcuts.conflicts(spark.sql(f"SELECT * FROM (VALUES {_BIND}) t(id, kind, code, modifiers)"))
+
+
+@query("""SELECT event_id, m, list_sort(list_filter([55, 54, 59, 62, 58, 61, 56, 60, 63], lambda c: (m & CASE WHEN c IN (54, 55) THEN 1 WHEN c IN (59, 62) THEN 2 WHEN c IN (58, 61) THEN 4 WHEN c IN (56, 60) THEN 8 ELSE 16 END) <> 0))::VARCHAR AS codes,
+  bit_count(m)::INT AS spec, (m & 3) = 3 AS held, m AS back FROM (SELECT event_id, (event_id % 32)::INT AS m FROM events)""")
+def modifier_masks(spark, d):
+    from ..functions import shortcuts
+
+    m = F.col("m")
+    rows = table(spark, d, "events").select("event_id", (F.col("event_id") % 32).cast("int").alias("m"))
+    codes = shortcuts.codes_of(m)
+    shown = F.concat(F.lit("["), F.array_join(F.array_sort(codes).cast("array<string>"), ", "), F.lit("]"))
+    return rows.select("event_id", "m", shown.alias("codes"), shortcuts.specificity(m).cast("int").alias("spec"), shortcuts.contains_modifiers(m, F.lit(3)).alias("held"), shortcuts.mask_of(codes).alias("back"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'none' WHEN event_id % 3 = 0 THEN 'none' WHEN ts > TIMESTAMP '2024-01-02' AND event_id % 2 = 0 THEN 'wait' WHEN event_id % 7 = 0 AND event_id % 2 = 0 THEN 'none' ELSE 'offer' END AS decision FROM events""")
+def update_decision(spark, d):
+    i = F.col("event_id")
+    tag = F.when(i % 5 == 0, "bad").when(i % 3 == 0, "v1.0.0").when(i % 7 == 0, "v1.7.0").otherwise("v1.2.0")
+    now = F.lit("2024-01-05").cast("timestamp_ntz")
+    decided = versions.update_decision(versions.semver(tag), versions.semver(F.lit("1.1.0")), tag, F.lit("v1.1.0"), F.col("ts"), now, F.lit("v1.7.0"), i % 2 == 1)
+    return table(spark, d, "events").select("event_id", decided.alias("decision"))
+
+
+@query("SELECT event_id, list_transform([0.35, 0.55, 0.75, 0.9, 1.0, 0.9, 0.75, 0.55, 0.35], lambda m: least(round(value / 100, 4) * m::DOUBLE, 1.0)) [5] AS middle FROM events")
+def level_bars(spark, d):
+    from ..functions import shortcuts
+
+    return table(spark, d, "events").select("event_id", F.get(shortcuts.bars(F.round(F.col("value") / 100, 4)), F.lit(4)).alias("middle"))
