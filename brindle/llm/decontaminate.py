@@ -246,3 +246,17 @@ def op4_decontaminate(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')".replace("{80}", "{{80}}").replace("{10FFFF}", "{{10FFFF}}")
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, {_WORDS.format("text")} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS.format("text")} AS w FROM benchmark),
+i AS (SELECT DISTINCT item_id, least(10, len(w)) AS m, array_to_string(w[k:k + least(10, len(w)) - 1], ' ') AS s FROM (SELECT *, unnest(range(1, greatest(2, len(w) - 8))) AS k FROM b WHERE len(w) > 0)),
+x AS (SELECT n, k, m, array_to_string(w[k:k + m - 1], ' ') AS s FROM (SELECT n, w, m, unnest(range(1, len(w) - m + 2)) AS k FROM d, (SELECT DISTINCT m FROM i))),
+h AS (SELECT n, k, x.m, item_id FROM x JOIN i ON x.s = i.s AND x.m = i.m),
+c AS (SELECT n, count(DISTINCT p) AS n_hit FROM (SELECT n, unnest(range(k, k + m)) AS p FROM h) GROUP BY n),
+t AS (SELECT n, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS s FROM h GROUP BY n)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (n) LEFT JOIN t USING (n)
+"""

@@ -17,4 +17,4 @@ QUERIES = {
     "op10_brown_lm": brown.op10_brown_lm,
 }
 
-ORACLES = {"op1_url_filter": urlfilter.ORACLE, "op2_chat_format": chat.ORACLE, "op3_topk": topk.ORACLE, "op8_warc": warc.ORACLE}
+ORACLES = {"op1_url_filter": urlfilter.ORACLE, "op2_chat_format": chat.ORACLE, "op3_topk": topk.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op8_warc": warc.ORACLE}
