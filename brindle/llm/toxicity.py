@@ -1,6 +1,6 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features of a text are the 64-bit hashes of its words, word pairs and pairs with one or two words between,
+Features of a text are the 32-bit hashes of its words, word pairs and pairs with one or two words between,
 each once (presence).  Words are lower-cased (A-Z) runs of digits, letters and non-ASCII characters.
 
 The model is fitted in one task on at most `max_rows` labelled rows (a documented bound; those with the
@@ -45,7 +45,7 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             inside = doc[gap:] == doc[:-gap]
             keys.append(_mix(h[:-gap] * np.uint64(0x9E3779B97F4A7C15) + h[gap:] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1 if gap == 1 else 2))[inside])
             docs.append(doc[gap:][inside])
-    return np.concatenate(keys), np.concatenate(docs)
+    return (np.concatenate(keys) >> np.uint64(32)).astype(np.uint32), np.concatenate(docs)
 
 
 def _distinct(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +60,7 @@ def _distinct(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, alpha=ALPHA, beta=BETA, l1=L1, l2=L2, epochs=EPOCHS, min_docs=MIN_DOCS, max_weights=MAX_WEIGHTS) -> tuple[np.ndarray, np.ndarray, float]:
     """Sorted feature keys, their weights, and the bias, of the rows in the given order."""
-    none = np.zeros(0, np.uint64), np.zeros(0), -50.0
+    none = np.zeros(0, np.uint32), np.zeros(0), -50.0
     if not len(rows) or not (labels > 0).any():
         return none
     known = np.concatenate(rows)
@@ -101,7 +101,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, alpha=ALPHA, beta=BETA, l1=L
 def score(texts: list[bytes], keys: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
     """Probability of label 1 for each text."""
     found, docs = features(texts)
-    low = np.uint64((1 << _SLOTS) - 1)
+    low = np.uint32((1 << _SLOTS) - 1)
     slots = np.zeros(1 << _SLOTS, bool)  # lets through little more than what the model knows
     slots[keys & low] = True
     maybe = slots[found & low]
@@ -131,14 +131,14 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max
         ids = table.column("doc_id").to_pylist()
         packed = [memoryview(x.as_buffer()) for x in table.column("packed")]  # no copy
         order = sorted(range(len(ids)), key=lambda i: (xxhash.xxh3_64_intdigest(str(ids[i])), xxhash.xxh3_64_intdigest(packed[i])))
-        keys, weights, bias = fit([np.frombuffer(packed[i], np.uint64) for i in order], np.array(table.column("label").to_pylist(), float)[order], max_weights=max_weights)
+        keys, weights, bias = fit([np.frombuffer(packed[i], np.uint32) for i in order], np.array(table.column("label").to_pylist(), float)[order], max_weights=max_weights)
         return pa.table({"keys": pa.array([keys.tobytes()], pa.binary()), "weights": pa.array([weights.tobytes()], pa.binary()), "bias": pa.array([bias], pa.float64())})
 
     packed = rows.mapInArrow(pack, "one bigint, doc_id bigint, label int, packed binary")
     model = packed.groupBy("one").applyInArrow(learn, "keys binary, weights binary, bias double").collect()  # one row of at most max_weights weights
     if not model:
-        return np.zeros(0, np.uint64), np.zeros(0), -50.0
-    return np.frombuffer(model[0].keys, np.uint64), np.frombuffer(model[0].weights), model[0].bias
+        return np.zeros(0, np.uint32), np.zeros(0), -50.0
+    return np.frombuffer(model[0].keys, np.uint32), np.frombuffer(model[0].weights), model[0].bias
 
 
 def toxicity(documents: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
