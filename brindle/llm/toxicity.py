@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from .common import segment_sums, shards, word_ids
 
 MAX_ROWS, MAX_WEIGHTS, MIN_DOCS = 8192, 65536, 3
-ALPHA, BETA, L1, L2, EPOCHS, SEED = 2.0, 1.0, 8.0, 0.1, 10, 17
+#: Of 29 settings of ALPHA, L1 and EPOCHS, those with the least out_of_fold() log loss on the training rows of sf0.1.
+ALPHA, BETA, L1, L2, EPOCHS, SEED = 2.0, 1.0, 12.0, 0.1, 5, 17
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _SLOTS = 22
 
@@ -98,6 +99,18 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, alpha=ALPHA, beta=BETA, l1=L
     return known[kept], w[kept], float(w[n])
 
 
+def out_of_fold(texts: list[bytes], labels: np.ndarray, folds: int = 5, **settings) -> np.ndarray:
+    """Probability of label 1 for each text from a model of the other folds; equal texts share a fold.  For choosing settings."""
+    keys, docs = _distinct(*features(texts))
+    bounds = np.searchsorted(docs, np.arange(len(texts) + 1))
+    fold = np.array([xxhash.xxh3_64_intdigest(t) % folds for t in texts])
+    p = np.zeros(len(texts))
+    for f in range(folds):
+        rest, own = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+        p[own] = score([texts[i] for i in own], *fit([keys[bounds[i] : bounds[i + 1]] for i in rest], labels[rest], **settings))
+    return p
+
+
 def score(texts: list[bytes], keys: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
     """Probability of label 1 for each text."""
     found, docs = features(texts)

@@ -163,6 +163,8 @@ def test_toxicity(spark):
     scored = {x.doc_id: x for x in toxicity.toxicity(docs, toxicity.train(docs, labels)).collect()}
     assert len(scored) == len(data) and all(0 <= x.score <= 1 and x.predicted == int(x.score >= 0.5) for x in scored.values())
     assert np.mean([scored[i].predicted == int(i % 4 == 0) for i in range(400, 600)]) > 0.95
+    apart = toxicity.out_of_fold([(t or "").encode() for _, t in data[:400]], np.array([i % 4 == 0 for i in range(400)], float))
+    assert np.mean((apart >= 0.5) == [i % 4 == 0 for i in range(400)]) > 0.95
     none = toxicity.toxicity(docs, toxicity.train(docs, labels.limit(0)))
     assert none.where("predicted = 1").count() == 0
     assert toxicity.toxicity(docs.limit(0), toxicity.train(docs.limit(0), labels)).count() == 0
