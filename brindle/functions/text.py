@@ -152,6 +152,21 @@ def split_terms(text: Column, delimiters: str = ",\n") -> Column:
     return F.filter(F.transform(F.split(text, f"[{re.escape(delimiters)}]"), strip), lambda x: x != "")
 
 
+def merged_corrections(local: Column, imported: Column) -> Column:
+    """Struct (text, added): local and, after it, imported lines that it lacks; case and outer blanks of a line do not count.
+
+    Null counts as empty; without a new line, local comes back as it is.
+    """
+    trimmed = lambda c: F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), lambda x: F.regexp_replace(x, r"^[\p{Zs}\t]+|[\p{Zs}\t]+\z", ""))
+    lines = trimmed(imported)
+    keys = F.transform(lines, F.lower)
+    fresh = F.array_except(keys, F.array_append(F.transform(trimmed(local), F.lower), F.lit("")))  # each once, in order
+    added = F.transform(fresh, lambda k: F.element_at(lines, F.array_position(keys, k).cast("int")))
+    kept = F.filter(F.array(strip(F.coalesce(local, F.lit("")))), lambda x: x != "")
+    merged = F.when(F.size(fresh) > 0, F.array_join(F.concat(kept, added), "\n")).otherwise(F.coalesce(local, F.lit("")))
+    return F.struct(merged.alias("text"), F.size(fresh).alias("added"))
+
+
 def truncate_middle(text: Column, limit: int) -> Column:
     head = limit * 2 // 5
     tail = limit - head - 4

@@ -93,6 +93,17 @@ def corrections_apply(spark, d):
     return _docs(spark, d).select("doc_id", F.md5(fixed).alias("fixed"))
 
 
+_LINES = "replace(coalesce(text, ''), ' ', chr(10))"
+_NEW = "list_filter(string_split(lines, chr(10)), lambda x, i: trim(x) <> '' AND lower(trim(x)) NOT IN ('the', 'of') AND list_position(keys, lower(trim(x))) = i)"
+
+
+@query(f"""SELECT conv_id, turn, len({_NEW}) AS added, md5(CASE WHEN len({_NEW}) = 0 THEN E'\\nThe\\n of \\n' ELSE E'The\\n of' || chr(10) || array_to_string({_NEW}, chr(10)) END) AS merged
+FROM (SELECT *, list_transform(string_split(lines, chr(10)), lambda x: lower(trim(x))) AS keys FROM (SELECT conv_id, turn, {_LINES} AS lines FROM conversations))""")
+def corrections_merge(spark, d):
+    turns = table(spark, d, "conversations").withColumn("m", text.merged_corrections(F.lit("\nThe\n of \n"), F.expr(_LINES)))
+    return turns.select("conv_id", "turn", F.col("m.added").cast("long").alias("added"), F.md5("m.text").alias("merged"))
+
+
 _SPOKEN = "CASE turn % 4 WHEN 0 THEN '  Hey, Juniper: ' || text WHEN 1 THEN 'juniper ' || text WHEN 2 THEN 'he june-iper! ' || text ELSE text END"
 _GREET, _NAME, _FUZZY = ("hey", "he", "hay", "hi"), ("juniper",), ("june iper", "june-iper")
 _SEP = r"[\s\p{P}\p{S}]"

@@ -65,3 +65,10 @@ def test_versions(spark):
     df = spark.createDataFrame([(t,) for t in reversed(tags)], "t string").withColumn("v", versions.semver(F.col("t")))
     assert [r.t for r in df.orderBy("v").collect()] == tags
     assert one(spark, "1.2", versions.semver) is None and one(spark, "1.2.3-", versions.semver) is None and one(spark, "1..2.3", versions.semver).patch == 3
+
+
+def test_merged_corrections(spark):
+    cases = [("big cat → Bigcat\n", "BIG CAT → Bigcat\nq → Q\n\nq → Q", "big cat → Bigcat\nq → Q", 1), ("", "a → b", "a → b", 1), ("a → b", "a → b\n", "a → b", 0), (None, None, "", 0), ("x ", " Y\t\ny\nX", "x\nY", 1)]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, local string, imported string, text string, added int")
+    got = rows.select("*", text.merged_corrections(F.col("local"), F.col("imported")).alias("m")).collect()
+    assert [(r.m.text, r.m.added) for r in got] == [(r.text, r.added) for r in got]
