@@ -9,7 +9,8 @@ holds.
 Reading: every place of a file that holds the magic ``WARC/1.`` is a candidate; its header tells the offset of
 its successor.  Candidates of a file meet by the file's name, and pointer jumping from the file's start keeps
 the reachable ones: after k rounds the pointers span 2^k records.  Magic inside a payload is a candidate that
-no chain from the start reaches.
+no chain from the start reaches.  A header may be of any length; a chain that ends before its file does is an
+error, not a shorter result.
 
 Nulls and odd rows: null html is an empty payload; a null page_id counts as smallest, and is read back as
 null; rows that tie for the largest page_id are all responses; line breaks in a URL are left out of its
@@ -35,6 +36,7 @@ CRLF, MAGIC = "\r\n", "WARC/1.1"
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _START = re.compile(rb"WARC/1\.[01]\r\n")
+_READ = {b"content-length", b"warc-type", b"warc-payload-length", b"warc-payload-digest", b"warc-record-id", b"warc-refers-to", b"warc-target-uri"}
 FIELDS = "file string, at bigint, next bigint, size bigint, page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string"
 
 
@@ -86,22 +88,40 @@ def inflate(content: bytes) -> bytes:
 
 
 def candidates(data: bytes):
-    """(offset, successor, header, payload) at each magic of a file."""
-    for m in _START.finditer(data):
-        end = data.find(b"\r\n\r\n", m.end() - 2, m.end() + 65536)
-        if end < 0:
-            continue
-        header = {}
-        for line in data[m.end() : end].split(b"\r\n"):
-            k, _, v = line.partition(b":")
-            header[k.strip().lower()] = v.strip().decode("utf-8", "replace")
+    """(offset, successor, header, payload) at each magic of a file.
+
+    The header's end is the first blank line after the magic, however far.  Magics with the same end share their
+    later lines and their block, so these are read once, from the last magic on.
+    """
+    starts, end = [(m.start(), m.end()) for m in _START.finditer(data)], -1
+    groups = []
+    for at, line in starts:
+        if not groups or end < line - 2:
+            end = data.find(b"\r\n\r\n", line - 2)
+            if end < 0:
+                break
+            groups.append((end, []))
+        groups[-1][1].append((at, line))
+    for end, magics in groups:
+        header, upto, found = {}, end, []
+        for at, line in reversed(magics):
+            own = {}
+            for text in data[line:upto].split(b"\r\n"):
+                k, _, v = text.partition(b":")
+                if (k := k.strip().lower()) in _READ:
+                    own[k] = v.strip().decode("utf-8", "replace")
+            header, upto = own | header, line
+            found.append((at, header))
         length = header.get(b"content-length", "")
         if not length.isdecimal():
             continue
         stop = end + 4 + int(length)
         if data[stop : stop + 4] == b"\r\n\r\n":
             block = data[end + 4 : stop]
-            yield m.start(), stop + 4, header, block.partition(b"\r\n\r\n")[2] if block.startswith(b"HTTP/") else block
+            payload = block.partition(b"\r\n\r\n")[2] if block.startswith(b"HTTP/") else block
+            for at, header in reversed(found):
+                if b"content-length" in header:
+                    yield at, stop + 4, header, payload
 
 
 def _page(name: str | None):
@@ -131,21 +151,30 @@ def read_archives(spark, path: str) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = inflate(content.as_py())
-                rows = []
+                rows, last, sha1 = [], None, ""
                 for at, stop, h, payload in candidates(data):
                     kind = h.get(b"warc-type", "")
                     if kind == "revisit":
                         size, digest = h.get(b"warc-payload-length", ""), h.get(b"warc-payload-digest", "").rpartition(":")[2]
                         size = int(size) if size.isdecimal() else None
                     else:
-                        size, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                        if payload is not last:
+                            last, sha1 = payload, base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                        size, digest = len(payload), sha1
                     rows.append((name, at, stop, len(data), _page(h.get(b"warc-record-id")), size, digest, kind, _page(h.get(b"warc-refers-to")), h.get(b"warc-target-uri")))
+                if data and not rows:
+                    raise ValueError(f"{name}: no record in {len(data)} bytes")
                 types = [pa.string(), *[pa.int64()] * 5, pa.string(), pa.string(), pa.int64(), pa.string()]
                 names = [f.split()[0] for f in FIELDS.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
     def chain(table: pa.Table) -> pa.Table:
-        return table.filter(pa.array(reachable(table.column("at").to_numpy(), table.column("next").to_numpy())))
+        successor = table.column("next").to_numpy()
+        on = reachable(table.column("at").to_numpy(), successor)
+        ends, size = int(successor[on].max(initial=0)), table.column("size")[0].as_py()
+        if ends != size:
+            raise ValueError(f"{table.column('file')[0]}: the chain of records ends at {ends} of {size} bytes")
+        return table.filter(pa.array(on))
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
     found = files.mapInArrow(scan, FIELDS)

@@ -262,6 +262,20 @@ def test_warc(spark, tmp_path):
     assert [(a, b) for a, b, *_ in warc.candidates(plain)] == [(0, len(plain))]
 
 
+def test_warc_long_url_and_broken_chain(spark, tmp_path):
+    long = "http://a/" + "WARC/1.1 é" * 12000 + "WARC/1.1"
+    pages = [(1, "u", "x"), (2, long, "y"), (3, "v", "z\r\nWARC/1.1\r\n"), (4, long, "WARC/1.1\r\n" * 30000), (5, "w", "v")]
+    warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), f"{tmp_path}/a")
+    got = warc.read_archives(spark, f"{tmp_path}/a").select("page_id", "url", "payload_bytes").collect()
+    assert sorted(map(tuple, got)) == [(p, u, len(h)) for p, u, h in pages]
+    whole = b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    for name, data in (("b", whole + whole[:-6]), ("c", whole[:-1])):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.warc").write_bytes(data)
+        with pytest.raises(Exception, match="chain of records ends|no record in"):
+            warc.read_archives(spark, f"{tmp_path}/{name}").collect()
+
+
 def test_brown(spark, docs, rows):
     got = brown.score(docs, mixing.F.crc32(mixing.F.col("doc_id").cast("string")) % 5 == 1, head=32, clustered=12, classes=4).collect()
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 5 == 1
