@@ -1,18 +1,23 @@
 """LM scoring: Brown class-based bigram model, with an add-half unigram base beside it.
 
 Tokens: white-space words of the lower-cased (A-Z) text, then one end.  All counts come from all training
-documents.
-
-1. Word counts: each task counts its shards, keyed by a 64-bit hash of the word, and sends packed counts by
-   hash; nothing is cut.  Totals N and V, and the HEAD most counted words of all buckets together, come back.
-2. The CLUSTERED most frequent words are dealt to CLASSES classes by exchange clustering (each word moves to
-   the class that raises the likelihood of the class bigrams most, until no pass helps); all other words form
-   one rare class.  Word-pair counts for this are summed over all training documents on a table of
-   (CLUSTERED + 1)^2 cells, a fixed bound.
-3. Scoring: log10 P(class | class before) + log10 P(word | class) for each token.  Transitions are smoothed
-   towards class frequencies, emissions add one half to every count, and the rare class keeps one half for
-   unseen words, so the model is a distribution over the V words and one unknown.  Words outside the broadcast
-   head (HEAD entries at most) meet their counts by hash in a shuffle, packed, and come back as sums by document.
+documents, and every word of them has a class.
+
+1. Texts become shards of word ids beside the 64-bit hashes of their words, written once.
+2. Word counts: each task counts its shards and sends packed counts by hash; nothing is cut.  Totals N and V,
+   and the most counted words of each bucket, come back.
+3. The most frequent words are dealt to classes by exchange clustering (each word moves to the class that raises
+   the likelihood of the class bigrams most, until no pass helps).  Their number, and that of the classes, grows
+   with the cube root of V (sizes()), so that their table of pairs stays smaller than the vocabulary at any size.
+4. Every other word meets the counts of the classes before and after it by hash in a shuffle, and goes to the
+   class under which these and its own occurrences are likeliest.  (Words without a class yet count as one kind of
+   context here.)
+5. Each shard asks for counts and classes of its words outside the broadcast head by bucket of the hash, each
+   word once a shard, and writes its texts as sequences of classes.
+6. Class bigrams of all training texts' sequences make the transitions.
+7. Scoring: log10 P(class | class before) + log10 P(word | class) for each token.  Transitions are smoothed
+   towards class frequencies and emissions add one half to every count; one more class holds the unknown word, so
+   the model is a distribution over the V words and one unknown.
 
 Nulls and odd rows: null and empty texts have the end alone; a null doc_id is a training row; repeated rows
 count and are scored each; with an empty training set, every token has count 0.
@@ -27,13 +32,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, segment_sums, shards, word_ids
+from .common import materialize, partitions, release, segment_sums, shards, word_ids
 
-HEAD, CLUSTERED, CLASSES, PASSES, PULL = 1 << 17, 1024, 48, 8, 20.0
+HEAD, PASSES, PULL = 1 << 17, 8, 20.0
+SHARD_BYTES = 4 << 20
+CELLS = 1 << 22  # of a dense table of words and contexts at a time
 _END = b"\n"  # no word holds it
 _END_HASH = xxhash.xxh3_64_intdigest(_END)
 
 
+def sizes(v: int) -> tuple[int, int]:
+    """How many words exchange clustering deals to how many classes, of a vocabulary of v words."""
+    clustered = max(1024, int(16 * np.cbrt(v)))
+    return clustered, clustered * 3 // 64
+
+
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Local word ids, bounds of texts, and the hash of each local word."""
     flat, bounds, vocabulary = word_ids([[*t.lower().split(), _END] for t in texts])
@@ -49,9 +62,47 @@ def _merge(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
     return h, np.bincount(at, np.concatenate(counts), len(h)).astype(np.int64)
 
 
-def word_counts(training: DataFrame, head: int = HEAD) -> tuple[int, int, np.ndarray, np.ndarray]:
-    """N, V, and the head's hashes (sorted) and counts."""
-    n = partitions(training.sparkSession)
+SHARD = "shard bigint, doc_id array<bigint>, held array<boolean>, flat binary, bounds binary, hashes binary"
+
+
+def token_shards(docs: DataFrame) -> DataFrame:
+    """Shards of docs (doc_id, text, held_out): word ids, bounds of texts and hashes of the words."""
+
+    def pack(batches):
+        task = TaskContext.get().partitionId()
+        for k, (part, texts) in enumerate(shards(batches, "text", SHARD_BYTES)):
+            flat, bounds, h = tokens(texts)
+            yield pa.RecordBatch.from_pydict({"shard": [(task << 32) + k], "doc_id": [part.column("doc_id").to_pylist()], "held": [part.column("held_out").to_pylist()], "flat": [flat.tobytes()], "bounds": [bounds.tobytes()], "hashes": [h.tobytes()]}, schema=_SHARD)
+
+    return materialize(docs.select("doc_id", "text", "held_out").mapInArrow(pack, SHARD), "tokens")
+
+
+_SHARD = pa.schema([("shard", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("flat", pa.binary()), ("bounds", pa.binary()), ("hashes", pa.binary())])
+
+
+def _training(batches):
+    """Of each shard the word ids of training texts, the word before each (an end before a text's first), and the hashes."""
+    for batch in batches:
+        for held, flat, bounds, h in zip(*(batch.column(x).to_pylist() for x in ("held", "flat", "bounds", "hashes")), strict=True):
+            flat, bounds, h = np.frombuffer(flat, np.int32), np.frombuffer(bounds, np.int64), np.frombuffer(h, np.uint64)
+            before = np.empty_like(flat)
+            before[1:] = flat[:-1]
+            before[bounds[:-1]] = flat[bounds[1:] - 1]  # a text's last token is the end
+            on = np.repeat(~np.array(held, bool), np.diff(bounds))
+            yield flat[on], before[on], h
+
+
+def _by_bucket(h: np.ndarray, n: int):
+    """Order of h by bucket; the buckets that occur, and where each begins and ends in this order."""
+    where = _bucket(h, n)
+    order = np.argsort(where, kind="stable")
+    ends = np.searchsorted(where[order], np.arange(n + 1))
+    return order, [(k, slice(ends[k], ends[k + 1])) for k in range(n) if ends[k] < ends[k + 1]]
+
+
+def word_counts(tokenized: DataFrame, head: int = HEAD) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """N, V, and the head's hashes (sorted) and counts: of each bucket its share of the most counted words."""
+    n = partitions(tokenized.sparkSession)
 
     def count(batches):
         held = []
@@ -59,35 +110,30 @@ def word_counts(training: DataFrame, head: int = HEAD) -> tuple[int, int, np.nda
         def pack():
             h, c = _merge([x for x, _ in held], [y for _, y in held])
             held.clear()
-            where = _bucket(h, n)
-            order = np.argsort(where, kind="stable")
-            ends = np.searchsorted(where[order], np.arange(n + 1))
+            order, parts = _by_bucket(h, n)
             h, c = h[order], c[order]
-            rows = [k for k in range(n) if ends[k] < ends[k + 1]]
-            return pa.RecordBatch.from_pydict({"bucket": rows, "hashes": [h[ends[k] : ends[k + 1]].tobytes() for k in rows], "counts": [c[ends[k] : ends[k + 1]].tobytes() for k in rows]})
+            return pa.RecordBatch.from_pydict({"bucket": [k for k, _ in parts], "hashes": [h[x].tobytes() for _, x in parts], "counts": [c[x].tobytes() for _, x in parts]})
 
-        for _, texts in shards(batches, "text"):
-            flat, _, h = tokens(texts)
-            held.append((h, np.bincount(flat, minlength=len(h))))
+        for flat, _, h in _training(batches):
+            c = np.bincount(flat, minlength=len(h))
+            held.append((h[c > 0], c[c > 0]))
             if sum(len(x) for x, _ in held) > 2_000_000:
                 yield pack()
-        if held:
+        if any(len(x) for x, _ in held):
             yield pack()
 
-    def merge(batches):
+    def merge(table: pa.Table) -> pa.Table:
         held = []
-        for batch in batches:
-            for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                held.append((np.frombuffer(a, np.uint64), np.frombuffer(b, np.int64)))
+        for a, b in zip(table.column("hashes").to_pylist(), table.column("counts").to_pylist(), strict=True):
+            held.append((np.frombuffer(a, np.uint64), np.frombuffer(b, np.int64)))
             if sum(len(x) for x, _ in held) > 8_000_000:
                 held = [_merge([x for x, _ in held], [y for _, y in held])]
-        if held:
-            h, c = _merge([x for x, _ in held], [y for _, y in held])
-            top = np.lexsort((h, -c))[: max(1, head // n)]
-            yield pa.RecordBatch.from_pydict({"n": [int(c.sum())], "v": [len(h)], "hashes": [h[top].tobytes()], "counts": [c[top].tobytes()]})
+        h, c = _merge([x for x, _ in held], [y for _, y in held])
+        top = np.lexsort((h, -c))[: max(1, head // n)]
+        return pa.Table.from_pydict({"n": [int(c.sum())], "v": [len(h)], "hashes": [h[top].tobytes()], "counts": [c[top].tobytes()]})
 
-    packed = training.select("text").mapInArrow(count, "bucket bigint, hashes binary, counts binary")
-    rows = packed.repartition("bucket").mapInArrow(merge, "n bigint, v bigint, hashes binary, counts binary").collect()  # HEAD words at most
+    packed = tokenized.select("held", "flat", "bounds", "hashes").mapInArrow(count, "bucket bigint, hashes binary, counts binary")
+    rows = packed.groupBy("bucket").applyInArrow(merge, "n bigint, v bigint, hashes binary, counts binary").collect()  # HEAD words at most
     if not rows:
         return 0, 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
     h = np.concatenate([np.frombuffer(r.hashes, np.uint64) for r in rows])
@@ -104,39 +150,48 @@ def look_up(table: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(table[at] == h, at, -1)
 
 
-def pair_counts(training: DataFrame, words: np.ndarray) -> np.ndarray:
-    """Counts of (word before, word) over the clustered words (sorted hashes) and, last, the rare word."""
-    m = len(words) + 1
+def _table(keys: DataFrame, m: int) -> np.ndarray:
+    """m x m counts, summed by row over keys (part, at, counts), which hold places of cells and their counts."""
 
-    def count(batches):
-        total = np.zeros(m * m, np.int64)
-        for _, texts in shards(batches, "text"):
-            flat, bounds, h = tokens(texts)
-            c = look_up(words, h)
-            c = np.where(c < 0, m - 1, c)[flat]
-            total += np.bincount(_before(c, bounds, words, m) * m + c, minlength=m * m)
-        at = np.flatnonzero(total)
-        for k in range(8):  # by the word before
-            part = at[(at // m) % 8 == k]
-            if len(part):
-                yield pa.RecordBatch.from_pydict({"part": [k], "at": [part.astype(np.int32).tobytes()], "counts": [total[part].tobytes()]})
-
-    def merge(batches):
-        total = np.zeros(m * m, np.int64)
-        for batch in batches:
-            for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                total[np.frombuffer(a, np.int32)] += np.frombuffer(b, np.int64)
-        at = np.flatnonzero(total)
-        if len(at):
-            yield pa.RecordBatch.from_pydict({"at": [at.astype(np.int32).tobytes()], "counts": [total[at].tobytes()]})
+    def merge(table: pa.Table) -> pa.Table:
+        at, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for a, b in zip(table.column("at").to_pylist(), table.column("counts").to_pylist(), strict=True):
+            at, counts = _merge([at, np.frombuffer(a, np.int64)], [counts, np.frombuffer(b, np.int64)])
+        return pa.Table.from_pydict({"at": [at.tobytes()], "counts": [counts.tobytes()]})
 
-    rows = training.select("text").mapInArrow(count, "part bigint, at binary, counts binary").repartition("part").mapInArrow(merge, "at binary, counts binary").collect()  # (CLUSTERED + 1)^2 cells at most
     total = np.zeros(m * m, np.int64)
-    for r in rows:
-        total[np.frombuffer(r.at, np.int32)] += np.frombuffer(r.counts, np.int64)
+    for r in keys.groupBy("part").applyInArrow(merge, "at binary, counts binary").toLocalIterator():
+        total[np.frombuffer(r.at, np.int64)] = np.frombuffer(r.counts, np.int64)
     return total.reshape(m, m)
 
 
+def _cells(keys, m: int):
+    """The counts of a task's keys (arrays of row * m + column), packed by row."""
+    at, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for k in keys:
+        a, c = np.unique(k, return_counts=True)
+        at, counts = _merge([at, a], [counts, c])
+    row = (at // m) % 32
+    for k in np.unique(row):
+        yield pa.RecordBatch.from_pydict({"part": [int(k)], "at": [at[row == k].tobytes()], "counts": [counts[row == k].tobytes()]})
+
+
+def pair_counts(tokenized: DataFrame, words: np.ndarray) -> np.ndarray:
+    """Counts of (word before, word) over the clustered words (sorted hashes) and, last, all others."""
+    m = len(words) + 1
+
+    def count(batches):
+        def keys():
+            for flat, before, h in _training(batches):
+                c = look_up(words, h)
+                c = np.where(c < 0, m - 1, c)
+                yield c[before] * m + c[flat]
+
+        yield from _cells(keys(), m)
+
+    return _table(tokenized.select("held", "flat", "bounds", "hashes").mapInArrow(count, "part bigint, at binary, counts binary"), m)
+
+
 def _before(c: np.ndarray, bounds: np.ndarray, words: np.ndarray, m: int) -> np.ndarray:
     """The word before each: an end stands before a text's first."""
     out = np.empty_like(c)
@@ -150,7 +205,7 @@ def _g(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def exchange(pairs: np.ndarray, counts: np.ndarray, classes: int = CLASSES, passes: int = PASSES) -> np.ndarray:
+def exchange(pairs: np.ndarray, counts: np.ndarray, classes: int, passes: int = PASSES) -> np.ndarray:
     """Class of each word of pairs (the last, rare, has its own class, `classes`)."""
     m = len(pairs)
     own = np.empty(m, np.int64)
@@ -195,120 +250,216 @@ def exchange(pairs: np.ndarray, counts: np.ndarray, classes: int = CLASSES, pass
     return own
 
 
+def _steps(table: np.ndarray, kinds: np.ndarray, pull: float) -> np.ndarray:
+    """log10 P(class | class before); kinds: words of each class but the last."""
+    mean = table.sum(0) + 0.5
+    mean[:-1][kinds == 0] = 1e-9  # a class without words is never met
+    mean /= mean.sum()
+    return np.log10((table + pull * mean) / (table.sum(1, keepdims=True) + pull))
+
+
 class Model:
-    def __init__(self, n: int, v: int, head: np.ndarray, counts: np.ndarray, words: np.ndarray, pairs: np.ndarray, classes: int = CLASSES, pull: float = PULL):
-        self.n, self.v, self.head, self.words = n, v, head, words
+    """Of the clustered words at first, with all others in the last class; settle() has all words in classes."""
+
+    def __init__(self, n: int, v: int, head: np.ndarray, counts: np.ndarray, words: np.ndarray, pairs: np.ndarray, classes: int, pull: float = PULL):
+        self.n, self.words, self.classes, self.pull = n, words, classes, pull
         at = look_up(head, words)
-        own_counts = counts[at] if len(words) else np.zeros(0, np.int64)
+        self.counts = own_counts = counts[at] if len(words) else np.zeros(0, np.int64)
         self.own = exchange(pairs, own_counts, classes)
         k = classes + 1
         self.log_count = np.log10(counts + 0.5)
-        size = np.bincount(self.own[:-1], own_counts, k)[:classes]
-        kinds = np.bincount(self.own[:-1], minlength=k)[:classes]
-        self.emit = np.log10((own_counts + 0.5) / (size + 0.5 * kinds)[self.own[:-1]]) if len(words) else np.zeros(0)
+        self.size = np.bincount(self.own[:-1], own_counts, k)[:classes]
+        self.kinds = np.bincount(self.own[:-1], minlength=k)[:classes]
+        self.emit = np.log10((own_counts + 0.5) / (self.size + 0.5 * self.kinds)[self.own[:-1]]) if len(words) else np.zeros(0)
         self.rare = float(np.log10(n - own_counts.sum() + 0.5 * (v - len(words) + 1)))
         self.base = float(np.log10(n + 0.5 * (v + 1)))
         table = np.zeros((k, k))
         np.add.at(table, (self.own[:, None], self.own[None, :]), pairs)
-        mean = table.sum(0) + 0.5
-        mean[:classes][kinds == 0] = 1e-9  # a class without words is never met
-        mean /= mean.sum()
-        self.step = np.log10((table + pull * mean) / (table.sum(1, keepdims=True) + pull))
-
-    def partial(self, texts: list[bytes]):
-        """By text: tokens, known, base and score without the tail; and the tail's tokens (text, hash)."""
-        flat, bounds, h = tokens(texts)
-        m = len(self.words) + 1
-        place, word = look_up(self.head, h), look_up(self.words, h)
-        w = np.where(word < 0, m - 1, word)[flat]
-        inside = place >= 0
-        log_count = np.where(inside, self.log_count[place] if len(self.head) else 0.0, 0.0)
-        emit = np.where(word >= 0, self.emit[word] if len(self.words) else 0.0, log_count - self.rare)
-        c = self.own[w]
-        step = self.step[self.own[_before(w, bounds, self.words, m)], c]
-        n = np.diff(bounds)
-        base = segment_sums(log_count[flat], bounds) - n * self.base
-        score = segment_sums(step + emit[flat], bounds)
-        tail = np.flatnonzero(~inside[flat])
-        return n, segment_sums(inside[flat].astype(np.int64), bounds), base, score, np.searchsorted(bounds, tail, "right") - 1, h[flat[tail]]
-
-
-def score(documents: DataFrame, held_out, head: int = HEAD, clustered: int = CLUSTERED, classes: int = CLASSES) -> DataFrame:
+        self.step = _steps(table, self.kinds, pull)
+
+    def place(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Class of each word, from its counts of classes before and after it: the likeliest of those with words."""
+        k = self.classes
+        with np.errstate(divide="ignore"):
+            alone = np.where(self.kinds > 0, -np.log10(self.size + 0.5 * self.kinds), -np.inf)
+        return np.argmax(left @ self.step[:, :k] + right @ self.step[:k].T + left.sum(1, keepdims=True) * alone, 1)
+
+    def add(self, size: np.ndarray, kinds: np.ndarray) -> None:
+        """Add the placed words: tokens and words of each class."""
+        self.size, self.kinds = self.size + size, self.kinds + kinds
+        self.inside = np.append(np.log10(np.maximum(self.size + 0.5 * self.kinds, 0.5)), np.log10(0.5))  # the last class has the unknown word only
+
+    def settle(self, table: np.ndarray) -> None:
+        """Transitions from the class bigrams of all tokens."""
+        self.step = _steps(table.astype(float), self.kinds, self.pull)
+
+
+def placed_words(tokenized: DataFrame, model: Model) -> DataFrame:
+    """(bucket, hashes, counts, classes) of all training words that exchange clustering did not see."""
+    n, k, words, own = partitions(tokenized.sparkSession), model.classes + 1, model.words, model.own
+
+    def contexts(batches):
+        for flat, before, h in _training(batches):
+            order, parts = _by_bucket(h, n)
+            rank = np.empty(len(h), np.int64)
+            rank[order] = np.arange(len(h))
+            at = look_up(words, h)
+            other, c = at < 0, own[at]  # -1 has the last class
+            a, b = other[flat], other[before]
+            at, counts = np.unique(np.concatenate([rank[flat[a]] * 2 * k + c[before[a]], rank[before[b]] * 2 * k + k + c[flat[b]]]), return_counts=True)
+            word, context = at // (2 * k), (at % (2 * k)).astype(np.uint16)
+            h = h[order]
+            for bucket, x in parts:
+                i, j = np.searchsorted(word, (x.start, x.stop))
+                if i < j:
+                    some, length = np.unique(word[i:j], return_counts=True)
+                    yield pa.RecordBatch.from_pydict({"bucket": [bucket], "hashes": [h[some].tobytes()], "lengths": [length.astype(np.int32).tobytes()], "contexts": [context[i:j].tobytes()], "counts": [counts[i:j].astype(np.int32).tobytes()]})
+
+    def place(table: pa.Table) -> pa.Table:
+        columns = [table.column(c) for c in ("hashes", "lengths", "contexts", "counts")]
+        h = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in columns[0]]))
+        total, classes, some = np.zeros(len(h), np.int64), np.zeros(len(h), np.int16), max(1, CELLS // (2 * k))
+        for begin in range(0, len(h), some):
+            rows = min(some, len(h) - begin)
+            seen = np.zeros((rows, 2 * k), np.int32 if model.n < 1 << 31 else np.int64)
+            for packed in zip(*columns, strict=True):
+                hashes, lengths, context, counts = (np.frombuffer(x.as_buffer(), t) for x, t in zip(packed, (np.uint64, np.int32, np.uint16, np.int32), strict=True))
+                at = np.repeat(np.searchsorted(h, hashes) - begin, lengths)
+                on = (at >= 0) & (at < rows)
+                seen[at[on], context[on]] += counts[on]  # a word's contexts are distinct in a row
+            for i in range(0, rows, 4096):
+                part, x = seen[i : i + 4096].astype(float), slice(begin + i, begin + min(i + 4096, rows))
+                total[x] = part[:, :k].sum(1)
+                classes[x] = model.place(part[:, :k], part[:, k:])
+        return pa.Table.from_pydict({"bucket": [table.column("bucket")[0].as_py()], "hashes": [h.tobytes()], "counts": [total.tobytes()], "classes": [classes.tobytes()]})
+
+    packed = tokenized.select("held", "flat", "bounds", "hashes").mapInArrow(contexts, "bucket bigint, hashes binary, lengths binary, contexts binary, counts binary")
+    return materialize(packed.groupBy("bucket").applyInArrow(place, "bucket bigint, hashes binary, counts binary, classes binary"), "words")
+
+
+def head_words(placed: DataFrame, model: Model, head: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes (sorted), counts and classes of the clustered words and of each bucket's most counted; adds all placed words to the model."""
+    n, k = partitions(placed.sparkSession), model.classes
+
+    def top(batches):
+        for batch in batches:
+            for h, c, own in zip(*(batch.column(x).to_pylist() for x in ("hashes", "counts", "classes")), strict=True):
+                h, c, own = np.frombuffer(h, np.uint64), np.frombuffer(c, np.int64), np.frombuffer(own, np.int16)
+                first = np.lexsort((h, -c))[: max(1, head // n)]
+                yield pa.RecordBatch.from_pydict({"hashes": [h[first].tobytes()], "counts": [c[first].tobytes()], "classes": [own[first].tobytes()], "size": [np.bincount(own, c, k).tobytes()], "kinds": [np.bincount(own, minlength=k).tobytes()]})
+
+    size, kinds = np.zeros(k), np.zeros(k, np.int64)
+    h, c, own = [model.words], [model.counts], [model.own[:-1].astype(np.int16)]
+    for r in placed.select("hashes", "counts", "classes").mapInArrow(top, "hashes binary, counts binary, classes binary, size binary, kinds binary").toLocalIterator():
+        h.append(np.frombuffer(r.hashes, np.uint64))
+        c.append(np.frombuffer(r.counts, np.int64))
+        own.append(np.frombuffer(r.classes, np.int16))
+        size += np.frombuffer(r["size"])
+        kinds += np.frombuffer(r.kinds, np.int64)
+    model.add(size, kinds)
+    h, c, own = map(np.concatenate, (h, c, own))
+    order = np.argsort(h)
+    return h[order], c[order], own[order]
+
+
+def class_sequences(tokenized: DataFrame, placed: DataFrame, model: Model, known: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
+    """Of each text its tokens, known tokens, base score, score without transitions, and its tokens' classes."""
+    n, k, inside, base = partitions(tokenized.sparkSession), model.classes, model.inside, model.base
+    head, head_counts, head_classes = known
+
+    def ask(batches):
+        for batch in batches:
+            for shard, h in zip(batch.column("shard").to_pylist(), batch.column("hashes").to_pylist(), strict=True):
+                h = np.frombuffer(h, np.uint64)
+                h = h[look_up(head, h) < 0]
+                order, parts = _by_bucket(h, n)
+                h = h[order]
+                if parts:
+                    yield pa.RecordBatch.from_pydict({"bucket": [b for b, _ in parts], "shard": [shard] * len(parts), "asked": [h[x].tobytes() for _, x in parts]})
+
+    def answer(asked: pa.Table, words: pa.Table) -> pa.Table:
+        h, c, own = (np.frombuffer(words.column(x)[0].as_py() if len(words) else b"", t) for x, t in (("hashes", np.uint64), ("counts", np.int64), ("classes", np.int16)))
+        out = {"shard": asked.column("shard").to_pylist(), "bucket": asked.column("bucket").to_pylist(), "counts": [], "classes": []}
+        for x in asked.column("asked").to_pylist():
+            at = look_up(h, np.frombuffer(x, np.uint64))
+            out["counts"].append((np.where(at < 0, 0, c[at]) if len(h) else np.zeros(len(at), np.int64)).tobytes())
+            out["classes"].append((np.where(at < 0, k, own[at]) if len(h) else np.full(len(at), k)).astype(np.int16).tobytes())
+        return pa.Table.from_pydict(out, schema=pa.schema([("shard", pa.int64()), ("bucket", pa.int64()), ("counts", pa.binary()), ("classes", pa.binary())]))
+
+    def sequences(shard: pa.Table, answers: pa.Table) -> pa.Table:
+        row = shard.slice(0, 1).to_pylist()[0]
+        flat, bounds, h = np.frombuffer(row["flat"], np.int32), np.frombuffer(row["bounds"], np.int64), np.frombuffer(row["hashes"], np.uint64)
+        at = look_up(head, h)
+        count, own = (np.where(at < 0, 0, x[at]) if len(head) else np.zeros(len(h), x.dtype) for x in (head_counts, head_classes))
+        rest = np.flatnonzero(at < 0)
+        if len(rest):
+            rest = rest[_by_bucket(h[rest], n)[0]]
+            answers = answers.sort_by("bucket")
+            count[rest] = np.frombuffer(b"".join(answers.column("counts").to_pylist()), np.int64)
+            own[rest] = np.frombuffer(b"".join(answers.column("classes").to_pylist()), np.int16)
+        log_count = np.log10(count + 0.5)
+        emit, size, own = log_count - inside[own], np.diff(bounds), own.astype(np.int16)[flat]
+        return pa.Table.from_pydict({
+            "doc_id": row["doc_id"], "held_out": row["held"], "n_tokens": size, "n_known": segment_sums((count > 0)[flat].astype(np.int64), bounds), "base_score": segment_sums(log_count[flat], bounds) - size * base,
+            "score": segment_sums(emit[flat], bounds), "classes": [own[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)],
+        }, schema=_SCORED)
+
+    asked = tokenized.select("shard", "hashes").mapInArrow(ask, "bucket bigint, shard bigint, asked binary")
+    answers = asked.groupBy("bucket").cogroup(placed.groupBy("bucket")).applyInArrow(lambda a, w: answer(a, w), "shard bigint, bucket bigint, counts binary, classes binary")
+    schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, classes binary"
+    return materialize(tokenized.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(lambda t, a: sequences(t, a), schema), "classes")
+
+
+_SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("classes", pa.binary())])
+
+
+def _classes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes of all texts in a row, the class before each (the end's before a text's first), bounds of texts."""
+    rows = column.to_pylist()
+    bounds = np.concatenate([[0], np.cumsum([len(x) // 2 for x in rows])]).astype(np.int64)
+    own = np.frombuffer(b"".join(rows), np.int16).astype(np.int64)
+    before = np.empty_like(own)
+    before[1:] = own[:-1]
+    before[bounds[:-1]] = own[bounds[1:] - 1]
+    return own, before, bounds
+
+
+def class_pairs(texts: DataFrame, k: int) -> np.ndarray:
+    """Counts of (class before, class) over texts (classes)."""
+
+    def count(batches):
+        yield from _cells((before * k + own for own, before, _ in (_classes(b.column(0)) for b in batches if len(b))), k)
+
+    return _table(texts.select("classes").mapInArrow(count, "part bigint, at binary, counts binary"), k)
+
+
+def score(documents: DataFrame, held_out, head: int = HEAD, clustered: int | None = None, classes: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of documents (doc_id, text).
 
-    held_out: a condition; rows that meet it aren't learnt from.
+    held_out: a condition; rows that meet it aren't learnt from.  clustered, classes: sizes() of the vocabulary by
+    default.
     """
-    docs = documents.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    training = docs.where(~F.col("held_out"))
-    n, v, hashes, counts = word_counts(training, head)
-    top = np.sort(np.lexsort((hashes, -counts))[:clustered])
-    words = hashes[top]
-    model = Model(n, v, hashes, counts, words, pair_counts(training, words), classes)
-    buckets = partitions(documents.sparkSession)
-
-    def first(batches):
-        task = TaskContext.get().partitionId()
-        for k, (part, texts) in enumerate(shards(batches, "text")):
-            size, known, base, got, doc, h = model.partial(texts)
-            none = len(texts)
-            held = np.array(part.column("held_out").to_pylist(), bool)
-            shard = (task << 32) + k
-            yield pa.RecordBatch.from_pydict({
-                "shard": [shard] * none, "row": np.arange(none), "bucket": pa.nulls(none, pa.int64()), "doc_id": part.column("doc_id"), "held_out": pa.array(held),
-                "n_tokens": size, "n_known": known, "base_score": base, "score": got, "hashes": pa.nulls(none, pa.binary()), "rows": pa.nulls(none, pa.binary()), "trained": pa.nulls(none, pa.binary()),
-            })
-            where = _bucket(h, buckets)
-            order = np.argsort(where, kind="stable")
-            ends = np.searchsorted(where[order], np.arange(buckets + 1))
-            h, doc = h[order], doc[order].astype(np.int32)
-            rows = [b for b in range(buckets) if ends[b] < ends[b + 1]]
-            none = len(rows)
-            yield pa.RecordBatch.from_pydict({
-                "shard": [shard] * none, "row": pa.nulls(none, pa.int64()), "bucket": rows, "doc_id": pa.nulls(none, pa.int64()), "held_out": pa.nulls(none, pa.bool_()),
-                "n_tokens": pa.nulls(none, pa.int64()), "n_known": pa.nulls(none, pa.int64()), "base_score": pa.nulls(none, pa.float64()), "score": pa.nulls(none, pa.float64()),
-                "hashes": [h[ends[b] : ends[b + 1]].tobytes() for b in rows], "rows": [doc[ends[b] : ends[b + 1]].tobytes() for b in rows], "trained": [np.packbits(~held[doc[ends[b] : ends[b + 1]]]).tobytes() for b in rows],
-            })
-
-    def tail(batches):
-        """All tokens of a hash are here: their training count, then sums by shard and row."""
-        held = []
-        for batch in batches:
-            held += zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
-        if not held:
-            return
-        h = [np.frombuffer(x[1], np.uint64) for x in held]
-        trained = np.concatenate([np.unpackbits(np.frombuffer(x[3], np.uint8), count=len(y)) for x, y in zip(held, h, strict=True)])
-        _, at = np.unique(np.concatenate(h), return_inverse=True)
-        count = np.bincount(at, trained)[at]
-        value, ends = np.log10(count + 0.5), np.cumsum([0, *map(len, h)])
-        for x, a, b in zip(held, ends[:-1], ends[1:], strict=True):
-            rows = np.frombuffer(x[2], np.int32)
-            yield pa.RecordBatch.from_pydict({"shard": [x[0]], "sums": [np.bincount(rows, value[a:b]).tobytes()], "known": [np.bincount(rows, count[a:b] > 0).astype(np.int32).tobytes()]})
-
-    def together(batches):
-        sums: dict[int, list[np.ndarray]] = {}
+    tokenized = token_shards(documents.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out")))
+    n, v, hashes, counts = word_counts(tokenized, head)
+    clustered, classes = clustered or sizes(v)[0], classes or sizes(v)[1]
+    words = hashes[np.sort(np.lexsort((hashes, -counts))[:clustered])]
+    model = Model(n, v, hashes, counts, words, pair_counts(tokenized, words), classes)
+    placed = placed_words(tokenized, model)
+    texts = class_sequences(tokenized, placed, model, head_words(placed, model, head))
+    release(tokenized)
+    release(placed)
+    model.settle(class_pairs(texts.where(~F.col("held_out")), classes + 1))
+    step = model.step
+
+    def steps(batches):
         for batch in batches:
-            for shard, s, k in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                s, k = np.frombuffer(s), np.frombuffer(k, np.int32)
-                old = sums.get(shard)
-                if old is None or len(old[0]) < len(s):
-                    new = [np.zeros(len(s)), np.zeros(len(s), np.int64)]
-                    if old is not None:
-                        new[0][: len(old[0])] += old[0]
-                        new[1][: len(old[1])] += old[1]
-                    sums[shard] = old = new
-                old[0][: len(s)] += s
-                old[1][: len(k)] += k
-        for shard, (s, k) in sums.items():
-            yield pa.RecordBatch.from_pydict({"shard": [shard] * len(s), "row": np.arange(len(s)), "tail": s, "tail_known": k})
-
-    schema = "shard bigint, row bigint, bucket bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, hashes binary, rows binary, trained binary"
-    parts = materialize(docs.mapInArrow(first, schema), "scored")  # rows keep their numbers from here on
-    sums = parts.where("bucket is not null").select("shard", "hashes", "rows", "trained", "bucket").repartition("bucket").mapInArrow(tail, "shard bigint, sums binary, known binary")
-    sums = sums.repartition("shard").mapInArrow(together, "shard bigint, row bigint, tail double, tail_known bigint")
-    rows = parts.where("row is not null").select("shard", "row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")
-    add = lambda a, b: (F.col(a) + F.coalesce(F.col(b), F.lit(0))).alias(a)
-    return rows.join(sums, ["shard", "row"], "left").select("doc_id", "held_out", "n_tokens", add("n_known", "tail_known"), F.lit(n).cast("long").alias("train_tokens"), add("base_score", "tail"), add("score", "tail"))
+            if len(batch):
+                own, before, bounds = _classes(batch.column("classes"))
+                total = np.asarray(batch.column("score")) + segment_sums(step[before, own], bounds)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(total)], names=[*batch.schema.names[:5], "score"])
+
+    scored = texts.mapInArrow(steps, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op10_brown_lm(spark, sf_dir: str) -> DataFrame:

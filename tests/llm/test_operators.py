@@ -310,6 +310,34 @@ def test_brown_is_a_distribution():
         assert abs(total - 1) < 1e-6
 
 
+def test_brown_places_words_outside_the_clustered(spark):
+    r = random.Random(0)
+    pairs = [("a", f"x{i}", "b") for i in range(40)] + [("c", f"y{i}", "d") for i in range(40)]
+    often = [("a", "X", "b"), ("c", "Y", "d")]
+    texts = [" ".join(w for i in range(6) for w in (often[k % 2] if i % 2 else r.choice(pairs[:40] if k % 2 == 0 else pairs[40:]))) for k in range(600)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000, "a x1 b"), (1001, "a y1 b"), (1002, "c y1 d"), (1003, "c x1 d"), (1004, "never b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    tokenized = brown.token_shards(df.withColumn("held_out", mixing.F.col("doc_id") >= 1000))
+    n, v, h, c = brown.word_counts(tokenized)
+    words = np.sort(h[np.lexsort((h, -c))[:7]])
+    model = brown.Model(n, v, h, c, words, brown.pair_counts(tokenized, words), 7)
+    placed = brown.placed_words(tokenized, model)
+    head = brown.head_words(placed, model, 1000)
+    assert len(head[0]) == v and head[1].sum() == n and model.kinds.sum() == v and model.size.sum() == n and (head[2] < 7).all()
+    of = dict(zip(head[0].tolist(), head[2].tolist()))
+    kind = lambda p: {of[x] for i in range(40) if (x := xxhash.xxh3_64_intdigest(f"{p}{i}")) in of}
+    assert len(kind("x")) == len(kind("y")) == 1 and kind("x") != kind("y")
+    texts = brown.class_sequences(tokenized, placed, model, head)
+    model.settle(brown.class_pairs(texts.where("not held_out"), 8))
+    for before in range(7):
+        emitted = sum(10 ** (model.step[before, k] + np.log10(n + 0.5) - model.inside[k]) for n, k in zip(*head[1:])) + 10 ** model.step[before, 7]
+        assert abs(emitted - 1) < 1e-6
+    for few in (12, 1000):  # with and without words that are asked for by hash
+        got = {x.doc_id: x for x in brown.score(df, mixing.F.col("doc_id") >= 1000, head=few, clustered=7, classes=7).collect()}
+        assert got[1000].score > got[1001].score + 1 and got[1002].score > got[1003].score + 1 and got[1004].n_known == 2
+    assert all(a < b for a, b in zip(brown.sizes(10**6), brown.sizes(10**7)))
+
+
 def test_pipeline_on_odd_rows(spark, docs, tmp_path):
     import corpus_pipeline
 
