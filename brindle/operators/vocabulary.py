@@ -42,9 +42,25 @@ def ranking(entries: DataFrame) -> DataFrame:
 
 
 def usage(texts: DataFrame, terms: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(term, uses): texts that hold each one-word term, by an equi-join on the texts' distinct words, not a cross join."""
-    words = texts.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("_w"))
-    return words.join(terms.select("term", F.lower("term").alias("_w")), "_w").groupBy("term").agg(F.count("*").alias("uses"))
+    """(term, uses): rows of texts that hold each term bounded by non-letters and non-digits; 0 where none does.
+
+    Not a cross join: texts meet terms by an equi-join of their distinct words on the term's rarest (on symbols, if it
+    has no word); then the whole term is looked for in the text.  The terms are broadcast, so that texts stay in place.
+    """
+    parts = lambda c, p: F.array_distinct(F.regexp_extract_all(c, F.lit(p), F.lit(0)))
+    word, symbol = r"[\p{L}\p{N}]+", r"[^\p{L}\p{N}]"
+    low = texts.select(F.lower(text).alias("_text"))
+    words = low.select("_text", F.explode(parts(F.col("_text"), f"{word}|{symbol}")).alias("_w"))
+    named = terms.where("term is not null").select("term", F.lower("term").alias("_low")).distinct()
+    named = named.withColumn("_parts", F.when(F.col("_low").rlike(word), parts(F.col("_low"), word)).otherwise(parts(F.col("_low"), symbol)))
+    wanted = named.select("term", "_low", F.explode("_parts").alias("_w"))
+    several = named.where(F.size("_parts") > 1).select(F.explode("_parts").alias("_w")).distinct()
+    held = words.select("_w").join(F.broadcast(several), "_w").groupBy("_w").agg(F.count("*").alias("_texts"))
+    rarest = first_by(wanted.join(held, "_w", "left"), ["term"], [F.coalesce("_texts", F.lit(0)), "_w"])
+    quoted = F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), F.replace("_low", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![\p{L}\p{N}])"))
+    met = words.join(F.broadcast(rarest.select("term", "_low", "_w", quoted.alias("_pattern"))), "_w")
+    uses = met.where((F.col("_low") == F.col("_w")) | F.regexp_like("_text", F.col("_pattern"))).groupBy("term").agg(F.count("*").alias("uses"))
+    return named.select("term").join(uses, "term", "left").select("term", F.coalesce("uses", F.lit(0)).alias("uses"))
 
 
 def macro_lookup(texts: DataFrame, macros: DataFrame, text: str = "text") -> DataFrame:

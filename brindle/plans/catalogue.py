@@ -162,7 +162,19 @@ def _entries(spark):
 @query(rf"""SELECT term, count(*) AS uses FROM (VALUES {_TERM_SQL}) t(term, starred, usage) JOIN documents
   ON list_contains(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'), lower(term)) GROUP BY term""")
 def usage_count(spark, d):
-    return vocabulary.usage(_docs(spark, d), _entries(spark), "doc_id")
+    return vocabulary.usage(_docs(spark, d), _entries(spark), "doc_id").where("uses > 0")  # the SQL lists used terms
+
+
+_PHRASES = ["New York", "foo-bar", "v1.2", "O'Brien", "C++", "never used", "++", "a.b"]
+_PHRASE_SQL = ", ".join("('" + t.replace("'", "''") + "')" for t in _PHRASES)
+_PHRASED = "text || CASE doc_id % 5 WHEN 0 THEN ' New York, foo-bar (v1.2)' WHEN 1 THEN ' o''brien: foo-barn new  york xv1.2 axb' WHEN 2 THEN ' NEW YORKER new york. C++' WHEN 3 THEN ' v1.23 foo_foo-bar_' ELSE '' END"
+
+
+@query(rf"""SELECT term, count(given) AS uses FROM (VALUES {_PHRASE_SQL}) t(term) LEFT JOIN (SELECT {_PHRASED} AS given FROM documents)
+  ON regexp_matches(lower(given), '(^|[^\p{{L}}\p{{N}}])' || regexp_escape(lower(term)) || '($|[^\p{{L}}\p{{N}}])') GROUP BY term""")
+def usage_phrases(spark, d):
+    texts = _docs(spark, d).withColumn("text", F.expr(_PHRASED.replace("o''brien", r"o\'brien")))
+    return vocabulary.usage(texts, spark.createDataFrame([(t,) for t in _PHRASES], "term string"), "doc_id")
 
 
 @query(f"SELECT term, row_number() OVER (ORDER BY starred DESC, usage DESC, lower(term))::INT AS rank FROM (VALUES {_TERM_SQL}) t(term, starred, usage)")
