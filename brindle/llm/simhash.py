@@ -127,28 +127,28 @@ def cell_links(keys: np.ndarray, f: np.ndarray, bits: int = BITS, crowd: int = C
 
 
 def links(distinct: DataFrame) -> DataFrame:
-    """Edges (a, b) between the representatives of distinct fingerprints (fingerprint, rep)."""
+    """Edges (a, b) between distinct fingerprints (fingerprint)."""
     half = F.shiftrightunsigned("fingerprint", 1)
     odd = F.lit(0x5555555555555555)
     counts = F.shiftleft(half.bitwiseAND(F.col("fingerprint")).bitwiseAND(odd), 1).bitwiseOR(half.bitwiseXOR(F.col("fingerprint")).bitwiseAND(odd))
     axes = [F.shiftrightunsigned("e", 16 * i).bitwiseAND(F.lit(65535)) for i in range(4)]
     pairs = [(i, j) for i in range(4) for j in range(i + 1, 4)]
     cells = F.array(*[F.shiftleft(F.lit(k).cast("long"), 32).bitwiseOR(F.shiftleft(axes[i], 16)).bitwiseOR(axes[j]) for k, (i, j) in enumerate(pairs)])
-    rows = distinct.where("rep is not null").withColumn("e", counts).select(F.explode(cells).alias("cell"), "fingerprint", "rep")
+    rows = distinct.withColumn("e", counts).select(F.explode(cells).alias("cell"), "fingerprint")
 
     def run(batches):
         kept: list[pa.RecordBatch] = []
 
         def flush(table: pa.Table):
-            cell, f, rep = (table.column(c).to_numpy() for c in ("cell", "fingerprint", "rep"))
+            cell, f = (table.column(c).to_numpy() for c in ("cell", "fingerprint"))
             a, b = cell_links(cell, f.view(np.uint64))
             if len(a):
                 used, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
                 root = _roots(len(used), flat[: len(a)], flat[len(a) :])
-                least = rep[used].copy()
-                np.minimum.at(least, root, rep[used])
-                out = np.flatnonzero(least[root] != rep[used])
-                yield pa.RecordBatch.from_pydict({"a": rep[used][out], "b": least[root][out]})
+                least = f[used].copy()
+                np.minimum.at(least, root, f[used])
+                out = np.flatnonzero(least[root] != f[used])
+                yield pa.RecordBatch.from_pydict({"a": f[used][out], "b": least[root][out]})
 
         for batch in batches:  # rows are sorted by cell: the last cell of a batch may go on in the next
             if not batch.num_rows:
@@ -174,7 +174,8 @@ def simhash_components(documents: DataFrame) -> DataFrame:
     prints = materialize(fingerprints(documents), "fingerprints")
     distinct = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"))
     joined = connected_components(links(distinct))
-    names = distinct.join(joined, distinct.rep == joined.node, "left").select("fingerprint", F.coalesce("component", "rep").alias("component_id"))
+    rooted = distinct.join(joined, distinct.fingerprint == joined.node, "left").select("fingerprint", "rep", F.coalesce("component", "fingerprint").alias("root"))
+    names = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("fingerprint", "component_id")
     return prints.join(names, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 

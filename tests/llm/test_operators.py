@@ -193,6 +193,14 @@ def test_simhash(docs, rows):
     assert simhash.simhash_components(docs.limit(0)).count() == 0
 
 
+def test_simhash_links_through_rows_without_id(spark, monkeypatch):
+    prints = [(None, 0b0011), (7, 0b0000), (4, 0b1111), (None, 1 << 40), (9, 1 << 40 | 1), (4, 0x7FFF << 45), (None, 0x7F7F << 20)]
+    df = spark.createDataFrame(prints, "doc_id long, fingerprint long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda d: d)
+    got = sorted(((r.doc_id, r.fingerprint, r.component_id) for r in simhash.simhash_components(df).collect()), key=str)
+    assert got == sorted([(d, f, c) for (d, f), c in zip(prints, [4, 4, 4, 4, 4, 4, None])], key=str)
+
+
 def test_crowded_cells_keep_all_components():
     r = np.random.default_rng(5)
     f = np.unique(np.concatenate([np.uint64(x) ^ (np.uint64(1) << r.integers(0, 8, 120, np.uint64)) ^ (np.uint64(1) << r.integers(0, 60, 120, np.uint64)) for x in (0, 2**40 - 1, 12345)]))
