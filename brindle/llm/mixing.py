@@ -11,7 +11,8 @@ cover them, never more than `most` times.  Running sums are per shard, of about
 that holds a third of all rows is split like any other; no single task sees all documents.
 
 All of it is DataFrame expressions.  Nulls and odd rows: a null text has size 0; null sources form one
-source; documents of one doc_id are ordered by their text; an empty table gives no row.
+source; documents of one doc_id, or of none, are dealt to shards and ordered by doc_id and the hash of their text;
+equal rows are counted before they are dealt and get their words one after another; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -65,32 +66,49 @@ def apportion(parties: DataFrame, group: list[str], votes: str, seats: str, tie:
     return won.groupBy(*keys).agg((F.max("_sure") + F.sum("_won")).cast("long").alias("quota"))
 
 
-def mix(documents: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK, seed: int = SEED, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """doc_id, text_key, source, size, source_size, target, taken for each row of documents (doc_id, text, source)."""
+def quotas(documents: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK, seed: int = SEED, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """doc_id, source, text_key, size, copies, source_size, target, rounds, rest, begin of each distinct document.
+
+    Equal rows (doc_id, source, text) are one row with their number, so that they can't fill a shard; taken() has
+    the words of each copy.
+    """
     size = F.coalesce(F.regexp_count("text", F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
-    sized = materialize(documents.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id", F.lit(seed)).alias("place"), F.xxhash64("text").alias("text_key")), "sizes")
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
+    sized = documents.select("doc_id", "source", F.xxhash64("text").alias("text_key"), size.alias("size")).groupBy("doc_id", "source", "text_key", "size").agg(F.count("*").alias("copies"))
+    sized = materialize(sized.withColumn("place", F.xxhash64("doc_id", "text_key", F.lit(seed))), "sizes")
+    words = F.col("size") * F.col("copies")
+    sources = sized.groupBy("source").agg(F.sum(words).alias("source_size"), F.count("*").alias("rows"))
     aimed = targets(sources.select("source", "source_size"), weights, share, most)
     blocks = F.round(F.sum("target").over(Window.partitionBy(F.lit(0))) / block).cast("long")
-    quotas = apportion(aimed.withColumn("blocks", blocks), [], "target", "blocks", [F.col("source").asc_nulls_last()]).drop("blocks")
-    quotas = quotas.join(sources.select(F.col("source").alias("s"), F.greatest(F.ceil(F.col("rows") / shard_rows), F.lit(1)).alias("shards")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    quotas = materialize(quotas.withColumnRenamed("quota", "source_blocks"), "quotas")
+    dealt = apportion(aimed.withColumn("blocks", blocks), [], "target", "blocks", [F.col("source").asc_nulls_last()]).drop("blocks")
+    dealt = dealt.join(sources.select(F.col("source").alias("s"), F.greatest(F.ceil(F.col("rows") / shard_rows), F.lit(1)).alias("shards")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    dealt = materialize(dealt.withColumnRenamed("quota", "source_blocks"), "quotas")
 
-    placed = sized.join(quotas.select(F.col("source").alias("s"), "shards"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    placed = sized.join(dealt.select(F.col("source").alias("s"), "shards"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     placed = placed.withColumn("shard", F.pmod(F.xxhash64("place"), F.col("shards")))
-    shards = placed.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"))
-    q, s = quotas.alias("q"), shards.alias("s")
+    shards = placed.groupBy("source", "shard").agg(F.sum(words).alias("shard_size"))
+    q, s = dealt.alias("q"), shards.alias("s")
     shards = s.join(q, F.col("s.source").eqNullSafe(F.col("q.source"))).select("s.source", "s.shard", "s.shard_size", "q.source_size", "q.target", "q.source_blocks")
     shards = apportion(shards, ["source"], "shard_size", "source_blocks", [F.col("shard")])
 
     p, s = placed.alias("p"), shards.alias("s")
-    rows = p.join(s, F.col("p.source").eqNullSafe(F.col("s.source")) & (F.col("p.shard") == F.col("s.shard"))).select("p.doc_id", "p.source", "p.size", "p.place", "p.text_key", "p.shard", "s.shard_size", "s.source_size", "s.target", "s.quota")
-    before = Window.partitionBy("source", "shard").orderBy("place", "doc_id", "text_key", "size").rowsBetween(Window.unboundedPreceding, -1)
-    words = F.least(F.col("quota") * block, F.col("shard_size") * most)
-    rounds = F.when(F.col("shard_size") > 0, F.floor(words / F.col("shard_size"))).otherwise(0).cast("long")
-    rows = rows.withColumns({"rounds": rounds, "rest": words - rounds * F.col("shard_size"), "begin": F.coalesce(F.sum("size").over(before), F.lit(0))})
-    taken = F.col("rounds") * F.col("size") + F.greatest(F.least(F.col("rest") - F.col("begin"), "size"), F.lit(0))
-    return rows.select("doc_id", "text_key", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    rows = p.join(s, F.col("p.source").eqNullSafe(F.col("s.source")) & (F.col("p.shard") == F.col("s.shard"))).select("p.*", "s.shard_size", "s.source_size", "s.target", "s.quota")
+    before = Window.partitionBy("source", "shard").orderBy("place", "doc_id", "text_key").rowsBetween(Window.unboundedPreceding, -1)
+    to_take = F.least(F.col("quota") * block, F.col("shard_size") * most)
+    rounds = F.when(F.col("shard_size") > 0, F.floor(to_take / F.col("shard_size"))).otherwise(0).cast("long")
+    rows = rows.withColumns({"rounds": rounds, "rest": to_take - rounds * F.col("shard_size"), "begin": F.coalesce(F.sum(words).over(before), F.lit(0))})
+    return rows.select("doc_id", "source", "text_key", "size", "copies", "source_size", "target", "rounds", "rest", "begin")
+
+
+def taken(copy: Column) -> Column:
+    """Words that the mix takes of a copy (from 0) of a row of quotas()."""
+    left = F.col("rest") - F.col("begin") - copy * F.col("size")
+    return (F.col("rounds") * F.col("size") + F.greatest(F.least(left, "size"), F.lit(0))).cast("long")
+
+
+def mix(documents: DataFrame, **settings) -> DataFrame:
+    """doc_id, text_key, source, size, source_size, target, taken for each row of documents (doc_id, text, source)."""
+    rows = quotas(documents, **settings).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    return rows.select("doc_id", "text_key", "source", "size", "source_size", "target", taken(F.col("copy")).alias("taken"))
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

@@ -87,16 +87,51 @@ def test_mixing(docs, rows):
         free = {s: w for s, w in free.items() if s not in over}
     assert all(abs(want[s] - target[s]) < 1e-6 and abs(taken[s] - want[s]) <= 16 for s in size), (want, taken)
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(5)).collect()))
+    for shard_rows in (2000, 7):  # each row's words by a plain version; only the hashes come from Spark
+        assert sorted(map(str, plain_mix(docs, want, shard_rows))) == sorted(str((r.doc_id, r.size, r.source, r.taken)) for r in mixing.mix(docs, shard_rows=shard_rows).collect())
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def sainte_lague(votes, seats):
+    """Seats of each party (votes, tie-break), one after another to the highest quotient."""
+    won = [0] * len(votes)
+    for _ in range(seats):
+        won[max(range(len(votes)), key=lambda i: (votes[i][0] / (2 * won[i] + 1), [-x for x in votes[i][1]]))] += 1
+    return won
+
+
+def plain_mix(docs, target, shard_rows, block=8, most=2):
+    sized = docs.select("doc_id", "source", "text", mixing.F.xxhash64("text").alias("k")).withColumn("place", mixing.F.xxhash64("doc_id", "k", mixing.F.lit(mixing.SEED)))
+    rows = [(r.doc_id, r.source, len(spaced(r.text)), r.place, r.k, r.h) for r in sized.withColumn("h", mixing.F.xxhash64("place")).collect()]
+    names = sorted(target, key=lambda s: (s is None, (s or "").encode()))
+    blocks = sainte_lague([(target[s], (i,)) for i, s in enumerate(names)], round(sum(target.values()) / block))
+    out = []
+    for s, own_blocks in zip(names, blocks):
+        own = [r for r in rows if r[1] == s]
+        shards = max(1, -(-len({(r[0], r[4]) for r in own}) // shard_rows))
+        parts = collections.defaultdict(list)
+        for r in own:
+            parts[r[5] % shards].append(r)
+        keys = sorted(parts)
+        for k, quota in zip(keys, sainte_lague([(sum(r[2] for r in parts[k]), (k,)) for k in keys], own_blocks)):
+            all_words = sum(r[2] for r in parts[k])
+            words = min(quota * block, most * all_words)
+            took = collections.Counter()
+            order = sorted(range(len(parts[k])), key=lambda i: (parts[k][i][3], i))
+            while words and all_words:
+                for i in order:
+                    some = min(words, parts[k][i][2])
+                    took[i] += some
+                    words -= some
+            out += [(r[0], r[2], s, took[i]) for i, r in enumerate(parts[k])]
+    return out
+
+
 def test_sainte_lague(spark):
     r = random.Random(1)
     for _ in range(4):
         votes, seats = [r.choice([0, 1, 5, 50, 1000]) + i / 100 for i in range(1, r.randint(2, 9))], r.randint(0, 60)
-        won = [0] * len(votes)
-        for _ in range(seats):
-            won[max(range(len(votes)), key=lambda i: (votes[i] / (2 * won[i] + 1), -i))] += 1
+        won = sainte_lague([(v, (i,)) for i, v in enumerate(votes)], seats)
         parties = spark.createDataFrame([(i, v, seats) for i, v in enumerate(votes)], "i int, votes double, seats long")
         got = mixing.apportion(parties, [], "votes", "seats", [mixing.F.col("i")])
         assert [x.quota for x in got.orderBy("i").collect()] == won
@@ -195,22 +230,44 @@ def test_simhash(docs, rows):
 
 def test_simhash_links_through_rows_without_id(spark, monkeypatch):
     prints = [(None, 0b0011), (7, 0b0000), (4, 0b1111), (None, 1 << 40), (9, 1 << 40 | 1), (4, 0x7FFF << 45), (None, 0x7F7F << 20)]
-    df = spark.createDataFrame(prints, "doc_id long, fingerprint long")
-    monkeypatch.setattr(simhash, "fingerprints", lambda d: d)
+    df = spark.createDataFrame([(d, str(f)) for d, f in prints], "doc_id long, text string")
+    monkeypatch.setattr(simhash, "fingerprints", lambda d: d.select("doc_id", mixing.F.col("text").cast("long").alias("fingerprint")))
     got = sorted(((r.doc_id, r.fingerprint, r.component_id) for r in simhash.simhash_components(df).collect()), key=str)
     assert got == sorted([(d, f, c) for (d, f), c in zip(prints, [4, 4, 4, 4, 4, 4, None])], key=str)
 
 
-def test_crowded_cells_keep_all_components():
+def test_crowded_cells_keep_all_components(spark):
     r = np.random.default_rng(5)
     f = np.unique(np.concatenate([np.uint64(x) ^ (np.uint64(1) << r.integers(0, 8, 120, np.uint64)) ^ (np.uint64(1) << r.integers(0, 60, 120, np.uint64)) for x in (0, 2**40 - 1, 12345)]))
     keys = np.zeros(len(f), np.int64)
     ways = []
-    for crowd in (10**6, 4):
+    for crowd in (10**6, 4, 1):
         a, b = simhash.cell_links(keys, f, crowd=crowd)
         assert (np.bitwise_count(f[a] ^ f[b]) <= 2).all()
         ways.append(simhash._roots(len(f), a, b).tolist())
-    assert ways[0] == ways[1]
+    assert ways[0] == ways[1] == ways[2]
+    df = spark.createDataFrame([(x,) for x in f.view(np.int64).tolist()], "fingerprint long")
+    for split in (1 << 16, 5):
+        got = {x.node: x.component for x in simhash.connected_components(simhash.links(df, split)).collect()}
+        same = [got.get(x, x) for x in f.view(np.int64).tolist()]
+        assert len(set(zip(ways[0], same))) == len(set(ways[0])) == len(set(same))
+
+
+def test_manhattan_bound():
+    f = np.random.default_rng(1).integers(0, 2**63, (2, 500), np.uint64)
+    counts = lambda x: np.array([[(int(v) >> 2 * i & 1) + (int(v) >> 2 * i + 1 & 1) for i in range(32)] for v in x])
+    want = np.abs(counts(f[0]) - counts(f[1])).sum(1)
+    assert (simhash.manhattan(*map(simhash.embed, f)) == want).all() and (want <= np.bitwise_count(f[0] ^ f[1])).all()
+
+
+def test_one_of_each_group(spark):
+    long = " ".join(f"u{i}" for i in range(300))
+    rows = [(7, long), (3, long), (3, long), (3, "quite another text of three"), (None, long), (None, "alone without an id"), (None, "alone without an id"), (9, None), (8, ""), (9, "more")]
+    df = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, _x string").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in simhash.one_of_each(df).collect()), key=str)
+    assert got == sorted([(3, long), (3, "quite another text of three"), (None, "alone without an id"), (8, ""), (9, "more")], key=str)
+    named = simhash.simhash_components(df.withColumn("doc_id", mixing.F.concat(mixing.F.lit("d"), "doc_id")))
+    assert {r.component_id for r in named.collect() if r.doc_id == "d7"} == {"d3"}
 
 
 @pytest.mark.parametrize("match,crowd", [(100, 20000), (100, 2)])
