@@ -3,25 +3,28 @@
 Each stage takes (spark, docs, sf_dir) and returns the documents that go on, with the columns of documents;
 its result is written as Parquet and read again before the next.  The last stage adds size, source_size,
 target and taken, and keeps what the mix takes.
+
+Nulls and odd rows: doc_id is an integer; rows without doc_id, text or source go through every stage like others
+(a null text is empty, a null source one source); repeated rows are near copies of each other, so the second stage
+leaves one, and each of the other stages treats every row by itself; ties are settled by the hash of the text; an
+empty table gives no row; columns of the user's own pass unchanged whatever their names, but for those that the last
+stage's new columns name: they come back as `<name>__own`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
-from brindle.llm.common import materialize
+from brindle.llm.common import materialize, release, temporaries
 from brindle.llm.decontaminate import decontaminate
-from brindle.llm.mixing import mix
-from brindle.llm.simhash import simhash_components
+from brindle.llm.mixing import quotas, taken
+from brindle.llm.simhash import one_of_each
 from brindle.llm.suffix import suffix_dedup
 from brindle.llm.toxicity import held_out, toxicity, train
 
 
-def _columns(docs: DataFrame) -> list:
-    return [F.col(f"`{c}`") for c in docs.columns]
-
-
 def _apart(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
     """docs with columns of these names out of an operator's way, and the name each column now has."""
     now = {c: f"{c}__own" if c in names else c for c in docs.columns}
@@ -43,10 +46,8 @@ def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document of the smallest doc_id stays; rows without doc_id stay."""
-    first = simhash_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*_columns(docs)).unionAll(docs.where("doc_id is null").select(*_columns(docs)))
+    """Of each group of linked fingerprints one row stays: that of the smallest doc_id (rows without one last), then of the smallest text hash."""
+    return one_of_each(docs)
 
 
 def drop_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,12 +63,18 @@ def drop_benchmark(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which the mix takes words, with how many."""
-    docs = docs.drop("size", "source_size", "target", "taken", "text_key")
-    mixed = mix(docs).where("taken > 0").groupBy("doc_id", "text_key", "source").agg(*[F.max(c).alias(c) for c in ("size", "source_size", "target", "taken")])
-    keyed = docs.withColumn("text_key", F.xxhash64("text")).alias("d")
-    same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.text_key") == F.col("m.text_key")) & F.col("d.source").eqNullSafe(F.col("m.source"))
-    return keyed.join(mixed.alias("m"), same).select(*[F.col(f"d.`{c}`") for c in docs.columns], "m.size", "m.source_size", "m.target", "m.taken")
+    """Documents of which the mix takes words, with how many; each of several equal rows has its own number."""
+    new = ("size", "source_size", "target", "taken")
+    own, now = _apart(docs, (*new, "text_key"))
+    id_, text = F.col("doc_id"), F.xxhash64("text")
+    # keys without nulls, so that rows meet in plain equi-joins
+    key = lambda k: {"_id": F.coalesce(id_, F.lit(0).cast(docs.schema["doc_id"].dataType)), "_text": F.when(id_.isNull(), F.bitwise_not(k)).otherwise(k), "_source": F.xxhash64("source", F.col("source").isNull())}
+    dealt = quotas(own).withColumns(key(F.col("text_key"))).drop("doc_id", "source", "text_key")
+    others = [F.col(f"`{f.name}`") for f in own.schema.fields if isinstance(f.dataType, AtomicType) and f.name != "text"]
+    copy = F.row_number().over(Window.partitionBy("_id", "_text", "_source").orderBy(*others)) - 1
+    keyed = own.withColumns(key(text)).withColumn("_copy", copy.cast("long"))
+    found = keyed.join(dealt, ["_id", "_text", "_source"]).withColumn("taken", taken(F.col("_copy"))).where("taken > 0")
+    return found.select(*[F.col(f"`{now[c]}`") for c in docs.columns], *new)
 
 
 STAGES = [
@@ -80,9 +87,15 @@ STAGES = [
 
 
 def run(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The documents after all stages; of the scratch tables only the last stays."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with temporaries() as kept:
+            docs = materialize(stage(spark, docs, sf_dir), name)
+            kept.add(docs._scratch)
+        if before is not None:
+            release(before)
+        before = docs
     return docs
 
 
