@@ -403,16 +403,70 @@ def test_brown_places_words_outside_the_clustered(spark):
     assert all(a < b for a, b in zip(brown.sizes(10**6), brown.sizes(10**7)))
 
 
-def test_pipeline_on_odd_rows(spark, docs, tmp_path):
+@pytest.fixture(scope="module")
+def pipeline_dir(spark, docs, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("pipeline"))
+    spark.createDataFrame([(i, int(i % 9 == 0)) for i in range(60)], "doc_id long, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(1, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    docs.write.parquet(f"{path}/documents.parquet")
+    return path
+
+
+def test_pipeline_on_odd_rows(spark, docs, pipeline_dir):
     import corpus_pipeline
 
-    spark.createDataFrame([(i, int(i % 9 == 0)) for i in range(60)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    spark.createDataFrame([(1, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for start in (docs, docs.limit(0), docs.withColumn("score", mixing.F.lit("x")).withColumn("size", mixing.F.lit(1))):
         now = start
         for name, stage in corpus_pipeline.STAGES:
-            new = corpus_pipeline.materialize(stage(spark, now, str(tmp_path)), name)
+            new = corpus_pipeline.materialize(stage(spark, now, pipeline_dir), name)
             if name != "mixing":
                 assert new.columns == now.columns
             assert new.count() <= now.count()
             now = new
+    assert {"size__own", "size", "score"} <= set(now.columns)
+
+
+def test_pipeline_mixes_repeated_rows_once_each(spark, docs, rows, pipeline_dir):
+    import corpus_pipeline
+
+    got = sorted(((r.doc_id, r.text, r.source, r.taken) for r in corpus_pipeline.mix_sources(spark, docs, pipeline_dir).collect()), key=str)
+    key = mixing.F.xxhash64("text").alias("text_key")
+    names = {(r.doc_id, r.text_key, r.source): r.text for r in docs.select("doc_id", "source", "text", key).collect()}
+    assert got == sorted(((r.doc_id, names[r.doc_id, r.text_key, r.source], r.source, r.taken) for r in mixing.mix(docs).collect() if r.taken), key=str)
+
+
+def test_pipeline_equals_its_stages_by_plain_versions(spark, rows, pipeline_dir):
+    """Each stage's decision on its own input, worked out in plain Python from the stage's input rows."""
+    import os
+
+    import corpus_pipeline
+    from brindle.llm import common
+
+    now = spark.read.parquet(f"{pipeline_dir}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    model = toxicity.train(now, spark.read.parquet(f"{pipeline_dir}/labels.parquet").where(~toxicity.held_out()))
+    key = lambda r: (r.doc_id, r.text or "")
+    kept = stages["toxicity"](spark, now, pipeline_dir).collect()
+    assert sorted(map(key, kept), key=str) == sorted((key(r) for r in now.collect() if toxicity.score([(r.text or "").encode()], *model)[0] < 0.5), key=str)
+
+    given = [(d, t or "") for d, t, *_ in rows]
+    prints = [simhash.fingerprint(t.encode()) for _, t in given]
+    group = list(range(len(given)))
+    for i in range(len(given)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 2:
+                group = [group[j] if g == group[i] else g for g in group]
+    kept = [key(r) for r in stages["simhash_near_dedup"](spark, now, pipeline_dir).collect()]
+    assert len(kept) == len(set(group)) and {group[given.index(k)] for k in kept} == set(group)
+    least = {g: min((d is None, d or 0) for (d, _), h in zip(given, group) if h == g) for g in group}
+    assert all((d is None, d or 0) == least[group[given.index((d, t))]] for d, t in kept)
+
+    word = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(t))
+    windows = {tuple(f"w{i}" for i in range(k, k + 10)) for k in (1, 2)}
+    for r in stages["decontamination"](spark, now, pipeline_dir).collect():
+        left = word(r.text)
+        assert not any(tuple(left[k : k + 10]) in windows for k in range(len(left)))
+
+    left = set(common._made)
+    final = corpus_pipeline.run(spark, pipeline_dir)
+    assert final.count() and len(set(common._made) - left) == 1 and os.listdir(common.shared_dir(spark).removeprefix("file://"))
