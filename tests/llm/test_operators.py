@@ -149,7 +149,33 @@ def test_topk(spark):
             want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(own)]
     got = topk.top_k(df, df.where("vec_id % 50 = 0"), block=64).select("query_id", "rank", "vec_id", "score").collect()
     assert sorted(map(tuple, got)) == sorted(want)
-    assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
+    chunked = topk.top_k(df.withColumn("score", mixing.F.lit("x")), df.where("vec_id % 50 = 0").withColumn("q", mixing.F.lit(1)), chunk=8).collect()
+    assert sorted(map(tuple, chunked)) == sorted(want)
+    assert topk.top_k(df.limit(0), df.limit(0)).count() == 0 and topk.top_k(df, df.limit(0)).count() == 0
+
+
+def test_topk_scores_beyond_float64(spark):
+    big = 2.0**23
+    rows = [(0, [big, 1.0]), (1, [big, 0.0]), (2, [big, 5 / 256]), (3, [1.0, 1.0]), (50, [1.0, -1.0]), (4, [3e38, -3e38]), (100, [-3e38, 1.0]), (5, [big, 5 / 256]), (6, [-2.0, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    fine = {i: [math.floor(256 * x) for x in e] for i, e in rows}
+    cut = lambda x: min(max(x, -(2**63)), 2**63 - 1)
+    want = []
+    for q in (0, 50, 100):
+        own = sorted((-cut(sum(a * b for a, b in zip(fine[q], e))), i) for i, e in fine.items() if i != q)[:3]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(own)]
+    assert sorted(map(tuple, topk.top_k(df, df.where("vec_id % 50 = 0"), k=3, block=2).collect())) == sorted(want)
+
+
+def test_topk_skips_blocks_of_structured_vectors():
+    r = np.random.default_rng(2)
+    for vectors in (np.repeat(np.eye(16) * 256, 200, 0) + r.integers(-9, 9, (3200, 16)), (r.random((3200, 64)) < 0.03) * r.integers(1, 256, (3200, 64))):
+        vectors = r.permutation(vectors.astype(float))
+        best = topk.search(vectors[:40], np.arange(40), vectors, np.arange(3200), 5, 32)
+        assert best.visited < best.blocks / 2, best.visited / best.blocks
+        scores = (vectors[:40] @ vectors.T).astype(int)
+        for q in range(40):
+            assert list(zip(best.scores[q], best.ids[q])) == [(s, i) for s, i in sorted(((s, i) for i, s in enumerate(scores[q]) if i != q), key=lambda x: (-x[0], x[1]))[:5]]
 
 
 def test_decontamination(spark, docs, rows):
