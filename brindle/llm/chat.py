@@ -1,17 +1,20 @@
 r"""Chat formatting with a grammar round trip.
 
 A conversation is the sequence of its turns, each rendered as ``### role: text</turn>`` and a line end.
-The grammar has three control strings: ``</turn>`` and a line end, ``### `` and ``: ``.  A field is first rendered as it stands and parsed again;
-where that gives another field, or the field holds a control string, it is escaped: ``\`` as ``\\``,
-``</turn>`` as ``\e``, ``### `` as ``\h`` and, in roles, ``: `` as ``\c``.  An escaped field holds no control
-string, so the parser (split at the marks, then unescape) recovers it: escaping a second time is never needed.
-Each conversation is parsed again as a whole and compared with its source in round_trip.
+The grammar has three control strings: ``</turn>`` and a line end, ``### `` and ``: ``.  A field that holds one is
+escaped: ``\`` as ``\\``, ``</turn>`` as ``\e``, ``### `` as ``\h`` and, in roles, ``: `` as ``\c``.
+
+Round trip: a conversation is rendered, the text is parsed (split at the marks, then unescaped), and the recovered
+turns are compared with the source, turn by turn.  Turns that come back changed, such as texts that hold ``\e``
+themselves, are escaped, and the conversation is rendered, parsed and compared again.  An escaped field comes back by
+construction, so the second comparison must hold; if it does not, the query fails instead of returning a chat that
+reads back as another.
 
 All of it is DataFrame expressions.  A conversation is one training example and one row of the result; its
 turns are ordered by turn, then role, then text.
 
 Nulls and odd rows: null texts and roles are empty; a null conv_id is a conversation of its own; repeated
-turns are kept; an empty table gives no row.
+turns are kept; an empty table gives no row; other columns are left out.
 """
 
 from __future__ import annotations
@@ -39,10 +42,14 @@ def unescape(c: Column, role: bool = False) -> Column:
     return F.array_join(parts, "\\")
 
 
-def render_field(c: Column, role: bool = False) -> Column:
-    """The field as it stands if the parser gives it back, else escaped."""
-    plain = ~c.contains(END) & ~c.contains(HEAD) & (~c.contains(SEP) if role else F.lit(True)) & (unescape(c, role) == c)
-    return F.when(plain, c).otherwise(escape(c, role))
+def conflicts(c: Column, role: bool = False) -> Column:
+    """Whether the field holds a control string."""
+    return c.contains(END) | c.contains(HEAD) | (c.contains(SEP) if role else F.lit(False))
+
+
+def render(turn: Column) -> Column:
+    """The text of a turn (shown_role, shown)."""
+    return F.concat(F.lit(HEAD), turn.shown_role, F.lit(SEP), turn.shown, F.lit(MARK))
 
 
 def parse(formatted: Column) -> Column:
@@ -65,21 +72,30 @@ def format_conversations(turns: DataFrame, trained: str = "assistant") -> DataFr
     """
     field = lambda c: F.coalesce(F.col(c), F.lit(""))
     rows = turns.select("conv_id", F.struct("turn", field("role").alias("role"), field("text").alias("text")).alias("t"))
-    rows = rows.select("conv_id", F.struct(F.col("t.turn"), F.col("t.role"), F.col("t.text"), F.concat(F.lit(HEAD), render_field(F.col("t.role"), True), F.lit(SEP)).alias("head"), render_field(F.col("t.text")).alias("body")).alias("t"))
     conv = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("source"))
-    conv = conv.withColumn("formatted", F.array_join(F.transform("source", lambda t: F.concat(t.head, t.body, F.lit(MARK))), ""))
-    conv = conv.withColumn("turns", parse(F.col("formatted")))
+
+    def shown(t: Column, role: Column, text: Column) -> Column:
+        """The turn with its fields as they are shown: escaped where role and text say so."""
+        return F.struct(t.role.alias("role"), t.text.alias("text"), F.when(role, escape(t.role, True)).otherwise(t.role).alias("shown_role"), F.when(text, escape(t.text)).otherwise(t.text).alias("shown"))
+
+    first = conv.select("conv_id", F.transform("source", lambda t: shown(t, conflicts(t.role, True), conflicts(t.text))).alias("source"))
+    first = first.withColumn("turns", parse(F.array_join(F.transform("source", render), "")))
+    again = F.transform("source", lambda t, i: F.struct(t.alias("t"), F.get("turns", i).alias("back")))
+    escaped = F.transform(again, lambda x: shown(x.t, ~x.back.role.eqNullSafe(x.t.role) | (x.t.shown_role != x.t.role), ~x.back.text.eqNullSafe(x.t.text) | (x.t.shown != x.t.text)))
+    second = first.select("conv_id", escaped.alias("source"))
+    second = second.withColumn("formatted", F.array_join(F.transform("source", render), "")).withColumn("turns", parse(F.col("formatted")))
+    same = F.transform("turns", lambda t: F.struct(t.role, t.text)) == F.transform("source", lambda t: F.struct(t.role, t.text))
     sizes = F.aggregate(
         "source",
         F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<begin:bigint,end:bigint>>").alias("spans")),
         lambda a, t: F.struct(
-            (a.at + F.length(t.head) + F.length(t.body) + len(MARK)).alias("at"),
-            F.when(t.role == trained, F.array_append(a.spans, F.struct((a.at + F.length(t.head)).alias("begin"), (a.at + F.length(t.head) + F.length(t.body)).alias("end")))).otherwise(a.spans).alias("spans"),
+            (a.at + F.length(render(t))).alias("at"),
+            F.when(t.role == trained, F.array_append(a.spans, F.struct((a.at + F.length(render(t)) - len(MARK) - F.length(t.shown)).alias("begin"), (a.at + F.length(render(t)) - len(MARK)).alias("end")))).otherwise(a.spans).alias("spans"),
         ),
         lambda a: a.spans,
     )
-    same = F.transform("turns", lambda t: F.struct(t.role, t.text)) == F.transform("source", lambda t: F.struct(t.role, t.text))
-    return conv.select("conv_id", "formatted", "turns", sizes.alias("loss_spans"), same.alias("round_trip"))
+    held = F.when(same, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("a chat does not read back as its source: "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")))).cast("boolean"))
+    return second.select("conv_id", "formatted", "turns", sizes.alias("loss_spans"), held.alias("round_trip"))
 
 
 def op2_chat_format(spark, sf_dir: str) -> DataFrame:
