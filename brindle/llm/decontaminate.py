@@ -3,7 +3,8 @@
 A shard (about 8 MB of text) is turned into word ids of the benchmark's vocabulary.  A window can only lie in
 a run of words in which every adjacent pair is a pair of the benchmark, so only runs that are as long as the
 shortest window enter the index; this drops no occurrence.  The index: suffix array by prefix doubling, its
-Burrows-Wheeler transform in a wavelet matrix with ranks, and every eighth text position as a sample.  All
+Burrows-Wheeler transform in a wavelet matrix with a rank for every 64 bits, and every eighth text position as a
+sample.  All
 windows are searched at once, last word first; the rows that remain walk to the next sample for their place.
 Hit words merge into maximal spans.
 
@@ -36,8 +37,32 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split()
 
 
+class Bits:
+    """Bits with ranks: 64 in a word, and one count of ones for each word."""
+
+    def __init__(self, bits: np.ndarray):
+        packed = np.zeros(len(bits) // 64 * 8 + 8, np.uint8)
+        packed[: -(-len(bits) // 8)] = np.packbits(bits, bitorder="little")
+        self.words = packed.view("<u8").astype(np.uint64)
+        self.before = np.zeros(len(self.words), np.int32)
+        np.cumsum(np.bitwise_count(self.words[:-1]), out=self.before[1:])
+
+    def rank(self, i: np.ndarray) -> np.ndarray:
+        """Ones before each place."""
+        w = i >> 6
+        mask = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
+        return self.before[w] + np.bitwise_count(self.words[w] & mask)
+
+    def __getitem__(self, i: np.ndarray) -> np.ndarray:
+        return (self.words[i >> 6] >> (i & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
 class Index:
-    """FM-index of a sequence of ids from 1 to sigma - 1; 0 is kept for the end."""
+    """FM-index of a sequence of ids from 1 to sigma - 1; 0 is kept for the end.
+
+    It holds the transform as a wavelet matrix of ranked bits, the first row of each id, which rows have a sampled
+    text position (every sample-th), and those positions; neither the suffix array nor the sequence.
+    """
 
     def __init__(self, sequence: np.ndarray, sigma: int, sample: int = SAMPLE):
         s = np.append(sequence, 0).astype(np.int64)
@@ -53,36 +78,32 @@ class Index:
             rank, k = new, 2 * k
             if k >= n or rank[order[-1]] == n - 1:
                 break
-        self.order = order
-        last = s[order - 1]
+        sampled = order % sample == 0
+        self.sampled, self.places = Bits(sampled), order[sampled]
         self.first = np.zeros(sigma + 1, np.int64)
         np.cumsum(np.bincount(s, minlength=sigma), out=self.first[1:])
         self.levels = max(1, int(sigma - 1).bit_length())
         self.ones, self.zeros = [], []
-        x = last
+        x = s[order - 1]
         for level in range(self.levels - 1, -1, -1):
-            bit = (x >> level) & 1
-            ones = np.zeros(n + 1, np.int32)
-            np.cumsum(bit, out=ones[1:])
-            self.ones.append(ones)
-            self.zeros.append(n - int(ones[-1]))
-            x = np.concatenate([x[bit == 0], x[bit == 1]])
-        self.sampled = order % sample == 0
+            bit = (x >> level) & 1 == 1
+            self.ones.append(Bits(bit))
+            self.zeros.append(n - int(bit.sum()))
+            x = np.concatenate([x[~bit], x[bit]])
 
     def rank(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
         """How often c stands before i in the transform."""
         begin, i = np.zeros(len(i), np.int64), i.copy()
         for k, (ones, zeros) in enumerate(zip(self.ones, self.zeros, strict=True)):
             bit = (c >> (self.levels - 1 - k)) & 1 == 1
-            one_i, one_b = ones[i], ones[begin]
+            one_i, one_b = ones.rank(i), ones.rank(begin)
             i, begin = np.where(bit, zeros + one_i, i - one_i), np.where(bit, zeros + one_b, begin - one_b)
         return i - begin
 
     def access(self, i: np.ndarray) -> np.ndarray:
         c, i = np.zeros(len(i), np.int64), i.copy()
         for ones, zeros in zip(self.ones, self.zeros, strict=True):
-            one = ones[i]
-            bit = ones[i + 1] > one
+            one, bit = ones.rank(i), ones[i]
             c, i = 2 * c + bit, np.where(bit, zeros + one, i - one)
         return c
 
@@ -104,7 +125,7 @@ class Index:
             c = self.access(at[todo])
             at[todo] = self.first[c] + self.rank(c, at[todo])
             steps[todo] += 1
-        return self.order[at] + steps
+        return self.places[self.sampled.rank(at)] + steps
 
 
 class Phrases:
@@ -246,8 +267,6 @@ def op4_decontaminate(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-
-
 _WORDS = r"regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')".replace("{80}", "{{80}}").replace("{10FFFF}", "{{10FFFF}}")
 ORACLE = f"""
 WITH d AS (SELECT row_number() OVER () AS n, doc_id, {_WORDS.format("text")} AS w FROM documents),
