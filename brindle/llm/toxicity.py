@@ -3,9 +3,11 @@
 Features of a text are the 32-bit hashes of its words, word pairs and pairs with one or two words between,
 each once (presence).  Words are lower-cased (A-Z) runs of digits, letters and non-ASCII characters.
 
-The model is fitted in one task on at most `max_rows` labelled rows (a documented bound; those with the
-smallest hash of doc_id) with per-coordinate rates, and L1 leaves at most `max_weights` weights, so what is
-broadcast has a fixed bound.  Scoring reads whole texts, without a shuffle.
+The model is fitted in one task on at most `max_rows` labelled rows with at most `max_features` features in all
+(documented bounds; those with the smallest hash of doc_id, whole texts, up to the first that does not fit; one text
+is taken whatever its length), with per-coordinate rates, and L1 leaves at most `max_weights` weights, so what is
+broadcast has a fixed bound.  Rows of a doc_id that many documents share count towards both bounds.  Scoring reads
+whole texts, without a shuffle.
 
 Nulls and odd rows: null and empty texts have no feature and score the bias; rows whose label or doc_id is
 null are not learnt from; a doc_id with several labels counts as toxic if any is; repeated rows are scored
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import segment_sums, shards, word_ids
 
-MAX_ROWS, MAX_WEIGHTS, MIN_DOCS = 8192, 65536, 3
+MAX_ROWS, MAX_FEATURES, MAX_WEIGHTS, MIN_DOCS = 8192, 32 << 20, 65536, 3
 #: Of 29 settings of ALPHA, L1 and EPOCHS, those with the least out_of_fold() log loss on the training rows of sf0.1.
 ALPHA, BETA, L1, L2, EPOCHS, SEED = 2.0, 1.0, 12.0, 0.1, 5, 17
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -127,28 +129,49 @@ def score(texts: list[bytes], keys: np.ndarray, weights: np.ndarray, bias: float
     return 1 / (1 + np.exp(-np.clip(total, -50, 50)))
 
 
-def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_weights: int = MAX_WEIGHTS, label: str = "toxic") -> tuple[np.ndarray, np.ndarray, float]:
-    """Fit on at most max_rows of the rows of labels (doc_id, label) that documents (doc_id, text) holds."""
+def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_weights: int = MAX_WEIGHTS, max_features: int = MAX_FEATURES, label: str = "toxic") -> tuple[np.ndarray, np.ndarray, float]:
+    """Fit on rows of documents (doc_id, text) that labels (doc_id, label) names: at most max_rows, with max_features features in all.
+
+    The rows come in a seeded order of doc_id, so the fit does not depend on partitions.
+    """
     usable = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
     usable = usable.join(documents.select("doc_id").distinct(), "doc_id", "left_semi")
     chosen = usable.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(max_rows)
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # chosen has max_rows rows at most
+    signed = lambda x: xxhash.xxh3_64_intdigest(x) - (1 << 63)
 
     def pack(batches):
         for part, texts in shards(batches, "text"):
             keys, docs = _distinct(*features(texts))
             bounds = np.searchsorted(docs, np.arange(len(texts) + 1))
-            yield pa.RecordBatch.from_pydict({"one": [1] * len(texts), "doc_id": part.column("doc_id"), "label": part.column("label"), "packed": [keys[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]})
-
-    def learn(table: pa.Table) -> pa.Table:
-        ids = table.column("doc_id").to_pylist()
-        packed = [memoryview(x.as_buffer()) for x in table.column("packed")]  # no copy
-        order = sorted(range(len(ids)), key=lambda i: (xxhash.xxh3_64_intdigest(str(ids[i])), xxhash.xxh3_64_intdigest(packed[i])))
-        keys, weights, bias = fit([np.frombuffer(packed[i], np.uint32) for i in order], np.array(table.column("label").to_pylist(), float)[order], max_weights=max_weights)
-        return pa.table({"keys": pa.array([keys.tobytes()], pa.binary()), "weights": pa.array([weights.tobytes()], pa.binary()), "bias": pa.array([bias], pa.float64())})
-
-    packed = rows.mapInArrow(pack, "one bigint, doc_id bigint, label int, packed binary")
-    model = packed.groupBy("one").applyInArrow(learn, "keys binary, weights binary, bias double").collect()  # one row of at most max_weights weights
+            packed = [keys[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
+            place = [signed(str(x)) for x in part.column("doc_id").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(map(signed, packed), pa.int64()), part.column("label"), pa.array(packed, pa.binary())], names=["place", "tie", "label", "packed"])
+
+    def first(batches):
+        """The rows up to both bounds, of batches in seeded order."""
+        held = size = 0
+        for batch in batches:
+            sizes = np.cumsum(pa.compute.binary_length(batch.column("packed")).to_numpy()) // 4
+            n = min(batch.num_rows, max_rows - held, max(1 - min(held, 1), int(np.searchsorted(sizes, max_features - size, "right"))))
+            if n:
+                yield batch.slice(0, n)
+                held, size = held + n, size + int(sizes[n - 1])
+            if n < batch.num_rows:
+                return
+
+    def learn(batches):
+        held = list(first(batches))
+        if held:
+            table = pa.Table.from_batches(held)
+            packed = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("packed")]  # no copy
+            keys, weights, bias = fit(packed, table.column("label").to_numpy().astype(float), max_weights=max_weights)
+            yield pa.RecordBatch.from_arrays([pa.array([keys.tobytes()], pa.binary()), pa.array([weights.tobytes()], pa.binary()), pa.array([bias], pa.float64())], names=["keys", "weights", "bias"])
+
+    schema = "place bigint, tie bigint, label int, packed binary"
+    packed = rows.mapInArrow(pack, schema).sortWithinPartitions("place", "tie").mapInArrow(first, schema)  # no task sends more than the bounds
+    one = packed.withColumn("one", F.lit(1)).repartition("one").drop("one").sortWithinPartitions("place", "tie")
+    model = one.mapInArrow(learn, "keys binary, weights binary, bias double").collect()  # one row of at most max_weights weights
     if not model:
         return np.zeros(0, np.uint32), np.zeros(0), -50.0
     return np.frombuffer(model[0].keys, np.uint32), np.frombuffer(model[0].weights), model[0].bias
