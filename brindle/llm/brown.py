@@ -5,9 +5,9 @@ documents, and every word of them has a class.
 
 1. Texts become shards of word ids beside the 64-bit hashes of their words, written once.
 2. Word counts: each task counts its shards and sends packed counts by hash; nothing is cut.  Totals N and V,
-   and the most counted words of each bucket, come back.
+   and the most counted words of all buckets together, come back.
 3. The most frequent words are dealt to classes by exchange clustering (each word moves to the class that raises
-   the likelihood of the class bigrams most, until no pass helps).  Their number, and that of the classes, grows
+   the likelihood of the class bigrams most, until a pass moves none).  Their number, and that of the classes, grows
    with the cube root of V (sizes()), so that their table of pairs stays smaller than the vocabulary at any size.
 4. Every other word meets the counts of the classes before and after it by hash in a shuffle, and goes to the
    class under which these and its own occurrences are likeliest.  (Words without a class yet count as one kind of
@@ -20,7 +20,8 @@ documents, and every word of them has a class.
    the model is a distribution over the V words and one unknown.
 
 Nulls and odd rows: null and empty texts have the end alone; a null doc_id is a training row; repeated rows
-count and are scored each; with an empty training set, every token has count 0.
+count and are scored each; with an empty training set, every token has count 0; doc_id is an integer; other
+columns are left out; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, partitions, release, segment_sums, shards, word_ids
 
-HEAD, PASSES, PULL = 1 << 17, 8, 20.0
+HEAD, PULL = 1 << 17, 20.0
 SHARD_BYTES = 4 << 20
 CELLS = 1 << 22  # of a dense table of words and contexts at a time
 _END = b"\n"  # no word holds it
@@ -101,7 +102,11 @@ def _by_bucket(h: np.ndarray, n: int):
 
 
 def word_counts(tokenized: DataFrame, head: int = HEAD) -> tuple[int, int, np.ndarray, np.ndarray]:
-    """N, V, and the head's hashes (sorted) and counts: of each bucket its share of the most counted words."""
+    """N, V, and the head's hashes (sorted) and counts: about `head` words, the most counted of all.
+
+    The head ends within words of nearly one count, of which those of the smallest hashes are in it; so it depends
+    on the corpus alone, not on its partitions.
+    """
     n = partitions(tokenized.sparkSession)
 
     def count(batches):
@@ -129,17 +134,40 @@ def word_counts(tokenized: DataFrame, head: int = HEAD) -> tuple[int, int, np.nd
             if sum(len(x) for x, _ in held) > 8_000_000:
                 held = [_merge([x for x, _ in held], [y for _, y in held])]
         h, c = _merge([x for x, _ in held], [y for _, y in held])
-        top = np.lexsort((h, -c))[: max(1, head // n)]
-        return pa.Table.from_pydict({"n": [int(c.sum())], "v": [len(h)], "hashes": [h[top].tobytes()], "counts": [c[top].tobytes()]})
+        kinds, many = np.unique(_bin(c), return_counts=True)
+        return pa.Table.from_pydict({"n": [int(c.sum())], "kinds": [kinds.tolist()], "many": [many.tolist()], "hashes": [h.tobytes()], "counts": [c.tobytes()]})
 
     packed = tokenized.select("held", "flat", "bounds", "hashes").mapInArrow(count, "bucket bigint, hashes binary, counts binary")
-    rows = packed.groupBy("bucket").applyInArrow(merge, "n bigint, v bigint, hashes binary, counts binary").collect()  # HEAD words at most
-    if not rows:
-        return 0, 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = np.concatenate([np.frombuffer(r.hashes, np.uint64) for r in rows])
-    c = np.concatenate([np.frombuffer(r.counts, np.int64) for r in rows])
+    merged = materialize(packed.groupBy("bucket").applyInArrow(merge, "n bigint, kinds array<bigint>, many array<bigint>, hashes binary, counts binary"), "counts")
+    rows = merged.select("n", "kinds", "many").collect()  # a bucket each, of some thousand kinds of counts
+    bins = np.zeros(max((r.kinds[-1] for r in rows), default=0) + 1, np.int64)
+    for r in rows:
+        bins[r.kinds] += r.many
+    above = np.cumsum(bins[::-1])[::-1]
+    last = int(np.argmax(above <= head)) if (above <= head).any() else len(bins)  # bins from here on are in the head
+    left = (head - int(above[last]) if last < len(bins) else head) / bins[last - 1] if last else 0.0
+    limit = np.uint64(min(left, 1.0) * float(2**64 - 2**11))  # of the bin before, the words of small hashes
+
+    def top(batches):
+        for batch in batches:
+            for h, c in zip(*(batch.column(x).to_pylist() for x in ("hashes", "counts")), strict=True):
+                h, c = np.frombuffer(h, np.uint64), np.frombuffer(c, np.int64)
+                kind = _bin(c)
+                on = (kind >= last) | ((kind == last - 1) & (h < limit))
+                yield pa.RecordBatch.from_pydict({"hashes": [h[on].tobytes()], "counts": [c[on].tobytes()]})
+
+    h, c = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for r in merged.select("hashes", "counts").mapInArrow(top, "hashes binary, counts binary").toLocalIterator():  # about HEAD words
+        h.append(np.frombuffer(r.hashes, np.uint64))
+        c.append(np.frombuffer(r.counts, np.int64))
+    release(merged)
+    h, c = np.concatenate(h), np.concatenate(c)
     order = np.argsort(h)
-    return sum(r.n for r in rows), sum(r.v for r in rows), h[order], c[order]
+    return sum(r.n for r in rows), int(bins.sum()), h[order], c[order]
+
+
+def _bin(counts: np.ndarray) -> np.ndarray:
+    return np.floor(64 * np.log2(counts)).astype(np.int64)
 
 
 def look_up(table: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -205,7 +233,7 @@ def _g(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def exchange(pairs: np.ndarray, counts: np.ndarray, classes: int, passes: int = PASSES) -> np.ndarray:
+def exchange(pairs: np.ndarray, counts: np.ndarray, classes: int) -> np.ndarray:
     """Class of each word of pairs (the last, rare, has its own class, `classes`)."""
     m = len(pairs)
     own = np.empty(m, np.int64)
@@ -218,8 +246,9 @@ def exchange(pairs: np.ndarray, counts: np.ndarray, classes: int, passes: int =
         to[:, c] = pairs[:, own == c].sum(1)
         came[c] = pairs[own == c].sum(0)
     table = np.stack([to[own == c].sum(0) for c in range(k)])
-    for _ in range(passes):
-        moved = 0
+    moved = True
+    while moved:  # each move raises the likelihood, so this ends
+        moved = False
         for w in np.argsort(-counts, kind="stable"):
             a, self_pair = own[w], float(pairs[w, w])
             out, into = to[w].copy(), came[:, w].copy()
@@ -228,7 +257,7 @@ def exchange(pairs: np.ndarray, counts: np.ndarray, classes: int, passes: int =
             table[a] -= out
             table[:, a] -= into
             table[a, a] -= self_pair
-            rows, columns = table.sum(1), table.sum(0)
+            rows, columns = table.sum(1) + into, table.sum(0) + out  # w's neighbours count wherever it goes
             gain = (_g(table + out) - _g(table)).sum(1) + (_g(table + into[:, None]) - _g(table)).sum(0)
             d = np.diag(table)
             gain += _g(d + out + into + self_pair) - _g(d + out) - _g(d + into) + _g(d)
@@ -239,14 +268,12 @@ def exchange(pairs: np.ndarray, counts: np.ndarray, classes: int, passes: int =
             table[:, best] += into
             table[best, best] += self_pair
             if best != a:
-                moved += 1
+                moved = True
                 own[w] = best
                 to[:, a] -= pairs[:, w]
                 to[:, best] += pairs[:, w]
                 came[a] -= pairs[w]
                 came[best] += pairs[w]
-        if not moved:
-            break
     return own
 
 
@@ -434,7 +461,7 @@ def class_pairs(texts: DataFrame, k: int) -> np.ndarray:
 
 
 def score(documents: DataFrame, held_out, head: int = HEAD, clustered: int | None = None, classes: int | None = None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of documents (doc_id, text).
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of each row of documents (doc_id, text).
 
     held_out: a condition; rows that meet it aren't learnt from.  clustered, classes: sizes() of the vocabulary by
     default.
@@ -459,7 +486,7 @@ def score(documents: DataFrame, held_out, head: int = HEAD, clustered: int | Non
                 yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(total)], names=[*batch.schema.names[:5], "score"])
 
     scored = texts.mapInArrow(steps, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 
 def op10_brown_lm(spark, sf_dir: str) -> DataFrame:
