@@ -61,6 +61,17 @@ def test_chat_round_trip(spark):
     assert [t.text for t in got[2].turns] == [t or "" for t in texts]
     assert len(got[2].loss_spans) == len(texts) and not got[1].loss_spans
     assert [t.text for t in got[4].turns] == ["same", "same"]
+    assert "\\\\e" not in got[4].formatted and got[4].formatted == "### user: same</turn>\n" * 2
+    wide = spark.createDataFrame([(1, 0, "user", "x", "y", 3)], "conv_id long, turn long, role string, text string, formatted string, source int")
+    assert [r.formatted for r in chat.format_conversations(wide).collect()] == ["### user: x</turn>\n"]
+    assert chat.format_conversations(wide.limit(0)).count() == 0
+
+
+def test_chat_fails_where_a_chat_does_not_read_back(spark, monkeypatch):
+    monkeypatch.setattr(chat, "unescape", lambda c, role=False: mixing.F.replace(c, mixing.F.lit("a"), mixing.F.lit("b")))
+    rows = spark.createDataFrame([(1, 0, "user", "a")], "conv_id long, turn long, role string, text string")
+    with pytest.raises(Exception, match="does not read back"):
+        chat.format_conversations(rows).collect()
 
 
 def test_mixing(docs, rows):
@@ -226,11 +237,68 @@ def test_toxicity(spark):
     assert np.mean([scored[i].predicted == int(i % 4 == 0) for i in range(400, 600)]) > 0.95
     apart = toxicity.out_of_fold([(t or "").encode() for _, t in data[:400]], np.array([i % 4 == 0 for i in range(400)], float))
     assert np.mean((apart >= 0.5) == [i % 4 == 0 for i in range(400)]) > 0.95
+    assert all((a == b) for a, b in zip(map(str, toxicity.train(docs.repartition(7), labels)), map(str, toxicity.train(docs.withColumn("label", mixing.F.lit("x")), labels))))
     none = toxicity.toxicity(docs, toxicity.train(docs, labels.limit(0)))
     assert none.where("predicted = 1").count() == 0
     assert toxicity.toxicity(docs.limit(0), toxicity.train(docs.limit(0), labels)).count() == 0
 
 
+def test_toxicity_learns_within_its_bounds(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 20, f"a{i} b") for i in range(400)], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "fit", lambda rows, labels, **_: (np.zeros(0, np.uint32), np.zeros(0), float(1000 * len(rows) + sum(map(len, rows)))))
+    learnt = lambda **k: divmod(int(toxicity.train(docs, labels, **k)[2]), 1000)  # noqa: E731  rows, features
+    assert learnt(max_features=10**6) == (401, 200)  # 400 rows of 3 features
+    assert learnt(max_rows=10) == (10, 30) and learnt(max_features=100) == (33, 99) and learnt(max_features=1) == (1, 3)
+
+
+def plain_features(text):
+    mask = 2**64 - 1
+    w = [xxhash.xxh3_64_intdigest(x.encode()) for x in re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(text))]
+
+    def mixed(x):
+        x ^= x >> 32
+        x = x * 0xD6E8FEB86659FD93 & mask
+        return x ^ (x >> 29)
+
+    both = [mixed((a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F + (1 if gap == 1 else 2)) & mask) for gap in (1, 2, 3) for a, b in zip(w, w[gap:])]
+    return {x >> 32 for x in [*w, *both]}
+
+
+def test_toxicity_equals_plain_ftrl(spark):
+    r = random.Random(4)
+    words = [f"n{i}" for i in range(40)] + ["Été"]
+    data = [(i, " ".join(r.choices(words, k=r.randint(1, 30)) + ["vile"] * (r.random() < (0.8 if i % 3 == 0 else 0.1)))) for i in range(150)] + [(7, "n1 vile n2"), (151, None), (152, "")]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    labels = {i: int(i % 3 == 0) for i in range(0, 153, 1) if i % 5}
+    got = {(x.doc_id, x.text): x.score for x in toxicity.toxicity(docs, toxicity.train(docs, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"))).collect()}
+    hashed = lambda x: xxhash.xxh3_64_intdigest(x) - 2**63
+    bytes_of = lambda t: np.array(sorted(plain_features(t)), np.uint32).tobytes()
+    train = sorted((x for x in data if x[0] in labels), key=lambda x: (hashed(str(x[0])), hashed(bytes_of(x[1]))))
+    seen = collections.Counter(f for _, t in train for f in plain_features(t))
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+    mean = sum(labels[d] for d, _ in train) / len(train)
+    z["bias"] = -math.log(mean / (1 - mean)) * toxicity.BETA / toxicity.ALPHA
+
+    def weight(f):
+        l1, l2 = (0, 0) if f == "bias" else (toxicity.L1, toxicity.L2)
+        return 0.0 if abs(z[f]) <= l1 else -math.copysign(abs(z[f]) - l1, z[f]) / ((toxicity.BETA + math.sqrt(n[f])) / toxicity.ALPHA + l2)
+
+    for _ in range(toxicity.EPOCHS):
+        for d, t in train:
+            own = [f for f in plain_features(t) if seen[f] >= toxicity.MIN_DOCS] + ["bias"]
+            w = {f: weight(f) for f in own}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - labels[d]
+            for f in own:
+                sigma = (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / toxicity.ALPHA
+                z[f] += g - sigma * w[f]
+                n[f] += g * g
+    for d, t in data:
+        s = sum(weight(f) for f in plain_features(t) if seen[f] >= toxicity.MIN_DOCS) + weight("bias")
+        assert abs(got[d, t] - 1 / (1 + math.exp(-s))) < 1e-9
+    assert len({round(x, 6) for x in got.values()}) > 3
+
+
 def test_simhash(docs, rows):
     def print_(t):
         w = spaced(t)
@@ -401,6 +469,84 @@ def test_brown_is_a_distribution():
         assert abs(total - 1) < 1e-6
 
 
+def test_brown_scores_equal_a_plain_model(spark):
+    r = random.Random(8)
+    follow = {f"w{i}": r.sample([f"w{j}" for j in range(9)], 3) for i in range(9)}
+    texts = []
+    for _ in range(70):
+        line = [r.choice(list(follow))]
+        while r.random() < 0.93:
+            line.append(r.choice(follow[line[-1]]) if r.random() < 0.8 else r.choice(list(follow)))
+        texts.append(" ".join(line))
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100, "w1 New w2"), (101, None), (102, "W3")]
+    k, end = 4, "\n"
+    token = lambda t: [*spaced(t), end]
+    train = [token(t) for i, t in rows if i < 60]
+    counts = collections.Counter(w for t in train for w in t)
+    pairs = collections.Counter((a, b) for t in train for a, b in zip([end, *t], t))
+    words = sorted(counts, key=lambda w: xxhash.xxh3_64_intdigest(w))
+    order = sorted(words, key=lambda w: -counts[w])
+    own = {w: i % k for i, w in enumerate(order)}
+    g = lambda x: x * math.log(x) if x else 0.0
+
+    def table(of):
+        out = np.zeros((k + 1, k + 1))
+        for (a, b), n in pairs.items():
+            out[of[a], of[b]] += n
+        return out
+
+    def likelihood(of):
+        t = table(of)
+        return sum(map(g, t.ravel())) - sum(map(g, t.sum(0))) - sum(map(g, t.sum(1)))
+
+    moved = True
+    while moved:
+        moved = False
+        for w in order:
+            gains = [likelihood(own | {w: c}) for c in range(k)]
+            best = int(np.argmax(gains))
+            if gains[best] > gains[own[w]] + 1e-6:
+                own[w], moved = best, True
+    n, kinds = sum(counts.values()), collections.Counter(own.values())
+    size = collections.Counter()
+    for w, c in own.items():
+        size[c] += counts[w]
+    t = table(own)
+    mean = t.sum(0) + 0.5
+    mean[[c for c in range(k) if not kinds[c]]] = 1e-9
+    mean /= mean.sum()
+    step = (t + brown.PULL * mean) / (t.sum(1, keepdims=True) + brown.PULL)
+
+    def plain(text):
+        total, before = 0.0, own[end]
+        for w in token(text):
+            c = own.get(w, k)
+            total += math.log10(step[before, c]) + (math.log10((counts[w] + 0.5) / (size[c] + 0.5 * kinds[c])) if w in own else 0.0)
+            before = c
+        return total
+
+    df = spark.createDataFrame([(*x, "k") for x in rows], "doc_id long, text string, counts string").repartition(3)
+    got = {x.doc_id: x for x in brown.score(df, mixing.F.col("doc_id") >= 60, clustered=1000, classes=k).collect()}
+    for i, text in rows:
+        assert abs(got[i].score - plain(text)) < 1e-6, i
+        assert abs(got[i].perplexity - 10 ** (-plain(text) / len(token(text)))) < 1e-6
+
+
+def test_brown_head_does_not_depend_on_partitions(spark):
+    r = random.Random(1)
+    rows = [(i, " ".join(f"v{int(r.paretovariate(0.6))}" for _ in range(40))) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", mixing.F.lit(False))
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    heads = []
+    for n in (1, 5):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        heads.append([x.tolist() if hasattr(x, "tolist") else x for x in brown.word_counts(brown.token_shards(df.repartition(n)), 40)])
+    spark.conf.set("spark.sql.shuffle.partitions", kept)
+    counts = collections.Counter(w for _, t in rows for w in [*t.split(), "\n"])
+    assert heads[0] == heads[1] and heads[0][:2] == [sum(counts.values()), len(counts)] and 20 < len(heads[0][2]) < 60
+    assert min(heads[0][3]) >= sorted(counts.values())[-len(heads[0][3]) - 15]
+
+
 def test_brown_places_words_outside_the_clustered(spark):
     r = random.Random(0)
     pairs = [("a", f"x{i}", "b") for i in range(40)] + [("c", f"y{i}", "d") for i in range(40)]
