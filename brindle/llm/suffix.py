@@ -8,8 +8,9 @@ document, earlier).  Starts are dealt out by content, so that equal strings alwa
    a piece (with the bytes they reach).  Pieces travel as anchor, digest and place, packed.
 2. An anchor that occurs once ends there.  Of pieces with equal digests (128 bits) the earliest stays and all
    others are repeated; tasks do the same before they send.  Where pieces of one anchor differ, the earliest
-   of each kind goes on with its bytes.  An anchor with more than CROWD kinds is dealt out again by the hash of
-   the whole string of each start, so no task gets more than that of one key unless its strings are equal.
+   of each kind goes on with its bytes.  The starts of an anchor with more than CROWD kinds are dealt out again, each
+   by the digest of its whole string, after equal ones have met in the sending task; so no key holds more than CROWD
+   pieces, or one start of each sending task.
 3. Each task sorts the suffixes of the pieces it got by the difference-cover algorithm: triples at positions
    1 and 2 modulo 3 are sorted and named, names are sorted by recursion until they differ or span `match`
    bytes, suffixes at 0 modulo 3 follow by one more sort, and a merge joins both.  Adjacent suffixes with
@@ -17,8 +18,9 @@ document, earlier).  Starts are dealt out by content, so that equal strings alwa
 4. Repeated starts come back to their document, where their bytes merge into spans.
 
 Nulls and odd rows: a null text is empty; a null doc_id is later than all others; documents that share a
-doc_id are ordered by their text, and those that are equal in both are one document, each row of which is
-returned with the same result; texts shorter than `match` bytes keep all.
+doc_id are told apart by their text, and those that are equal in both are one document, each row of which is
+returned with the same result; the order of different texts of one doc_id is that of their 64-bit hashes; texts
+shorter than `match` bytes keep all; doc_id is an integer; other columns pass through; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -34,8 +36,8 @@ from pyspark.sql import types as T
 
 from .common import materialize, partitions, shards
 
-MATCH, GRAM, CROWD = 100, 32, 20000
-_CHUNK, _SORT = 1 << 20, 2 << 20
+MATCH, GRAM, CROWD = 100, 32, 500
+_CHUNK, _SORT, _STARTS = 1 << 20, 2 << 20, 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _cache: dict = {}
 
@@ -222,7 +224,7 @@ def _spans(starts: np.ndarray, lengths: np.ndarray) -> bytes:
 def repeated_starts(docs: DataFrame, match: int = MATCH, crowd: int = CROWD) -> DataFrame:
     """doc_id, text_key, spans (packed: first repeated start, how many) of docs (doc_id, text_key, text)."""
     spark, n = docs.sparkSession, partitions(docs.sparkSession)
-    packed = "bucket bigint, ids binary, keys binary, doc binary, at binary, starts binary, anchor binary, digest binary, spans binary"
+    packed = "bucket int, ids binary, keys binary, doc binary, at binary, starts binary, anchor binary, digest binary, spans binary"
     dtype = np.dtype([("hi", ">u8"), ("lo", ">u8")])
 
     def thin(rank, doc, at, starts, anchor, digest):
@@ -249,7 +251,7 @@ def repeated_starts(docs: DataFrame, match: int = MATCH, crowd: int = CROWD) ->
             repeat = repeat[np.argsort(doc[repeat], kind="stable")]
             ends, more = np.searchsorted(where, np.arange(n + 1)), np.linspace(0, len(repeat), n + 1).astype(int)
             blank = np.where(null, 1, 0).astype(np.uint8)
-            rows = {c: [] for c in packed.replace(" bigint", "").replace(" binary", "").split(", ")}
+            rows = {c: [] for c in packed.replace(" int", "").replace(" binary", "").split(", ")}
             for k in range(n):
                 own, out = by[ends[k] : ends[k + 1]], repeat[more[k] : more[k + 1]]
                 if not len(own) and not len(out):
@@ -264,7 +266,7 @@ def repeated_starts(docs: DataFrame, match: int = MATCH, crowd: int = CROWD) ->
                 rows["anchor"].append(anchor[own].tobytes())
                 rows["digest"].append(digest[own].tobytes())
                 rows["spans"].append(np.stack([at_doc[len(own) :], at[out], starts[out]], 1).astype(np.int32).tobytes())
-            return pa.RecordBatch.from_pydict(rows, schema=pa.schema([("bucket", pa.int64()), *[(c, pa.binary()) for c in list(rows)[1:]]]))
+            return pa.RecordBatch.from_pydict(rows, schema=pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in list(rows)[1:]]]))
 
         docs_held = 0
         for part, texts in shards(batches, "text"):
@@ -328,25 +330,59 @@ def repeated_starts(docs: DataFrame, match: int = MATCH, crowd: int = CROWD) ->
                 names=["doc_id", "text_key", "spans", "open", "keys"],
             )
 
+    names = ["key", "doc_id", "text_key", "at", "bytes"]
+
     def fetch(batches):
-        """The bytes of open pieces; of crowded anchors, of each start by itself."""
+        """The bytes of open pieces; of crowded anchors the digest of each start, after those that are equal here have met."""
+        crowded, held = [], 0
+
+        def meet_here():
+            ids, null, keys, doc, at, digest = [np.concatenate([c[j] for c in crowded]) for j in range(6)]
+            crowded.clear()
+            doc = np.cumsum(np.append(True, doc[1:] != doc[:-1])) - 1  # starts of one document stand together
+            head = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+            ids, null, keys = ids[head], null[head], keys[head]
+            by, kind, again = thin(_order(ids, null, keys), doc, at, at, digest["lo"], digest)
+            repeat, by = np.sort(by[~kind & ~again]), by[kind]
+            data = digest[by].tobytes()
+            rows = pa.Array.from_buffers(pa.binary(), len(by), [None, pa.py_buffer(np.arange(0, 16 * len(by) + 1, 16, dtype=np.int32).tobytes()), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([pa.array(digest["lo"][by].astype(np.int64)), pa.array(ids[doc[by]], mask=null[doc[by]]), pa.array(keys[doc[by]]), pa.array(at[by]), rows], names=names)
+            if len(repeat):
+                ends = np.append(np.flatnonzero(np.append(True, doc[repeat][1:] != doc[repeat][:-1])), len(repeat))
+                own = doc[repeat][ends[:-1]]
+                spans = [_spans(at[repeat[x:y]], np.ones(y - x, np.int64)) for x, y in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[own]), pa.array(ids[own], mask=null[own]), pa.array(keys[own]), pa.array(np.full(len(own), -1)), pa.array(spans, pa.binary())], names=names)
+
+        count = 0
         for batch in batches:
-            ids, texts, opens, anchors_ = batch.column(0), batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            keys = batch.column(1)
+            ids, null = _ids(batch.column(0))
+            keys, texts, opens, anchors_ = batch.column(1).to_numpy(), batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist()
             for i, (text, o, a) in enumerate(zip(texts.cast(pa.binary()).to_pylist(), opens, anchors_, strict=True)):
-                out, seen = [], set()
-                for blob, names in zip(o, a, strict=True):
-                    for (at, m), name in zip(np.frombuffer(blob, np.int64).reshape(-1, 2).tolist(), np.frombuffer(names, np.int64).tolist(), strict=True):
-                        if (at, m) in seen:
-                            continue
-                        seen.add((at, m))
+                out, many = [], []
+                for blob, anchor in zip(o, a, strict=True):
+                    for (at, m), name in zip(np.frombuffer(blob, np.int64).reshape(-1, 2).tolist(), np.frombuffer(anchor, np.int64).tolist(), strict=True):
                         if m > 0:
                             out.append((name, at, text[at : at + m + match - 1]))
                         else:
-                            out += [(xxhash.xxh3_64_intdigest(w) - (1 << 63), x, w) for x in range(at, at - m) for w in (text[x : x + match],)]
+                            many.append(np.arange(at, at - m))
+                out = list(dict.fromkeys(out))  # a document may be there twice
                 for k in range(0, len(out), 5000):
                     part = out[k : k + 5000]
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.int64()), pa.array([ids[i].as_py()] * len(part), pa.int64()), pa.array([keys[i].as_py()] * len(part), pa.int64()), pa.array([x[1] for x in part], pa.int64()), pa.array([x[2] for x in part], pa.binary())], names=["key", "doc_id", "text_key", "at", "bytes"])
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.int64()), pa.array([None if null[i] else int(ids[i])] * len(part), pa.int64()), pa.array([int(keys[i])] * len(part), pa.int64()), pa.array([x[1] for x in part], pa.int64()), pa.array([x[2] for x in part], pa.binary())], names=names)
+                if many:
+                    at = np.unique(np.concatenate(many))
+                    for k in range(0, len(at), _STARTS):
+                        some = at[k : k + _STARTS]
+                        digest = np.frombuffer(b"".join([xxhash.xxh3_128_digest(text[x : x + match]) for x in some.tolist()]), dtype)
+                        one = lambda v, n=len(some): np.full(n, v)
+                        crowded.append((one(ids[i]), one(null[i]), one(keys[i]), one(count), some, digest))
+                        held += len(some)
+                        if held >= _STARTS:
+                            yield from meet_here()
+                            held = 0
+                    count += 1
+        if crowded:
+            yield from meet_here()
 
     def sort(batches):
         """Pieces in order of their keys; groups are sorted together up to _SORT bytes, and a group is never cut."""
@@ -354,6 +390,27 @@ def repeated_starts(docs: DataFrame, match: int = MATCH, crowd: int = CROWD) ->
         size = 0
 
         def flush(table: pa.Table):
+            settled = pa.compute.less(table.column("at"), 0)
+            known = table.filter(settled)
+            if len(known):
+                yield known.select(["doc_id", "text_key", "bytes"]).rename_columns(["doc_id", "text_key", "spans"]).combine_chunks().to_batches()[0]
+                table = table.filter(pa.compute.invert(settled))
+            digests = pa.compute.equal(pa.compute.binary_length(table.column("bytes")), 16)
+            starts, table = table.filter(digests).combine_chunks(), table.filter(pa.compute.invert(digests))
+            if len(starts):
+                ids, null = _ids(starts.column("doc_id").combine_chunks())
+                keys, at = starts.column("text_key").to_numpy(), starts.column("at").to_numpy()
+                digest = np.frombuffer(b"".join(starts.column("bytes").to_pylist()), dtype)
+                by, kind, again = thin(_order(ids, null, keys), np.arange(len(at)), at, at, digest["lo"], digest)
+                hit = by[~kind & ~again]
+                hit = hit[np.lexsort((at[hit], keys[hit], ids[hit], null[hit]))]
+                if len(hit):
+                    new = np.append(True, (ids[hit][1:] != ids[hit][:-1]) | (null[hit][1:] != null[hit][:-1]) | (keys[hit][1:] != keys[hit][:-1]))
+                    ends = np.append(np.flatnonzero(new), len(hit))
+                    first = hit[ends[:-1]]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[first], mask=null[first]), pa.array(keys[first]), pa.array([_spans(at[hit[x:y]], np.ones(y - x, np.int64)) for x, y in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], names=["doc_id", "text_key", "spans"])
+            if not len(table):
+                return
             ids, null = _ids(table.column("doc_id").combine_chunks())
             keys, at = table.column("text_key").to_numpy(), table.column("at").to_numpy()
             hits = repeated(table.column("bytes").to_pylist(), _order(ids, null, keys), at, match)
@@ -388,7 +445,7 @@ def repeated_starts(docs: DataFrame, match: int = MATCH, crowd: int = CROWD) ->
             yield from flush(pa.Table.from_batches(kept))
 
     sent = docs.mapInArrow(send, packed)
-    met = materialize(sent.repartition("bucket").mapInArrow(meet, found_schema), "pieces")
+    met = materialize(sent.repartitionById(n, "bucket").mapInArrow(meet, found_schema), "pieces")
     opened = met.where("open is not null").groupBy("doc_id", "text_key").agg(F.collect_list("open").alias("open"), F.collect_list("keys").alias("keys"))
     same = F.col("d.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("d.text_key") == F.col("o.text_key"))
     texts = docs.alias("d").join(opened.alias("o"), same).select("d.doc_id", "d.text_key", "d.text", "o.open", "o.keys")
