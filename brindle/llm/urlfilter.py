@@ -8,10 +8,11 @@ fixed bound, so it may be broadcast).  Keys that pass meet the list in an equi-j
 positives; the longest entry wins (ties: the longer host, then the smaller verdict).
 
 All of it is DataFrame expressions.  Only distinct (host, path) pairs are looked up, so a URL that fills a
-third of the table costs one lookup.
+third of the table costs one lookup, and its rows meet the result salted, so no task gets them all.
 
 Nulls and odd rows: a null URL, or one without ://, has empty host and path and no rule; an empty list gives
-every URL the default verdict; repeated rows are each returned.
+every URL the default verdict; listed rows with a null are left out; a listed path fits as a plain prefix, with or
+without a slash; repeated rows are each returned; other columns pass through; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower
 
-MAX_BLOCKS, BITS_PER_KEY = 1 << 17, 16
+MAX_BLOCKS, BITS_PER_KEY, SALTS = 1 << 17, 16, 16
 PARTS = r"://([^/?#]*)([^?#]*)"
 #: The rules of the registered query: verdict, host, path.
 RULES = [
@@ -33,6 +34,11 @@ RULES = [
 ]
 
 
+def _key(host, path):
+    """One string for both; listed paths need not begin with a slash."""
+    return F.concat(host, F.lit("/"), path)  # no host holds a slash
+
+
 def _bloom(key):
     """Block and the four words' masks of a key."""
     h, g = F.xxhash64(key), F.xxhash64(key, F.lit(1))
@@ -50,10 +56,10 @@ def bloom_filter(listed: DataFrame, blocks: int) -> DataFrame:
 def url_filter(pages: DataFrame, listed: DataFrame, default: str = "allow", url: str = "url") -> DataFrame:
     """pages with host, path, rule and verdict, which replace columns of those names; listed: host, path, verdict."""
     entries = listed.where("host is not null and path is not null and verdict is not null").select(
-        F.concat("host", "path").alias("key"), "verdict", F.length("host").alias("host_chars"), F.length(F.concat("host", "path")).alias("chars"), F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("path_chars")
+        _key(F.col("host"), F.col("path")).alias("key"), F.concat("host", "path").alias("rule"), "verdict", F.length("host").alias("host_chars"), F.length(F.concat("host", "path")).alias("chars"), F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("path_chars")
     )
-    shapes = sorted(tuple(r) for r in entries.select("labels", "path_chars").distinct().collect())  # bounded by label counts and path lengths
-    size = entries.count()
+    # one row: the pairs, bounded by label counts times path lengths, and the number of keys
+    shapes, size = entries.agg(F.sort_array(F.collect_set(F.struct("labels", "path_chars"))), F.count("*")).first()
     blocks = 1
     while blocks < MAX_BLOCKS and blocks * 256 < size * BITS_PER_KEY:
         blocks *= 2
@@ -67,17 +73,29 @@ def url_filter(pages: DataFrame, listed: DataFrame, default: str = "allow", url:
     )
     if not shapes:
         return located.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    keys = [F.when(F.length("path") >= n, F.concat(F.substring_index("host", ".", -m), F.substring("path", 1, n))) for m, n in shapes]
-    asked = located.where("host != ''").select("host", "path").distinct().select("host", "path", F.explode(F.array_compact(F.array(*keys))).alias("key"))
+    by_labels: dict[int, list[int]] = {}
+    for labels, chars in shapes:
+        by_labels.setdefault(labels, []).append(chars)
+    # of each number of labels the host's last ones, with each prefix length that a listed entry of so many labels has
+    def keys_of(labels: int, chars: list[int]):
+        fitting = F.filter(F.lit(chars), lambda n: n <= F.length("path"))
+        keys = F.transform(fitting, lambda n: _key(F.substring_index("host", ".", -labels), F.substr("path", F.lit(1), n)))
+        return F.when(F.size(F.split("host", r"\.")) >= labels, keys).otherwise(F.array().cast("array<string>"))
+
+    keys = F.flatten(F.array(*[keys_of(*x) for x in by_labels.items()]))
+    asked = located.where("host != ''").select("host", "path").distinct().select("host", "path", F.explode(keys).alias("key"))
     h, g, masks = _bloom(F.col("key"))
     asked = asked.withColumns({"block": F.pmod(h, F.lit(blocks)), "g": g})
     passed = asked.join(F.broadcast(bloom_filter(entries, blocks)), "block")  # MAX_BLOCKS rows at most
     for i, m in enumerate(masks):
         passed = passed.where(m.bitwiseAND(F.col(f"w{i}")) == m)
     hits = passed.select("host", "path", "key").join(entries, "key")
-    best = hits.groupBy("host", "path").agg(F.min(F.struct(-F.col("chars"), -F.col("host_chars"), F.col("verdict"), F.col("key"))).alias("best"))
-    best = best.select("host", "path", F.col("best.key").alias("rule"), F.col("best.verdict").alias("found"))
-    return located.join(best, ["host", "path"], "left").select(*kept, "host", "path", "rule", F.coalesce("found", F.lit(default)).alias("verdict"))
+    best = hits.groupBy("host", "path").agg(F.min(F.struct(-F.col("chars"), -F.col("host_chars"), F.col("verdict"), F.col("rule"))).alias("best"))
+    best = best.select("host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("found"))
+    # every pair stands with each salt, so the rows of one URL, or of none, spread over SALTS tasks
+    salted = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = located.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    return spread.join(salted, ["host", "path", "salt"], "left").select(*kept, "host", "path", "rule", F.coalesce("found", F.lit(default)).alias("verdict"))
 
 
 def op1_url_filter(spark, sf_dir: str) -> DataFrame:
