@@ -3,8 +3,8 @@ r"""WARC archives: written from pages, read back by boundary-chain verification.
 Writing: records with equal payloads (same length and SHA-1) of at least min_bytes are one response, that of
 the largest page_id, and revisits that refer to it and carry no payload.  Records are built as DataFrame
 expressions and written by Spark's text writer, whose line separator is the end of a record, so archives can
-lie in any store that Spark writes to; a file holds at most FILE_RECORDS records, which bounds what a reader
-holds.
+lie in any store that Spark writes to; a file holds at most FILE_RECORDS records and, however long pages are,
+FILE_BYTES (or one record), which bounds what a reader holds.
 
 Reading: every place of a file that holds the magic ``WARC/1.`` is a candidate; its header tells the offset of
 its successor.  Candidates of a file meet by the file's name, and pointer jumping from the file's start keeps
@@ -14,7 +14,8 @@ error, not a shorter result.
 
 Nulls and odd rows: null html is an empty payload; a null page_id counts as smallest, and is read back as
 null; rows that tie for the largest page_id are all responses; line breaks in a URL are left out of its
-header; an empty table gives no row.
+header; other columns are left out; an empty table gives no row; a record or a foreign file of 2 GB and more can't
+be read, as Spark reads a file as one value.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import scratch_path
 
-MIN_BYTES, FILE_RECORDS = 0, 1024
+MIN_BYTES, FILE_RECORDS, FILE_BYTES, SALTS = 0, 1024, 256 << 20, 16
 CRLF, MAGIC = "\r\n", "WARC/1.1"
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -54,7 +55,9 @@ def records(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
     p = pages.select("page_id", "url", html.alias("html"), F.sha1(F.encode(html, "UTF-8")).alias("digest"), F.octet_length(html).cast("long").alias("bytes"))
     same = p.groupBy("digest", "bytes").agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("bytes") >= min_bytes))
-    p = p.join(same, ["digest", "bytes"], "left")
+    # each group stands with every salt, so pages of one payload spread over SALTS tasks
+    same = same.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    p = p.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(same, ["digest", "bytes", "salt"], "left")
     revisit = F.col("n").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("largest"))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(">"))
     block = F.when(revisit, F.lit("")).otherwise(F.concat(F.lit(_HTTP), F.col("html")))
@@ -74,7 +77,9 @@ def records(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, compression: str = "gzip") -> None:
-    records(pages, min_bytes).write.option("lineSep", CRLF + CRLF).option("compression", compression).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    largest = pages.agg(F.max(F.octet_length("html") + F.coalesce(F.octet_length("url"), F.lit(0)))).first()[0] or 0
+    most = max(1, min(FILE_RECORDS, FILE_BYTES // (largest + 1024)))
+    records(pages, min_bytes).write.option("lineSep", CRLF + CRLF).option("compression", compression).option("maxRecordsPerFile", most).text(path)
 
 
 def inflate(content: bytes) -> bytes:
