@@ -53,6 +53,23 @@ def test_url_filter(spark):
     assert {r.verdict for r in urlfilter.url_filter(pages, listed.limit(0)).collect()} == {"allow"}
 
 
+def test_url_filter_of_many_shapes(spark):
+    r = random.Random(6)
+    hosts, paths = ["a", "b.a", "c.b.a", "x.a", "a.b", "", "ab"], ["", "/", "/p", "/p/q", "/pq", "p", "/" + "z" * 50]
+    rules = sorted({(r.choice(hosts[:5]), r.choice(paths)) for _ in range(25)} | {("a", "b/p")})
+    listed = [(h, p, r.choice(["allow", "block"])) for h, p in rules]
+    urls = [f"s://{h}{p}{t}" for h in hosts for p in paths for t in ("", "/r", "?q", "r")] + ["s://a?b/p", None]
+    want = []
+    for i, u in enumerate(urls):
+        host, path = re.search(r"://([^/?#]*)([^?#]*)", u or "").groups() if u else ("", "")
+        fits = [(len(h + p), len(h), v, h + p) for h, p, v in listed if host and (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = min(fits, key=lambda x: (-x[0], -x[1], x[2], x[3]), default=(0, 0, "none", None))
+        want.append((i, host, path, best[3], best[2]))
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
+    got = urlfilter.url_filter(pages, spark.createDataFrame(listed, "host string, path string, verdict string"), "none").collect()
+    assert sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got) == want
+
+
 def test_chat_round_trip(spark):
     texts = [None, "", r"\### Assistant: </turn> ok", "\\", "\\\\e", "</turn>\n### x: y", "é" * 3, "\\h\\c\\", "a: b", "</turn", "x" * 50000]
     rows = [(c, i, r, t) for c, r in ((1, "user"), (2, "assistant"), (3, "a: </turn>### \\"), (None, None)) for i, t in enumerate(texts)] + [(4, 0, "user", "same")] * 2
@@ -421,6 +438,14 @@ def test_warc(spark, tmp_path):
     assert [(a, b) for a, b, *_ in warc.candidates(plain)] == [(0, len(plain))]
 
 
+def test_warc_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 50_000)
+    pages = [(i, "u", "x" * (9000 if i == 5 else 10) + str(i)) for i in range(40)]
+    warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), f"{tmp_path}/a", compression="none")
+    sizes = [f.stat().st_size for f in (tmp_path / "a").glob("part-*")]
+    assert len(sizes) >= 10 and max(sizes) <= 50_000 and warc.read_archives(spark, f"{tmp_path}/a").count() == 40
+
+
 def test_warc_long_url_and_broken_chain(spark, tmp_path):
     long = "http://a/" + "WARC/1.1 é" * 12000 + "WARC/1.1"
     pages = [(1, "u", "x"), (2, long, "y"), (3, "v", "z\r\nWARC/1.1\r\n"), (4, long, "WARC/1.1\r\n" * 30000), (5, "w", "v")]
