@@ -80,14 +80,14 @@ def strip_fence(text: Column) -> Column:
 
 
 def json_answer(text: Column) -> Column:
-    """The first string among the answer keys of an object that has no other keys; else null."""
+    """The first string among the answer keys, whatever their case, of an object that has no other keys; else null."""
     t = strip(text)
-    table = F.from_json(t, "map<string,string>")
-    keys = F.transform(F.map_keys(table), lambda k: F.lower(k))
-    lowered = F.map_from_entries(F.array_distinct(F.transform(F.map_entries(table), lambda e: F.struct(F.lower(e.key).alias("key"), e.value.alias("value")))))
+    entries = F.map_entries(F.from_json(t, "map<string,variant>"))
     known = F.array(*[F.lit(k) for k in ANSWER_KEYS])
-    fine = t.startswith("{") & t.endswith("}") & (F.size(keys) > 0) & (F.size(F.array_except(keys, known)) == 0)
-    return F.when(fine, F.coalesce(*[F.try_element_at(lowered, F.lit(k)) for k in ANSWER_KEYS]))
+    fine = t.startswith("{") & t.endswith("}") & (F.size(entries) > 0) & ~F.exists(entries, lambda e: ~F.array_contains(known, F.lower(e.key)))
+    texts = F.filter(entries, lambda e: F.schema_of_variant(e.value) == "STRING")
+    first = lambda k: F.get(F.filter(texts, lambda e: F.lower(e.key) == k), F.lit(0))["value"]
+    return F.when(fine, F.coalesce(*[F.try_variant_get(first(k), "$", "string") for k in ANSWER_KEYS]))
 
 
 def unwrap(text: Column) -> Column:

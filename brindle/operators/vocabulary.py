@@ -10,14 +10,20 @@ from pyspark.sql import functions as F
 from ..functions.text import candidate_terms, macro_key, normalize_whitespace, separated_key
 
 
-# Latin letters with an accent, and their base: by Unicode decomposition.
-_ACCENTED = [chr(c) for c in range(0xC0, 0x250) if len(unicodedata.normalize("NFD", chr(c))) > 1]
-_BASE = "".join(unicodedata.normalize("NFD", c)[0] for c in _ACCENTED)
+# Letters that decompose into a base and marks, and their base: by Unicode decomposition.
+_PARTS = {chr(c): unicodedata.normalize("NFD", chr(c)) for c in [*range(0xC0, 0xAC00), *range(0xF900, 0xFFF0)]}
+_ACCENTED = [c for c, x in _PARTS.items() if len(x) > 1 and all(unicodedata.combining(m) for m in x[1:])]
+_BASE = "".join(_PARTS[c][0] for c in _ACCENTED)
+
+
+def fold(column):
+    """Lower case, without accents."""
+    return F.lower(F.regexp_replace(F.translate(column, "".join(_ACCENTED), _BASE), r"\p{Mn}+", ""))
 
 
 def canonical(column):
-    """The comparison key of a term: one spacing, lower case, Latin letters without accents."""
-    return F.lower(F.translate(normalize_whitespace(column), "".join(_ACCENTED), _BASE))
+    """The comparison key of a term: one spacing, lower case, without accents."""
+    return fold(normalize_whitespace(column))
 
 
 def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -35,23 +41,31 @@ def learned(observations: DataFrame, threshold: int = 3) -> DataFrame:
     return observations.groupBy("key").agg(F.count("*").alias("observations")).withColumn("status", F.when(F.col("observations") >= threshold, "active").otherwise("suggested"))
 
 
-def ranking(entries: DataFrame) -> DataFrame:
-    """Active, enabled entries in prompt order with rank: starred, then usage, then term."""
-    order = Window.orderBy(F.desc("starred"), F.desc("usage_count"), F.lower("term"), "term")
-    return entries.where("status = 'active' and enabled").withColumn("rank", F.row_number().over(order))
+PROMPT_ORDER = ("starred desc", "usage_count desc", "lower(term)", "term")
+
+
+def active_terms(entries: DataFrame) -> DataFrame:
+    """The terms of active, enabled entries in prompt order (starred, usage, term): a distributed sort."""
+    return entries.where("status = 'active' and enabled").orderBy(*[F.expr(x.removesuffix(" desc")).desc() if x.endswith(" desc") else F.expr(x) for x in PROMPT_ORDER]).select("term")
+
+
+def ranking(entries: DataFrame, most: int = 40) -> DataFrame:
+    """The first `most` active, enabled entries in prompt order with rank: a top-k, so its window is short."""
+    by = [F.expr(x.removesuffix(" desc")).desc() if x.endswith(" desc") else F.expr(x) for x in PROMPT_ORDER]
+    return entries.where("status = 'active' and enabled").orderBy(*by).limit(most).withColumn("rank", F.row_number().over(Window.orderBy(*by)))
 
 
 def usage(texts: DataFrame, terms: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(term, uses): rows of texts that hold each term bounded by non-letters and non-digits; 0 where none does.
+    """(term, uses): rows of texts that hold each term, whatever its case and accents, bounded by non-letters and non-digits; 0 where none does.
 
     Not a cross join: texts meet terms by an equi-join of their distinct words on the term's rarest (on symbols, if it
     has no word); then the whole term is looked for in the text.  The terms are broadcast, so that texts stay in place.
     """
     parts = lambda c, p: F.array_distinct(F.regexp_extract_all(c, F.lit(p), F.lit(0)))
     word, symbol = r"[\p{L}\p{N}]+", r"[^\p{L}\p{N}]"
-    low = texts.select(F.lower(text).alias("_text"))
+    low = texts.select(fold(F.col(text)).alias("_text"))
     words = low.select("_text", F.explode(parts(F.col("_text"), f"{word}|{symbol}")).alias("_w"))
-    named = terms.where("term is not null").select("term", F.lower("term").alias("_low")).distinct()
+    named = terms.where("term is not null").select("term", fold(F.col("term")).alias("_low")).distinct()
     named = named.withColumn("_parts", F.when(F.col("_low").rlike(word), parts(F.col("_low"), word)).otherwise(parts(F.col("_low"), symbol)))
     wanted = named.select("term", "_low", F.explode("_parts").alias("_w"))
     several = named.where(F.size("_parts") > 1).select(F.explode("_parts").alias("_w")).distinct()
@@ -83,29 +97,163 @@ def resolve_transforms(built_in: DataFrame, user: DataFrame) -> DataFrame:
     return rest.withColumn("built_in", F.lit(True)).unionByName(user.withColumn("built_in", F.lit(False)))
 
 
+FIELDS = ("term", "source", "status", "enabled", "starred", "observations", "usage_count")
+
+
 def import_merge(local: DataFrame, imported: DataFrame) -> DataFrame:
-    """Entries (term, source, status, enabled, starred, observations, usage_count) after an import, without caps.
+    """Entries (key and FIELDS) after an import in the order of imported.ordinal, with change and updated; without caps.
 
-    Matched by canonical key: active wins over other states and brings its enabled flag, manual wins over
-    learned, stars are joined and counters take the larger value.
+    Matched by canonical key; imports of one key merge with each other, the first of a new key being its entry.  A
+    status that is not active becomes active by the first active import, which brings its enabled flag; one manual
+    import makes the entry manual; stars are joined and counters take the largest value.  Each of these rules looks
+    at one row of the imports or at all, so the result of taking them row by row is a plain aggregation by key.
+    change: added, kept or matched; updated: how many imports changed what a user sees.
     """
-    named = lambda df, p: first_by(df.where(F.trim("term") != "").withColumn("key", canonical(F.col("term"))), ["key"], ["term"]).select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("term", "source", "status", "enabled", "starred", "observations", "usage_count")])
-    j = named(local, "l").join(named(imported, "i"), "key", "full_outer")
-    promoted = F.col("i_status").eqNullSafe(F.lit("active")) & (F.col("l_status") != "active")
-    both = lambda c: F.coalesce(F.col(f"l_{c}"), F.col(f"i_{c}"))
+    rows = imported.where(F.trim("term") != "").withColumn("key", canonical(F.col("term")))
+    at = lambda test: F.min(F.when(test, F.col("ordinal")))
+    whole = F.struct("ordinal", *FIELDS)
+    imports = rows.groupBy("key").agg(
+        F.min_by(whole, "ordinal").alias("i"), F.min_by(F.when(F.col("status") == "active", whole), F.when(F.col("status") == "active", F.col("ordinal"))).alias("active"),
+        at(F.col("source") == "manual").alias("manual"), at(F.col("starred")).alias("star"), F.max("observations").alias("most_seen"), F.max("usage_count").alias("most_used"),
+    )
+    named = local.where(F.trim("term") != "").withColumn("key", canonical(F.col("term")))
+    own = named.groupBy("key").agg(F.min_by(F.struct("ordinal", *FIELDS), "ordinal").alias("l"))
+    j = own.join(imports, "key", "full_outer").withColumn("b", F.coalesce("l", F.col("i")))
+    promoted = (F.col("b.status") != "active") & F.col("active").isNotNull()
+    seen = [F.when(promoted, F.col("active.ordinal")), F.when(F.col("b.source") != "manual", F.col("manual")), F.when(~F.coalesce("b.starred", F.lit(False)), F.col("star"))]
     return j.select(
         "key",
-        both("term").alias("term"),
-        F.when(F.col("i_source").eqNullSafe(F.lit("manual")), "manual").otherwise(both("source")).alias("source"),
-        F.when(promoted, "active").otherwise(both("status")).alias("status"),
-        F.when(promoted, F.col("i_enabled")).otherwise(both("enabled")).alias("enabled"),
-        (F.coalesce("l_starred", F.lit(False)) | F.coalesce("i_starred", F.lit(False))).alias("starred"),
-        F.greatest("l_observations", "i_observations").alias("observations"),
-        F.greatest("l_usage_count", "i_usage_count").alias("usage_count"),
-        F.when(F.col("l_term").isNull(), "added").when(F.col("i_term").isNull(), "kept").otherwise("matched").alias("change"),
+        "b.term",
+        F.when(F.col("manual").isNotNull(), "manual").otherwise(F.col("b.source")).alias("source"),
+        F.when(promoted, "active").otherwise(F.col("b.status")).alias("status"),
+        F.when(promoted, F.col("active.enabled")).otherwise(F.col("b.enabled")).alias("enabled"),
+        (F.coalesce("b.starred", F.lit(False)) | F.col("star").isNotNull()).alias("starred"),
+        F.greatest("b.observations", "most_seen").alias("observations"),
+        F.greatest("b.usage_count", "most_used").alias("usage_count"),
+        F.when(F.col("l").isNull(), "added").when(F.col("i").isNull(), "kept").otherwise("matched").alias("change"),
+        F.size(F.array_distinct(F.array_compact(F.array(*seen)))).cast("long").alias("updated"),
+        F.coalesce((F.col("l").isNull()) & (F.col("i.status") != "rejected"), F.lit(False)).alias("counted"),
     )
 
 
+def import_counters(merged: DataFrame) -> DataFrame:
+    """added (rejected ones aside) and updated, of import_merge()."""
+    return merged.agg(F.count_if("counted").alias("added"), F.coalesce(F.sum("updated"), F.lit(0)).alias("updated"))
+
+
+def suggestions(entries: DataFrame) -> DataFrame:
+    return entries.where("status = 'suggested'").orderBy("ordinal")
+
+
+def matches(term, query: str):
+    """A search: an empty query matches all."""
+    return F.lit(True) if not query.strip() else F.lower(term).contains(query.strip().lower())
+
+
+def saved(entries: DataFrame, query: str = "") -> DataFrame:
+    """Active entries that match, starred ones first, else in their order."""
+    return entries.where("status = 'active'").where(matches(F.col("term"), query)).orderBy(F.desc("starred"), "ordinal")
+
+
+def exported(entries: DataFrame) -> DataFrame:
+    """One row: how many entries an export holds."""
+    return entries.agg(F.count_if(F.col("status") != "rejected").alias("n"))
+
+
+def remove(entries: DataFrame, ids: DataFrame) -> DataFrame:
+    return entries.join(ids.select("id"), "id", "left_anti")
+
+
+def edit(entries: DataFrame, ids: DataFrame, at, **values) -> DataFrame:
+    """Entries whose id is in ids take the values and the time `at`."""
+    hit = entries.join(ids.select("id", F.lit(True).alias("_hit")).distinct(), "id", "left")
+    new = values | {"updated_at": at}
+    return hit.select(*[F.when(F.col("_hit"), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in entries.columns])
+
+
+def set_enabled(entries: DataFrame, ids: DataFrame, enabled: bool, at) -> DataFrame:
+    return edit(entries, ids, at, enabled=F.lit(enabled))
+
+
+def set_starred(entries: DataFrame, ids: DataFrame, starred: bool, at) -> DataFrame:
+    return edit(entries, ids, at, starred=F.lit(starred))
+
+
+def accept(entries: DataFrame, ids: DataFrame, at) -> DataFrame:
+    return edit(entries, ids, at, status=F.lit("active"), enabled=F.lit(True))
+
+
+def dismiss(entries: DataFrame, ids: DataFrame, at) -> DataFrame:
+    return edit(entries, ids, at, status=F.lit("rejected"), enabled=F.lit(False))
+
+
+def add_manual(entries: DataFrame, additions: DataFrame) -> DataFrame:
+    """additions (ordinal, term) with key, entry (its ordinal, or null) and outcome: blank, duplicate, promoted or added.
+
+    The first entry of a key counts.  An active one makes the addition a duplicate, as does an earlier addition.
+    """
+    cleaned = additions.withColumn("term", normalize_whitespace(F.col("term"))).withColumn("key", canonical(F.col("term")))
+    first = cleaned.where("term != ''").groupBy("key").agg(F.min("ordinal").alias("_first"))
+    own = entries.withColumn("key", canonical(F.col("term"))).groupBy("key").agg(F.min_by(F.struct("ordinal", "status"), "ordinal").alias("_e"))
+    met = cleaned.join(first, "key", "left").join(own, "key", "left")
+    blank = F.coalesce(F.col("term") == "", F.lit(True))
+    outcome = F.when(blank, "blank").when((F.col("_e.status") == "active") | (F.col("ordinal") > F.col("_first")), "duplicate").when(F.col("_e").isNotNull(), "promoted").otherwise("added")
+    return met.select("ordinal", "term", "key", F.col("_e.ordinal").alias("entry"), outcome.alias("outcome"))
+
+
+def with_manual(entries: DataFrame, added: DataFrame, at) -> DataFrame:
+    """Entries after add_manual(): promoted ones in place, added ones at the end (their ordinal after all others)."""
+    promoted = added.where("outcome = 'promoted'").select(F.col("entry").alias("ordinal"), F.lit(True).alias("_hit"))
+    new = {"source": F.lit("manual"), "status": F.lit("active"), "enabled": F.lit(True), "updated_at": at}
+    kept = entries.join(promoted, "ordinal", "left").select(*[F.when(F.col("_hit"), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in entries.columns])
+    last = entries.agg(F.coalesce(F.max("ordinal"), F.lit(0)).alias("_last"))
+    fresh = added.where("outcome = 'added'").crossJoin(F.broadcast(last))  # one row
+    start = new | {"ordinal": F.col("_last") + 1 + F.col("ordinal"), "term": F.col("term"), "starred": F.lit(False), "observations": F.lit(0), "usage_count": F.lit(0)}
+    return kept.unionByName(fresh.select(*[start.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in entries.schema.fields]))
+
+
+def pasted_terms(texts: DataFrame, text: str = "text") -> DataFrame:
+    """(ordinal, term) of texts (ordinal, text): parts between new lines, commas and semicolons; long text, ordinals in order."""
+    parts = texts.select("ordinal", F.posexplode(F.split(text, "[\n,;]")).alias("pos", "term"))
+    return parts.where(F.trim("term") != "").select((F.col("ordinal") * 1_000_000 + F.col("pos")).alias("ordinal"), F.trim("term").alias("term"))
+
+
+def migrated_terms(entries: DataFrame, texts: DataFrame, text: str = "text") -> DataFrame:
+    """(key, term) that a legacy text adds: the first spelling of each key that no entry has."""
+    parts = pasted_terms(texts, text).withColumn("key", canonical(F.col("term"))).where("key != ''")
+    first = parts.groupBy("key").agg(F.min_by("term", "ordinal").alias("term"))
+    return first.join(entries.select(canonical(F.col("term")).alias("key")), "key", "left_anti")
+
+
+def learn(entries: DataFrame, calls: DataFrame, threshold: int = 3, learned_cap: int = 300, suggested_cap: int = 100) -> DataFrame:
+    """Entries (key, term, source, status, observations, ordinal) after calls (call, key, term, in order of call and pos).
+
+    Manual and rejected entries stay as they are; a learned one counts each call once and is active from the threshold
+    on.  New keys enter in the order of their first call and place while there is room: fewer than learned_cap learned
+    and suggested_cap suggested entries before these calls.  The room is fixed at the start, so this is a bounded
+    top-k and not a walk over all calls.
+    """
+    seen = calls.groupBy("key", "call").agg(F.min(F.struct("pos", "term")).alias("f"))
+    counted = seen.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("call", F.col("f.pos").alias("pos"), F.col("f.term").alias("term"))).alias("first"))
+    now = entries.join(counted, "key", "left")
+    learns = (F.col("source") == "learned") & (F.col("status") != "rejected") & F.col("n").isNotNull()
+    total = F.col("observations") + F.coalesce("n", F.lit(0))
+    kept = now.select(
+        "key", "term", "source", F.when(learns & (total >= threshold), "active").otherwise(F.col("status")).alias("status"), F.when(learns, total).otherwise(F.col("observations")).alias("observations"), "ordinal"
+    )
+    counts = entries.agg(F.count_if((F.col("source") == "learned") & (F.col("status") != "rejected")).alias("l"), F.count_if(F.col("status") == "suggested").alias("s")).first()
+    room = max(0, min(learned_cap - counts.l, suggested_cap - counts.s))
+    new = counted.join(entries.select("key"), "key", "left_anti").orderBy("first.call", "first.pos", "key").limit(room)
+    status = F.when(F.col("n") >= threshold, "active").otherwise("suggested")
+    return kept.unionByName(new.select("key", F.col("first.term").alias("term"), F.lit("learned").alias("source"), status.alias("status"), F.col("n").alias("observations"), F.lit(None).cast(entries.schema["ordinal"].dataType).alias("ordinal")))
+
+
+def purged(entries: DataFrame, most: int = 300) -> DataFrame:
+    """Without the rejected entries beyond the newest `most`: a bounded top-k, not one window."""
+    newest = entries.where("status = 'rejected'").orderBy(F.desc("updated_at"), "id").limit(most)
+    return entries.where("status != 'rejected' or status is null").unionByName(newest)
+
+
 def parse_corrections(lines: DataFrame, text: str = "text") -> DataFrame:
     """(ordinal, spoken, replacement) of a text of lines: `->`, `=>` or `→` between two parts; first wins."""
     rows = lines.select(F.posexplode(F.split(text, r"\r\n|\n|\r")).alias("ordinal", "line")).withColumn("line", F.trim("line")).where("line != '' and line not like '#%'")
