@@ -55,25 +55,35 @@ def ranking(entries: DataFrame, most: int = 40) -> DataFrame:
     return entries.where("status = 'active' and enabled").orderBy(*by).limit(most).withColumn("rank", F.row_number().over(Window.orderBy(*by)))
 
 
-def usage(texts: DataFrame, terms: DataFrame, key: str, text: str = "text") -> DataFrame:
+TERMS_AT_ONCE = 20000
+
+
+def usage(texts: DataFrame, terms: DataFrame, key: str, text: str = "text", at_once: int = TERMS_AT_ONCE) -> DataFrame:
     """(term, uses): rows of texts that hold each term, whatever its case and accents, bounded by non-letters and non-digits; 0 where none does.
 
-    Not a cross join: texts meet terms by an equi-join of their distinct words on the term's rarest (on symbols, if it
-    has no word); then the whole term is looked for in the text.  The terms are broadcast, so that texts stay in place.
+    Not a cross join: a text's distinct words meet each term by its longest word (a symbol, if it has no word), and
+    then the whole term is looked for in the text.  Terms are taken in hash parts of about at_once, so what stands
+    in the plan and what is broadcast have that bound; each part is one pass over the texts, without a shuffle of them.
     """
-    parts = lambda c, p: F.array_distinct(F.regexp_extract_all(c, F.lit(p), F.lit(0)))
     word, symbol = r"[\p{L}\p{N}]+", r"[^\p{L}\p{N}]"
-    low = texts.select(fold(F.col(text)).alias("_text"))
-    words = low.select("_text", F.explode(parts(F.col("_text"), f"{word}|{symbol}")).alias("_w"))
-    named = terms.where("term is not null").select("term", fold(F.col("term")).alias("_low")).distinct()
-    named = named.withColumn("_parts", F.when(F.col("_low").rlike(word), parts(F.col("_low"), word)).otherwise(parts(F.col("_low"), symbol)))
-    wanted = named.select("term", "_low", F.explode("_parts").alias("_w"))
-    several = named.where(F.size("_parts") > 1).select(F.explode("_parts").alias("_w")).distinct()
-    held = words.select("_w").join(F.broadcast(several), "_w").groupBy("_w").agg(F.count("*").alias("_texts"))
-    rarest = first_by(wanted.join(held, "_w", "left"), ["term"], [F.coalesce("_texts", F.lit(0)), "_w"])
+    parts = lambda c, p: F.array_distinct(F.regexp_extract_all(c, F.lit(p), F.lit(0)))
+    named = terms.where("term is not null").select("term").distinct().withColumn("_low", fold(F.col("term")))
+    pieces = F.when(F.col("_low").rlike(word), parts(F.col("_low"), word)).otherwise(parts(F.col("_low"), symbol))
+    longest = F.array_max(F.transform(pieces, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     quoted = F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), F.replace("_low", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![\p{L}\p{N}])"))
-    met = words.join(F.broadcast(rarest.select("term", "_low", "_w", quoted.alias("_pattern"))), "_w")
-    uses = met.where((F.col("_low") == F.col("_w")) | F.regexp_like("_text", F.col("_pattern"))).groupBy("term").agg(F.count("*").alias("uses"))
+    wanted = named.select("term", "_low", longest.alias("_w"), quoted.alias("_pattern")).where("_w is not null")
+    n = -(-wanted.count() // at_once)
+    low = texts.select(fold(F.col(text)).alias("_text"))
+    uses = None
+    for i in range(n):
+        some = wanted.where(F.pmod(F.xxhash64("term"), F.lit(n)) == i) if n > 1 else wanted
+        words = sorted(r[0] for r in some.select("_w").distinct().collect())  # about at_once
+        found = low.select("_text", F.explode(F.array_intersect(parts(F.col("_text"), f"{word}|{symbol}" if any(len(w) == 1 for w in words) else word), F.lit(words))).alias("_w"))
+        met = found.join(F.broadcast(some), "_w").where((F.col("_low") == F.col("_w")) | F.regexp_like("_text", F.col("_pattern")))
+        count = met.groupBy("term").agg(F.count("*").alias("uses"))
+        uses = count if uses is None else uses.unionAll(count)
+    if uses is None:
+        return named.select("term", F.lit(0).cast("long").alias("uses"))
     return named.select("term").join(uses, "term", "left").select("term", F.coalesce("uses", F.lit(0)).alias("uses"))
 
 

@@ -80,5 +80,7 @@ def test_usage_of_terms_that_are_not_one_word(spark):
     texts = [(1, "In New York, foo-bar"), (1, "In New York, foo-bar"), (2, "new  york xfoo-bar foo-barn"), (None, "NEW YORK new_v1.2"), (3, "v1.23 v1x2 O'Brien's C++"), (4, None), (5, ""), (6, r"a\E|b new yorker")]
     terms = ["New York", "foo-bar", "v1.2", "O'Brien", "C++", "++", "york", "absent one", r"a\E|b", "", None, "foo-bar"]
     got = vocabulary.usage(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame([(t,) for t in terms], "term string"), "id").collect()
+    again = vocabulary.usage(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame([(t,) for t in terms], "term string"), "id", at_once=3).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
     want = {"New York": 3, "foo-bar": 2, "v1.2": 1, "O'Brien": 1, "C++": 1, "++": 0, "york": 4, "absent one": 0, r"a\E|b": 1, "": 0}
     assert sorted(map(tuple, got)) == sorted(want.items())
