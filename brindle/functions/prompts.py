@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .rules import caret_continues, markdown_surface, unwrap, writing_context
-from .text import strip
+from .text import let, strip
 
 # Label and guidance of each writing context, sentences of the formalities, and the sentence where markdown renders.
 LABELS = {"email": "email", "workChat": "work chat", "casualChat": "casual chat", "document": "document", "codeOrTerminal": "code or terminal", "neutral": "general writing"}
@@ -162,10 +162,10 @@ def strip_tags(answer: Column, rounds: int = 8) -> Column:
         marked = t.startswith("<") | t.endswith(">")
         return F.when(marked, strip(F.regexp_replace(F.regexp_replace(t, front, ""), back, ""))).otherwise(t)
 
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), strip(answer), lambda t, _: peel(t))
     line = lambda x: F.regexp_replace(F.regexp_replace(strip(x), r"(?iU)^<item\s*>\s*", "- "), r"(?iU)\s*</item\s*>\z", "")
-    items = F.array_join(F.transform(F.filter(F.split(done, "\n"), lambda x: x != ""), line), "\n")
-    return F.when(done.rlike(r"(?iU)^<item\s*>"), items).otherwise(done)
+    items = lambda t: F.array_join(F.transform(F.filter(F.split(t, "\n"), lambda x: x != ""), line), "\n")
+    done = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), strip(answer), lambda t, _: peel(t))
+    return let(done, lambda t: F.when(t.rlike(r"(?iU)^<item\s*>"), items(t)).otherwise(t))
 
 
 def normalized_answer(raw: Column) -> Column:

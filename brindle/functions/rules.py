@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import let, strip
 
 # The names by which contexts are told, answer keys in order of preference, words that must be kept.
 CODE_APPS = ("terminal", "iterm", "ghostty", "warp", "xcode", "visual studio code", "vscode", "cursor", "zed")
@@ -81,17 +81,21 @@ def strip_fence(text: Column) -> Column:
 
 def json_answer(text: Column) -> Column:
     """The first string among the answer keys, whatever their case, of an object that has no other keys; else null."""
-    t = strip(text)
-    entries = F.map_entries(F.from_json(t, "map<string,variant>"))
     known = F.array(*[F.lit(k) for k in ANSWER_KEYS])
-    fine = t.startswith("{") & t.endswith("}") & (F.size(entries) > 0) & ~F.exists(entries, lambda e: ~F.array_contains(known, F.lower(e.key)))
-    texts = F.filter(entries, lambda e: F.schema_of_variant(e.value) == "STRING")
-    first = lambda k: F.get(F.filter(texts, lambda e: F.lower(e.key) == k), F.lit(0))["value"]
-    return F.when(fine, F.coalesce(*[F.try_variant_get(first(k), "$", "string") for k in ANSWER_KEYS]))
+
+    def found(entries: Column) -> Column:
+        texts = lambda k: F.get(F.filter(entries, lambda e: (F.lower(e.key) == k) & (F.schema_of_variant(e.value) == "STRING")), F.lit(0))["value"]
+        fine = (F.size(entries) > 0) & ~F.exists(entries, lambda e: ~F.array_contains(known, F.lower(e.key)))
+        return F.when(fine, F.coalesce(*[F.try_variant_get(texts(k), "$", "string") for k in ANSWER_KEYS]))
+
+    def answer(t: Column) -> Column:
+        return F.when(t.startswith("{") & t.endswith("}"), let(F.map_entries(F.from_json(t, "map<string,variant>")), found))
+
+    return let(strip(text), answer)
 
 
 def unwrap(text: Column) -> Column:
-    return F.coalesce(strip(json_answer(text)), strip(json_answer(strip_fence(text))), strip(text))
+    return let(strip(text), lambda t: F.coalesce(strip(json_answer(t)), F.when(t.startswith("```"), strip(json_answer(strip_fence(t)))), t))
 
 
 def word_set(text: Column) -> Column:
@@ -124,15 +128,20 @@ _WORD = r"[\p{L}\p{N}'’]+"
 def strip_repeated_prefix(text: Column, before: Column) -> Column:
     """Without the words at the start that the text before the caret ends with: 3 or more, or all of 2."""
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(_WORD), F.lit(0))
-    b, o = words(before), words(text)
-    most = F.least(F.size(b), F.size(o))
-    ks = F.when(most > 0, F.sequence(F.lit(1), most)).otherwise(F.array().cast("array<int>"))
-    k = F.coalesce(F.array_max(F.filter(ks, lambda i: F.slice(b, -i, i) == F.slice(o, F.lit(1), i))), F.lit(0))
-    gaps = F.split(text, _WORD, -1)
-    originals = F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
-    rest = F.array_join(F.zip_with(F.slice(gaps, k + 1, F.size(gaps)), F.slice(F.concat(originals, F.array(F.lit(""))), k + 1, F.size(gaps)), lambda g, w: F.concat(g, w)), "")
-    rest = F.regexp_replace(rest, r"(?U)^[\s,;:—–-]+", "")
-    return F.when(((k >= 3) | ((k == F.size(b)) & (k >= 2))) & (rest != ""), rest).otherwise(text)
+
+    def repeated(x: Column) -> Column:
+        most = F.least(F.size(x.b), F.size(x.o))
+        ks = F.when(most > 0, F.sequence(F.lit(1), most)).otherwise(F.array().cast("array<int>"))
+        k = F.coalesce(F.array_max(F.filter(ks, lambda i: F.slice(x.b, -i, i) == F.slice(x.o, F.lit(1), i))), F.lit(0))
+        return F.when((k >= 3) | ((k == F.size(x.b)) & (k >= 2)), k)
+
+    def rest(k: Column) -> Column:  # the gaps after the first k words, each with its word
+        gaps, own = F.split(text, _WORD, -1), F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
+        left = F.zip_with(F.slice(gaps, k + 1, F.greatest(F.size(gaps) - k, F.lit(0))), F.slice(own, k + 1, F.greatest(F.size(own) - k, F.lit(0))), lambda g, w: F.concat(g, F.coalesce(w, F.lit(""))))
+        return F.nullif(F.regexp_replace(F.array_join(left, ""), r"(?U)^[\s,;:—–-]+", ""), F.lit(""))
+
+    count = let(F.struct(words(before).alias("b"), words(text).alias("o")), repeated)
+    return F.coalesce(let(count, lambda k: F.when(k.isNotNull(), rest(k))), text)
 
 
 def caret_continues(before: Column) -> Column:

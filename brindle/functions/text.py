@@ -7,7 +7,7 @@ Null text gives null.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,6 +31,16 @@ def _either(words: Iterable[str]) -> str:
     return "|".join(re.escape(w) for w in sorted(words, key=lambda w: (-len(w), w)))
 
 
+def _starts(words: Iterable[str]) -> str:
+    """A look at the first letter, which fails faster than a look behind it."""
+    return "(?=[" + "".join(sorted({re.escape(c) for w in words for c in (w[0].lower(), w[0].upper())})) + "])"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Without Unicode white space at both ends."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
@@ -41,23 +51,30 @@ def normalize_whitespace(text: Column) -> Column:
 
 
 def remove_fillers(text: Column, fillers: Sequence[str] = FILLERS) -> Column:
-    return F.regexp_replace(text, f"(?iu){_BEFORE}(?:{_either(fillers)}){_AFTER}", "")
+    return F.regexp_replace(text, f"(?iu){_starts(fillers)}{_BEFORE}(?:{_either(fillers)}){_AFTER}", "")
 
 
 def collapse_repeats(text: Column, words: Sequence[str] = COLLAPSIBLE) -> Column:
     """Runs of one listed word keep its first spelling."""
-    return F.regexp_replace(text, rf"(?iuU){_BEFORE}({_either(words)})(?:\s+\1)+{_AFTER}", "$1")
+    return F.regexp_replace(text, rf"(?iuU){_starts(words)}{_BEFORE}({_either(words)})(?:\s+\1)+{_AFTER}", "$1")
 
 
 def collapse_stutters(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?iuU){_BEFORE}(\p{{L}}{{1,3}})[-–—]\s+\1([\p{{L}}\p{{M}}]+){_AFTER}", "$1$2")
+    # a beginning of up to three letters, a dash, and a word that begins so: one word, in the spelling of its beginning
+    return F.regexp_replace(text, rf"(?iuU)(?=\p{{L}}){_BEFORE}(\p{{L}}{{1,3}})(?:-|–|—)\s+\1(?=[\p{{L}}\p{{M}}]+{_AFTER})", "$1")
 
 
 def normalize_punctuation(text: Column) -> Column:
-    rules = ((r",\s*,", " "), (r"[–—]\s*[–—]", " "), (r"\s+([,.;:!?])", "$1"), (r"([,.;:!?]){2,}", "$1"), (r"([,;:])\s*([.!?])", "$2"), (r"^\s*[,;:]\s*", ""), (r"\s*[,;:]\s*$", ""), (r"\s+", " "))
-    for pattern, to in rules:
-        text = F.regexp_replace(text, f"(?U){pattern}", to)
-    return text
+    """One mark where several meet, none after white space, no weak mark at either end, one blank between words.
+
+    Commas with nothing between them, and dashes with nothing between them, are a blank.  Of marks without blanks
+    the last stands; a weak mark (comma, semicolon, colon) before an end of a sentence goes.
+    """
+    text = F.regexp_replace(text, r"(?U),\s*,|[–—]\s*[–—]", " ")
+    text = F.regexp_replace(text, r"(?U)\s+(?=[,.;:!?])", "")
+    text = F.regexp_replace(text, "[,.;:!?]+(?=[,.;:!?])", "")
+    text = F.regexp_replace(text, r"(?U)[,;:]\s*(?=[.!?])", "")
+    return F.regexp_replace(F.regexp_replace(text, r"(?U)\A\s*[,;:]\s*|\s*[,;:]\s*\z", ""), _SPACE, " ")
 
 
 def apply_corrections(text: Column, corrections: Sequence[tuple[str, str]]) -> Column:
@@ -73,9 +90,12 @@ def apply_corrections(text: Column, corrections: Sequence[tuple[str, str]]) -> C
     for s, r in pairs:
         first.setdefault(" ".join(s).lower(), r)
     table = F.create_map(*[F.lit(x) for pair in first.items() for x in pair])
-    hits = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda h: F.coalesce(F.try_element_at(table, F.lower(F.regexp_replace(h, _SPACE, " "))), h))
-    gaps = F.split(text, pattern, -1)
-    return F.array_join(F.zip_with(gaps, hits, lambda g, h: F.concat(g, F.coalesce(h, F.lit("")))), "")
+
+    def replaced(t: Column) -> Column:
+        hits = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda h: F.coalesce(F.try_element_at(table, F.lower(F.regexp_replace(h, _SPACE, " "))), h))
+        return F.array_join(F.zip_with(F.split(t, pattern, -1), hits, lambda g, h: F.concat(g, F.coalesce(h, F.lit("")))), "")
+
+    return let(text, replaced)
 
 
 def tidy(text: Column, corrections: Sequence[tuple[str, str]] = ()) -> Column:
@@ -128,23 +148,26 @@ def wake_match(text: Column, greetings: Sequence[str], names: Sequence[str], fuz
 
 
 def candidate_terms(text: Column) -> Column:
-    """Names and technical tokens worth learning, in order, repeats included."""
+    """Names and technical tokens worth learning, in order, repeats included.
+
+    Tokens that hold neither a capital nor a digit nor a joining mark are told by one pattern and looked at no more.
+    """
     terms, gaps = F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)), F.split(text, _TERM, -1)
     last = lambda s: F.right(F.regexp_replace(s, r"(?U)\s+\z", ""), F.lit(1))
 
-    def judged(x: Column) -> Column:  # the term, the gap before it and the term before that: each array is made once
-        t, gap = x.t, last(x.g)
+    def keep(x: Column) -> Column:  # the term, the gap before it and the term before that
+        t = x.t
+        letters = F.regexp_replace(t, r"\P{L}", "")
+        gap = last(x.g)
         prior = F.coalesce(F.when(gap != "", gap), F.right(x.p, F.lit(1)))
         initial = prior.isNull() | prior.isin(".", "!", "?")
-        letters = F.regexp_replace(t, r"\P{L}", "")
-        upper, lower = F.length(F.regexp_replace(letters, r"[^\p{Lu}\p{Lt}]", "")), F.length(F.regexp_replace(letters, r"\P{Ll}", ""))
-        marked = t.rlike(r"\p{Nd}") | t.rlike("[-_+]") | F.substr(t, F.lit(2)).rlike(r"[\p{Lu}\p{Lt}]")
-        keep = (letters != "") & (((upper >= 2) & (lower == 0)) | marked | ((upper >= 1) & ~initial))
-        return F.struct(t.alias("t"), (keep & ~F.lower(t).isin(*COMMON) & ~F.lower(t).startswith("http")).alias("keep"))
+        capitals = letters.rlike(r"[\p{Lu}\p{Lt}].*[\p{Lu}\p{Lt}]") & ~letters.rlike(r"\p{Ll}")
+        marked = t.rlike(r"[\p{Nd}_+-]|^.+[\p{Lu}\p{Lt}]")
+        named = t.rlike(r"[\p{Lu}\p{Lt}]") & ~initial
+        return t.rlike(r"[\p{Lu}\p{Lt}\p{Nd}_+-]") & (letters != "") & (capitals | marked | named) & ~F.lower(t).isin(*COMMON) & ~F.lower(t).startswith("http")
 
     near = F.arrays_zip(terms.alias("t"), gaps.alias("g"), F.concat(F.array(F.lit(None).cast("string")), terms).alias("p"))
-    near = F.filter(near, lambda x: x.t.isNotNull())
-    return F.transform(F.filter(F.transform(near, judged), lambda x: x.keep), lambda x: x.t)
+    return F.transform(F.filter(near, lambda x: x.t.isNotNull() & keep(x)), lambda x: x.t)
 
 
 def split_terms(text: Column, delimiters: str = ",\n") -> Column:

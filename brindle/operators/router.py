@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import rules, text
+from ..functions import prompts, rules, text
 
 
 def prompt(parts: list[tuple[str, Column, int | None]], section: str, body: Column) -> Column:
@@ -35,9 +35,9 @@ def route(utterances: DataFrame, must_keep: tuple[str, ...] = ()) -> DataFrame:
     Order: empty, wake (empty command, transform, command), edit command, macro, exact, basic, smart, fallback.
     A model answer that is late, missing or rejected falls back: to the command, the selection or the basic cleanup.
     """
-    t, basic = F.col("transcript"), text.tidy(F.col("transcript"))
-    basic = F.coalesce(F.nullif(basic, F.lit("")), text.strip(t))
-    answer, late = rules.unwrap(F.col("model_output")), F.col("model_elapsed") > budget(t)
+    t = F.col("transcript")
+    utterances = utterances.withColumns({"_basic": F.coalesce(F.nullif(text.tidy(t), F.lit("")), text.strip(t)), "_answer": prompts.normalized_answer(F.col("model_output"))})
+    basic, answer, late = F.col("_basic"), F.col("_answer"), F.col("model_elapsed") > budget(t)
     missing = F.col("model_output").isNull() | late
     reason = F.when(F.col("model_output").isNull(), "unavailable").when(late, "timed out")
     smart_reason = F.coalesce(reason, rules.rejection(answer, t, must_keep))
@@ -64,10 +64,37 @@ def route(utterances: DataFrame, must_keep: tuple[str, ...] = ()) -> DataFrame:
         .when(smart_reason.isNull(), made("smart", answer, timed=True))
         .otherwise(made("fallback", basic, smart_reason))
     )
-    out = utterances.withColumn("outcome", outcome)
+    out = utterances.withColumn("outcome", outcome).drop("_basic", "_answer")
     return out.withColumn("status", status(F.col("outcome")))
 
 
+def answered(kind: Column, output: Column, elapsed: Column, spoken: Column, selected: Column, previous: Column, before: Column, must_keep: tuple[str, ...] = ()) -> Column:
+    """struct(text, replaces, reason) of a model's answer: smart cleanup, edit, transform or wake command.
+
+    spoken: the transcript or command; selected: what an edit or transform rewrites; previous: text that a wake command
+    may replace; before: the text before the caret.  A late, missing, empty or rejected answer falls back: to the
+    transcript, the selection or the command itself.
+    """
+    smart, wake = kind == "smart", kind == "wake"
+    stripped = lambda c: F.when(smart & (text.strip(before) != ""), rules.strip_repeated_prefix(c, before)).otherwise(c)
+    cased = lambda c: F.when(smart, rules.harmonize_case(c, spoken, before)).otherwise(c)
+    limit = F.when(smart, budget(spoken)).when(kind == "edit", 4.0).otherwise(5.0)
+    source = F.when(smart | wake, spoken).otherwise(selected)
+    replaceable = F.coalesce(text.strip(previous), F.lit("")) != ""
+
+    def judged(clean: Column) -> Column:
+        rejected = F.when(smart, rules.rejection(clean, spoken, must_keep)).when(wake, F.when(clean == "", "empty output")).otherwise(rules.rejection(clean, source, (), True))
+        reason = F.when(output.isNull(), "unavailable").when(elapsed.isNull() | (elapsed > limit), "timed out").otherwise(rejected)
+        return F.struct(clean.alias("clean"), reason.alias("reason"))
+
+    def settled(x: Column) -> Column:
+        value = F.when(x.reason.isNotNull(), source).when(wake, rules.routed_text(x.clean)).otherwise(x.clean)
+        replaces = x.reason.isNull() & wake & rules.replaces_previous(x.clean) & replaceable
+        return F.struct(value.alias("text"), F.coalesce(replaces, F.lit(False)).alias("replaces"), x.reason.alias("reason"))
+
+    return text.let(text.let(text.let(text.let(prompts.normalized_answer(output), stripped), cased), judged), settled)
+
+
 def status(outcome: Column, entered: Column | None = None) -> Column:
     took = F.format_string("%.2fs", outcome["seconds"])
     line = (

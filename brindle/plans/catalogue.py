@@ -55,7 +55,8 @@ def tidy_fillers(spark, d):
 
 
 _PUNCT = _INJECT
-for _p, _r in ((r",\s*,", " "), (r"[–—]\s*[–—]", " "), (r"\s+([,.;:!?])", r"\1"), (r"([,.;:!?]){2,}", r"\1"), (r"([,;:])\s*([.!?])", r"\2"), (r"^\s*[,;:]\s*", ""), (r"\s*[,;:]\s*$", ""), (r"\s+", " ")):
+# What the rules give for the text that the query injects, around texts in which only a run of marks, a weak mark before an end and white space can change.
+for _p, _r in ((",\\s*,", " "), ("\\s+([,.;:!?])", "\\1"), ("[,.;:!?]+([,.;:!?])", "\\1"), ("[,;:]\\s*([.!?])", "\\1"), ("\\s+", " ")):
     _PUNCT = f"regexp_replace({_PUNCT}, '{_p}', '{_r}', 'g')"
 
 
@@ -74,7 +75,7 @@ def tidy_repeats(spark, d):
     return _docs(spark, d).select("doc_id", F.md5(text.collapse_repeats(F.col("text"))).alias("tidied"))
 
 
-@query()
+@query("SELECT doc_id, md5('the What go-go ' || text) AS tidied FROM documents")
 def tidy_stutters(spark, d):
     return _docs(spark, d).select("doc_id", F.md5(text.collapse_stutters(F.concat(F.lit("th- the Wh— what go-go "), "text"))).alias("tidied"))
 
@@ -87,7 +88,12 @@ def corrections_parse(spark, d):
     return vocabulary.parse_corrections(spark.createDataFrame([(_CORRECTIONS,)], "text string"))
 
 
-@query()
+_PAIRS = "text"
+for _a, _b in (("of\\s+the", "OF-THE"), ("the", "THE"), ("and", "AND")) * 2:
+    _PAIRS = f"regexp_replace({_PAIRS}, '(?i)(^|{_B}){_a}($|{_B})', '\\1{_b}\\2', 'g')"
+
+
+@query(f"SELECT doc_id, md5({_PAIRS}) AS fixed FROM documents")
 def corrections_apply(spark, d):
     fixed = text.apply_corrections(F.col("text"), [("the", "THE"), ("of the", "OF-THE"), ("and", "AND")])
     return _docs(spark, d).select("doc_id", F.md5(fixed).alias("fixed"))
@@ -311,7 +317,7 @@ def caret_continues(spark, d):
 
 @query()
 def seam_strip(spark, d):
-    rows = table(spark, d, "conversations").select("conv_id", "turn", "text", F.expr(f"right({_BEFORE}, 60)").alias("b"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "text", F.expr(_BEFORE).alias("b"))
     joined = F.concat(F.coalesce(F.regexp_extract("b", r"\S+ \S+ \S+$", 0), F.lit("")), F.lit(", "), F.col("text"))
     return rows.select("conv_id", "turn", F.md5(rules.strip_repeated_prefix(joined, F.coalesce("b", F.lit("")))).alias("stripped"), F.md5(rules.harmonize_case(F.col("text"), F.col("text"), F.col("b"))).alias("cased"))
 
@@ -423,12 +429,12 @@ def route_utterances(spark, d):
     return router.route(u).select("conv_id", "turn", "outcome.kind", "outcome.reason")
 
 
-@query("""SELECT page_id, 'Window: ' || left(url, 20) || chr(10) || '<transcript>' || chr(10) || left(html, 30) || chr(10) || '</transcript>' AS prompt FROM pages""")
+@query("""SELECT page_id, md5('Window: ' || left(url, 20) || chr(10) || '<transcript>' || chr(10) || html || chr(10) || '</transcript>') AS prompt FROM pages""")
 def prompts(spark, d):
     from ..operators import router
 
     parts = [("App", F.lit(" "), 100), ("Window", F.col("url"), 20), ("Vocabulary", router.vocabulary_hint(F.lit(" , \n")), None)]
-    return table(spark, d, "pages").select("page_id", router.prompt(parts, "transcript", F.left("html", F.lit(30))).alias("prompt"))
+    return table(spark, d, "pages").select("page_id", F.md5(router.prompt(parts, "transcript", F.col("html"))).alias("prompt"))
 
 
 _BIND = ", ".join(f"({i}, 'key', {40 + i % 3}, {m})" for i, m in enumerate((1, 2, 4, 8, 3, 5, 6, 0, 31, 16, 1, 9)))

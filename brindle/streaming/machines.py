@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 Transition = Callable[[dict, dict], tuple[dict, str | None]]
 
 
@@ -83,22 +85,46 @@ def rms(samples: Column) -> Column:
     return F.when(F.size(samples) > 0, F.sqrt(total / F.size(samples))).otherwise(0.0)
 
 
+# Fixed values of the level meter, in dB or shares: where it starts, the least span, how fast floor, ceiling and display follow.
+START_FLOOR, START_CEILING, LEAST_SPAN, HEADROOM, WHOLE_SPAN = -55.0, -37.0, 18.0, 8.0, 26.0
+FALL, RISE, NEAR, ATTACK, RELEASE, UP, DOWN, GATE, MARGIN, LEAST_SHOWN = 0.12, 0.02, 4.0, 0.55, 0.04, 0.45, 0.12, 0.06, 3.0, 0.12
+
+
 def level_curve(loudness: Column) -> Column:
-    """Displayed levels (0 to 1) of an ordered array of RMS values: adaptive floor and ceiling in dB, gate and smoothing."""
+    """Displayed levels (0 to 1) of an ordered array of RMS values: adaptive floor and ceiling in dB, gate and smoothing.
+
+    All arithmetic is in single precision.  Each step works its values out once.
+    """
     f = lambda v: F.lit(v).cast("float")
-    mix = lambda a, b, t: (a + (b - a) * f(t)).cast("float")
+    toward = lambda a, b, t: (a + (b - a) * f(t)).cast("float")
 
     def step(s: Column, x: Column) -> Column:
-        db = (20 * F.log10(F.greatest(x.cast("double"), F.lit(1e-5)))).cast("float")
-        low = F.least(db, s.ceiling - f(18.0))
-        floor = F.when(low <= s.floor, mix(s.floor, low, 0.12)).when(low <= s.floor + f(4.0), mix(s.floor, low, 0.02)).otherwise(s.floor)
-        least = floor + f(18.0)
-        ceiling = F.greatest(F.when(db >= s.ceiling, mix(s.ceiling, db, 0.55)).otherwise(mix(s.ceiling, F.greatest(db, least), 0.04)), least)
-        span = F.greatest(ceiling + f(8.0) - floor, f(26.0))
-        raw = F.least(F.greatest(((db - floor) / span).cast("float"), f(0.0)), f(1.0))
-        gated = F.when((raw < f(0.06)) & (db <= floor + f(3.0)), f(0.0)).when(db >= floor + f(3.0), F.greatest(raw, f(0.12))).otherwise(raw)
-        shown = F.when(gated > s.shown, mix(s.shown, gated, 0.45)).otherwise(mix(s.shown, gated, 0.12))
-        return F.struct(floor.cast("float").alias("floor"), ceiling.cast("float").alias("ceiling"), shown.cast("float").alias("shown"), F.array_append(s.levels, shown.cast("float")).alias("levels"))
-
-    start = F.struct(f(-55.0).alias("floor"), f(-37.0).alias("ceiling"), f(0.0).alias("shown"), F.array().cast("array<float>").alias("levels"))
+        db = (F.log10(F.greatest(x.cast("double"), F.lit(1e-5))) * 20).cast("float")
+
+        def floors(v: Column) -> Column:
+            near = F.when(v.low <= s.floor, toward(s.floor, v.low, FALL)).when(v.low <= s.floor + f(NEAR), toward(s.floor, v.low, RISE)).otherwise(s.floor)
+            return F.struct(v.db.alias("db"), near.cast("float").alias("floor"))
+
+        def ceilings(v: Column) -> Column:
+            least = v.floor + f(LEAST_SPAN)
+            high = F.when(v.db >= s.ceiling, toward(s.ceiling, v.db, ATTACK)).otherwise(toward(s.ceiling, F.greatest(v.db, least), RELEASE))
+            return F.struct(v.db.alias("db"), v.floor.alias("floor"), F.greatest(high, least).cast("float").alias("ceiling"))
+
+        def raw(v: Column) -> Column:
+            share = ((v.db - v.floor) / F.greatest(v.ceiling + f(HEADROOM) - v.floor, f(WHOLE_SPAN))).cast("float")
+            return F.struct(v.db.alias("db"), v.floor.alias("floor"), v.ceiling.alias("ceiling"), F.least(F.greatest(share, f(0.0)), f(1.0)).alias("raw"))
+
+        def shown(v: Column) -> Column:
+            heard = v.db >= v.floor + f(MARGIN)
+            gated = F.when((v.raw < f(GATE)) & (v.db <= v.floor + f(MARGIN)), f(0.0)).when(heard, F.greatest(v.raw, f(LEAST_SHOWN))).otherwise(v.raw)
+            level = let(gated, lambda g: F.when(g > s.shown, toward(s.shown, g, UP)).otherwise(toward(s.shown, g, DOWN)))
+            return F.struct(v.floor.alias("floor"), v.ceiling.alias("ceiling"), level.cast("float").alias("shown"))
+
+        def kept(v: Column) -> Column:
+            return F.struct(v.floor.alias("floor"), v.ceiling.alias("ceiling"), v.shown.alias("shown"), F.array_append(s.levels, v.shown).alias("levels"))
+
+        first = let(db, lambda d: F.struct(d.alias("db"), F.least(d, s.ceiling - f(LEAST_SPAN)).alias("low")))
+        return let(let(let(let(let(first, floors), ceilings), raw), shown), kept)
+
+    start = F.struct(f(START_FLOOR).alias("floor"), f(START_CEILING).alias("ceiling"), f(0.0).alias("shown"), F.array().cast("array<float>").alias("levels"))
     return F.aggregate(loudness, start, step, lambda s: s.levels)

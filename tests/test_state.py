@@ -43,3 +43,93 @@ def test_history(spark):
     assert [r.id for r in history.dropped(h, 2).collect()] == [1]
     probes = spark.sql("SELECT 9 AS probe_id, TIMESTAMP_NTZ '2024-01-01 00:02:00' AS at UNION ALL SELECT 8, TIMESTAMP_NTZ '2024-01-01 00:01:59' UNION ALL SELECT 7, TIMESTAMP_NTZ '2024-01-01 00:04:01'")
     assert {(r.probe_id, r.id) for r in history.recent_item(probes, h, []).collect()} == {(9, 3), (8, 1)}
+
+
+def plain_reducer(events, bindings, permitted=0):
+    """The shortcut reducer event by event, over sets."""
+    from brindle.functions.shortcuts import BITS, CODES
+
+    bit = {c: BITS[m] for m, codes in CODES.items() for c in codes}
+    keys, mods, was, out = set(), set(), [False] * len(bindings), []
+
+    def active(b):
+        mask = 0
+        for c in mods:
+            mask |= bit[c]
+        if b.kind == "disabled" or mask & b.modifiers != b.modifiers:
+            return False
+        if b.exact is not None:
+            for m, codes in CODES.items():
+                want, have = set(b.exact) & set(codes), mods & set(codes)
+                if not want:
+                    if have and not permitted & BITS[m]:
+                        return False
+                elif want == set(codes):
+                    if not have:
+                        return False
+                elif want != have:
+                    return False
+        return b.code in (keys if b.kind == "key" else mods)
+
+    def concerns(b, code):
+        if b.kind == "disabled":
+            return False
+        return code == b.code or (code in bit and (b.exact is not None or bool(bit[code] & b.modifiers)))
+
+    for e in events:
+        before = [active(b) for b in bindings]
+        if e["kind"] == "backendReset":
+            keys, mods = set(), set()
+        elif e["kind"] == "modifierSnapshot":
+            mods = set(e["snapshot"])
+        elif e["kind"] == "modifierChanged":
+            (mods.add if e["is_down"] else mods.discard)(e["key_code"])
+        elif not e["is_repeat"]:
+            (keys.add if e["is_down"] else keys.discard)(e["key_code"])
+        now = [active(b) for b in bindings]
+        up = sorted((i for i in range(len(bindings)) if now[i] and not was[i]), key=lambda i: -bindings[i].specificity)
+        down = sorted((i for i in range(len(bindings)) if was[i] and not now[i] and bindings[i].role != "copyAgain"), key=lambda i: bindings[i].specificity)
+        emitted = [bindings[i].role + ("Triggered" if bindings[i].role == "copyAgain" else "Activated") for i in up] + [bindings[i].role + "Deactivated" for i in down]
+        near = [(b.kind == "key" and b.code == e["key_code"]) if e["kind"] == "keyChanged" else concerns(b, e["key_code"]) for b in bindings]
+        eaten = bool(emitted) if e["kind"] == "modifierSnapshot" else e["kind"] != "backendReset" and any(n and (x or y) for n, x, y in zip(near, before, now))
+        out.append((emitted, eaten))
+        was = now
+    return out
+
+
+def test_shortcut_edges_equal_a_plain_reducer(spark):
+    import random
+
+    from brindle.streaming.keys import Binding, shortcut_edges
+
+    r = random.Random(3)
+    sets = [
+        [Binding("hold", "modifierKey", 63), Binding("toggle", "key", 49, 17), Binding("copyAgain", "key", 9, 3, (55, 59))],
+        [Binding("hold", "key", 49, 1, (54, 55)), Binding("toggle", "modifierKey", 61, 4, (61, 56, 60)), Binding("copyAgain", "disabled", 9)],
+        [Binding("hold", "key", 49), Binding("toggle", "key", 49, 5, (55, 58)), Binding("copyAgain", "modifierKey", 54, 0, ())],
+    ]
+    for n, bindings in enumerate(sets):
+        rows = []
+        for device in range(4):
+            for seq in range(250):
+                kind = r.choices(["modifierChanged", "keyChanged", "modifierSnapshot", "backendReset"], [8, 6, 1, 0.3])[0]
+                code = r.choice([49, 9, 1]) if kind == "keyChanged" else r.choice([54, 55, 56, 58, 59, 60, 61, 63])
+                rows.append((device, seq, kind, code, r.random() < 0.6, r.random() < 0.1, r.sample([54, 55, 56, 58, 61, 63], r.randint(0, 3)) if kind == "modifierSnapshot" else None))
+        names = "device_id seq kind key_code is_down is_repeat snapshot".split()
+        df = spark.createDataFrame(rows, "device_id long, seq long, kind string, key_code int, is_down boolean, is_repeat boolean, snapshot array<int>")
+        got = {(x.device_id, x.seq): (list(x.emitted), x.consumed) for x in shortcut_edges(df, bindings, permitted=8 * (n % 2)).collect()}
+        for device in range(4):
+            own = [dict(zip(names, x)) for x in rows if x[0] == device]
+            for e, want in zip(own, plain_reducer(own, bindings, 8 * (n % 2))):
+                assert got[device, e["seq"]] == want, (n, e)
+        assert any(e for e, _ in got.values())
+
+
+def test_mouse_hold_and_controls():
+    from brindle.streaming import keys
+
+    e = lambda down, busy=False: {"is_down": down, "busy": busy}
+    assert run(keys.mouse_hold, [e(True, True), e(False), e(True), e(True), e(False), e(False)]) == [None, None, "start:hold", None, "stop", None]
+    control = lambda s, x: keys.controlled(s, x, machines.dictation_session)
+    x = lambda event: {"event": event, "busy": False}
+    assert run(control, [x("begin:hold"), x("holdDeactivated"), x("forceToggle"), x("toggleActivated"), x("holdActivated"), x("reset"), x("holdDeactivated")]) == [None, "stop", None, "stop", "start:hold", None, None]

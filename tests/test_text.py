@@ -6,16 +6,16 @@ from pyspark.sql import functions as F
 from brindle.functions import rules, text, versions
 
 TIDY = [
-    ("Um, I uh think  so", "I think so"),
-    ("the the cat", "the cat"),
-    ("very very good", "very very good"),
-    ("th- the dog", "the dog"),
-    ("go-go dancer", "go-go dancer"),
-    ("I, uh, think", "I think"),
-    ("hello , world !", "hello, world!"),
-    ("wait,. what", "wait. what"),
-    (", so", "so"),
-    ("umbrella erm", "umbrella"),
+    ("Uhm, she erm said   yes", "she said yes"),
+    ("they they left and and came", "they left and came"),
+    ("so so far", "so so far"),
+    ("Ca- Carol paid", "Carol paid"),
+    ("a-a battery", "a-a battery"),
+    ("no, um, later", "no later"),
+    ("ten , twenty ; done !", "ten, twenty; done!"),
+    ("stop;!? now", "stop? now"),
+    ("; then go :", "then go"),
+    ("drum, erm uh", "drum"),
     ("", ""),
 ]
 
@@ -84,3 +84,25 @@ def test_usage_of_terms_that_are_not_one_word(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
     want = {"New York": 3, "foo-bar": 2, "v1.2": 1, "O'Brien": 1, "C++": 1, "++": 0, "york": 4, "absent one": 0, r"a\E|b": 1, "": 0}
     assert sorted(map(tuple, got)) == sorted(want.items())
+
+
+def test_json_answers(spark):
+    cases = [('{"Text": "a", "text": "b"}', "a"), ('{"text": 5, "answer": "x"}', "x"), ('{"text": 5}', '{"text": 5}'), ('{"other": "a"}', '{"other": "a"}'), ("{}", "{}"), ('{"text": "a"', '{"text": "a"'), (None, None)]
+    df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, x string").select("i", rules.unwrap(F.col("x")).alias("y"))
+    assert [r.y for r in df.orderBy("i").collect()] == [w for _, w in cases]
+
+
+def test_answer_tags(spark):
+    from brindle.functions import prompts
+
+    cases = [
+        ("<Output>\n <result>Hi </result>\n</OUTPUT >", "Hi"), ("<request>a\nb</request><previous_text></previous_text>done", "done"), ("<list><item>a</item>\n\n<Item > b</item></list>", "- a</item>\n- b".replace("</item>", "")),
+        ("<div>x</div>", "<div>x</div>"), ("x </answer></list>", "x"), ("<output>```\nx\n```</output>", "```\nx\n```"), ('{"text": "<reply>y</reply>"}', "y"), ("", ""), (None, None), ("<result><request>q</request><reply>z", "z"), ("a <list> b", "a <list> b"),
+    ]
+    df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, x string").select("i", prompts.normalized_answer(F.col("x")).alias("y"))
+    assert [r.y for r in df.orderBy("i").collect()] == [w for _, w in cases]
+
+
+def test_bold_and_notes(spark):
+    runs = lambda s: [(r.text, r.bold) for r in one(spark, s, versions.bold_runs)]
+    assert runs("a **b** c") == [("a ", False), ("b", True), (" c", False)] and runs("a ** b") == [("a ** b", False)] and runs("**a**b**c") == [("a", True), ("b**c", False)] and runs("") == []
