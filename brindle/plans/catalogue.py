@@ -88,9 +88,11 @@ def corrections_parse(spark, d):
     return vocabulary.parse_corrections(spark.createDataFrame([(_CORRECTIONS,)], "text string"))
 
 
-_PAIRS = "text"
-for _a, _b in (("of\\s+the", "OF-THE"), ("the", "THE"), ("and", "AND")) * 2:
+# A mark after each blank, so that neighbouring words do not share the blank between them.
+_PAIRS = "regexp_replace(text, '(\\s)', '\\1' || chr(1), 'g')"
+for _a, _b in (("of[\\s\\x01]+the", "OF-THE"), ("the", "THE"), ("and", "AND")):
     _PAIRS = f"regexp_replace({_PAIRS}, '(?i)(^|{_B}){_a}($|{_B})', '\\1{_b}\\2', 'g')"
+_PAIRS = f"replace({_PAIRS}, chr(1), '')"
 
 
 @query(f"SELECT doc_id, md5({_PAIRS}) AS fixed FROM documents")
