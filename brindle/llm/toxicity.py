@@ -28,7 +28,7 @@ MAX_ROWS, MAX_FEATURES, MAX_WEIGHTS, MIN_DOCS = 8192, 32 << 20, 65536, 3
 #: Of 29 settings of ALPHA, L1 and EPOCHS, those with the least out_of_fold() log loss on the training rows of sf0.1.
 ALPHA, BETA, L1, L2, EPOCHS, SEED = 2.0, 1.0, 12.0, 0.1, 5, 17
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-_SLOTS = 22
+_SLOTS, SHARD_BYTES = 22, 2 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -77,7 +77,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, alpha=ALPHA, beta=BETA, l1=L
     inside = []
     for r in rows:
         at = np.minimum(np.searchsorted(known, r), max(0, n - 1))
-        inside.append(np.append(at[known[at] == r] if n else at[:0], n))  # the bias is coordinate n
+        inside.append(np.append(at[known[at] == r] if n else at[:0], n).astype(np.int32))  # the bias is coordinate n
     z, g2, w = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
     free = np.full(n + 1, l1)
     free[n] = 0
@@ -141,7 +141,7 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max
     signed = lambda x: xxhash.xxh3_64_intdigest(x) - (1 << 63)
 
     def pack(batches):
-        for part, texts in shards(batches, "text"):
+        for part, texts in shards(batches, "text", SHARD_BYTES):
             keys, docs = _distinct(*features(texts))
             bounds = np.searchsorted(docs, np.arange(len(texts) + 1))
             packed = [keys[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
@@ -185,7 +185,7 @@ def toxicity(documents: DataFrame, model: tuple[np.ndarray, np.ndarray, float])
     schema = T.StructType([*keep, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches):
-        for part, texts in shards(batches, "text"):
+        for part, texts in shards(batches, "text", SHARD_BYTES):
             p = score(texts, *model)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*part.schema.names, "score", "predicted"])
 
