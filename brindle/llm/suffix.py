@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from .common import materialize, partitions, shards
 
 MATCH, GRAM, CROWD = 100, 32, 500
-_CHUNK, _SORT, _STARTS = 1 << 20, 2 << 20, 1 << 18
+_CHUNK, _SORT, _STARTS = 1 << 20, 1 << 20, 1 << 17
 _BASE = 0x9E3779B97F4A7C15
 _cache: dict = {}
 
@@ -269,7 +269,7 @@ def repeated_starts(docs: DataFrame, match: int = MATCH, crowd: int = CROWD) ->
             return pa.RecordBatch.from_pydict(rows, schema=pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in list(rows)[1:]]]))
 
         docs_held = 0
-        for part, texts in shards(batches, "text"):
+        for part, texts in shards(batches, "text", 4 << 20):
             doc, at, starts, anchor = pieces(texts, match)
             ends = (at + starts + match - 1).tolist()
             digest = np.frombuffer(b"".join([xxhash.xxh3_128_digest(texts[i][a:b]) for i, a, b in zip(doc.tolist(), at.tolist(), ends, strict=True)]), dtype)
@@ -478,7 +478,7 @@ def suffix_dedup(documents: DataFrame, match: int = MATCH, crowd: int = CROWD) -
     joined = docs.alias("d").join(spans.alias("s"), same, "left").select(*[F.col(f"d.`{f.name}`") for f in fields], "s.spans")
 
     def cut(batches):
-        for part, texts in shards(batches, "text"):
+        for part, texts in shards(batches, "text", 4 << 20):
             rows = []
             for text, found in zip(texts, part.column("spans").to_pylist(), strict=True):
                 out, last, gone = [], 0, merge_starts(found, match).tolist() if found else []
