@@ -140,37 +140,42 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # chosen has max_rows rows at most
     signed = lambda x: xxhash.xxh3_64_intdigest(x) - (1 << 63)
 
+    def bounded(held):
+        """The first rows (place, tie, label, packed) in seeded order, up to both bounds."""
+        held.sort()
+        ends = np.cumsum([len(x[3]) // 4 for x in held])
+        return held[: max(1, min(max_rows, int(np.searchsorted(ends, max_features, "right"))))]
+
     def pack(batches):
+        """Of each task its first rows: none after them can be among the first of all."""
+        held, size = [], 0
         for part, texts in shards(batches, "text", SHARD_BYTES):
             keys, docs = _distinct(*features(texts))
             bounds = np.searchsorted(docs, np.arange(len(texts) + 1))
-            packed = [keys[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
-            place = [signed(str(x)) for x in part.column("doc_id").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(map(signed, packed), pa.int64()), part.column("label"), pa.array(packed, pa.binary())], names=["place", "tie", "label", "packed"])
-
-    def first(batches):
-        """The rows up to both bounds, of batches in seeded order."""
-        held = size = 0
-        for batch in batches:
-            sizes = np.cumsum(pa.compute.binary_length(batch.column("packed")).to_numpy()) // 4
-            n = min(batch.num_rows, max_rows - held, max(1 - min(held, 1), int(np.searchsorted(sizes, max_features - size, "right"))))
-            if n:
-                yield batch.slice(0, n)
-                held, size = held + n, size + int(sizes[n - 1])
-            if n < batch.num_rows:
-                return
+            for x, label, a, b in zip(part.column("doc_id").to_pylist(), part.column("label").to_pylist(), bounds, bounds[1:], strict=False):
+                packed = keys[a:b].tobytes()
+                held.append((signed(str(x)), signed(packed), label, packed))
+                size += b - a
+            if len(held) > 2 * max_rows or size > 2 * max_features:
+                held = bounded(held)
+                size = sum(len(x[3]) // 4 for x in held)
+        held = bounded(held)
+        for k in range(0, len(held), 512):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held[k : k + 512], strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["place", "tie", "label", "packed"])
 
     def learn(batches):
-        held = list(first(batches))
+        held, size = [], 0
+        for x in (x for b in batches for x in zip(*(c.to_pylist() for c in b.columns), strict=True)):  # in order
+            size += len(x[3]) // 4
+            if held and (len(held) == max_rows or size > max_features):
+                break
+            held.append(x)
         if held:
-            table = pa.Table.from_batches(held)
-            packed = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("packed")]  # no copy
-            keys, weights, bias = fit(packed, table.column("label").to_numpy().astype(float), max_weights=max_weights)
+            keys, weights, bias = fit([np.frombuffer(x[3], np.uint32) for x in held], np.array([x[2] for x in held], float), max_weights=max_weights)
             yield pa.RecordBatch.from_arrays([pa.array([keys.tobytes()], pa.binary()), pa.array([weights.tobytes()], pa.binary()), pa.array([bias], pa.float64())], names=["keys", "weights", "bias"])
 
     schema = "place bigint, tie bigint, label int, packed binary"
-    packed = rows.mapInArrow(pack, schema).sortWithinPartitions("place", "tie").mapInArrow(first, schema)  # no task sends more than the bounds
-    one = packed.withColumn("one", F.lit(1)).repartition("one").drop("one").sortWithinPartitions("place", "tie")
+    one = rows.mapInArrow(pack, schema).withColumn("one", F.lit(1)).repartition("one").drop("one").sortWithinPartitions("place", "tie")
     model = one.mapInArrow(learn, "keys binary, weights binary, bias double").collect()  # one row of at most max_weights weights
     if not model:
         return np.zeros(0, np.uint32), np.zeros(0), -50.0
