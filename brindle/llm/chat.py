@@ -80,17 +80,19 @@ def format_conversations(turns: DataFrame, trained: str = "assistant") -> DataFr
 
     first = conv.select("conv_id", F.transform("source", lambda t: shown(t, conflicts(t.role, True), conflicts(t.text))).alias("source"))
     first = first.withColumn("turns", parse(F.array_join(F.transform("source", render), "")))
-    again = F.transform("source", lambda t, i: F.struct(t.alias("t"), F.get("turns", i).alias("back")))
+    # zip_with keeps the parse outside of any lambda over turns, where it would be worked out again for each turn
+    again = F.slice(F.zip_with("source", "turns", lambda t, back: F.struct(t.alias("t"), back.alias("back"))), F.lit(1), F.size("source"))
     escaped = F.transform(again, lambda x: shown(x.t, ~x.back.role.eqNullSafe(x.t.role) | (x.t.shown_role != x.t.role), ~x.back.text.eqNullSafe(x.t.text) | (x.t.shown != x.t.text)))
     second = first.select("conv_id", escaped.alias("source"))
     second = second.withColumn("formatted", F.array_join(F.transform("source", render), "")).withColumn("turns", parse(F.col("formatted")))
     same = F.transform("turns", lambda t: F.struct(t.role, t.text)) == F.transform("source", lambda t: F.struct(t.role, t.text))
+    lengths = F.transform("source", lambda t: F.struct((t.role == trained).alias("trained"), F.length(render(t)).cast("long").alias("whole"), F.length(t.shown).cast("long").alias("text")))
     sizes = F.aggregate(
-        "source",
+        lengths,
         F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<begin:bigint,end:bigint>>").alias("spans")),
-        lambda a, t: F.struct(
-            (a.at + F.length(render(t))).alias("at"),
-            F.when(t.role == trained, F.array_append(a.spans, F.struct((a.at + F.length(render(t)) - len(MARK) - F.length(t.shown)).alias("begin"), (a.at + F.length(render(t)) - len(MARK)).alias("end")))).otherwise(a.spans).alias("spans"),
+        lambda a, n: F.struct(
+            (a.at + n.whole).alias("at"),
+            F.when(n.trained, F.array_append(a.spans, F.struct((a.at + n.whole - len(MARK) - n.text).alias("begin"), (a.at + n.whole - len(MARK)).alias("end")))).otherwise(a.spans).alias("spans"),
         ),
         lambda a: a.spans,
     )
