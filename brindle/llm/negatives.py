@@ -204,18 +204,19 @@ def search(asks: DataFrame, rows: DataFrame, pivots: Pivots, k: int, same: bool)
     cell, kind, u, far, near = (bounds.column(c).to_numpy() for c in ("cell", "class", "u", "far", "near"))
 
     def route(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            d = pivots.distances(_matrix(b.column(3)))[:, cell]
-            serves = ~((d - u > far + slack) | (d + u < near - slack))  # so that what is not a number serves
-            serves &= b.column(0).to_numpy()[:, None] != cell
-            if same:
-                serves &= b.column(4).to_numpy()[:, None] == kind
-            row, to = np.nonzero(serves)
-            for a in range(0, len(row), 8192):
-                some = b.take(pa.array(row[a : a + 8192]))
-                yield pa.RecordBatch.from_arrays([pa.array(cell[to[a : a + 8192]].astype(np.int32)), *some.columns[1:4]], names=["cell", "vec_id", "label", "v"])
+        most_rows = max(1, (1 << 22) // max(1, len(cell)))
+        for whole in batches:
+            for begin in range(0, whole.num_rows, most_rows):
+                b = whole.slice(begin, most_rows)
+                d = pivots.distances(_matrix(b.column(3)))[:, cell]
+                serves = ~((d - u > far + slack) | (d + u < near - slack))  # so that what is not a number serves
+                serves &= b.column(0).to_numpy()[:, None] != cell
+                if same:
+                    serves &= b.column(4).to_numpy()[:, None] == kind
+                row, to = np.nonzero(serves)
+                for a in range(0, len(row), 8192):
+                    some = b.take(pa.array(row[a : a + 8192]))
+                    yield pa.RecordBatch.from_arrays([pa.array(cell[to[a : a + 8192]].astype(np.int32)), *some.columns[1:4]], names=["cell", "vec_id", "label", "v"])
 
     away = rows.select("cell", "vec_id", "label", "v", label_class.alias("class")).mapInArrow(route, "cell int, vec_id bigint, label bigint, v array<double>")
     away = materialize(away, "copies")

@@ -91,7 +91,7 @@ class Automaton:
         differ = rows[1:] != rows[:-1]
         common = np.append(-1, np.where(differ.any(1), differ.argmax(1), length) if length else np.zeros(m - 1, int))
         source, letter, target, before = [], [], [], []
-        state, words, total = np.zeros(m, np.int64), np.ones(1, np.int64), 1  # of each row the state after all letters; words below each state
+        state, words, total = np.zeros(m, np.int64), np.ones(1, np.int64), 1  # of each row the state after all letters; words below each state of the last layer
         for depth in range(length - 1, -1, -1):
             new = np.flatnonzero(common <= depth)  # rows at which a node of depth + 1 begins: its edge
             node = np.cumsum(common < depth) - 1  # of each row
@@ -104,11 +104,11 @@ class Automaton:
             name = np.empty(len(begin), np.int64)
             name[first] = total + np.arange(len(first))
             name = name[first][kind]
-            below = words[child]
+            below = words[child - (total - len(words))]
             ahead = np.cumsum(below) - below
             ahead -= np.repeat(ahead[begin], count)
             source.append(name[parent[edges]]), letter.append(char[edges]), target.append(child[edges]), before.append(ahead[edges])
-            words = np.append(words, np.add.reduceat(below, begin)[first])
+            words = np.add.reduceat(below, begin)[first]
             total += len(first)
             state = name[node]
         self.root = int(state[0])
@@ -151,14 +151,15 @@ class Automaton:
         for i in range(half, rows.shape[1] + (gap == 1)):
             if not len(who):
                 break
-            if gap < 0:  # the row has a letter more
-                found.append(self._rest(rows, who, state, number, i + 1))
+            if gap < 0:  # the row has a letter more; of equal letters in a row the first stands for all
+                on = np.flatnonzero((rows[who, i] != rows[who, i - 1]) | (i == half))
+                found.append(self._rest(rows, who[on], state[on], number[on], i + 1))
             else:
                 count = self.first[state + 1] - self.first[state]
                 ends = np.cumsum(count)
                 edge = np.arange(int(ends[-1])) + np.repeat(self.first[state] - (ends - count), count)
                 of = np.repeat(np.arange(len(who)), count)
-                if gap == 0:
+                if i < rows.shape[1]:  # a letter put before its equal is as one put after it
                     other = self.letter[edge] != rows[who[of], i]
                     edge, of = edge[other], of[other]
                 found.append(self._rest(rows, who[of], self.target[edge], number[of] + self.before[edge], i + (gap == 0)))
@@ -196,7 +197,7 @@ def _shard(rows: dict) -> Iterator[tuple]:
         rank = np.empty(len(words), np.int64)
         rank[np.lexsort(straight.T[::-1])] = np.arange(len(words))
         head = length // 2
-        for asked in askers.values():
+        for asked in map(list, map(dict.items, askers.values())):
             own = points([w for w, _ in asked])
             who, number = automaton.near(own[:, ::turn], length - head if backward else head, length)
             if backward:
@@ -234,7 +235,7 @@ def near_words(words: DataFrame, least: int = LEAST, limit: int = LIMIT, shard:
     columns = ["key", "slice", "backward", "t", "asks", "word", "n"]
 
     def run(batches):
-        held, count, last = defaultdict(lambda: ([], defaultdict(list))), 0, None
+        held, count, last = defaultdict(lambda: ([], defaultdict(dict))), 0, None  # an asker once, though it may come for several slices
 
         def flush():
             out = list(_shard(held))
@@ -249,7 +250,10 @@ def near_words(words: DataFrame, least: int = LEAST, limit: int = LIMIT, shard:
                     count = 0
                 last = key, part
                 index_, askers_ = held[backward, length]
-                (askers_[len(word)] if asks else index_).append((word, n))
+                if asks:
+                    askers_[len(word)][word] = n
+                else:
+                    index_.append((word, n))
                 count += 1
         yield from flush()
 
