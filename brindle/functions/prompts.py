@@ -148,24 +148,54 @@ def activity(app: Column, bundle: Column, selected: Column, title: Column) -> Co
     return F.concat(F.lit("The user is writing in "), F.coalesce(app, F.lit("the active application")), F.lit(", treated as "), _of(LABELS, writing_context(app, bundle, title)), F.lit("."), hint)
 
 
-def strip_tags(answer: Column, rounds: int = 8) -> Column:
-    """Without repeated sections at the start and wrapper tags at both ends, to a fixpoint; `<item>` lines become a list.
+def strip_tags(answer: Column) -> Column:
+    """Without repeated sections at the start and wrapper tags at both ends, however deep; `<item>` lines become a list.
 
-    Each round takes any run of sections and opening tags off the start and of closing tags off the end, so nested
-    wrappers go at once; a text on which `rounds` rounds are not enough keeps what is left.
+    The text is taken apart once, into tags and what stands between them.  A walk from the start passes opening tags and whole
+    repeated sections with nothing but white space between them; the closing tags at the end are one run.  The two never need
+    each other: a section ends with a tag of its own, which no run of closing wrapper tags holds.
     """
-    wrap, echo = "|".join(WRAPPERS), "|".join(ECHOED)
-    front = rf"(?isU)\A(?:\s*<(?:{wrap})\s*>|\s*<({echo})\s*>(?:(?!</\1\s*>).)*+</\1\s*>)+\s*"
-    back = rf"(?iU)(?:\s*</(?:{wrap})\s*>)+\s*\z"
+    tag = rf"(?iU)</?(?:{'|'.join((*WRAPPERS, *ECHOED))})\s*+>"
 
     def peel(t: Column) -> Column:
-        marked = t.startswith("<") | t.endswith(">")
-        return F.when(marked, strip(F.regexp_replace(F.regexp_replace(t, front, ""), back, ""))).otherwise(t)
-
-    line = lambda x: F.regexp_replace(F.regexp_replace(strip(x), r"(?iU)^<item\s*>\s*", "- "), r"(?iU)\s*</item\s*>\z", "")
+        tags, between = F.regexp_extract_all(t, F.lit(tag), F.lit(0)), F.split(t, tag, -1)
+        named = F.transform(tags, lambda x: F.struct(x.alias("tag"), F.startswith(x, F.lit("</")).alias("closes"), F.lower(F.regexp_extract(x, r"\w+", 0)).alias("word")))
+        blank = lambda x: strip(x) == ""
+        parts = F.arrays_zip(named.alias("t"), between.alias("gap"), F.slice(between, 2, F.size(between)).alias("after"))
+        return let(F.slice(parts, 1, F.size(tags)), lambda p: let(walked(p, blank), lambda front: rest(t, p, front, blank)))
+
+    def walked(parts: Column, blank) -> Column:
+        """How many tags the start loses."""
+
+        def step(s: Column, x: Column) -> Column:
+            at = s.at + 1
+            state = lambda lost, inside, done: F.struct(at.alias("at"), lost.alias("lost"), inside.alias("inside"), done.alias("done"))
+            outside = F.lit("")
+            wrapper, echo = ~x.t.closes & x.t.word.isin(*WRAPPERS) & blank(x.gap), ~x.t.closes & x.t.word.isin(*ECHOED) & blank(x.gap)
+            return (
+                F.when(s.done, state(s.lost, outside, F.lit(True)))
+                .when((s.inside != "") & x.t.closes & (x.t.word == s.inside), state(at, outside, F.lit(False)))
+                .when(s.inside != "", state(s.lost, s.inside, F.lit(False)))
+                .when(wrapper, state(at, outside, F.lit(False)))
+                .when(echo, state(s.lost, x.t.word, F.lit(False)))
+                .otherwise(state(s.lost, outside, F.lit(True)))
+            )
+
+        start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("lost"), F.lit("").alias("inside"), F.lit(False).alias("done"))
+        return F.aggregate(parts, start, step, lambda s: s.lost)
+
+    def rest(t: Column, parts: Column, front: Column, blank) -> Column:
+        stays = F.transform(parts, lambda x: ~(x.t.closes & x.t.word.isin(*WRAPPERS) & blank(x.after)))
+        back = F.array_position(F.reverse(stays), True).cast("int")  # 0: all go
+        kept = F.when(back == 0, 0).otherwise(F.size(parts) - back + 1)
+        first = F.when(front > 0, F.get(parts, front - 1)["after"]).otherwise(F.when(F.size(parts) > 0, F.get(parts, F.lit(0))["gap"]).otherwise(t))
+        inner = F.transform(F.slice(parts, front + 1, F.greatest(F.lit(0), kept - front)), lambda x: F.concat(x.t.tag, x.after))
+        return strip(F.concat(first, F.array_join(inner, "")))
+
+    line = lambda x: F.regexp_replace(F.regexp_replace(strip(x), r"(?iU)^<item\s*+>\s*+", "- "), r"(?iU)(?<!\s)\s*+</item\s*+>\z", "")
     items = lambda t: F.array_join(F.transform(F.filter(F.split(t, "\n"), lambda x: x != ""), line), "\n")
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), strip(answer), lambda t, _: peel(t))
-    return let(done, lambda t: F.when(t.rlike(r"(?iU)^<item\s*>"), items(t)).otherwise(t))
+    done = let(strip(answer), lambda t: F.when(t.startswith("<") | t.endswith(">"), peel(t)).otherwise(t))
+    return let(done, lambda t: F.when(t.rlike(r"(?iU)^<item\s*+>"), items(t)).otherwise(t))
 
 
 def normalized_answer(raw: Column) -> Column:

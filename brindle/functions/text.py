@@ -7,6 +7,7 @@ Null text gives null.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column
@@ -22,9 +23,37 @@ COMMON = (
     "there", "they", "this", "to", "up", "us", "was", "we", "were", "what", "when", "where", "which", "who", "will", "with", "would", "yes", "you", "your",
 )
 
+# What bounds a word, what a term is made of, and a beginning of a word that the word itself follows.
 _BEFORE, _AFTER = r"(?<![\p{L}\p{M}\p{N}_])", r"(?![\p{L}\p{M}\p{N}_])"
-_SPACE = r"(?U)\s+"
 _TERM = r"[\p{L}\p{N}][\p{L}\p{N}'’._+-]{1,63}"
+_STUTTER = rf"(?iu){_BEFORE}([\p{{L}}]{{1,3}})[-–—]\s+\1([\p{{L}}\p{{M}}]+){_AFTER}"
+
+_SPACE = r"(?U)\s+"
+_WORD = r"[\p{L}\p{M}\p{N}_]+"
+#: Unicode white space.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+#: Those of them that are separators of words within a line: the class Zs, and the tab.
+LINE_BLANKS = "".join(c for c in BLANKS if unicodedata.category(c) == "Zs") + "\t"
+
+# Letters that decompose into a base and marks, and their base: by Unicode decomposition.
+_PARTS = {chr(c): unicodedata.normalize("NFD", chr(c)) for c in [*range(0xC0, 0xAC00), *range(0xF900, 0xFFF0)]}
+_ACCENTED = [c for c, x in _PARTS.items() if len(x) > 1 and all(unicodedata.combining(m) for m in x[1:])]
+_BASE = "".join(_PARTS[c][0] for c in _ACCENTED)
+
+
+def fold(column: Column) -> Column:
+    """Lower case, without accents."""
+    return F.lower(F.regexp_replace(F.translate(column, "".join(_ACCENTED), _BASE), r"\p{Mn}+", ""))
+
+
+def _folded(text: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn").lower()
+
+
+def _any_accent(word: str) -> str:
+    """A pattern of the word whatever the accents of its letters."""
+    letters = unicodedata.normalize("NFC", _folded(word))
+    return "".join(f"[{re.escape(c)}{''.join(x for x in _ACCENTED if _folded(x) == c)}]\\p{{Mn}}*" if c.isalpha() else re.escape(c) for c in letters)
 
 
 def _either(words: Iterable[str]) -> str:
@@ -42,8 +71,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """Without Unicode white space at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+    """Without Unicode white space at both ends; no pattern, which would take the square of a run of blanks inside."""
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def normalize_whitespace(text: Column) -> Column:
@@ -55,13 +84,26 @@ def remove_fillers(text: Column, fillers: Sequence[str] = FILLERS) -> Column:
 
 
 def collapse_repeats(text: Column, words: Sequence[str] = COLLAPSIBLE) -> Column:
-    """Runs of one listed word keep its first spelling."""
-    return F.regexp_replace(text, rf"(?iuU){_starts(words)}{_BEFORE}({_either(words)})(?:\s+\1)+{_AFTER}", "$1")
+    """Runs of one listed word keep its first spelling.
+
+    One pass over words and the gaps between them: a listed word that equals the word before it, with white space
+    between the two, goes with that gap.  A recursive pattern would need a stack as deep as the run.
+    """
+
+    def collapsed(t: Column) -> Column:
+        found, gaps = F.regexp_extract_all(t, F.lit(_WORD), F.lit(0)), F.split(t, _WORD, -1)
+        near = lambda own, low: F.arrays_zip(gaps.alias("gap"), own.alias("own"), low.alias("low"), F.concat(F.array(F.lit("")), low).alias("before"))
+        again = lambda x: x.low.isin(*words) & (x.low == x.before) & x.gap.rlike(r"\A(?U)\s+\z")
+        kept = lambda x: F.when(again(x), "").otherwise(F.concat(x.gap, F.coalesce(x.own, F.lit(""))))
+        return let(found, lambda own: F.array_join(F.transform(near(own, F.transform(own, F.lower)), kept), ""))
+
+    some = text.rlike(rf"(?iuU){_starts(words)}{_BEFORE}({_either(words)})\s+\1{_AFTER}")
+    return F.when(some, collapsed(text)).otherwise(text)
 
 
 def collapse_stutters(text: Column) -> Column:
-    # a beginning of up to three letters, a dash, and a word that begins so: one word, in the spelling of its beginning
-    return F.regexp_replace(text, rf"(?iuU)(?=\p{{L}}){_BEFORE}(\p{{L}}{{1,3}})(?:-|–|—)\s+\1(?=[\p{{L}}\p{{M}}]+{_AFTER})", "$1")
+    """A beginning of up to three letters, a dash, and a word that begins so: one word, in the spelling of its beginning."""
+    return F.regexp_replace(text, _STUTTER, "$1$2")
 
 
 def normalize_punctuation(text: Column) -> Column:
@@ -70,29 +112,32 @@ def normalize_punctuation(text: Column) -> Column:
     Commas with nothing between them, and dashes with nothing between them, are a blank.  Of marks without blanks
     the last stands; a weak mark (comma, semicolon, colon) before an end of a sentence goes.
     """
-    text = F.regexp_replace(text, r"(?U),\s*,|[–—]\s*[–—]", " ")
-    text = F.regexp_replace(text, r"(?U)\s+(?=[,.;:!?])", "")
+    text = F.regexp_replace(text, r"(?U),\s*+,|[–—]\s*+[–—]", " ")
+    text = F.regexp_replace(text, r"(?U)(?<!\s)\s++(?=[,.;:!?])", "")  # a run of blanks is looked at once
     text = F.regexp_replace(text, "[,.;:!?]+(?=[,.;:!?])", "")
-    text = F.regexp_replace(text, r"(?U)[,;:]\s*(?=[.!?])", "")
-    return F.regexp_replace(F.regexp_replace(text, r"(?U)\A\s*[,;:]\s*|\s*[,;:]\s*\z", ""), _SPACE, " ")
+    text = F.regexp_replace(text, r"(?U)[,;:]\s*+(?=[.!?])", "")
+    return F.regexp_replace(F.regexp_replace(text, r"(?U)\A\s*+[,;:]\s*+|(?<!\s)\s*+[,;:]\s*+\z", ""), _SPACE, " ")
 
 
-def apply_corrections(text: Column, corrections: Sequence[tuple[str, str]]) -> Column:
+def apply_corrections(text: Column, corrections: Sequence[tuple[str, str]], any_accent: bool = False) -> Column:
     """One pass over (spoken, replacement) pairs, longest spoken first; replacements are not read again.
 
-    The pairs are a parameter list, so the pattern is a literal that the JVM compiles once.
+    What is found is told by case only (any_accent: nor by accents); of the pairs that fit it whatever its accents the first
+    stands.  The rest of the text stays as it is.  The pairs are a parameter list, so the pattern is a literal that
+    the JVM compiles once.
     """
     pairs = sorted(((s.split(), r) for s, r in corrections if s.split() and r), key=lambda p: -len(" ".join(p[0])))
     if not pairs:
         return text
-    pattern = f"(?iuU){_BEFORE}(?:" + "|".join(r"\s+".join(re.escape(w) for w in s) for s, _ in pairs) + f"){_AFTER}"
+    quoted = _any_accent if any_accent else re.escape
+    pattern = f"(?iuU){_BEFORE}(?:" + "|".join(r"\s+".join(quoted(w) for w in s) for s, _ in pairs) + f"){_AFTER}"
     first: dict[str, str] = {}
     for s, r in pairs:
-        first.setdefault(" ".join(s).lower(), r)
+        first.setdefault(_folded(" ".join(s)), r)
     table = F.create_map(*[F.lit(x) for pair in first.items() for x in pair])
 
     def replaced(t: Column) -> Column:
-        hits = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda h: F.coalesce(F.try_element_at(table, F.lower(F.regexp_replace(h, _SPACE, " "))), h))
+        hits = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda h: F.coalesce(F.try_element_at(table, fold(F.regexp_replace(h, _SPACE, " "))), h))
         return F.array_join(F.zip_with(F.split(t, pattern, -1), hits, lambda g, h: F.concat(g, F.coalesce(h, F.lit("")))), "")
 
     return let(text, replaced)
@@ -118,7 +163,7 @@ def is_scratch(text: Column) -> Column:
     return separated_key(text).isin(*SCRATCH)
 
 
-_ENTER = r"(?iU)(?:^|[ \t\r\n,;:\-]+)press[ \t\r\n]+enter[\s\p{P}]*\z"
+_ENTER = r"(?iU)(?:^|(?<![ \t\r\n,;:\-])[ \t\r\n,;:\-]++)press[ \t\r\n]++enter[\s\p{P}]*+\z"
 
 
 def has_enter_command(text: Column) -> Column:
@@ -153,7 +198,7 @@ def candidate_terms(text: Column) -> Column:
     Tokens that hold neither a capital nor a digit nor a joining mark are told by one pattern and looked at no more.
     """
     terms, gaps = F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)), F.split(text, _TERM, -1)
-    last = lambda s: F.right(F.regexp_replace(s, r"(?U)\s+\z", ""), F.lit(1))
+    last = lambda s: F.right(F.rtrim(s, F.lit(BLANKS)), F.lit(1))
 
     def keep(x: Column) -> Column:  # the term, the gap before it and the term before that
         t = x.t
@@ -180,7 +225,7 @@ def merged_corrections(local: Column, imported: Column) -> Column:
 
     Null counts as empty; without a new line, local comes back as it is.
     """
-    trimmed = lambda c: F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), lambda x: F.regexp_replace(x, r"^[\p{Zs}\t]+|[\p{Zs}\t]+\z", ""))
+    trimmed = lambda c: F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(LINE_BLANKS)))
     lines = trimmed(imported)
     keys = F.transform(lines, F.lower)
     fresh = F.array_except(keys, F.array_append(F.transform(trimmed(local), F.lower), F.lit("")))  # each once, in order

@@ -2,23 +2,10 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import candidate_terms, macro_key, normalize_whitespace, separated_key
-
-
-# Letters that decompose into a base and marks, and their base: by Unicode decomposition.
-_PARTS = {chr(c): unicodedata.normalize("NFD", chr(c)) for c in [*range(0xC0, 0xAC00), *range(0xF900, 0xFFF0)]}
-_ACCENTED = [c for c, x in _PARTS.items() if len(x) > 1 and all(unicodedata.combining(m) for m in x[1:])]
-_BASE = "".join(_PARTS[c][0] for c in _ACCENTED)
-
-
-def fold(column):
-    """Lower case, without accents."""
-    return F.lower(F.regexp_replace(F.translate(column, "".join(_ACCENTED), _BASE), r"\p{Mn}+", ""))
+from ..functions.text import candidate_terms, fold, macro_key, normalize_whitespace, separated_key
 
 
 def canonical(column):
