@@ -30,8 +30,8 @@ def append(history: DataFrame, rows: DataFrame, most: int, ts: str = "ts", key:
 
 
 def update(history: DataFrame, changes: DataFrame, columns: list[str], key: str = "id") -> DataFrame:
-    """Rows whose key is in changes take its columns, nulls included; other keys of changes do nothing."""
-    c = changes.select(key, *[F.col(x).alias(f"_{x}") for x in columns], F.lit(True).alias("_hit"))
+    """Rows whose key is in changes take its columns, nulls included; other keys of changes do nothing.  Of several changes of one key the least by its columns counts."""
+    c = changes.groupBy(key).agg(F.min(F.struct(*[F.col(x).alias(f"_{x}") for x in columns], F.lit(True).alias("_hit"))).alias("c")).select(key, "c.*")
     return history.join(c, key, "left").select(*[F.when(F.col("_hit"), F.col(f"_{x}")).otherwise(F.col(x)).alias(x) if x in columns else F.col(x) for x in history.columns])
 
 

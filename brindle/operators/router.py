@@ -28,44 +28,52 @@ def budget(transcript: Column) -> Column:
 
 
 def route(utterances: DataFrame, must_keep: tuple[str, ...] = ()) -> DataFrame:
-    """utterances with outcome (kind, text, seconds, reason) and status.
+    """utterances with outcome (kind, text, seconds, reason, replaces) and status.
 
-    utterances: transcript, intent, mode (smart, basic, exact), wake (struct or null), macro (payload or null),
-    selected_text, previous_text, transform (name or null), model_output, model_elapsed.
+    utterances: transcript, intent (dictation, command:automatic, command:manual), mode (smart, basic, exact), wake (struct or
+    null), macro (payload or null), selected_text, previous_text, transform (name or null), model_output, model_elapsed;
+    before (the caret), macro_name, retried and enter may be there.
     Order: empty, wake (empty command, transform, command), edit command, macro, exact, basic, smart, fallback.
-    A model answer that is late, missing or rejected falls back: to the command, the selection or the basic cleanup.
+    A model answer that is late, missing or rejected falls back: a wake command and a transform to the command, an edit to the
+    selection, a cleanup to the basic one.  replaces: the text takes the place of previous_text.
     """
-    t = F.col("transcript")
-    utterances = utterances.withColumns({"_basic": F.coalesce(F.nullif(text.tidy(t), F.lit("")), text.strip(t)), "_answer": prompts.normalized_answer(F.col("model_output"))})
-    basic, answer, late = F.col("_basic"), F.col("_answer"), F.col("model_elapsed") > budget(t)
-    missing = F.col("model_output").isNull() | late
-    reason = F.when(F.col("model_output").isNull(), "unavailable").when(late, "timed out")
-    smart_reason = F.coalesce(reason, rules.rejection(answer, t, must_keep))
-    command = F.col("wake.trailing")
-    routed = rules.routed_text(answer)
-
-    def made(kind: str, value: Column, why: Column | None = None, timed: bool = False) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), value.alias("text"), (F.col("model_elapsed") if timed else F.lit(None).cast("double")).alias("seconds"), (why if why is not None else F.lit(None).cast("string")).alias("reason"))
-
-    dictated = F.col("intent") == "dictation"
-    woken = dictated & F.col("wake").isNotNull()
-    edit = F.col("intent").startswith("command")
+    given = lambda c, kind="string": F.col(c) if c in utterances.columns else F.lit(None).cast(kind)
+    t, command = text.strip(F.col("transcript")), text.strip(F.col("wake.trailing"))
+    woken = (F.col("intent") == "dictation") & F.col("wake").isNotNull()
+    edit, asked = F.col("intent").startswith("command"), F.col("transform").isNotNull()
+    previous = F.coalesce(F.col("previous_text"), F.lit(""))
+    kind = F.when(woken & asked, "transform").when(woken, "wake").when(edit, "edit").otherwise("smart")
+    rewritten = F.when(woken, previous).otherwise(F.col("selected_text"))
+    answer = answered(kind, F.col("model_output"), F.col("model_elapsed"), F.when(woken, command).otherwise(t), rewritten, previous, given("before"), must_keep)
+    plain = text.tidy(t)
+    basic = F.coalesce(F.nullif(plain, F.lit("")), t)
+    none, never = F.lit(None).cast("string"), F.lit(False)
+
+    def made(kind: str | Column, value: Column, why: Column = none, seconds: Column | None = None, replaces: Column = never) -> Column:
+        took = F.lit(None).cast("double") if seconds is None else seconds
+        return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), value.alias("text"), took.alias("seconds"), why.alias("reason"), replaces.alias("replaces"))
+
+    a, took = F.col("_answer"), F.col("model_elapsed").cast("double")
+    failed = a.reason.isNotNull()
     outcome = (
-        F.when(text.strip(t) == "", made("empty", F.lit("")))
-        .when(woken & (text.strip(command) == ""), made("wake_failed", F.lit(""), F.lit("empty command")))
-        .when(woken & F.col("transform").isNotNull() & (F.coalesce(F.col("previous_text"), F.lit("")) == ""), made("wake_failed", F.lit(""), F.lit("no previous text")))
-        .when(woken & missing, made("wake_failed", command, reason))
-        .when(woken, made("wake", routed, timed=True))
-        .when(edit & missing, made("edit_failed", F.col("selected_text"), reason))
-        .when(edit, made("edit", answer, timed=True))
+        F.when(t == "", made("empty", F.lit("")))
+        .when(woken & (command == ""), made("wake_failed", F.lit(""), F.lit("empty request")))
+        .when(woken & asked & (text.strip(previous) == ""), made("wake_failed", F.lit(""), F.lit("no recent dictation to transform")))
+        .when(woken & failed, made("wake_failed", command, a.reason))
+        .when(woken & asked, made("transform", a.text, seconds=took, replaces=F.lit(True)))
+        .when(woken, made("wake", a.text, seconds=took, replaces=a.replaces))
+        .when(edit & failed, made("edit_failed", F.col("selected_text"), a.reason))
+        .when(edit, made("edit", a.text, seconds=took))
         .when(F.col("macro").isNotNull(), made("macro", F.col("macro")))
-        .when(F.col("mode") == "exact", made("exact", text.strip(t)))
-        .when(F.col("mode") == "basic", made("basic", basic))
-        .when(smart_reason.isNull(), made("smart", answer, timed=True))
-        .otherwise(made("fallback", basic, smart_reason))
+        .when(F.col("mode") == "exact", made("exact", t))
+        .when((F.col("mode") == "basic") | failed, made(F.when(F.col("mode") == "basic", "basic").otherwise("fallback"), basic, F.when(F.col("mode") != "basic", a.reason)))
+        .otherwise(made("smart", a.text, seconds=took))
     )
-    out = utterances.withColumn("outcome", outcome).drop("_basic", "_answer")
-    return out.withColumn("status", status(F.col("outcome")))
+    out = utterances.withColumn("_answer", answer).withColumn("outcome", outcome).drop("_answer")
+    o = F.col("outcome")
+    name = F.when(o.kind.startswith("wake"), F.col("wake.phrase")).when(o.kind == "transform", F.col("transform")).when(o.kind.startswith("edit"), F.substring_index("intent", ":", -1)).otherwise(F.coalesce(given("macro_name"), t))
+    line = prompts.status_line(o.kind, name, o.seconds, o.reason, F.coalesce(given("retried", "boolean"), never), F.coalesce(given("enter", "boolean"), never))
+    return out.withColumn("status", line)
 
 
 def answered(kind: Column, output: Column, elapsed: Column, spoken: Column, selected: Column, previous: Column, before: Column, must_keep: tuple[str, ...] = ()) -> Column:
@@ -94,12 +102,3 @@ def answered(kind: Column, output: Column, elapsed: Column, spoken: Column, sele
 
     return text.let(text.let(text.let(text.let(prompts.normalized_answer(output), stripped), cased), judged), settled)
 
-
-def status(outcome: Column, entered: Column | None = None) -> Column:
-    took = F.format_string("%.2fs", outcome["seconds"])
-    line = (
-        F.when(outcome["kind"].isin("smart", "wake", "edit"), F.concat(outcome["kind"], F.lit(" in "), took))
-        .when(outcome["reason"].isNotNull(), F.concat(outcome["kind"], F.lit(": "), outcome["reason"]))
-        .otherwise(outcome["kind"])
-    )
-    return line if entered is None else F.when(entered, F.concat(line, F.lit("; detected press enter command"))).otherwise(line)

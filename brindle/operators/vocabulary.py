@@ -223,26 +223,72 @@ def migrated_terms(entries: DataFrame, texts: DataFrame, text: str = "text") ->
 
 
 def learn(entries: DataFrame, calls: DataFrame, threshold: int = 3, learned_cap: int = 300, suggested_cap: int = 100) -> DataFrame:
-    """Entries (key, term, source, status, observations, ordinal) after calls (call, key, term, in order of call and pos).
+    """Entries (key, term, source, status, observations, ordinal) after calls (call, key, term, in order of call and pos), with the result of taking one sight after another.
 
     Manual and rejected entries stay as they are; a learned one counts each call once and is active from the threshold
-    on.  New keys enter in the order of their first call and place while there is room: fewer than learned_cap learned
-    and suggested_cap suggested entries before these calls.  The room is fixed at the start, so this is a bounded
-    top-k and not a walk over all calls.
+    on.  Any other key enters at its first sight at which there is room: under learned_cap learned and suggested_cap
+    suggested entries.  A promotion frees room, so a key may enter at a later sight than its first.  Rejected entries
+    beyond the newest learned_cap go first, where entries have updated_at.
+
+    Sights are walked from one time at which there is room to the next.  There, as many keys enter at once as there is
+    room, and no promotion up to the last of them can put one of them off, only add room after it.  The driver holds what
+    the caps bound: the promotion times of suggested entries and the keys that have entered.  Every step lets at least
+    one key in or passes at least one promotion, so there are at most twice learned_cap steps.
     """
-    seen = calls.groupBy("key", "call").agg(F.min(F.struct("pos", "term")).alias("f"))
-    counted = seen.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("call", F.col("f.pos").alias("pos"), F.col("f.term").alias("term"))).alias("first"))
-    now = entries.join(counted, "key", "left")
-    learns = (F.col("source") == "learned") & (F.col("status") != "rejected") & F.col("n").isNotNull()
+    if "updated_at" in entries.columns and not calls.isEmpty():
+        entries = purged(entries.withColumn("id", F.col("key")) if "id" not in entries.columns else entries, learned_cap)
+    seen = calls.groupBy("key", "call").agg(F.min(F.struct("pos", "term")).alias("f")).select("key", F.struct("call", F.col("f.pos").alias("pos"), F.col("key").alias("tie")).alias("at"), "f.term")
+    learns = (F.col("source") == "learned") & (F.col("status") != "rejected")
+    counts = entries.agg(F.count_if(learns).alias("l"), F.count_if(learns & (F.col("status") == "suggested")).alias("s")).first()
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("at"))
+
+    def promotions(sights: DataFrame, had) -> list:
+        """When the suggested entries among them become active, in order."""
+        reached = sights.withColumn("nth", nth).where(F.col("nth") == F.greatest(F.lit(1), threshold - had))
+        return sorted(tuple(r["at"]) for r in reached.select("at").collect())
+
+    waiting = entries.where(learns & (F.col("status") == "suggested"))
+    ahead = promotions(seen.join(waiting.select("key", "observations"), "key"), F.col("observations")) if counts.s else []
+    fresh = seen.join(entries.select("key"), "key", "left_anti")
+    entered: dict = {}  # key: (sight, term)
+    room, left, now = suggested_cap - counts.s, learned_cap - counts.l, None
+    moment = lambda x: F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(x, seen.schema["at"].dataType.fields, strict=True)])
+    while left > 0:
+        if room <= 0:
+            if not ahead:
+                break
+            now, room = max(x for x in (now, ahead.pop(0)) if x is not None), room + 1
+            continue
+        later = fresh if now is None else fresh.where(F.col("at") > moment(now))
+        if entered:
+            later = later.where(~F.col("key").isin(*entered))
+        new = later.groupBy("key").agg(F.min(F.struct("at", "term")).alias("f")).orderBy("f.at").limit(left if threshold <= 1 else min(room, left)).collect()  # what is active at once takes no room
+        if not new:
+            break
+        entered |= {r["key"]: (tuple(r["f"]["at"]), r["f"]["term"]) for r in new}
+        left, now = left - len(new), tuple(new[-1]["f"]["at"])
+        if threshold > 1:
+            room -= len(new)
+            since = F.lit(None)
+            for r in new:
+                since = F.when(F.col("key") == r["key"], moment(r["f"]["at"])).otherwise(since)
+            ahead = sorted(ahead + promotions(fresh.where(F.col("key").isin(*[r["key"] for r in new])).where(F.col("at") >= since), F.lit(0)))
+        # promotions up to the last that entered have freed their room by now
+        passed = [x for x in ahead if x <= now]
+        room, ahead = room + len(passed), ahead[len(passed) :]
+
+    counted = seen.groupBy("key").agg(F.count("*").alias("n"))
+    known = entries.join(counted, "key", "left")
     total = F.col("observations") + F.coalesce("n", F.lit(0))
-    kept = now.select(
-        "key", "term", "source", F.when(learns & (total >= threshold), "active").otherwise(F.col("status")).alias("status"), F.when(learns, total).otherwise(F.col("observations")).alias("observations"), "ordinal"
-    )
-    counts = entries.agg(F.count_if((F.col("source") == "learned") & (F.col("status") != "rejected")).alias("l"), F.count_if(F.col("status") == "suggested").alias("s")).first()
-    room = max(0, min(learned_cap - counts.l, suggested_cap - counts.s))
-    new = counted.join(entries.select("key"), "key", "left_anti").orderBy("first.call", "first.pos", "key").limit(room)
+    hit = learns & F.col("n").isNotNull()
+    kept = known.select("key", "term", "source", F.when(hit & (total >= threshold), "active").otherwise(F.col("status")).alias("status"), F.when(hit, total).otherwise(F.col("observations")).alias("observations"), "ordinal")
+    if not entered:
+        return kept
+    spark = entries.sparkSession
+    inside = spark.createDataFrame([(k, t, *at) for k, (at, t) in entered.items()], spark.createDataFrame([], "key string, term string").schema.add("call", calls.schema["call"].dataType).add("pos", calls.schema["pos"].dataType).add("tie", "string"))
+    uses = fresh.select("key", "at").join(F.broadcast(inside), "key").where(F.col("at") >= F.struct("call", F.col("pos"), F.col("tie"))).groupBy("key").agg(F.count("*").alias("n"), F.first(inside["term"]).alias("term"))
     status = F.when(F.col("n") >= threshold, "active").otherwise("suggested")
-    return kept.unionByName(new.select("key", F.col("first.term").alias("term"), F.lit("learned").alias("source"), status.alias("status"), F.col("n").alias("observations"), F.lit(None).cast(entries.schema["ordinal"].dataType).alias("ordinal")))
+    return kept.unionByName(uses.select("key", "term", F.lit("learned").alias("source"), status.alias("status"), F.col("n").alias("observations"), F.lit(None).cast(entries.schema["ordinal"].dataType).alias("ordinal")))
 
 
 def purged(entries: DataFrame, most: int = 300) -> DataFrame:

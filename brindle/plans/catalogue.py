@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import rules, text, versions
 from ..operators import history, vocabulary
 from ..sources.documents import case_document, data_url_bytes, file_timestamp, read_vocabulary, table, vocabulary_document
-from ..streaming import machines
+from ..streaming import machines, tables
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -68,11 +68,10 @@ def tidy_punctuation(spark, d):
 _REPEAT = "text"
 for _w in text.COLLAPSIBLE:
     _REPEAT = rf"regexp_replace({_REPEAT}, '(?i)(^|{_B})({_w})(?:\s+{_w})+($|{_B})', '\1\2\3', 'g')"
-
-
-@query(f"SELECT doc_id, md5({_REPEAT}) AS tidied FROM documents")
+# Words that repeat thousands of times in a row stand before every text.
+@query(f"SELECT doc_id, md5('The (it is) ' || {_REPEAT}) AS tidied FROM documents")
 def tidy_repeats(spark, d):
-    return _docs(spark, d).select("doc_id", F.md5(text.collapse_repeats(F.col("text"))).alias("tidied"))
+    return _docs(spark, d).select("doc_id", F.md5(text.collapse_repeats(F.concat(F.lit("The " + "the " * 3000 + "(it IT it is is) "), "text"))).alias("tidied"))
 
 
 @query("SELECT doc_id, md5('the What go-go ' || text) AS tidied FROM documents")
@@ -360,11 +359,26 @@ def wake_latch(spark, d):
     return machines.fold(spoken, "conv_id", ["turn"], machines.wake_latch)
 
 
-@query()
+SESSION = tables.compiled(machines.dictation_session, {f"{kind}:{busy}": {"event": kind, "busy": busy} for kind in ("holdActivated", "holdDeactivated", "toggleActivated", "toggleDeactivated") for busy in (False, True)})
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, event_id % 11 = 0 AS busy,
+    CASE event_type WHEN 'click' THEN 'hold on' WHEN 'view' THEN 'hold off' WHEN 'signup' THEN 'toggle off' ELSE 'toggle on' END AS k FROM events),
+  r AS (SELECT user_id, 0::BIGINT AS i, 'idle' AS s, NULL::BIGINT AS event_id, NULL::VARCHAR AS output FROM e GROUP BY 1
+    UNION ALL SELECT e.user_id, e.i,
+      CASE WHEN s = 'idle' THEN CASE WHEN busy THEN 'idle' WHEN k = 'hold on' THEN 'hold' WHEN k = 'toggle on' THEN 'toggle' ELSE 'idle' END
+        WHEN s = 'hold' THEN CASE k WHEN 'toggle on' THEN 'toggle' WHEN 'hold off' THEN 'idle' ELSE 'hold' END
+        WHEN k = 'toggle off' THEN 'armed' WHEN s = 'armed' AND k = 'toggle on' THEN 'idle' ELSE s END,
+      e.event_id,
+      CASE WHEN s = 'idle' THEN CASE WHEN busy THEN NULL WHEN k = 'hold on' THEN 'start:hold' WHEN k = 'toggle on' THEN 'start:toggle' END
+        WHEN s = 'hold' THEN CASE k WHEN 'toggle on' THEN 'switchedToToggle' WHEN 'hold off' THEN 'stop' END
+        WHEN s = 'armed' AND k = 'toggle on' THEN 'stop' END
+    FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
+SELECT user_id, event_id, output FROM r WHERE output IS NOT NULL""")
 def session_machine(spark, d):
     kinds = F.create_map(*[F.lit(x) for x in ("click", "holdActivated", "view", "holdDeactivated", "purchase", "toggleActivated", "signup", "toggleDeactivated", "error", "toggleActivated")])
-    events = table(spark, d, "events").select("user_id", "event_id", F.element_at(kinds, F.col("event_type")).alias("event"), (F.col("event_id") % 11 == 0).alias("busy"))
-    return machines.fold(events, "user_id", ["event_id"], machines.dictation_session)
+    symbol = F.concat(F.element_at(kinds, F.col("event_type")), F.when(F.col("event_id") % 11 == 0, ":True").otherwise(":False"))
+    return tables.run(table(spark, d, "events"), "user_id", "event_id", symbol, SESSION)
 
 
 _ERR = "VALUES (1, 'timedOut', 'x', true), (2, NULL, 'The request timed out', false), (3, NULL, 'You appear offline', true), (4, 'other', 'Bad file', true), (5, 'cannotFindHost', 'x', true)"
@@ -414,21 +428,44 @@ def case_export(spark, d):
     return _history(spark, d).select("id", case_document(["id", "ts", "raw"], ["clean"]).alias("case"))
 
 
-_UTTER = """CASE turn % 5 WHEN 0 THEN '' WHEN 1 THEN 'hey juniper, ' || text WHEN 2 THEN 'my address' ELSE text END"""
-_MODE = "CASE (conv_id + turn) % 3 WHEN 0 THEN 'smart' WHEN 1 THEN 'basic' ELSE 'exact' END"
-_ELAPSED = "CASE WHEN conv_id % 4 = 0 THEN 9.0 ELSE 1.0 END"
-
-
-@query(f"""SELECT conv_id, turn, CASE WHEN turn % 5 = 0 THEN 'empty' WHEN turn % 5 = 1 AND {_ELAPSED} = 9 THEN 'wake_failed' WHEN turn % 5 = 1 THEN 'wake' WHEN turn % 5 = 2 THEN 'macro'
-  WHEN {_MODE} = 'exact' THEN 'exact' WHEN {_MODE} = 'basic' THEN 'basic' WHEN {_ELAPSED} = 9 THEN 'fallback' ELSE 'smart' END AS kind,
-  CASE WHEN turn % 5 IN (0, 2) THEN NULL WHEN turn % 5 = 1 AND {_ELAPSED} = 9 THEN 'timed out' WHEN turn % 5 > 2 AND {_MODE} = 'smart' AND {_ELAPSED} = 9 THEN 'timed out' END AS reason FROM conversations""")
+# Utterances of every outcome in turn: (kind, and what it takes to get there).
+_I = "(conv_id * 7 + turn) % 14"
+_LATE, _TIMES = "timed out", "CASE (conv_id * 7 + turn) % 14 WHEN 4 THEN 9.0 WHEN 6 THEN 3.9 WHEN 7 THEN 4.1 WHEN 10 THEN 5.1 WHEN 11 THEN 4.9 ELSE 1.0 END"
+_UTTER = f"CASE {_I} WHEN 0 THEN ' ' WHEN 1 THEN 'My address.' WHEN 2 THEN 'um, so the the plan is ' || conv_id WHEN 4 THEN 'uh well the the plan is ' || conv_id WHEN 9 THEN 'hey juniper, make it rhyme' WHEN 10 THEN 'hey juniper, make it rhyme' WHEN 11 THEN 'hey juniper polish' WHEN 12 THEN 'Hi Juniper!' WHEN 13 THEN 'hey juniper polish' ELSE 'Plan ' || conv_id || ' is on track' END"
+
+
+@query(f"""WITH u AS (SELECT conv_id, turn, {_I} AS i FROM conversations),
+  o AS (SELECT *, ['empty', 'macro', 'basic', 'smart', 'fallback', 'exact', 'edit', 'edit_failed', 'edit_failed', 'wake', 'wake_failed', 'transform', 'wake_failed', 'wake_failed'][i + 1] AS kind FROM u)
+SELECT conv_id, turn, kind,
+  CASE WHEN i IN (4, 7, 10) THEN 'timed out' WHEN i = 12 THEN 'empty request' WHEN i = 13 THEN 'no recent dictation to transform' WHEN i = 8 THEN 'assistant-style response' END AS reason,
+  md5(CASE i WHEN 0 THEN '' WHEN 1 THEN '1 Main St' WHEN 2 THEN 'so the plan is ' || conv_id WHEN 4 THEN 'well the plan is ' || conv_id WHEN 6 THEN 'Selected notes of chat ' || conv_id || ', shortened' WHEN 7 THEN 'Selected notes of chat ' || conv_id
+    WHEN 8 THEN 'Selected notes of chat ' || conv_id WHEN 9 THEN 'A rhyme in time ' || conv_id WHEN 10 THEN 'make it rhyme' WHEN 11 THEN 'Polished dictation ' || conv_id WHEN 12 THEN '' WHEN 13 THEN '' ELSE 'Plan ' || conv_id || ' is on track' END) AS text,
+  i IN (9, 11) AS replaces,
+  CASE i WHEN 0 THEN 'Skipped macros and post-processing for empty raw transcript' WHEN 1 THEN 'Voice macro used: My address.' WHEN 2 THEN 'Basic on-device cleanup used' WHEN 3 THEN 'Smart on-device cleanup succeeded (1.00s)'
+    WHEN 4 THEN 'Smart cleanup unavailable; basic cleanup used (timed out)' WHEN 5 THEN 'Preserved exact wording, skipped post-processing' WHEN 6 THEN 'Edit mode succeeded (manual)' WHEN 7 THEN 'Edit mode failed, using selected text (manual)'
+    WHEN 8 THEN 'Edit mode failed, using selected text (manual)' WHEN 9 THEN 'greeting command succeeded (1.00s)' WHEN 10 THEN 'greeting command unavailable; pasted request (timed out)' WHEN 11 THEN 'Transform “polish” applied (4.90s)'
+    WHEN 12 THEN 'greeting command unavailable; pasted request (empty request)' ELSE 'greeting command unavailable; pasted request (no recent dictation to transform)' END AS status
+FROM o""")
 def route_utterances(spark, d):
+    """Every outcome, with budgets met and missed, a refused edit and a transform without a text."""
     from ..operators import router
 
-    u = table(spark, d, "conversations").select("conv_id", "turn", F.expr(_UTTER).alias("transcript"), F.lit("dictation").alias("intent"), F.expr(_MODE).alias("mode"), F.col("text").alias("model_output"), F.expr(_ELAPSED).cast("double").alias("model_elapsed"))
-    none = F.lit(None).cast("string")
-    u = u.withColumns({"wake": text.wake_match(F.col("transcript"), _GREET, _NAME), "macro": F.when(text.macro_key(F.col("transcript")) == "my address", "1 Main St"), "selected_text": none, "previous_text": none, "transform": none})
-    return router.route(u).select("conv_id", "turn", "outcome.kind", "outcome.reason")
+    i = (F.col("conv_id") * 7 + F.col("turn")) % 14
+    said = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    chat = F.col("conv_id").cast("string")
+    selected = F.when(i.isin(6, 7, 8), said("Selected notes of chat ", chat))
+    previous = F.when(i.isin(9, 10, 11), said("Some dictation ", chat)).when(i == 13, "  ")
+    output = (
+        F.when(i == 6, said("<output>", selected, ", shortened</output>")).when(i == 8, "I'm sorry, as an AI I cannot do that.").when(i == 9, said("REPLACE_PREVIOUS\n", "A rhyme in time ", chat))
+        .when(i == 11, said("Polished dictation ", chat)).otherwise(said("Plan ", chat, " is on track"))
+    )
+    u = table(spark, d, "conversations").select(
+        "conv_id", "turn", F.expr(_UTTER).alias("transcript"), F.when(i.isin(6, 7, 8), "command:manual").otherwise("dictation").alias("intent"),
+        F.when(i == 2, "basic").when(i == 5, "exact").otherwise("smart").alias("mode"), output.alias("model_output"), F.expr(_TIMES).cast("double").alias("model_elapsed"), selected.alias("selected_text"), previous.alias("previous_text"),
+    )
+    wake = text.wake_match(F.col("transcript"), _GREET, _NAME)
+    u = u.withColumns({"wake": wake, "macro": F.when(text.macro_key(F.col("transcript")) == "my address", "1 Main St"), "transform": F.when(text.macro_key(wake["trailing"]) == "polish", "polish")})
+    return router.route(u).select("conv_id", "turn", "outcome.kind", "outcome.reason", F.md5("outcome.text").alias("text"), "outcome.replaces", "status")
 
 
 @query("""SELECT page_id, md5('Window: ' || left(url, 20) || chr(10) || '<transcript>' || chr(10) || html || chr(10) || '</transcript>') AS prompt FROM pages""")
@@ -479,4 +516,4 @@ def level_bars(spark, d):
     return table(spark, d, "events").select("event_id", F.get(shortcuts.bars(F.round(F.col("value") / 100, 4)), F.lit(4)).alias("middle"))
 
 
-from . import devices, editing, prompting, records, releases  # noqa: E402, F401  the rest of the queries
+from . import chains, devices, editing, prompting, records, releases  # noqa: E402, F401  the rest of the queries

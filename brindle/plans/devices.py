@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import shortcuts
 from ..sources.documents import table
-from ..streaming import keys, machines, sessions
+from ..streaming import keys, sessions, tables
 from .catalogue import query
 
 # Key events of devices (users) from the events' numbers.
@@ -269,9 +269,16 @@ def pulsing_levels(spark, d):
     return table(spark, d, "events").select("event_id", F.round(F.get(shortcuts.pulsing_bars(level, t), F.lit(2)), 6).alias("third"), F.round(F.get(shortcuts.pill_phases(t + 5, 3), F.lit(1)), 6).alias("pill"))
 
 
-@query("""WITH e AS (SELECT user_id, event_id, event_type IN ('click', 'view') AS down, event_id % 11 = 0 AS busy FROM events WHERE event_type <> 'error' AND event_id % 11 > 0), l AS (SELECT *, lag(down) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM e)
-  SELECT user_id, event_id, CASE WHEN down THEN 'start:hold' ELSE 'stop' END AS output FROM l WHERE down <> coalesce(before, false)""")
+MOUSE = tables.compiled(keys.mouse_hold, {f"{down}:{busy}": {"is_down": down, "busy": busy} for down in (True, False) for busy in (True, False)})
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, event_type IN ('click', 'view') AS down, event_id % 11 = 0 AS busy FROM events),
+  r AS (SELECT user_id, 0::BIGINT AS i, false AS held, NULL::BIGINT AS event_id, NULL::VARCHAR AS output FROM e GROUP BY 1
+    UNION ALL SELECT e.user_id, e.i, down AND (held OR NOT busy), e.event_id, CASE WHEN down AND NOT held AND NOT busy THEN 'start:hold' WHEN held AND NOT down THEN 'stop' END
+    FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
+SELECT user_id, event_id, output FROM r WHERE output IS NOT NULL""")
 def mouse_sessions(spark, d):
-    """Presses and releases of a button; presses while busy (every eleventh event) are left out here and tested apart."""
-    rows = table(spark, d, "events").where("event_type != 'error' and event_id % 11 > 0").select("user_id", "event_id", F.col("event_type").isin("click", "view").alias("is_down"), F.lit(False).alias("busy"))
-    return machines.fold(rows, "user_id", ["event_id"], keys.mouse_hold)
+    """Presses and releases of a button, every eleventh event while something else runs."""
+    symbol = F.concat(F.col("event_type").isin("click", "view").cast("string"), F.lit(":"), (F.col("event_id") % 11 == 0).cast("string"))
+    named = F.element_at(F.create_map(*[F.lit(x) for name in MOUSE.symbols for x in (name.lower(), name)]), symbol)
+    return tables.run(table(spark, d, "events"), "user_id", "event_id", named, MOUSE)

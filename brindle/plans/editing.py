@@ -94,16 +94,19 @@ _KNOWN = "VALUES ('click0', 'Click0', 'manual', 'active', 1, 0), ('view3', 'View
 _CALLS = "SELECT user_id AS call, event_id AS pos, concat(event_type, CAST(event_id % 37 AS VARCHAR(9))) AS key, upper(concat(event_type, CAST(event_id % 37 AS VARCHAR(9)))) AS term FROM events"
 
 
+# One sight after another, by a reduction over maps of learned keys and their sights.
 @query(f"""WITH e AS (SELECT * FROM ({_KNOWN}) t(key, term, source, status, observations, ordinal)), c AS (SELECT key, call, min(pos) AS pos FROM ({_CALLS}) GROUP BY 1, 2),
-  n AS (SELECT key, count(*) AS n, min(call) AS call, arg_min(pos, call) AS pos FROM c GROUP BY 1),
-  k AS (SELECT e.key, term, source, CASE WHEN source = 'learned' AND status <> 'rejected' AND observations + n >= 3 THEN 'active' ELSE status END AS status, observations + CASE WHEN source = 'learned' AND status <> 'rejected' THEN coalesce(n, 0) ELSE 0 END AS observations FROM e LEFT JOIN n USING (key))
-  SELECT * FROM k UNION ALL (SELECT key, upper(key), 'learned', CASE WHEN n >= 3 THEN 'active' ELSE 'suggested' END, n FROM n WHERE key NOT IN (SELECT key FROM e) ORDER BY call, pos, key LIMIT 28)""")
+  m AS (SELECT list_reduce(list_prepend((SELECT map(list(key), list(observations::BIGINT)) FROM e WHERE source = 'learned' AND status <> 'rejected'), (SELECT list(map([key], [1::BIGINT]) ORDER BY call, pos, key) FROM c)),
+    lambda a, b: CASE WHEN list_contains(['click0', 'view3'], map_keys(b)[1]) THEN a
+      WHEN map_contains(a, map_keys(b)[1]) OR (cardinality(a) < 45 AND len(list_filter(map_values(a), lambda v: v < 3)) < 12) THEN map_concat(a, map([map_keys(b)[1]], [coalesce(a[map_keys(b)[1]], 0) + 1])) ELSE a END) AS m),
+  l AS (SELECT unnest(map_keys(m)) AS key, unnest(map_values(m)) AS n FROM m)
+  SELECT key, coalesce(term, upper(key)) AS term, coalesce(source, 'learned') AS source, CASE WHEN source = 'manual' OR status = 'rejected' THEN status WHEN n >= 3 THEN 'active' ELSE 'suggested' END AS status, coalesce(n, observations)::BIGINT AS observations FROM l FULL JOIN e USING (key)""")
 def learn_capped(spark, d):
-    """Learning beside manual and rejected entries, with 28 places left of 30 suggested ones."""
+    """Learning beside manual and rejected entries, with places for 43 more learned and, at first, 10 more suggested ones; promotions free some."""
     e = spark.sql(f"SELECT key, term, source, status, CAST(observations AS BIGINT) AS observations, ordinal FROM ({_KNOWN}) t(key, term, source, status, observations, ordinal)")
     table(spark, d, "events").createOrReplaceTempView("_call_events")
     calls = spark.sql(_CALLS.replace("FROM events", "FROM _call_events"))
-    return vocabulary.learn(e, calls, 3, 300, 30).select("key", "term", "source", "status", "observations")
+    return vocabulary.learn(e, calls, 3, 45, 12).select("key", "term", "source", "status", "observations")
 
 
 @query(f"SELECT ordinal, term FROM ({_ENT_SQL}) WHERE status = 'suggested'")

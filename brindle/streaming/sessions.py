@@ -140,3 +140,30 @@ def pasted(text: Column) -> Column:
 def may_restore(changes: Column, changes_then: Column, content: Column, written: Column) -> Column:
     """Whether the clipboard still holds what was written to it."""
     return (changes == changes_then) | content.eqNullSafe(written)
+
+
+def resolved_contexts(stops: DataFrame, captures: DataFrame, key: str = "session_id") -> DataFrame:
+    """stops (key, stop_id, at, fallback) with context and tier of each stop.
+
+    captures: key, started, finished (null if never), context.  The newest capture that had finished at the stop is the
+    context (captured); else the newest that had started and finished later (in flight), which a stop waits for; else the
+    stop's own fallback.  One window over both, by key and time, not a range join: all of a key's rows need an order.
+    """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    kind = captures.schema["context"].dataType.simpleString()
+    none = lambda t: F.lit(None).cast(t)
+    row = lambda at, place, done, begun, ends: [key, at.alias("_at"), F.lit(place).alias("_place"), done.alias("_done"), begun.alias("_begun"), ends.alias("_ends")]
+    held = F.struct("context")
+    stop = F.struct("stop_id", "at", "fallback")
+    empty = F.lit(None).cast(f"struct<context:{kind}>")
+    no_stop = F.lit(None).cast(stops.select(stop.alias("s")).schema["s"].dataType)
+    ended = captures.where("finished is not null").select(*row(micros("finished"), 1, held, empty, none("long")), no_stop.alias("_stop"))
+    begun = captures.where("finished is not null").select(*row(micros("started"), 0, empty, held, micros("finished")), no_stop.alias("_stop"))
+    asked = stops.select(*row(micros("at"), 2, empty, empty, none("long")), stop.alias("_stop"))
+    w = Window.partitionBy(key).orderBy("_at", "_place", F.coalesce("_done", "_begun")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = lambda c: F.last(c, ignorenulls=True).over(w)
+    seen = ended.unionByName(begun).unionByName(asked).withColumns({"_done": last("_done"), "_flight": last(F.when(F.col("_begun").isNotNull(), F.struct("_begun", "_ends")))}).where("_stop is not null")
+    flying = F.col("_flight").isNotNull() & (F.col("_flight._ends") > F.col("_at"))
+    tier = F.when(F.col("_done").isNotNull(), "captured").when(flying, "in flight").otherwise("fallback")
+    context = F.when(F.col("_done").isNotNull(), F.col("_done.context")).when(flying, F.col("_flight._begun.context")).otherwise(F.col("_stop.fallback"))
+    return seen.select(key, "_stop.stop_id", "_stop.at", context.alias("context"), tier.alias("tier"))

@@ -1,5 +1,7 @@
 """State machines: exact transitions, and batch against stream."""
 
+from pyspark.sql import functions as F
+
 from brindle.operators import history
 from brindle.streaming import machines
 
@@ -133,3 +135,86 @@ def test_mouse_hold_and_controls():
     control = lambda s, x: keys.controlled(s, x, machines.dictation_session)
     x = lambda event: {"event": event, "busy": False}
     assert run(control, [x("begin:hold"), x("holdDeactivated"), x("forceToggle"), x("toggleActivated"), x("holdActivated"), x("reset"), x("holdDeactivated")]) == [None, "stop", None, "stop", "start:hold", None, None]
+
+
+def test_tables_equal_the_reducers(spark):
+    import random
+
+    from brindle.streaming import keys, tables
+
+    r = random.Random(12)
+    for transition, symbols in (
+        (machines.dictation_session, {f"{k}:{b}": {"event": k, "busy": b} for k in ("holdActivated", "holdDeactivated", "toggleActivated", "toggleDeactivated") for b in (False, True)}),
+        (keys.mouse_hold, {f"{d}:{b}": {"is_down": d, "busy": b} for d in (True, False) for b in (True, False)}),
+    ):
+        rows = [(k, at, r.choice([*symbols, None])) for k in ("hot", "b", None) for at in sorted(r.sample(range(-2000, 20000), 3000 if k == "hot" else 40))]
+        want = []
+        for key in ("hot", "b"):
+            state = {}
+            for k, at, s in rows:
+                if k == key and s is not None:
+                    state, out = transition(state, symbols[s])
+                    if out is not None:
+                        want.append((k, at, out))
+        events = spark.createDataFrame(rows, "k string, at long, s string").repartition(5)
+        machine = tables.compiled(transition, symbols)
+        for span, block in ((1024, 4096), (7, 3), (1, 1000)):
+            got = tables.run(events, "k", "at", F.col("s"), machine, span, block).collect()
+            assert sorted(map(tuple, got)) == sorted(want)
+        assert tables.run(events.limit(0), "k", "at", F.col("s"), machine).count() == 0
+
+
+def test_learning_takes_one_sight_after_another(spark):
+    import random
+
+    from brindle.operators import vocabulary
+
+    for seed in range(8):
+        r = random.Random(seed)
+        threshold, learned_cap, suggested_cap = r.choice([(3, 12, 4), (2, 30, 3), (3, 5, 1), (1, 6, 2), (3, 6, 2)])
+        have = [("m", "M", "manual", "active", 1, 0), ("x", "X", "learned", "rejected", 2, 1), ("s1", "S1", "learned", "suggested", 1, 2), ("s2", "S2", "learned", "suggested", threshold - 1, 3), ("a", "A", "learned", "active", 9, 4)]
+        calls = [(c, p, k, k.upper() + str(c)) for c in range(25) for p, k in enumerate(r.choices(["m", "x", "s1", "s2", "a", *"pqrstuvw"], k=r.randint(0, 4)))]
+        state = {h[0]: [h[1], h[2], h[3], h[4]] for h in have}
+        for call in sorted({c[0] for c in calls}):
+            done = set()
+            for _, _, k, term in sorted(c for c in calls if c[0] == call):
+                if k in done:
+                    continue
+                done.add(k)
+                if k in state:
+                    if state[k][1] == "learned" and state[k][2] != "rejected":
+                        state[k][3] += 1
+                        state[k][2] = "active" if state[k][3] >= threshold else state[k][2]
+                    continue
+                live = [s for s in state.values() if s[1] == "learned" and s[2] != "rejected"]
+                if len(live) < learned_cap and sum(s[2] == "suggested" for s in live) < suggested_cap:
+                    state[k] = [term, "learned", "active" if threshold <= 1 else "suggested", 1]
+        entries = spark.createDataFrame(have, "key string, term string, source string, status string, observations long, ordinal int")
+        got = vocabulary.learn(entries, spark.createDataFrame(calls, "call int, pos int, key string, term string"), threshold, learned_cap, suggested_cap)
+        assert {x.key: [x.term, x.source, x.status, x.observations] for x in got.collect()} == state, (seed, threshold, learned_cap, suggested_cap)
+
+
+def test_rejected_entries_go_before_learning(spark):
+    from brindle.operators import vocabulary
+
+    have = spark.createDataFrame([("a", "A", "learned", "rejected", 1, 0, 1), ("b", "B", "learned", "rejected", 1, 1, 2)], "key string, term string, source string, status string, observations long, ordinal int, updated_at int")
+    calls = spark.createDataFrame([(1, 0, "a", "A"), (1, 1, "b", "B")], "call int, pos int, key string, term string")
+    got = {r.key: r.status for r in vocabulary.learn(have, calls, 3, 1, 1).collect()}
+    assert got == {"a": "suggested", "b": "rejected"}
+
+
+def test_root_codes(spark):
+    from brindle.operators.errors import root_codes
+
+    chain = [(i, i + 1, "deep" if i == 20 else None) for i in range(21)]
+    rows = chain + [(30, 31, None), (31, 30, None), (40, 40, None), (41, 99, None), (None, 1, "x"), (50, None, "own"), (51, 50, None), (51, 50, None)]
+    got = {r.id: r.code for r in root_codes(spark.createDataFrame(rows, "id int, cause int, code string"), F.col("code")).collect()}
+    assert got == {i: "deep" if i >= 13 else None for i in range(21)} | {30: None, 31: None, 40: None, 41: None, 50: "own", 51: "own"}
+
+
+def test_changes_of_one_key_are_one(spark):
+    from brindle.operators import history
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id int, text string")
+    changes = spark.createDataFrame([(1, "y"), (1, "x"), (3, "z")], "id int, text string")
+    assert sorted(map(tuple, history.update(rows, changes, ["text"]).collect())) == [(1, "x"), (2, "b")]
