@@ -86,6 +86,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def unused(names: Iterable[str]) -> str:
+    """A name that is not among them."""
+    return "_" * (1 + max(map(len, names), default=0))
+
+
 def ascii_lower(column):
     """A-Z only, whatever the locale."""
     return F.translate(column, UPPER, LOWER)

@@ -252,8 +252,9 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     first = least.join(groups(prints), "fingerprint").groupBy("group").agg(F.min("first").alias("first")).select("first.*")
     zero = F.lit(0).cast(documents.schema["doc_id"].dataType)
     first = first.select(F.coalesce("doc_id", zero).alias("_id"), F.when(F.col("none"), F.bitwise_not("text_key")).otherwise(F.col("text_key")).alias("_place"))
-    keyed = documents.withColumns({"_id": F.coalesce(id_, zero), "_place": place})
-    return keyed.join(first, ["_id", "_place"], "left_semi").dropDuplicates(["_id", "_place"]).select(*[F.col(f"`{c}`") for c in documents.columns])
+    # the rows stand apart in one struct, so that no name of theirs meets one of these
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("own"), F.coalesce(id_, zero).alias("_id"), place.alias("_place"))
+    return rows.join(first, ["_id", "_place"], "left_semi").dropDuplicates(["_id", "_place"]).select(*[F.col("own").getField(c).alias(c) for c in documents.columns])
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

@@ -8,11 +8,13 @@ fixed bound, so it may be broadcast).  Keys that pass meet the list in an equi-j
 positives; the longest entry wins (ties: the longer host, then the smaller verdict).
 
 All of it is DataFrame expressions.  Only distinct (host, path) pairs are looked up, so a URL that fills a
-third of the table costs one lookup, and its rows meet the result salted, so no task gets them all.
+third of the table costs one lookup, and its rows meet the result salted, so no task gets them all.  A key that very many
+pairs share (a listed top-level domain) meets the list as one row; the entries that are hit meet the pairs salted.
 
 Nulls and odd rows: a null URL, or one without ://, has empty host and path and no rule; an empty list gives
 every URL the default verdict; listed rows with a null are left out; a listed path fits as a plain prefix, with or
-without a slash; repeated rows are each returned; other columns pass through; an empty table gives no row.
+without a slash; repeated rows are each returned; other columns pass through unchanged, whatever their names (they stand apart in
+one struct meanwhile); an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, unused
 
 MAX_BLOCKS, BITS_PER_KEY, SALTS = 1 << 17, 16, 16
 PARTS = r"://([^/?#]*)([^?#]*)"
@@ -65,14 +67,15 @@ def url_filter(pages: DataFrame, listed: DataFrame, default: str = "allow", url:
         blocks *= 2
 
     names = ("host", "path", "rule", "verdict")
-    kept = [f"`{c}`" for c in pages.columns if c not in names]
+    kept = [c for c in pages.columns if c not in names]
+    own = [F.col("own").getField(c).alias(c) for c in kept]
     located = pages.select(
-        *kept,
+        F.struct(*[F.col(f"`{c}`") for c in kept], F.lit(0).alias(unused(kept))).alias("own"),
         ascii_lower(F.coalesce(F.regexp_extract(url, PARTS, 1), F.lit(""))).alias("host"),
         F.coalesce(F.regexp_extract(url, PARTS, 2), F.lit("")).alias("path"),
     )
     if not shapes:
-        return located.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+        return located.select(*own, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     by_labels: dict[int, list[int]] = {}
     for labels, chars in shapes:
         by_labels.setdefault(labels, []).append(chars)
@@ -89,13 +92,15 @@ def url_filter(pages: DataFrame, listed: DataFrame, default: str = "allow", url:
     passed = asked.join(F.broadcast(bloom_filter(entries, blocks)), "block")  # MAX_BLOCKS rows at most
     for i, m in enumerate(masks):
         passed = passed.where(m.bitwiseAND(F.col(f"w{i}")) == m)
-    hits = passed.select("host", "path", "key").join(entries, "key")
+    salts = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hit = salts(entries.join(passed.select("key").distinct(), "key"))
+    hits = passed.select("host", "path", "key", F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int").alias("salt")).join(hit, ["key", "salt"])
     best = hits.groupBy("host", "path").agg(F.min(F.struct(-F.col("chars"), -F.col("host_chars"), F.col("verdict"), F.col("rule"))).alias("best"))
     best = best.select("host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("found"))
     # every pair stands with each salt, so the rows of one URL, or of none, spread over SALTS tasks
-    salted = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = salts(best)
     spread = located.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
-    return spread.join(salted, ["host", "path", "salt"], "left").select(*kept, "host", "path", "rule", F.coalesce("found", F.lit(default)).alias("verdict"))
+    return spread.join(salted, ["host", "path", "salt"], "left").select(*own, "host", "path", "rule", F.coalesce("found", F.lit(default)).alias("verdict"))
 
 
 def op1_url_filter(spark, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ the reachable ones: after k rounds the pointers span 2^k records.  Magic inside
 no chain from the start reaches.  A header may be of any length; a chain that ends before its file does is an
 error, not a shorter result.
 
-Nulls and odd rows: null html is an empty payload; a null page_id counts as smallest, and is read back as
+Nulls and odd rows: page_id is a whole number, any other type is an error; null html is an empty payload; a null page_id counts as smallest, and is read back as
 null; rows that tie for the largest page_id are all responses; line breaks in a URL are left out of its
 header; other columns are left out; an empty table gives no row; a record or a foreign file of 2 GB and more can't
 be read, as Spark reads a file as one value.
@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import scratch_path
 
@@ -52,6 +53,8 @@ def base32(hexadecimal: Column) -> Column:
 
 def records(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """record (string, without its end) of each page (page_id, url, html)."""
+    if not isinstance(kind := pages.schema["page_id"].dataType, T.IntegralType):
+        raise TypeError(f"page_id is a whole number, not {kind.simpleString()}: records name pages by it")
     html = F.coalesce("html", F.lit(""))
     p = pages.select("page_id", "url", html.alias("html"), F.sha1(F.encode(html, "UTF-8")).alias("digest"), F.octet_length(html).cast("long").alias("bytes"))
     same = p.groupBy("digest", "bytes").agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("bytes") >= min_bytes))

@@ -667,3 +667,44 @@ def test_pipeline_equals_its_stages_by_plain_versions(spark, rows, pipeline_dir)
     left = set(common._made)
     final = corpus_pipeline.run(spark, pipeline_dir)
     assert final.count() and len(set(common._made) - left) == 1 and os.listdir(common.shared_dir(spark).removeprefix("file://"))
+
+
+OWN_NAMES = ("salt", "found", "begin", "rest", "rounds", "copies", "copy", "own", "host_chars", "key", "block", "best", "_id", "_place", "_copy", "_text", "_source", "_", "__", "spans", "text_key", "items", "kept_text", "clean_text", "n_hit", "score", "predicted", "place", "shard", "quota", "fingerprint", "a.b")
+
+
+def test_url_filter_keeps_columns_of_any_name(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/en/1", *OWN_NAMES), (2, None, *OWN_NAMES)], f"page_id long, url string, {', '.join(f'`{c}` string' for c in OWN_NAMES)}")
+    listed = spark.createDataFrame([("com", "/en/", "block")], "host string, path string, verdict string")
+    for some in (listed, listed.limit(0)):
+        got = urlfilter.url_filter(pages, some).collect()
+        assert sorted((r.page_id, r.host, r.verdict) for r in got) == [(1, "a.com", "block" if some is listed else "allow"), (2, "", "allow")]
+        assert all(r[c] == c for r in got for c in OWN_NAMES)
+
+
+def test_url_filter_of_one_hot_key(spark):
+    pages = spark.range(3000).selectExpr("id AS page_id", "concat('http://h', id % 1000, '.com/en/', id % 7) AS url")
+    listed = spark.createDataFrame([("com", "/en/", "block"), ("h1.com", "/en/1", "allow"), ("org", "/", "block")], "host string, path string, verdict string")
+    got = urlfilter.url_filter(pages, listed).collect()
+    assert len(got) == 3000 and {r.page_id for r in got if r.verdict == "allow"} == {i for i in range(3000) if i % 1000 == 1 and i % 7 == 1}
+
+
+def test_warc_refuses_ids_that_are_not_numbers(spark, tmp_path):
+    with pytest.raises(TypeError, match="page_id is a whole number"):
+        warc.write_archives(spark.createDataFrame([("a", "u", "h")], "page_id string, url string, html string"), str(tmp_path / "w"))
+
+
+def test_warc_with_columns_of_its_own_names(spark, tmp_path):
+    pages = spark.createDataFrame([(2, "u", "h", 7, "x", "y"), (3, "v", "h", 8, "x", "y")], "page_id int, url string, html string, size int, digest string, salt string")
+    warc.write_archives(pages, str(tmp_path / "w"))
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in warc.read_archives(spark, str(tmp_path / "w")).collect()) == [(2, "revisit", 3), (3, "response", None)]
+
+
+def test_pipeline_keeps_columns_of_any_name(spark, pipeline_dir):
+    import corpus_pipeline
+
+    own = spark.read.parquet(f"{pipeline_dir}/documents.parquet").select("*", *[mixing.F.lit(c).alias(c) for c in OWN_NAMES])
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, own, pipeline_dir)
+        assert set(own.columns) <= set(got.columns), name
+        rows = got.collect()
+        assert rows and all(r[c] == c for r in rows for c in OWN_NAMES), name
