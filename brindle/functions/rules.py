@@ -183,3 +183,19 @@ def session_intent(mode: Column, enabled: Column, selection: Column, modifier_he
     """dictation or command; null where a manual command has no selection."""
     some = F.coalesce(strip(selection), F.lit("")) != ""
     return F.when(~enabled, "dictation").when(mode == "automatic", F.when(some, "command:automatic").otherwise("dictation")).when(~modifier_held, "dictation").when(some, "command:manual")
+
+
+def restored_intent(intent: Column, selection: Column) -> Column:
+    """A stored intent as it may run again: a command only with its selection (an empty one is one), else dictation."""
+    return F.when(intent.isin("command:automatic", "command:manual") & selection.isNotNull(), intent).otherwise("dictation")
+
+
+def thumbnail_url(url: Column, pixels: int = 44) -> Column:
+    """A picture's address that asks for a size."""
+    return F.concat(url, F.when(F.contains(url, F.lit("?")), "&").otherwise("?"), F.lit(f"s={pixels}"))
+
+
+def recognition_terms(terms: Column, hints: list[str], enabled: Column) -> Column:
+    """The text of the active terms, and where wake phrases are on, a line for each of their spellings."""
+    lines = F.filter(F.array(terms, *map(F.lit, hints)), lambda x: x != "")
+    return F.when(F.coalesce(enabled, F.lit(False)), F.array_join(lines, "\n")).otherwise(terms)

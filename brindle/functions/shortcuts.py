@@ -210,3 +210,50 @@ def modifier_collision(manual: Column, taken: dict[str, Column]) -> Column:
     itself = {r: (taken[r]["kind"] == "modifierKey") & logical_modifier(taken[r]["code"]).eqNullSafe(manual) for r in names}
     tests = [(inside[r], f"That modifier is already part of the {n} shortcut.") for r, n in names.items()] + [(itself[r], f"That modifier is already the {n} shortcut.") for r, n in names.items()]
     return F.coalesce(*[F.when(test, message) for test, message in tests])
+
+
+# The stored forms of shortcuts, the presets and what stands where nothing is stored.
+STORED = "keyCode int, keyDisplay string, modifiers int, kind string, preset string, exactModifierKeyCodes array<int>"
+KINDS = ("disabled", "key", "modifierKey")
+PRESETS = {"fn": (63, "Fn", "modifierKey"), "rightOption": (61, "Right Option", "modifierKey"), "f5": (96, "F5", "key")}
+CANCEL, DISABLED = (DEFAULT_CANCEL, "Esc", "key"), (0, "Disabled", "disabled")
+
+
+def _binding(code: Column, label: Column, kind: Column, modifiers: Column, preset: Column, exact: Column) -> Column:
+    return F.struct(kind.alias("kind"), code.alias("code"), label.alias("label"), modifiers.alias("modifiers"), preset.alias("preset"), exact.alias("exact"))
+
+
+def _fixed(values: tuple, preset: Column | None = None) -> Column:
+    code, label, kind = values
+    return _binding(F.lit(code), F.lit(label), F.lit(kind), F.lit(0), F.lit(None).cast("string") if preset is None else preset, F.lit(None).cast("array<int>"))
+
+
+def stored_binding(blob: Column) -> Column:
+    """struct(binding, rewrite) of a stored shortcut: null binding where nothing is stored or it does not decode; rewrite: whether the normal form differs."""
+    raw = F.from_json(blob, f"{STORED}, broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})
+    known = raw.preset.isNull() | raw.preset.isin(*PRESETS)
+    fine = raw.broken.isNull() & raw.keyCode.isNotNull() & raw.keyDisplay.isNotNull() & raw.modifiers.isNotNull() & raw.kind.isin(*KINDS) & known
+    normal = normalized(raw.kind, raw.keyCode, raw.modifiers, raw.exactModifierKeyCodes)
+    binding = _binding(raw.keyCode, raw.keyDisplay, raw.kind, normal.modifiers, raw.preset, normal.exact)
+    as_set = lambda c: F.array_sort(F.array_distinct(c))
+    same = (normal.modifiers == raw.modifiers) & as_set(normal.exact).eqNullSafe(as_set(raw.exactModifierKeyCodes))
+    return F.struct(F.when(fine, binding).alias("binding"), (F.coalesce(fine, F.lit(False)) & ~same).alias("rewrite"))
+
+
+def stored_configuration(hold: Column, toggle: Column, copy_again: Column, cancel: Column, preset: Column) -> Column:
+    """struct(hold, toggle, copy_again, cancel, rewrite_hold, ...) of the stored shortcuts and the older preset setting.
+
+    Hold and toggle fall back to the preset (toggle with command added) and are then to be written; paste again falls back to
+    none; cancel is a regular key, else the default one.
+    """
+    chosen = F.when(preset.isin(*PRESETS), preset).otherwise("fn")
+    of = lambda i: F.element_at(F.create_map(*[x for name, v in PRESETS.items() for x in (F.lit(name), F.lit(v[i]))]), chosen)
+    none = F.lit(None).cast("array<int>")
+    fallback = lambda bits: _binding(of(0), of(1), of(2), F.lit(bits), F.when(F.lit(bits == 0), chosen), none)
+    h, t, c, x = map(stored_binding, (hold, toggle, copy_again, cancel))
+    regular = F.coalesce(x.binding.kind == "key", F.lit(False))
+    return F.struct(
+        F.coalesce(h.binding, fallback(0)).alias("hold"), F.coalesce(t.binding, fallback(BITS["command"])).alias("toggle"), F.coalesce(c.binding, _fixed(DISABLED)).alias("copy_again"),
+        F.when(regular, x.binding).otherwise(_fixed(CANCEL)).alias("cancel"),
+        (h.binding.isNull() | h.rewrite).alias("rewrite_hold"), (t.binding.isNull() | t.rewrite).alias("rewrite_toggle"), c.rewrite.alias("rewrite_copy_again"), (x.rewrite | (x.binding.isNotNull() & ~regular)).alias("rewrite_cancel"),
+    )

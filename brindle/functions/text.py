@@ -174,22 +174,34 @@ def without_enter_command(text: Column) -> Column:
     return strip(F.regexp_replace(text, _ENTER, ""))
 
 
+_APART = r"[\s\p{P}\p{S}]"
+
+
+def _spoken(names: Sequence[str]) -> str:
+    """The names, with whatever separates words for their blanks."""
+    return _either(names).replace("\\ ", f"{_APART}+")
+
+
 def wake_pattern(greetings: Sequence[str], names: Sequence[str]) -> str:
-    return rf"(?iuU)^[\s\p{{P}}\p{{S}}]*(?:{_either(greetings)})[\s\p{{P}}\p{{S}}]+(?:{_either(names)})(?=\z|[\s\p{{P}}\p{{S}}])[\s\p{{P}}\p{{S}}]*"
+    return rf"(?iuU)^{_APART}*+(?:{_either(greetings)}){_APART}+(?:{_spoken(names)})(?=\z|{_APART}){_APART}*"
 
 
 def plain_wake_pattern(names: Sequence[str]) -> str:
-    return rf"(?iuU)^[\s\p{{P}}\p{{S}}]*(?:{_either(names)})(?=\z|[\s\p{{P}}\p{{S}}])[\s\p{{P}}\p{{S}}]*"
+    return rf"(?iuU)^{_APART}*+(?:{_spoken(names)})(?=\z|{_APART}){_APART}*"
+
 
+def wake_match(text: Column, greetings: Sequence[str], names: Sequence[str], fuzzy: Sequence[str] = (), plain: bool = False, segmented: Sequence[str] = ()) -> Column:
+    """struct(phrase, trailing) where the text starts with a greeting and a name (fuzzy names need the greeting), or, if plain, with a name.
 
-def wake_match(text: Column, greetings: Sequence[str], names: Sequence[str], fuzzy: Sequence[str] = (), plain: bool = False) -> Column:
-    """struct(phrase, trailing) where the text starts with a greeting and a name (fuzzy names need the greeting), or, if plain, with a name."""
-    greeted = wake_pattern(greetings, [*names, *fuzzy])
-    out = F.when(text.rlike(greeted), F.struct(F.lit("greeting").alias("phrase"), F.regexp_replace(text, greeted, "").alias("trailing")))
+    segmented: names in parts that are so rare that they stand for a greeting that was not heard.
+    """
+    found = lambda phrase, pattern: F.when(text.rlike(pattern), F.struct(F.lit(phrase).alias("phrase"), F.regexp_replace(text, pattern, "").alias("trailing")))
+    out = [found("greeting", wake_pattern(greetings, [*names, *fuzzy]))]
+    if segmented:
+        out.append(found("greeting", plain_wake_pattern(segmented)))
     if plain:
-        bare = plain_wake_pattern(names)
-        out = out.when(text.rlike(bare), F.struct(F.lit("plain").alias("phrase"), F.regexp_replace(text, bare, "").alias("trailing")))
-    return out
+        out.append(found("plain", plain_wake_pattern(names)))
+    return F.coalesce(*out)
 
 
 def candidate_terms(text: Column) -> Column:

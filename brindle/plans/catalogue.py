@@ -353,7 +353,11 @@ def level_fold(spark, d):
     return table(spark, d, "embeddings").select("vec_id", machines.level_curve(F.transform("embedding", lambda x: F.abs(x))).alias("levels"))
 
 
-@query()
+@query(rf"""WITH RECURSIVE t AS (SELECT conv_id, turn, regexp_matches({_SPOKEN}, '(?i)^{_SEP}*(?:hey|hay|he|hi){_SEP}+(?:june iper|june-iper|juniper)($|{_SEP})') AS woken, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+  r AS (SELECT conv_id, 0::BIGINT AS i, NULL::BIGINT AS since, NULL::BIGINT AS turn, false AS said FROM t GROUP BY 1
+    UNION ALL SELECT t.conv_id, t.i, CASE WHEN since IS NULL AND woken THEN t.turn WHEN since IS NOT NULL AND NOT woken AND t.turn - since >= 1 THEN NULL ELSE since END, t.turn, since IS NULL AND woken
+    FROM r JOIN t ON t.conv_id = r.conv_id AND t.i = r.i + 1)
+SELECT conv_id, turn, 'greeting' AS output FROM r WHERE said""")
 def wake_latch(spark, d):
     spoken = table(spark, d, "conversations").select("conv_id", "turn", F.col("turn").cast("double").alias("at"), text.wake_match(F.expr(_SPOKEN), _GREET, _NAME, _FUZZY)["phrase"].alias("phrase"))
     return machines.fold(spoken, "conv_id", ["turn"], machines.wake_latch)
@@ -516,4 +520,4 @@ def level_bars(spark, d):
     return table(spark, d, "events").select("event_id", F.get(shortcuts.bars(F.round(F.col("value") / 100, 4)), F.lit(4)).alias("middle"))
 
 
-from . import chains, devices, editing, prompting, records, releases  # noqa: E402, F401  the rest of the queries
+from . import chains, devices, editing, prompting, records, releases, stored  # noqa: E402, F401  the rest of the queries

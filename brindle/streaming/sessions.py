@@ -107,8 +107,45 @@ def screen_text(pieces: DataFrame, key: str, limit: int, least: int = 2) -> Data
     """
     clean = pieces.withColumn("text", strip(F.col("text"))).where(F.length("text") >= least)
     first = clean.groupBy(key, "text").agg(F.min("pos").alias("pos"))
-    joined = first.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x.text), "\n").alias("text"))
-    return joined.withColumn("text", truncate_middle(F.col("text"), limit))
+    return _joined(first, key, "pos", limit)
+
+
+def _joined(pieces: DataFrame, key: str, order: str, limit: int) -> DataFrame:
+    """(key, text): pieces in order, one a line; of three and more new lines two are left."""
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "text"))), lambda x: x.text), "\n")
+    whole = pieces.groupBy(key).agg(strip(F.regexp_replace(lines, r"\n{3,}", "\n\n")).alias("text"))
+    return whole.withColumn("text", truncate_middle(F.col("text"), limit))
+
+
+# The roles of elements that hold text, and the bounds of a walk over them.
+TEXT_ROLES = ("AXStaticText", "AXTextArea", "AXTextField", "AXHeading")
+SCREEN = {"limit": 2400, "depth": 24, "visits": 900}
+
+
+def screen_tree(elements: DataFrame, key: str, limit: int = SCREEN["limit"], depth: int = SCREEN["depth"], visits: int = SCREEN["visits"], budget: int | None = None, least: int = 2) -> DataFrame:
+    """(key, text) of trees of elements (key, id, parent, pos, role, value), read depth-first.
+
+    Each element's path from its root (a row without parent) comes from pointer doubling, so a depth of 24 is 5 joins;
+    paths in order are the depth-first walk.  Elements below `depth` are not visited, the walk ends after `visits` more than
+    one elements and once the pieces' lengths have used up `budget` (three times the limit).  A piece is a
+    trimmed value of a text role with at least two characters, where it comes first.  Elements whose parents lead to no root
+    are left out; siblings of one pos are in order of id.
+    """
+    own = F.array(F.struct("pos", "id"))
+    now = elements.select(key, "id", "role", "value", F.col("parent").alias("next"), own.alias("path"))
+    links = now.select(key, "id", "next", "path")
+    for _ in range(depth.bit_length()):
+        above = links.select(key, F.col("id").alias("next"), F.col("next").alias("_next"), F.col("path").alias("_path"))
+        up = lambda df: df.join(above, [key, "next"], "left").withColumns({"path": F.when(F.col("_path").isNull(), F.col("path")).otherwise(F.concat("_path", "path")), "next": F.when(F.col("_path").isNull(), F.col("next")).otherwise(F.col("_next"))}).drop("_path", "_next")  # noqa: E731,B023
+        now, links = up(now), up(links)
+    rooted = now.where(F.col("next").isNull() & (F.size("path") <= depth + 1))
+    walk = Window.partitionBy(key).orderBy("path")
+    visited = rooted.withColumn("_visit", F.row_number().over(walk)).where(F.col("_visit") <= visits + 1)
+    text = F.when(F.col("role").isin(*TEXT_ROLES), strip(F.col("value")))
+    pieces = visited.withColumn("text", text).where(F.length("text") >= least)
+    first = pieces.withColumn("_n", F.row_number().over(Window.partitionBy(key, "text").orderBy("_visit"))).where("_n = 1")
+    used = F.coalesce(F.sum(F.length("text")).over(Window.partitionBy(key).orderBy("_visit").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return _joined(first.withColumn("_used", used).where(F.col("_used") < (3 * limit if budget is None else budget)), key, "_visit", limit)
 
 
 def largest_window(windows: DataFrame, key: str) -> DataFrame:
