@@ -297,10 +297,10 @@ def purged(entries: DataFrame, most: int = 300) -> DataFrame:
     return entries.where("status != 'rejected' or status is null").unionByName(newest)
 
 
-def parse_corrections(lines: DataFrame, text: str = "text") -> DataFrame:
-    """(ordinal, spoken, replacement) of a text of lines: `->`, `=>` or `→` between two parts; first wins."""
-    rows = lines.select(F.posexplode(F.split(text, r"\r\n|\n|\r")).alias("ordinal", "line")).withColumn("line", F.trim("line")).where("line != '' and line not like '#%'")
+def parse_corrections(lines: DataFrame, text: str = "text", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, ordinal, spoken, replacement) of texts of lines: `->`, `=>` or `→` between two parts; of one spoken form in the texts of one `by` the first wins."""
+    rows = lines.select(*by, F.posexplode(F.split(text, r"\r\n|\n|\r")).alias("ordinal", "line")).withColumn("line", F.trim("line")).where("line != '' and line not like '#%'")
     mark = F.when(F.col("line").contains("->"), "->").when(F.col("line").contains("=>"), "=>").when(F.col("line").contains("→"), "→")
     parts = rows.withColumn("mark", mark).where("mark is not null").withColumn("parts", F.expr("split(line, concat('\\\\Q', mark, '\\\\E'), -1)"))
-    pairs = parts.where("size(parts) = 2").select("ordinal", normalize_whitespace(F.get("parts", F.lit(0))).alias("spoken"), F.trim(F.get("parts", F.lit(1))).alias("replacement")).where("spoken != '' and replacement != ''")
-    return first_by(pairs.withColumn("key", canonical(F.col("spoken"))), ["key"], ["ordinal"]).select("ordinal", "spoken", "replacement")
+    pairs = parts.where("size(parts) = 2").select(*by, "ordinal", normalize_whitespace(F.get("parts", F.lit(0))).alias("spoken"), F.trim(F.get("parts", F.lit(1))).alias("replacement")).where("spoken != '' and replacement != ''")
+    return first_by(pairs.withColumn("key", canonical(F.col("spoken"))), [*by, "key"], ["ordinal"]).select(*by, "ordinal", "spoken", "replacement")

@@ -79,12 +79,14 @@ def tidy_stutters(spark, d):
     return _docs(spark, d).select("doc_id", F.md5(text.collapse_stutters(F.concat(F.lit("th- the Wh— what go-go "), "text"))).alias("tidied"))
 
 
-_CORRECTIONS = "the -> THE\n# note\nof => OF\nthe -> never\nbroken line\nand → AND\na -> b -> c"
+# A list of corrections for each turn: a note, one that repeats, and lines that are none.
+_CORRECTIONS = "concat('plan  b -> Plan ', CAST(turn AS VARCHAR(9)), chr(10), '# note', chr(10), 'PLAN B => never', chr(10), 'of => OF', CAST(conv_id AS VARCHAR(20)), chr(10), 'broken line', chr(10), 'a -> b -> c', chr(10), 'and → AND', chr(10), ' -> x')"
 
 
-@query("SELECT * FROM (VALUES (0, 'the', 'THE'), (2, 'of', 'OF'), (5, 'and', 'AND')) t(ordinal, spoken, replacement)")
+@query("SELECT conv_id, turn, unnest([0, 3, 6])::INT AS ordinal, unnest(['plan b', 'of', 'and']) AS spoken, unnest(['Plan ' || turn, 'OF' || conv_id, 'AND']) AS replacement FROM (SELECT DISTINCT conv_id, turn FROM conversations)")
 def corrections_parse(spark, d):
-    return vocabulary.parse_corrections(spark.createDataFrame([(_CORRECTIONS,)], "text string"))
+    texts = table(spark, d, "conversations").select("conv_id", "turn", F.expr(_CORRECTIONS.replace("VARCHAR(9)", "STRING").replace("VARCHAR(20)", "STRING")).alias("text"))
+    return vocabulary.parse_corrections(texts, by=("conv_id", "turn"))
 
 
 # A mark after each blank, so that neighbouring words do not share the blank between them.
@@ -210,10 +212,11 @@ def transform_match(spark, d):
     return vocabulary.transform_lookup(texts, transforms).select("conv_id", "turn", "name")
 
 
-@query("SELECT * FROM (VALUES ('Polish', true), ('shorten', false), ('mine', false)) t(name, built_in)")
+@query("""SELECT 'Rule ' || page_id AS name, true AS built_in FROM pages WHERE page_id % 3 > 0 UNION ALL SELECT 'rule-' || page_id || '!', false FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT 'mine ' || page_id, false FROM pages WHERE page_id % 5 = 0""")
 def transforms_resolved(spark, d):
-    built = spark.createDataFrame([("Polish",), ("Shorten",)], "name string")
-    return vocabulary.resolve_transforms(built, spark.createDataFrame([("shorten",), ("mine",)], "name string"))
+    pages, n = table(spark, d, "pages"), F.col("page_id").cast("string")
+    user = pages.where("page_id % 3 = 0").select(F.concat(F.lit("rule-"), n, F.lit("!")).alias("name")).unionAll(pages.where("page_id % 5 = 0").select(F.concat(F.lit("mine "), n)))
+    return vocabulary.resolve_transforms(pages.select(F.concat(F.lit("Rule "), n).alias("name")), user)
 
 
 _HIST = "SELECT event_id AS id, ts, user_id, CASE WHEN event_type = 'view' THEN '' ELSE props END AS clean, event_type AS raw FROM events"
@@ -298,12 +301,25 @@ def parse_route(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", rules.replaces_previous(raw).alias("replaces"), F.md5(rules.routed_text(raw)).alias("routed"))
 
 
-_JSON = """SELECT * FROM (VALUES (1, '{"cleaned_text": "Hi."}', 'Hi.'), (2, '{"name": "Ada"}', '{"name": "Ada"}'), (3, '{"Text": "x", "result": "y"}', 'x'), (4, ' plain ', 'plain')) t(id, raw, unwrapped)"""
+# Answers as objects: one key, an unknown key, two keys in any case, fenced, a key that holds no text, and plain ones.
+@query("""SELECT conv_id, turn, md5(CASE turn % 6 WHEN 1 THEN '{"name": ' || conv_id || '}' WHEN 4 THEN '{"text": ' || conv_id || '}' ELSE trim(text, E' \\t\\r\\n') END) AS unwrapped FROM conversations""")
+def unwrap_json(spark, d):
+    i, said, chat = F.col("turn") % 6, F.col("text"), F.col("conv_id").cast("string")
+    one = F.to_json(F.struct(F.concat(F.lit(" "), said, F.lit("\n")).alias("cleaned_text")))
+    raw = (
+        F.when(i == 0, F.concat(F.lit("\n"), one)).when(i == 1, F.concat(F.lit('{"name": '), chat, F.lit("}"))).when(i == 2, F.to_json(F.struct(F.lit("y").alias("result"), said.alias("Text"))))
+        .when(i == 3, F.concat(F.lit("```json\n"), one, F.lit("\n```"))).when(i == 4, F.concat(F.lit('{"text": '), chat, F.lit("}"))).otherwise(F.concat(said, F.lit(" \n")))
+    )
+    return table(spark, d, "conversations").select("conv_id", "turn", F.md5(rules.unwrap(raw)).alias("unwrapped"))
 
 
-@query(f"SELECT id, unwrapped FROM ({_JSON})")
-def unwrap_json(spark, d):
-    return spark.sql(f"SELECT id, raw FROM ({_JSON})").select("id", rules.unwrap(F.col("raw")).alias("unwrapped"))
+# The word that the speaker said last is dropped from every third text.
+@query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 1 AND length(text) * 2 < length(text) + 11 THEN 'dropped most of the transcript' WHEN turn % 3 = 1 THEN 'dropped the spoken word "zznever"' WHEN turn % 3 = 2 THEN 'dropped the spoken word "zznot"' END AS rejection
+  FROM conversations""")
+def validate_kept(spark, d):
+    source = F.concat("text", F.lit(" zznever zznot"))
+    output = F.when(F.col("turn") % 3 == 0, source).when(F.col("turn") % 3 == 1, F.concat("text", F.lit("..."))).otherwise(F.concat("text", F.lit(", ZZNEVER said")))
+    return table(spark, d, "conversations").select("conv_id", "turn", rules.rejection(output, source, ("zznot", "zznever", "zzunsaid")).alias("rejection"))
 
 
 _BEFORE = "lag(text) OVER (PARTITION BY conv_id ORDER BY turn)"
@@ -385,13 +401,12 @@ def session_machine(spark, d):
     return tables.run(table(spark, d, "events"), "user_id", "event_id", symbol, SESSION)
 
 
-_ERR = "VALUES (1, 'timedOut', 'x', true), (2, NULL, 'The request timed out', false), (3, NULL, 'You appear offline', true), (4, 'other', 'Bad file', true), (5, 'cannotFindHost', 'x', true)"
-
-
-@query("SELECT * FROM (VALUES (1, 'Request timed out — try again'), (2, 'No internet — check connection'), (3, 'No internet — check connection'), (4, 'Bad file'), (5, 'No internet — check connection')) t(id, message)")
+@query("""SELECT event_id, CASE WHEN event_id % 5 = 3 THEN 'Bad file ' || event_id WHEN event_id % 5 < 2 AND event_id % 2 = 0 THEN 'Request timed out — try again' ELSE 'No internet — check connection' END AS message FROM events""")
 def error_messages(spark, d):
-    rows = spark.sql(f"SELECT * FROM ({_ERR}) t(id, code, message, online)")
-    return rows.select("id", rules.error_message(F.col("code"), F.col("message"), F.col("online")).alias("message"))
+    i, n = F.col("event_id") % 5, F.col("event_id").cast("string")
+    code = F.when(i == 0, "timedOut").when(i == 3, "other").when(i == 4, "cannotFindHost")
+    said = F.when(i == 1, F.concat(F.lit("The request timed out, "), n)).when(i == 2, F.concat(F.lit("You appear offline "), n)).when(i == 3, F.concat(F.lit("Bad file "), n)).otherwise("x")
+    return table(spark, d, "events").select("event_id", rules.error_message(code, said, F.col("event_id") % 2 == 0).alias("message"))
 
 
 @query("SELECT event_id, n >= 2 AS bindable, CASE WHEN n < 2 THEN 'Unsupported button' WHEN n = 2 THEN 'Middle Button' ELSE 'Button ' || (n + 1) END AS label, CASE WHEN n >= 2 THEN n ELSE 3 END AS normalized FROM (SELECT event_id, (event_id % 6)::INT AS n FROM events)")
@@ -409,11 +424,12 @@ def raw_revert(spark, d):
     return _history(spark, d).select("id", rules.revert_target(F.col("raw"), F.col("clean")).alias("target"))
 
 
-@query("SELECT true AS same, 6 AS entries")
+@query("SELECT user_id, event_type || ' “' || event_id || '”' AS term, event_id % 3 = 0 AS starred, (event_id % 7)::INT AS usageCount FROM events")
 def vocabulary_round_trip(spark, d):
-    entries = _entries(spark).select("term", "starred", F.col("usage_count").alias("usageCount"))
-    back = read_vocabulary(vocabulary_document(entries)).select("term", "starred", "usageCount")
-    return back.join(entries, ["term", "starred", "usageCount"], "left_semi").agg((F.count("*") == len(_TERMS)).alias("same"), F.count("*").cast("int").alias("entries"))
+    """A document for each user, written and read back."""
+    i = F.col("event_id")
+    entries = table(spark, d, "events").select("user_id", F.concat("event_type", F.lit(" “"), i.cast("string"), F.lit("”")).alias("term"), F.when(i % 3 == 0, True).alias("starred"), F.when(i % 7 > 0, i % 7).cast("int").alias("usageCount"))
+    return read_vocabulary(vocabulary_document(entries, by=("user_id",)), by=("user_id",)).select("user_id", "term", "starred", "usageCount")
 
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H-%M-%SZ') AS stamp FROM events")
@@ -480,16 +496,15 @@ def prompts(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(router.prompt(parts, "transcript", F.col("html"))).alias("prompt"))
 
 
-_BIND = ", ".join(f"({i}, 'key', {40 + i % 3}, {m})" for i, m in enumerate((1, 2, 4, 8, 3, 5, 6, 0, 31, 16, 1, 9)))
-
-
-@query(f"""WITH b AS (SELECT * FROM (VALUES {_BIND}) t(id, kind, code, modifiers))
-SELECT DISTINCT x.id AS a, y.id AS b FROM b x JOIN b y ON x.id < y.id AND x.kind = y.kind AND x.code = y.code JOIN range(512) r(m)
+# Bindings of an event's number: eight of one key each, every ninth of another kind.
+@query("""WITH b AS (SELECT event_id AS id, CASE WHEN event_id % 9 = 0 THEN 'modifierKey' ELSE 'key' END AS kind, event_id // 8 AS code, event_id * 5 % 32 AS modifiers FROM events)
+SELECT DISTINCT x.id AS a, y.id AS b FROM b x JOIN b y ON x.id < y.id AND x.kind = y.kind AND x.code = y.code JOIN range(32) r(m)
   ON (m & x.modifiers) = x.modifiers AND (m & y.modifiers) = y.modifiers AND bit_count(x.modifiers) = bit_count(y.modifiers)""")
 def shortcut_conflicts(spark, d):
     from ..functions import shortcuts
 
-    return shortcuts.conflicts(spark.sql(f"SELECT * FROM (VALUES {_BIND}) t(id, kind, code, modifiers)"))
+    i = F.col("event_id")
+    return shortcuts.conflicts(table(spark, d, "events").select(i.alias("id"), F.when(i % 9 == 0, "modifierKey").otherwise("key").alias("kind"), F.floor(i / 8).alias("code"), (i * 5 % 32).cast("int").alias("modifiers")))
 
 
 @query("""SELECT event_id, m, list_sort(list_filter([55, 54, 59, 62, 58, 61, 56, 60, 63], lambda c: (m & CASE WHEN c IN (54, 55) THEN 1 WHEN c IN (59, 62) THEN 2 WHEN c IN (58, 61) THEN 4 WHEN c IN (56, 60) THEN 8 ELSE 16 END) <> 0))::VARCHAR AS codes,

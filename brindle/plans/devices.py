@@ -108,18 +108,22 @@ def binding_capture(spark, d):
     return rows.select("event_id", F.when(a.isNotNull(), text(a)).alias("of_key"), F.when(b.isNotNull(), text(b)).alias("of_modifier"))
 
 
-@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN false WHEN 4 THEN true ELSE false END AS exact FROM events""")
-def exact_modifiers(spark, d):
-    """Exact sides: both allow any, one only itself, none no key unless permitted."""
-    codes = lambda *c: F.array(*[F.lit(x) for x in c]).cast("array<int>")
-    cases = [(codes(54), codes(54, 55), 0), (codes(54), codes(55), 0), (codes(56, 55), codes(56, 55), 0), (codes(56), codes(), 0), (codes(56), codes(), 8), (codes(), codes(54, 55), 0)]
-    out = F.lit(None).cast("boolean")
-    for k, (pressed, exact, permitted) in enumerate(cases):
-        out = F.when(F.col("event_id") % 6 == k, shortcuts.exact_match(pressed, exact, F.lit(permitted))).otherwise(out)
-    return table(spark, d, "events").select("event_id", out.alias("exact"))
+# Any nine pressed and wanted modifier codes, by the bits of two numbers; the permitted modifiers by those of a third.
+_NINE, _PAIRS = [55, 54, 59, 62, 58, 61, 56, 60, 63], {1: (55, 54), 2: (59, 62), 4: (58, 61), 8: (56, 60), 16: (63,)}
+_PICK = "list_filter([55, 54, 59, 62, 58, 61, 56, 60, 63], lambda c, i: ({0} >> (i - 1)::INT) & 1 = 1)"
+_EXACT = " AND ".join(
+    f"CASE WHEN len(list_intersect(e, {list(c)})) = 0 THEN (free & {bit}) > 0 OR len(list_intersect(p, {list(c)})) = 0 WHEN len(list_intersect(e, {list(c)})) = 2 THEN len(list_intersect(p, {list(c)})) > 0 ELSE list_sort(list_intersect(e, {list(c)})) = list_sort(list_intersect(p, {list(c)})) END"
+    for bit, c in _PAIRS.items()
+)
 
 
-_ROLE = "['hold','toggle','cancel','copyAgain'][(event_id % 4 + 1)::INT]"
+@query(f"SELECT event_id, {_EXACT} AS exact FROM (SELECT event_id, {_PICK.format('(event_id % 512)::INT')} AS p, {_PICK.format('(CASE WHEN event_id % 3 = 0 THEN event_id ELSE event_id * 7 END % 512)::INT')} AS e, (event_id // 3 % 32)::INT AS free FROM events)")
+def exact_modifiers(spark, d):
+    """Every set of pressed modifiers, against itself and against others."""
+    i = F.col("event_id")
+    picked = lambda n: F.array_compact(F.array(*[F.when(F.shiftright(n, k).bitwiseAND(F.lit(1)) == 1, c) for k, c in enumerate(_NINE)]))
+    pressed, wanted = picked((i % 512).cast("int")), picked((F.when(i % 3 == 0, i).otherwise(i * 7) % 512).cast("int"))
+    return table(spark, d, "events").select("event_id", shortcuts.exact_match(pressed, wanted, (F.floor(i / 3) % 32).cast("int")).alias("exact"))
 
 
 @query(f"""SELECT event_id, CASE WHEN event_id % 4 = 2 AND event_id % 5 = 0 THEN 'Cancel Dictation must use a regular key, optionally with modifiers.' WHEN event_id % 5 = 0 THEN NULL

@@ -163,3 +163,10 @@ def model_wrappers(spark, d):
     answer = F.when(i == 2, F.concat(F.lit("<output>answer "), t, F.lit("</output>"))).when((i == 3) & (F.col("conv_id") % 2 == 0), F.concat(F.lit("<response>REPLACE_PREVIOUS\n"), t, F.lit("</response>"))).otherwise(F.concat(F.lit("<result>"), t, F.lit("</result>")))
     done = router.answered(kind, answer, F.when(F.col("conv_id") % 3 == 0, 60.0).otherwise(1.0), F.when(i == 3, "do it").otherwise(t), F.when(i == 1, "chosen").otherwise(t), F.lit("before"), F.lit(None).cast("string"))
     return rows.select("conv_id", "turn", kind.alias("kind"), done.alias("r")).select("conv_id", "turn", "kind", F.md5("r.text").alias("text"), "r.replaces")
+
+
+@query("SELECT doc_id, CASE WHEN len(w) > 0 THEN md5('Preferred spellings: ' || array_to_string(w[1:40], ', ')) END AS line FROM (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM documents)")
+def spelling_lines(spark, d):
+    """Whole texts as lists of terms, most of them over the cap."""
+    words = F.filter(F.split("text", " "), lambda x: x != "")
+    return table(spark, d, "documents").select("doc_id", F.md5(prompts.spellings(words)).alias("line"))

@@ -143,8 +143,11 @@ def locale_options(spark, d):
     return locales.options(table(spark, d, "documents").select(F.col("lang").alias("code"), F.concat(F.upper(F.left("lang", F.lit(1))), F.substr("lang", F.lit(2)), F.lit(" language")).alias("name")))
 
 
-@query("SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN 'balanced' WHEN turn % 4 = 1 THEN 'casual' WHEN turn % 4 = 2 THEN 'balanced' ELSE 'balanced' END AS formality FROM conversations")
+# Each chat has its own settings: of email, of documents, or none.
+@query("""SELECT conv_id, turn, CASE WHEN turn % 4 = 1 AND conv_id % 3 < 2 THEN CASE conv_id % 4 WHEN 0 THEN 'casual' WHEN 1 THEN 'formal' ELSE 'balanced' END WHEN turn % 4 = 2 AND conv_id % 3 = 1 THEN 'formal' ELSE 'balanced' END AS formality FROM conversations""")
 def formalities(spark, d):
+    chat = F.col("conv_id")
     context = F.element_at(F.array(*[F.lit(x) for x in ("codeOrTerminal", "email", "document", "neutral")]), (F.col("turn") % 4 + 1).cast("int"))
-    config = F.create_map(*[F.lit(x) for x in ("codeOrTerminal", "formal", "email", "casual", "document", "loud")])
+    email = F.when(chat % 4 == 0, "casual").when(chat % 4 == 1, "formal").when(chat % 4 == 2, "loud")
+    config = F.when(chat % 3 == 0, F.create_map(F.lit("email"), email)).when(chat % 3 == 1, F.create_map(F.lit("email"), email, F.lit("document"), F.lit("formal"), F.lit("codeOrTerminal"), F.lit("formal")))
     return table(spark, d, "conversations").select("conv_id", "turn", rules.formality(config, context).alias("formality"))

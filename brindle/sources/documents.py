@@ -14,17 +14,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vocabulary_document(entries: DataFrame, version: int = 1, corrections: str = "") -> DataFrame:
-    """One JSON document of all entries in order of their terms, keys sorted."""
-    cols = sorted(c for c in entries.columns)
+def vocabulary_document(entries: DataFrame, version: int = 1, corrections: str = "", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, document): one JSON document of all entries of each `by` in order of their terms, keys sorted."""
+    cols = sorted(c for c in entries.columns if c not in by)
     rows = F.array_sort(F.collect_list(F.struct("term", F.struct(*cols).alias("e"))))
-    return entries.agg(F.to_json(F.struct(F.transform(rows, lambda x: x.e).alias("entries"), F.lit(corrections).alias("exactCorrections"), F.lit(version).alias("version"))).alias("document"))
+    return entries.groupBy(*by).agg(F.to_json(F.struct(F.transform(rows, lambda x: x.e).alias("entries"), F.lit(corrections).alias("exactCorrections"), F.lit(version).alias("version"))).alias("document"))
 
 
-def read_vocabulary(documents: DataFrame, column: str = "document", version: str = "version", strict: bool = True) -> DataFrame:
-    """Entries of JSON documents; old entries have no star and no usage.  Not strict: a document that fails is empty."""
-    parsed = documents.select(F.from_json(column, DOCUMENT.replace("version", version, 1), {"mode": "FAILFAST" if strict else "PERMISSIVE"}).alias("d"))
-    rows = parsed.where(f"d.{version} is not null").select(F.explode(F.coalesce("d.entries", F.array().cast(f"array<struct<{ENTRY}>>"))).alias("e")).select("e.*")
+def read_vocabulary(documents: DataFrame, column: str = "document", version: str = "version", strict: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
+    """Entries (after `by`) of JSON documents; old entries have no star and no usage.  Not strict: a document that fails is empty."""
+    parsed = documents.select(*by, F.from_json(column, DOCUMENT.replace("version", version, 1), {"mode": "FAILFAST" if strict else "PERMISSIVE"}).alias("d"))
+    rows = parsed.where(f"d.{version} is not null").select(*by, F.explode(F.coalesce("d.entries", F.array().cast(f"array<struct<{ENTRY}>>"))).alias("e")).select(*by, "e.*")
     return rows.withColumns({"starred": F.coalesce("starred", F.lit(False)), "usageCount": F.coalesce("usageCount", F.lit(0))})
 
 
