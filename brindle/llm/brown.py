@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import materialize, partitions, release, segment_sums, shards, word_ids
 
 HEAD, PULL = 1 << 17, 20.0
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 CELLS = 1 << 22  # of a dense table of words and contexts at a time
 _END = b"\n"  # no word holds it
 _END_HASH = xxhash.xxh3_64_intdigest(_END)

@@ -9,10 +9,11 @@ windows are searched at once, last word first; the rows that remain walk to the
 Hit words merge into maximal spans.
 
 The benchmark is taken in parts of at most MAX_ITEM_BYTES of text; each part is one pass over the documents,
-so what is sent to the executors has a fixed bound.
+written before the next part is read, so the driver and what is sent to the executors hold one part, however many there are.
 
 Nulls and odd rows: null and empty texts have no words; items without words have no window; an item_id that
-is null marks words, but isn't listed; repeated items count once; repeated documents are each returned.
+is null marks words, but isn't listed; repeated items count once; repeated documents are each returned; an empty table of
+documents gives no row, an empty benchmark hits nothing; columns named like the new ones are replaced, all others pass.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shards
+from .common import materialize, release, shards
 
 WINDOW, SAMPLE, MAX_ITEM_BYTES = 10, 8, 16 << 20
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -228,8 +229,13 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     keep = [f for f in documents.schema.fields if f.name not in new.names]
     schema = T.StructType([*keep, *new.fields])
     start = documents.select(*[f"`{f.name}`" for f in keep], F.lit(None).cast("bigint").alias("n_words"), F.lit(None).cast("bigint").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.array().cast("array<array<bigint>>").alias("spans"), F.lit(None).cast("string").alias("clean_text"))
-    out = start
+    out, written = start, None
     for items in parts(benchmark):
+        if out is not start:  # a part before this one
+            before, written = written, materialize(out, "decontaminated")
+            out = written
+            if before is not None:
+                release(before)
         phrases = Phrases(items, window)
 
         def run(batches, phrases=phrases):

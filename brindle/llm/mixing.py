@@ -12,7 +12,8 @@ that holds a third of all rows is split like any other; no single task sees all
 
 All of it is DataFrame expressions.  Nulls and odd rows: a null text has size 0; null sources form one
 source; documents of one doc_id, or of none, are dealt to shards and ordered by doc_id and the hash of their text;
-equal rows are counted before they are dealt and get their words one after another; an empty table gives no row.
+equal rows are counted before they are dealt and get their words one after another, and come back in pieces of COPIES
+from as many tasks; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, materialize
 
 WEIGHTS, SHARE, MOST, BLOCK, SHARD_ROWS, SEED = (5, 2, 1), 1.5, 2, 8, 2000, 9
+COPIES = 1 << 16  # equal rows that one row of counts becomes in one task
 
 
 def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -107,7 +109,14 @@ def taken(copy: Column) -> Column:
 
 def mix(documents: DataFrame, **settings) -> DataFrame:
     """doc_id, text_key, source, size, source_size, target, taken for each row of documents (doc_id, text, source)."""
-    rows = quotas(documents, **settings).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    rows = quotas(documents, **settings)
+    names = rows.columns
+    first = F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(COPIES).cast("long"))
+    # few rows have more copies than one piece; only their pieces are dealt out
+    many = rows.where(F.col("copies") > COPIES).withColumn("first", F.explode(first)).repartition("doc_id", "text_key", "first")
+    pieces = rows.where(F.col("copies") <= COPIES).withColumn("first", F.lit(0).cast("long")).unionAll(many)
+    copy = F.explode(F.sequence("first", F.least(F.col("first") + COPIES, "copies") - 1))
+    rows = pieces.select(*names, copy.alias("copy"))
     return rows.select("doc_id", "text_key", "source", "size", "source_size", "target", taken(F.col("copy")).alias("taken"))
 
 

@@ -708,3 +708,24 @@ def test_pipeline_keeps_columns_of_any_name(spark, pipeline_dir):
         assert set(own.columns) <= set(got.columns), name
         rows = got.collect()
         assert rows and all(r[c] == c for r in rows for c in OWN_NAMES), name
+
+
+def test_mixing_of_very_many_equal_rows(spark, monkeypatch):
+    rows = [(1, "a b c", "s"), (2, "d", "t"), (3, "e f", "t")] + [(7, "same words here", "s")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted(map(str, mixing.mix(docs).collect()))
+    monkeypatch.setattr(mixing, "COPIES", 64)
+    assert sorted(map(str, mixing.mix(docs).collect())) == want and len(want) == len(rows)
+    many = spark.range(300000).selectExpr("CAST(1 AS LONG) AS doc_id", "'x y' AS text", "'s' AS source")
+    monkeypatch.setattr(mixing, "COPIES", 1 << 16)
+    assert mixing.mix(many).agg(mixing.F.count("*"), mixing.F.sum("taken")).first()[:] == (300000, 900000)
+
+
+def test_decontamination_of_many_benchmark_parts(spark, docs, monkeypatch):
+    items = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + k) % 60}" for k in range(12))) for i in range(40)] + [(90, "a b a b a b a b a b")], "item_id long, text string")
+    whole = decontaminate.decontaminate(docs, items).drop("clean_text")
+    want = sorted(map(str, whole.collect()))
+    bounded = decontaminate.parts.__defaults__
+    monkeypatch.setattr(decontaminate.parts, "__defaults__", (600,))
+    parts = list(decontaminate.parts(items))
+    assert len(parts) > 5 and sorted(map(str, decontaminate.decontaminate(docs, items).drop("clean_text").collect())) == want and bounded
