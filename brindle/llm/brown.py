@@ -37,6 +37,7 @@ from .common import materialize, partitions, release, segment_sums, shards, word
 
 HEAD, PULL = 1 << 17, 20.0
 SHARD_BYTES = 2 << 20
+PIECE = 1 << 19  # tokens of which classes are looked at together
 CELLS = 1 << 22  # of a dense table of words and contexts at a time
 _END = b"\n"  # no word holds it
 _END_HASH = xxhash.xxh3_64_intdigest(_END)
@@ -440,6 +441,16 @@ def class_sequences(tokenized: DataFrame, placed: DataFrame, model: Model, known
 _SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("classes", pa.binary())])
 
 
+def _pieces(batch: pa.RecordBatch, column: int):
+    """Slices of a batch whose texts (classes of two bytes a token) have about PIECE tokens at most; a longer text comes alone."""
+    ends = np.cumsum(np.asarray(pa.compute.binary_length(batch.column(column)), np.int64) // 2)
+    begin, done = 0, 0
+    while begin < len(ends):
+        n = max(1, int(np.searchsorted(ends[begin:], done + PIECE, "right")))
+        yield batch.slice(begin, n)
+        begin, done = begin + n, int(ends[begin + n - 1])
+
+
 def _classes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Classes of all texts in a row, the class before each (the end's before a text's first), bounds of texts."""
     rows = column.to_pylist()
@@ -455,7 +466,7 @@ def class_pairs(texts: DataFrame, k: int) -> np.ndarray:
     """Counts of (class before, class) over texts (classes)."""
 
     def count(batches):
-        yield from _cells((before * k + own for own, before, _ in (_classes(b.column(0)) for b in batches if len(b))), k)
+        yield from _cells((before * k + own for own, before, _ in (_classes(x.column(0)) for b in batches for x in _pieces(b, 0))), k)
 
     return _table(texts.select("classes").mapInArrow(count, "part bigint, at binary, counts binary"), k)
 
@@ -480,10 +491,10 @@ def score(documents: DataFrame, held_out, head: int = HEAD, clustered: int | Non
 
     def steps(batches):
         for batch in batches:
-            if len(batch):
-                own, before, bounds = _classes(batch.column("classes"))
-                total = np.asarray(batch.column("score")) + segment_sums(step[before, own], bounds)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(total)], names=[*batch.schema.names[:5], "score"])
+            for x in _pieces(batch, batch.schema.get_field_index("classes")):
+                own, before, bounds = _classes(x.column("classes"))
+                total = np.asarray(x.column("score")) + segment_sums(step[before, own], bounds)
+                yield pa.RecordBatch.from_arrays([*x.columns[:5], pa.array(total)], names=[*x.schema.names[:5], "score"])
 
     scored = texts.mapInArrow(steps, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
