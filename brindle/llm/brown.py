@@ -26,6 +26,8 @@ columns are left out; an empty table gives no row.
 
 from __future__ import annotations
 
+import inspect
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -55,6 +57,29 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return flat, bounds, np.fromiter((xxhash.xxh3_64_intdigest(w) for w in vocabulary), np.uint64, len(vocabulary))
 
 
+def lean(run):
+    """run, a function of tasks, that gives the memory which Arrow keeps for later back to the system after each batch or group; workers live on."""
+
+    def batches(given):
+        for out in run(given):
+            yield out
+            pa.default_memory_pool().release_unused()
+
+    def group(table):
+        out = run(table)
+        pa.default_memory_pool().release_unused()
+        return out
+
+    def both(table, other):
+        out = run(table, other)
+        pa.default_memory_pool().release_unused()
+        return out
+
+    if inspect.isgeneratorfunction(run):
+        return batches
+    return group if len(inspect.signature(run).parameters) == 1 else both
+
+
 def _bucket(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
 
@@ -76,7 +101,7 @@ def token_shards(docs: DataFrame) -> DataFrame:
             flat, bounds, h = tokens(texts)
             yield pa.RecordBatch.from_pydict({"shard": [(task << 32) + k], "doc_id": [part.column("doc_id").to_pylist()], "held": [part.column("held_out").to_pylist()], "flat": [flat.tobytes()], "bounds": [bounds.tobytes()], "hashes": [h.tobytes()]}, schema=_SHARD)
 
-    return materialize(docs.select("doc_id", "text", "held_out").mapInArrow(pack, SHARD), "tokens")
+    return materialize(docs.select("doc_id", "text", "held_out").mapInArrow(lean(pack), SHARD), "tokens")
 
 
 _SHARD = pa.schema([("shard", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("flat", pa.binary()), ("bounds", pa.binary()), ("hashes", pa.binary())])
@@ -138,8 +163,8 @@ def word_counts(tokenized: DataFrame, head: int = HEAD) -> tuple[int, int, np.nd
         kinds, many = np.unique(_bin(c), return_counts=True)
         return pa.Table.from_pydict({"n": [int(c.sum())], "kinds": [kinds.tolist()], "many": [many.tolist()], "hashes": [h.tobytes()], "counts": [c.tobytes()]})
 
-    packed = tokenized.select("held", "flat", "bounds", "hashes").mapInArrow(count, "bucket bigint, hashes binary, counts binary")
-    merged = materialize(packed.groupBy("bucket").applyInArrow(merge, "n bigint, kinds array<bigint>, many array<bigint>, hashes binary, counts binary"), "counts")
+    packed = tokenized.select("held", "flat", "bounds", "hashes").mapInArrow(lean(count), "bucket bigint, hashes binary, counts binary")
+    merged = materialize(packed.groupBy("bucket").applyInArrow(lean(merge), "n bigint, kinds array<bigint>, many array<bigint>, hashes binary, counts binary"), "counts")
     rows = merged.select("n", "kinds", "many").collect()  # a bucket each, of some thousand kinds of counts
     bins = np.zeros(max((r.kinds[-1] for r in rows), default=0) + 1, np.int64)
     for r in rows:
@@ -158,7 +183,7 @@ def word_counts(tokenized: DataFrame, head: int = HEAD) -> tuple[int, int, np.nd
                 yield pa.RecordBatch.from_pydict({"hashes": [h[on].tobytes()], "counts": [c[on].tobytes()]})
 
     h, c = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for r in merged.select("hashes", "counts").mapInArrow(top, "hashes binary, counts binary").toLocalIterator():  # about HEAD words
+    for r in merged.select("hashes", "counts").mapInArrow(lean(top), "hashes binary, counts binary").toLocalIterator():  # about HEAD words
         h.append(np.frombuffer(r.hashes, np.uint64))
         c.append(np.frombuffer(r.counts, np.int64))
     release(merged)
@@ -189,7 +214,7 @@ def _table(keys: DataFrame, m: int) -> np.ndarray:
         return pa.Table.from_pydict({"at": [at.tobytes()], "counts": [counts.tobytes()]})
 
     total = np.zeros(m * m, np.int64)
-    for r in keys.groupBy("part").applyInArrow(merge, "at binary, counts binary").toLocalIterator():
+    for r in keys.groupBy("part").applyInArrow(lean(merge), "at binary, counts binary").toLocalIterator():
         total[np.frombuffer(r.at, np.int64)] = np.frombuffer(r.counts, np.int64)
     return total.reshape(m, m)
 
@@ -218,7 +243,7 @@ def pair_counts(tokenized: DataFrame, words: np.ndarray) -> np.ndarray:
 
         yield from _cells(keys(), m)
 
-    return _table(tokenized.select("held", "flat", "bounds", "hashes").mapInArrow(count, "part bigint, at binary, counts binary"), m)
+    return _table(tokenized.select("held", "flat", "bounds", "hashes").mapInArrow(lean(count), "part bigint, at binary, counts binary"), m)
 
 
 def _before(c: np.ndarray, bounds: np.ndarray, words: np.ndarray, m: int) -> np.ndarray:
@@ -361,8 +386,8 @@ def placed_words(tokenized: DataFrame, model: Model) -> DataFrame:
                 classes[x] = model.place(part[:, :k], part[:, k:])
         return pa.Table.from_pydict({"bucket": [table.column("bucket")[0].as_py()], "hashes": [h.tobytes()], "counts": [total.tobytes()], "classes": [classes.tobytes()]})
 
-    packed = tokenized.select("held", "flat", "bounds", "hashes").mapInArrow(contexts, "bucket bigint, hashes binary, lengths binary, contexts binary, counts binary")
-    return materialize(packed.groupBy("bucket").applyInArrow(place, "bucket bigint, hashes binary, counts binary, classes binary"), "words")
+    packed = tokenized.select("held", "flat", "bounds", "hashes").mapInArrow(lean(contexts), "bucket bigint, hashes binary, lengths binary, contexts binary, counts binary")
+    return materialize(packed.groupBy("bucket").applyInArrow(lean(place), "bucket bigint, hashes binary, counts binary, classes binary"), "words")
 
 
 def head_words(placed: DataFrame, model: Model, head: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -378,7 +403,7 @@ def head_words(placed: DataFrame, model: Model, head: int) -> tuple[np.ndarray,
 
     size, kinds = np.zeros(k), np.zeros(k, np.int64)
     h, c, own = [model.words], [model.counts], [model.own[:-1].astype(np.int16)]
-    for r in placed.select("hashes", "counts", "classes").mapInArrow(top, "hashes binary, counts binary, classes binary, size binary, kinds binary").toLocalIterator():
+    for r in placed.select("hashes", "counts", "classes").mapInArrow(lean(top), "hashes binary, counts binary, classes binary, size binary, kinds binary").toLocalIterator():
         h.append(np.frombuffer(r.hashes, np.uint64))
         c.append(np.frombuffer(r.counts, np.int64))
         own.append(np.frombuffer(r.classes, np.int16))
@@ -432,10 +457,10 @@ def class_sequences(tokenized: DataFrame, placed: DataFrame, model: Model, known
             "score": segment_sums(emit[flat], bounds), "classes": [own[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)],
         }, schema=_SCORED)
 
-    asked = tokenized.select("shard", "hashes").mapInArrow(ask, "bucket bigint, shard bigint, asked binary")
-    answers = asked.groupBy("bucket").cogroup(placed.groupBy("bucket")).applyInArrow(lambda a, w: answer(a, w), "shard bigint, bucket bigint, counts binary, classes binary")
+    asked = tokenized.select("shard", "hashes").mapInArrow(lean(ask), "bucket bigint, shard bigint, asked binary")
+    answers = asked.groupBy("bucket").cogroup(placed.groupBy("bucket")).applyInArrow(lean(answer), "shard bigint, bucket bigint, counts binary, classes binary")
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, classes binary"
-    return materialize(tokenized.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(lambda t, a: sequences(t, a), schema), "classes")
+    return materialize(tokenized.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(lean(sequences), schema), "classes")
 
 
 _SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("classes", pa.binary())])
@@ -468,7 +493,7 @@ def class_pairs(texts: DataFrame, k: int) -> np.ndarray:
     def count(batches):
         yield from _cells((before * k + own for own, before, _ in (_classes(x.column(0)) for b in batches for x in _pieces(b, 0))), k)
 
-    return _table(texts.select("classes").mapInArrow(count, "part bigint, at binary, counts binary"), k)
+    return _table(texts.select("classes").mapInArrow(lean(count), "part bigint, at binary, counts binary"), k)
 
 
 def score(documents: DataFrame, held_out, head: int = HEAD, clustered: int | None = None, classes: int | None = None) -> DataFrame:
@@ -496,7 +521,7 @@ def score(documents: DataFrame, held_out, head: int = HEAD, clustered: int | Non
                 total = np.asarray(x.column("score")) + segment_sums(step[before, own], bounds)
                 yield pa.RecordBatch.from_arrays([*x.columns[:5], pa.array(total)], names=[*x.schema.names[:5], "score"])
 
-    scored = texts.mapInArrow(steps, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    scored = texts.mapInArrow(lean(steps), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 
