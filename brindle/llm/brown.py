@@ -40,6 +40,7 @@ from .common import materialize, partitions, release, segment_sums, shards, word
 HEAD, PULL = 1 << 17, 20.0
 SHARD_BYTES = 4 << 20
 PIECE = 1 << 19  # tokens of which classes are looked at together
+WORDS = 1 << 20  # words and counts that wait to be merged
 CELLS = 1 << 22  # of a dense table of words and contexts at a time
 _END = b"\n"  # no word holds it
 _END_HASH = xxhash.xxh3_64_intdigest(_END)
@@ -107,15 +108,20 @@ def token_shards(docs: DataFrame) -> DataFrame:
 _SHARD = pa.schema([("shard", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("flat", pa.binary()), ("bounds", pa.binary()), ("hashes", pa.binary())])
 
 
+def _arrays(table, **types):
+    """Of each row its binary columns as arrays of these types, which lie in Arrow's memory: nothing is copied."""
+    for row in zip(*(table.column(c) for c in types), strict=True):
+        yield [np.frombuffer(x.as_buffer(), t) for x, t in zip(row, types.values(), strict=True)]
+
+
 def _training(batches):
     """Of each shard the word ids of training texts, the word before each (an end before a text's first), and the hashes."""
     for batch in batches:
-        for held, flat, bounds, h in zip(*(batch.column(x).to_pylist() for x in ("held", "flat", "bounds", "hashes")), strict=True):
-            flat, bounds, h = np.frombuffer(flat, np.int32), np.frombuffer(bounds, np.int64), np.frombuffer(h, np.uint64)
+        for held, (flat, bounds, h) in zip(batch.column("held"), _arrays(batch, flat=np.int32, bounds=np.int64, hashes=np.uint64), strict=True):
             before = np.empty_like(flat)
             before[1:] = flat[:-1]
             before[bounds[:-1]] = flat[bounds[1:] - 1]  # a text's last token is the end
-            on = np.repeat(~np.array(held, bool), np.diff(bounds))
+            on = np.repeat(~np.asarray(held.values, bool), np.diff(bounds))
             yield flat[on], before[on], h
 
 
@@ -148,17 +154,18 @@ def word_counts(tokenized: DataFrame, head: int = HEAD) -> tuple[int, int, np.nd
         for flat, _, h in _training(batches):
             c = np.bincount(flat, minlength=len(h))
             held.append((h[c > 0], c[c > 0]))
-            if sum(len(x) for x, _ in held) > 2_000_000:
+            if sum(len(x) for x, _ in held) > WORDS:
                 yield pack()
         if any(len(x) for x, _ in held):
             yield pack()
 
     def merge(table: pa.Table) -> pa.Table:
-        held = []
-        for a, b in zip(table.column("hashes").to_pylist(), table.column("counts").to_pylist(), strict=True):
-            held.append((np.frombuffer(a, np.uint64), np.frombuffer(b, np.int64)))
-            if sum(len(x) for x, _ in held) > 8_000_000:
-                held = [_merge([x for x, _ in held], [y for _, y in held])]
+        held, waiting = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
+        for h, c in _arrays(table, hashes=np.uint64, counts=np.int64):
+            held.append((h, c))
+            waiting += len(h)
+            if waiting > max(WORDS, len(held[0][0])):  # as many again as are merged, so the work stays linear but for the sorts
+                held, waiting = [_merge([x for x, _ in held], [y for _, y in held])], 0
         h, c = _merge([x for x, _ in held], [y for _, y in held])
         kinds, many = np.unique(_bin(c), return_counts=True)
         return pa.Table.from_pydict({"n": [int(c.sum())], "kinds": [kinds.tolist()], "many": [many.tolist()], "hashes": [h.tobytes()], "counts": [c.tobytes()]})
@@ -176,8 +183,7 @@ def word_counts(tokenized: DataFrame, head: int = HEAD) -> tuple[int, int, np.nd
 
     def top(batches):
         for batch in batches:
-            for h, c in zip(*(batch.column(x).to_pylist() for x in ("hashes", "counts")), strict=True):
-                h, c = np.frombuffer(h, np.uint64), np.frombuffer(c, np.int64)
+            for h, c in _arrays(batch, hashes=np.uint64, counts=np.int64):
                 kind = _bin(c)
                 on = (kind >= last) | ((kind == last - 1) & (h < limit))
                 yield pa.RecordBatch.from_pydict({"hashes": [h[on].tobytes()], "counts": [c[on].tobytes()]})
@@ -209,8 +215,8 @@ def _table(keys: DataFrame, m: int) -> np.ndarray:
 
     def merge(table: pa.Table) -> pa.Table:
         at, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for a, b in zip(table.column("at").to_pylist(), table.column("counts").to_pylist(), strict=True):
-            at, counts = _merge([at, np.frombuffer(a, np.int64)], [counts, np.frombuffer(b, np.int64)])
+        for a, b in _arrays(table, at=np.int64, counts=np.int64):
+            at, counts = _merge([at, a], [counts, b])
         return pa.Table.from_pydict({"at": [at.tobytes()], "counts": [counts.tobytes()]})
 
     total = np.zeros(m * m, np.int64)
@@ -396,8 +402,7 @@ def head_words(placed: DataFrame, model: Model, head: int) -> tuple[np.ndarray,
 
     def top(batches):
         for batch in batches:
-            for h, c, own in zip(*(batch.column(x).to_pylist() for x in ("hashes", "counts", "classes")), strict=True):
-                h, c, own = np.frombuffer(h, np.uint64), np.frombuffer(c, np.int64), np.frombuffer(own, np.int16)
+            for h, c, own in _arrays(batch, hashes=np.uint64, counts=np.int64, classes=np.int16):
                 first = np.lexsort((h, -c))[: max(1, head // n)]
                 yield pa.RecordBatch.from_pydict({"hashes": [h[first].tobytes()], "counts": [c[first].tobytes()], "classes": [own[first].tobytes()], "size": [np.bincount(own, c, k).tobytes()], "kinds": [np.bincount(own, minlength=k).tobytes()]})
 
@@ -422,8 +427,7 @@ def class_sequences(tokenized: DataFrame, placed: DataFrame, model: Model, known
 
     def ask(batches):
         for batch in batches:
-            for shard, h in zip(batch.column("shard").to_pylist(), batch.column("hashes").to_pylist(), strict=True):
-                h = np.frombuffer(h, np.uint64)
+            for shard, (h,) in zip(batch.column("shard").to_pylist(), _arrays(batch, hashes=np.uint64), strict=True):
                 h = h[look_up(head, h) < 0]
                 order, parts = _by_bucket(h, n)
                 h = h[order]
@@ -433,15 +437,14 @@ def class_sequences(tokenized: DataFrame, placed: DataFrame, model: Model, known
     def answer(asked: pa.Table, words: pa.Table) -> pa.Table:
         h, c, own = (np.frombuffer(words.column(x)[0].as_py() if len(words) else b"", t) for x, t in (("hashes", np.uint64), ("counts", np.int64), ("classes", np.int16)))
         out = {"shard": asked.column("shard").to_pylist(), "bucket": asked.column("bucket").to_pylist(), "counts": [], "classes": []}
-        for x in asked.column("asked").to_pylist():
-            at = look_up(h, np.frombuffer(x, np.uint64))
+        for (x,) in _arrays(asked, asked=np.uint64):
+            at = look_up(h, x)
             out["counts"].append((np.where(at < 0, 0, c[at]) if len(h) else np.zeros(len(at), np.int64)).tobytes())
             out["classes"].append((np.where(at < 0, k, own[at]) if len(h) else np.full(len(at), k)).astype(np.int16).tobytes())
         return pa.Table.from_pydict(out, schema=pa.schema([("shard", pa.int64()), ("bucket", pa.int64()), ("counts", pa.binary()), ("classes", pa.binary())]))
 
     def sequences(shard: pa.Table, answers: pa.Table) -> pa.Table:
-        row = shard.slice(0, 1).to_pylist()[0]
-        flat, bounds, h = np.frombuffer(row["flat"], np.int32), np.frombuffer(row["bounds"], np.int64), np.frombuffer(row["hashes"], np.uint64)
+        flat, bounds, h = next(_arrays(shard, flat=np.int32, bounds=np.int64, hashes=np.uint64))
         at = look_up(head, h)
         count, own = (np.where(at < 0, 0, x[at]) if len(head) else np.zeros(len(h), x.dtype) for x in (head_counts, head_classes))
         rest = np.flatnonzero(at < 0)
@@ -453,7 +456,7 @@ def class_sequences(tokenized: DataFrame, placed: DataFrame, model: Model, known
         log_count = np.log10(count + 0.5)
         emit, size, own = log_count - inside[own], np.diff(bounds), own.astype(np.int16)[flat]
         return pa.Table.from_pydict({
-            "doc_id": row["doc_id"], "held_out": row["held"], "n_tokens": size, "n_known": segment_sums((count > 0)[flat].astype(np.int64), bounds), "base_score": segment_sums(log_count[flat], bounds) - size * base,
+            "doc_id": shard.column("doc_id")[0].values, "held_out": shard.column("held")[0].values, "n_tokens": size, "n_known": segment_sums((count > 0)[flat].astype(np.int64), bounds), "base_score": segment_sums(log_count[flat], bounds) - size * base,
             "score": segment_sums(emit[flat], bounds), "classes": [own[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)],
         }, schema=_SCORED)
 
