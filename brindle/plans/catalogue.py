@@ -535,4 +535,4 @@ def level_bars(spark, d):
     return table(spark, d, "events").select("event_id", F.get(shortcuts.bars(F.round(F.col("value") / 100, 4)), F.lit(4)).alias("middle"))
 
 
-from . import chains, devices, editing, prompting, records, releases, stored  # noqa: E402, F401  the rest of the queries
+from . import captured, chains, devices, editing, prompting, records, releases, stored  # noqa: E402, F401  the rest of the queries

@@ -10,7 +10,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let
@@ -89,6 +89,8 @@ def rms(samples: Column) -> Column:
 START_FLOOR, START_CEILING, LEAST_SPAN, HEADROOM, WHOLE_SPAN = -55.0, -37.0, 18.0, 8.0, 26.0
 FALL, RISE, NEAR, ATTACK, RELEASE, UP, DOWN, GATE, MARGIN, LEAST_SHOWN = 0.12, 0.02, 4.0, 0.55, 0.04, 0.45, 0.12, 0.06, 3.0, 0.12
 
+PART = 512  # levels kept in one array while a curve is worked out
+
 
 def level_curve(loudness: Column) -> Column:
     """Displayed levels (0 to 1) of an ordered array of RMS values: adaptive floor and ceiling in dB, gate and smoothing.
@@ -121,10 +123,25 @@ def level_curve(loudness: Column) -> Column:
             return F.struct(v.floor.alias("floor"), v.ceiling.alias("ceiling"), level.cast("float").alias("shown"))
 
         def kept(v: Column) -> Column:
-            return F.struct(v.floor.alias("floor"), v.ceiling.alias("ceiling"), v.shown.alias("shown"), F.array_append(s.levels, v.shown).alias("levels"))
+            full = F.size(s.part) >= PART  # an append copies its array: levels wait in a short one
+            part = F.when(full, F.array(v.shown)).otherwise(F.array_append(s.part, v.shown))
+            return F.struct(v.floor.alias("floor"), v.ceiling.alias("ceiling"), v.shown.alias("shown"), F.when(full, F.array_append(s.levels, s.part)).otherwise(s.levels).alias("levels"), part.alias("part"))
 
         first = let(db, lambda d: F.struct(d.alias("db"), F.least(d, s.ceiling - f(LEAST_SPAN)).alias("low")))
         return let(let(let(let(let(first, floors), ceilings), raw), shown), kept)
 
-    start = F.struct(f(START_FLOOR).alias("floor"), f(START_CEILING).alias("ceiling"), f(0.0).alias("shown"), F.array().cast("array<float>").alias("levels"))
-    return F.aggregate(loudness, start, step, lambda s: s.levels)
+    start = F.struct(f(START_FLOOR).alias("floor"), f(START_CEILING).alias("ceiling"), f(0.0).alias("shown"), F.array().cast("array<array<float>>").alias("levels"), F.array().cast("array<float>").alias("part"))
+    return F.aggregate(loudness, start, step, lambda s: F.flatten(F.array_append(s.levels, s.part)))
+
+
+def levels(samples: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """(key, the order columns, shown) of samples (key, order, rms, reset): the displayed level of each.
+
+    A reset (true) takes the meter back to its start before its own sample.  What lies between two resets of a key is folded by
+    itself, so a long key is cut at its resets; a stretch without any is one array in one task.  A null rms is silence.
+    """
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    runs = samples.withColumn("_run", F.sum(F.coalesce(F.col("reset"), F.lit(False)).cast("int")).over(w))
+    packed = runs.groupBy(key, "_run").agg(F.array_sort(F.collect_list(F.struct(*order, F.coalesce("rms", F.lit(0.0)).alias("rms")))).alias("s"))
+    shown = packed.select(key, "s", level_curve(F.transform("s", lambda x: x.rms)).alias("l"))
+    return shown.select(key, F.explode(F.arrays_zip("s", "l")).alias("x")).select(key, *[F.col(f"x.s.{c}") for c in order], F.col("x.l").alias("shown"))
