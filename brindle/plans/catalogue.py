@@ -150,12 +150,20 @@ def trailing_command(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", text.has_enter_command(s).alias("enter"), F.md5(text.without_enter_command(s)).alias("rest"))
 
 
-@query()
+# Of each document its terms in order, with the last mark before each: of the gap, or else of the term before.
+_PIECE = "[\\p{L}\\p{N}][\\p{L}\\p{N}''’._+-]{1,63}"
+_CANDIDATES = f"""c AS (SELECT doc_id, t[i] AS term, i, coalesce(nullif(right(rtrim(g[i], E' \\n\\t\\r'), 1), ''), right(t[i - 1], 1), '.') AS prior, regexp_replace(t[i], '\\P{{L}}', '', 'g') AS letters
+    FROM (SELECT doc_id, t, g, unnest(range(1, len(t) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{_PIECE}') AS t, string_split_regex(text, '{_PIECE}') AS g FROM documents))),
+  k AS (SELECT doc_id, i, term FROM c WHERE letters <> '' AND lower(term) NOT LIKE 'http%' AND lower(term) NOT IN ({", ".join(f"'{w}'" for w in text.COMMON)})
+    AND (regexp_matches(term, '[\\p{{Nd}}_+-]|^.+[\\p{{Lu}}\\p{{Lt}}]') OR regexp_matches(term, '[\\p{{Lu}}\\p{{Lt}}]') AND prior NOT IN ('.', '!', '?') OR regexp_matches(letters, '[\\p{{Lu}}\\p{{Lt}}].*[\\p{{Lu}}\\p{{Lt}}]') AND NOT regexp_matches(letters, '\\p{{Ll}}')))"""
+
+
+@query(f"WITH {_CANDIDATES} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS pos, term FROM k")
 def candidate_terms(spark, d):
     return _docs(spark, d).select("doc_id", F.posexplode(text.candidate_terms(F.col("text"))).alias("pos", "term"))
 
 
-@query()
+@query(f"""WITH {_CANDIDATES} SELECT key, count(DISTINCT doc_id) AS observations, CASE WHEN count(DISTINCT doc_id) >= 3 THEN 'active' ELSE 'suggested' END AS status FROM (SELECT doc_id, strip_accents(lower(term)) AS key FROM k) GROUP BY 1""")
 def learn_terms(spark, d):
     return vocabulary.learned(vocabulary.observed(_docs(spark, d), "doc_id", "text"))
 
@@ -332,7 +340,16 @@ def caret_continues(spark, d):
     return rows.select("conv_id", "turn", rules.caret_continues(F.col("b")).alias("continues"))
 
 
-@query()
+_LETTERS = "[\\p{L}\\p{N}''’]"
+
+
+@query(f"""WITH b AS (SELECT conv_id, turn, text, b, coalesce(regexp_extract(b, '\\S+ \\S+ \\S+$'), '') || ', ' || text AS joined, coalesce(NOT regexp_matches(b, '[\\n\\r]\\s*$') AND scan <> '' AND NOT regexp_matches(scan, '[.!?…]$'), false) AS goes_on
+    FROM (SELECT *, regexp_replace(trim(b, E' \\n\\t\\r'), '["''”’)\\]]+$', '') AS scan FROM (SELECT conv_id, turn, text, {_BEFORE} AS b FROM conversations))),
+  w AS (SELECT *, regexp_extract_all(lower(coalesce(b, '')), '{_LETTERS}+') AS x, regexp_extract_all(lower(joined), '{_LETTERS}+') AS y, regexp_extract(text, '^[\\p{{L}}''’]+') AS first FROM b),
+  k AS (SELECT *, coalesce(list_max(list_filter(range(1, least(len(x), len(y)) + 1), lambda i: x[len(x) - i + 1:len(x)] = y[1:i])), 0) AS k FROM w),
+  r AS (SELECT *, CASE WHEN k >= 3 OR (k >= 2 AND k = len(x)) THEN nullif(regexp_replace(regexp_replace(joined, '^(?:[^' || substr('{_LETTERS}', 2) || '*{_LETTERS}+){{' || k || '}}', ''), '^[\\s,;:—–-]+', ''), '') END AS rest, trim(b) <> '' AND text <> '' AND NOT regexp_matches(substr(first, 2), '\\p{{Lu}}') AS usable FROM k)
+SELECT conv_id, turn, md5(coalesce(rest, joined)) AS stripped,
+  md5(CASE WHEN usable AND goes_on AND regexp_matches(text, '^\\p{{Lu}}') AND list_contains(regexp_extract_all(text, '[\\p{{L}}''’]+'), lower(first)) THEN lower(left(text, 1)) || substr(text, 2) WHEN usable AND NOT goes_on AND regexp_matches(text, '^\\p{{Ll}}') THEN upper(left(text, 1)) || substr(text, 2) ELSE text END) AS cased FROM r""")
 def seam_strip(spark, d):
     rows = table(spark, d, "conversations").select("conv_id", "turn", "text", F.expr(_BEFORE).alias("b"))
     joined = F.concat(F.coalesce(F.regexp_extract("b", r"\S+ \S+ \S+$", 0), F.lit("")), F.lit(", "), F.col("text"))
@@ -443,7 +460,7 @@ def data_urls(spark, d):
     return table(spark, d, "events").select("event_id", F.decode(data_url_bytes(url), "UTF-8").alias("decoded"))
 
 
-@query()
+@query("""SELECT event_id AS id, '{"id":"' || event_id || '","ts":"' || ts || '","raw":"' || event_type || '","clean":"' || CASE WHEN event_type = 'view' THEN '' ELSE replace(props, '"', '\\"') END || '"}' AS "case" FROM events""")
 def case_export(spark, d):
     return _history(spark, d).select("id", case_document(["id", "ts", "raw"], ["clean"]).alias("case"))
 

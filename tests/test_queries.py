@@ -8,7 +8,7 @@ from brindle.plans import catalogue
 SF = "/root/testdata/sf0.001"
 TABLES = "documents events conversations pages embeddings".split()
 # Least rows of the queries that SQL cannot express, at this size.
-LEAST = {"tidy_documents": 2, "candidate_terms": 500, "learn_terms": 100, "seam_strip": 50, "level_fold": 100, "case_export": 500}
+LEAST = {"tidy_documents": 2, "level_fold": 100}
 
 
 def text(x):
