@@ -12,7 +12,17 @@ CODE_APPS = ("terminal", "iterm", "ghostty", "warp", "xcode", "visual studio cod
 DOCUMENT_APPS = ("pages", "notes", "obsidian", "notion", "microsoft word")
 MARKDOWN_SURFACES = ("obsidian", "notion", "bear", "typora", "ia writer", "zettlr", "logseq", "github", "gitlab", "hackmd", "stack overflow")
 ANSWER_KEYS = ("cleaned_text", "clean_text", "cleaned", "corrected_text", "rewritten_text", "text", "output", "result", "response", "answer")
+CHAT_APPS, CASUAL_APPS, MAIL_NAMES = ("slack", "msteams", "microsoft teams"), ("discord", "whatsapp", "telegram"), ("outlook", "gmail")
+CASUAL_BUNDLE, CASUAL_NAME, MAIL_BUNDLE, MAIL_NAME, DOCUMENT_TITLE = "com.apple.mobilesms", "messages", "com.apple.mail", "mail", "google docs"
 ASSISTANT_PREFIXES = ("here is", "here's", "certainly", "sure,", "i'm sorry", "i am sorry", "as an ai", "i can't", "i cannot")
+# Why an answer is rejected, the marks that wrap a text in markdown, the words that ask for them.
+EMPTY, ASSISTANT, EXPANDED, SHORTENED, WRAPPED = "empty output", "assistant-style response", "unexpectedly expanded the transcript", "dropped most of the transcript", "wrapped the transcript in markdown"
+DROPPED = 'dropped the spoken word "%s"'
+MARKS, ASKS_FOR_MARKS = ("```", "> ", "#"), ("code block", "code fence", "heading", "quote", "markdown")
+# Codes and words of messages that tell of a missing connection or a late answer, and what is shown for them.
+OFFLINE_CODES, LATE_CODE = ("notConnectedToInternet", "networkConnectionLost", "cannotConnectToHost", "cannotFindHost", "dnsLookupFailed"), "timedOut"
+OFFLINE_WORDS, LATE_WORDS = ("offline", "internet connection", "not connected", "network", "cannot find host"), ("timed out", "timeout")
+OFFLINE, LATE = "No internet — check connection", "Request timed out — try again"
 
 
 def _any(c: Column, words) -> Column:
@@ -32,11 +42,11 @@ def writing_context(app: Column, bundle: Column, title: Column) -> Column:
     everything = F.concat_ws(" ", identity, title)
     bare = F.regexp_replace(everything, "[a-z0-9._%+-]+@[a-z0-9.-]+", " ")
     return (
-        F.when(_any(everything, ("slack", "msteams", "microsoft teams")), "workChat")
-        .when(_any(everything, ("discord", "whatsapp", "telegram")) | bundle.contains("com.apple.mobilesms") | (app == "messages"), "casualChat")
-        .when(bundle.contains("com.apple.mail") | (app == "mail") | _any(bare, ("outlook", "gmail")), "email")
+        F.when(_any(everything, CHAT_APPS), "workChat")
+        .when(_any(everything, CASUAL_APPS) | bundle.contains(CASUAL_BUNDLE) | (app == CASUAL_NAME), "casualChat")
+        .when(bundle.contains(MAIL_BUNDLE) | (app == MAIL_NAME) | _any(bare, MAIL_NAMES), "email")
         .when(_any(identity, CODE_APPS), "codeOrTerminal")
-        .when(_any(identity, DOCUMENT_APPS) | title.contains("google docs"), "document")
+        .when(_any(identity, DOCUMENT_APPS) | title.contains(DOCUMENT_TITLE), "document")
         .otherwise("neutral")
     )
 
@@ -105,21 +115,21 @@ def word_set(text: Column) -> Column:
 def rejection(output: Column, source: Column, must_keep: tuple[str, ...] = (), allows_expansion: bool = False) -> Column:
     """Why a cleaned text is rejected, or null; must_keep: words that may not be dropped."""
     n, m = F.greatest(F.length(source), F.lit(1)), F.length(output)
-    out = F.when(output == "", "empty output")
+    out = F.when(output == "", EMPTY)
     start = F.lit(False)
     for p in ASSISTANT_PREFIXES:
         start = start | F.lower(output).startswith(p)
-    out = out.when(start, "assistant-style response")
+    out = out.when(start, ASSISTANT)
     if allows_expansion:
         return out
-    out = out.when(m > F.greatest(n * 2, n + 200), "unexpectedly expanded the transcript").when(m * 2 < n, "dropped most of the transcript")
+    out = out.when(m > F.greatest(n * 2, n + 200), EXPANDED).when(m * 2 < n, SHORTENED)
     if must_keep:
         dropped = F.array_min(F.array_except(F.array_intersect(word_set(source), F.array(*[F.lit(w) for w in must_keep])), word_set(output)))
-        out = out.when(dropped.isNotNull(), F.concat(F.lit('dropped the spoken word "'), dropped, F.lit('"')))
+        out = out.when(dropped.isNotNull(), F.format_string(DROPPED, dropped))
     wrapped = F.lit(False)
-    for mark in ("```", "> ", "#"):
+    for mark in MARKS:
         wrapped = wrapped | (strip(output).startswith(mark) & ~strip(source).startswith(mark))
-    return out.when(wrapped & ~_any(F.lower(source), ("code block", "code fence", "heading", "quote", "markdown")), "wrapped the transcript in markdown")
+    return out.when(wrapped & ~_any(F.lower(source), ASKS_FOR_MARKS), WRAPPED)
 
 
 _WORD = r"[\p{L}\p{N}'’]+"
@@ -162,13 +172,13 @@ def harmonize_case(text: Column, transcript: Column, before: Column) -> Column:
 
 
 def error_message(code: Column, message: Column, online: Column) -> Column:
-    none = F.lit("No internet — check connection")
-    late = F.when(online, "Request timed out — try again").otherwise(none)
+    none = F.lit(OFFLINE)
+    late = F.when(online, LATE).otherwise(none)
     lower = F.lower(message)
     return (
-        F.when(code.isin("notConnectedToInternet", "networkConnectionLost", "cannotConnectToHost", "cannotFindHost", "dnsLookupFailed"), none)
-        .when((code == "timedOut") | _any(lower, ("timed out", "timeout")), late)
-        .when(_any(lower, ("offline", "internet connection", "not connected", "network", "cannot find host")), none)
+        F.when(code.isin(*OFFLINE_CODES), none)
+        .when((code == LATE_CODE) | _any(lower, LATE_WORDS), late)
+        .when(_any(lower, OFFLINE_WORDS), none)
         .otherwise(message)
     )
 

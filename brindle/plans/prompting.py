@@ -22,9 +22,20 @@ def _case(key: str, values: dict[str, str]) -> str:
 _APPS = {"Slack": "workChat", "Mail": "email", "Terminal": "codeOrTerminal", "Notes": "document", "WhatsApp": "casualChat", "Safari": "neutral"}
 _APP = f"[{', '.join(map(_q, _APPS))}][(page_id % 6 + 1)::INT]"
 _BASE = f"(SELECT *, {_case('app', _APPS)} AS context FROM (SELECT page_id, {_APP} AS app, 'Page ' || page_id || CASE WHEN page_id % 4 = 0 THEN ' - Notion' ELSE '' END AS title, html, url FROM pages))"
-_LABEL, _GUIDE = _case("context", prompts.LABELS), _case("context", prompts.GUIDANCE)
+# What the SQL expects, told again here so that a change of the rules shows.
+_LABELS = {"email": "email", "workChat": "work chat", "casualChat": "casual chat", "document": "document", "codeOrTerminal": "code or terminal", "neutral": "general writing"}
+_GUIDES = {
+    "email": "Use readable email punctuation and paragraph breaks. Do not invent a greeting, sign-off, subject, or details. Lists only when the speaker explicitly asks for one.",
+    "workChat": "Use concise, professional chat formatting. Preserve the speaker's tone and do not make the message more formal unless asked. Keep prose as prose; a list only when explicitly requested.",
+    "casualChat": "Use natural conversational punctuation and preserve the speaker's casual tone. Plain text only: never markdown syntax, bullets, or headers.",
+    "document": "Use polished prose punctuation and paragraph breaks while preserving every idea and the speaker's tone. Structure is welcome here: when the speaker clearly itemizes steps or tasks, format them as a list with one item per line.",
+    "codeOrTerminal": "Preserve commands, code, flags, paths, identifiers, line breaks, and technical formatting exactly when clear.",
+    "neutral": "Use neutral, readable punctuation and preserve the speaker's tone.",
+}
+_MARKDOWN = "Markdown renders here: use markdown lists, emphasis, and headers when the dictation clearly calls for them."
+_LABEL, _GUIDE = _case("context", _LABELS), _case("context", _GUIDES)
 _FORMAL = "Keep it formal."
-_GUIDANCE = f"({_GUIDE} || CASE WHEN page_id % 4 = 0 THEN {_q(' ' + prompts.MARKDOWN)} ELSE '' END || CASE WHEN context <> 'codeOrTerminal' THEN ' {_FORMAL}' ELSE '' END)"
+_GUIDANCE = f"({_GUIDE} || CASE WHEN page_id % 4 = 0 THEN {_q(' ' + _MARKDOWN)} ELSE '' END || CASE WHEN context <> 'codeOrTerminal' THEN ' {_FORMAL}' ELSE '' END)"
 
 
 def _pages(spark, d):
