@@ -73,3 +73,32 @@ def test_corrections_fold_accents_when_they_look_up(spark):
     assert fix("zoe ZOÉ", [("zoé", "first"), ("zoe", "second")]) == "first first"  # the first of those that fit
     assert fix("Zoé, café́ zoë\tRené", [("zoe", "ZOE")], any_accent=True) == "ZOE, café́ ZOE\tRené"
     assert fix("Zoé du  Café", [("zoe du cafe", "x")], any_accent=True) == "x"
+
+
+def plain_merge(local, imported):
+    trimmed = lambda c: [x.strip(text.LINE_BLANKS) for x in (c or "").split("\n")]
+    seen, added = {"", *map(str.lower, trimmed(local))}, []
+    for x in trimmed(imported):
+        if x.lower() not in seen:
+            seen.add(x.lower())
+            added.append(x)
+    kept = (local or "").strip(text.BLANKS)
+    return ("\n".join([kept] * bool(kept) + added) if added else local or ""), len(added)
+
+
+def test_merged_corrections_equal_a_plain_loop(spark):
+    r = random.Random(11)
+    pieces = ["a", "A", " b", "B\t", "a b", "\u3000c", "É", "é", " ", "\n", "\n", "\n", "\n\n", "z→y", "\r"]
+    given = [tuple(None if r.random() < 0.1 else "".join(r.choice(pieces) for _ in range(r.randint(0, 14))) for _ in range(2)) for _ in range(4000)]
+    rows = spark.createDataFrame([(i, *x) for i, x in enumerate(given)], "i int, local string, imported string")
+    got = {i: (m.text, m.added) for i, m in rows.select("i", text.merged_corrections(F.col("local"), F.col("imported")).alias("m")).collect()}
+    assert got == {i: plain_merge(*x) for i, x in enumerate(given)}
+
+
+def test_merged_corrections_of_many_lines(spark):
+    local, imported = "\n".join(f"l{i}" for i in range(50_000)), "\n".join(f" X{i} \nL{i}\nx{i}" for i in range(100_000))
+    begin = time.time()
+    m = spark.createDataFrame([(local, imported)], "l string, i string").select(text.merged_corrections(F.col("l"), F.col("i")).alias("m")).first().m
+    new = [x for i in range(100_000) for x in (f"X{i}", *([f"L{i}"] if i >= 50_000 else []))]
+    assert (m.added, m.text) == (150_000, local + "\n" + "\n".join(new))
+    assert time.time() - begin < 60
