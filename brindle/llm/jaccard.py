@@ -11,7 +11,8 @@ start.  The steps, all exact:
    order (they count as misses), the others follow by hash.  Linked sets share a shingle within their first
    n - ceil(PERCENT * n / 100) + 1.
 3. A set is due at a shingle of that prefix if another set there has none of its earlier prefix shingles: each pair
-   is met where its first common shingle is.  Only what is due is dealt out whole.
+   is met where its first common shingle is.  Only what is due is dealt out whole.  A shingle before which all its sets have
+   the same prefix shingle has nothing due and is told by that one alone, without the list of the earlier ones.
 4. In each group the rest of the sets, from the group's shingle on, is stored in a trie (compressed: a segment of
    shingles up to the next fork).  A set walks down the trie; the overlap with a segment is counted once for all sets
    below it, and a subtree goes when overlap so far plus the shorter remaining length cannot reach what the smallest
@@ -194,13 +195,17 @@ def _survivors(documents: DataFrame, classes: DataFrame, words: int, percent: in
     return out
 
 
-def _whole_sets(documents: DataFrame, survivors: DataFrame, words: int) -> DataFrame:
-    """node, tokens of each survivor, read from the text of one of its rows."""
+def _whole_sets(documents: DataFrame, rows: DataFrame, survivors: DataFrame, words: int) -> DataFrame:
+    """node, tokens of each survivor, read from the text of one of its rows; rows: doc_id and place of all.
+
+    Only where several rows have the same address (id and text) are whole sets dealt out to keep one.
+    """
     zero = F.lit(0).cast(documents.schema["doc_id"].dataType)
     key = lambda id_, place: (F.coalesce(id_, zero).alias("i"), F.when(id_.isNull(), F.bitwise_not(place)).otherwise(place).alias("p"))
     asked = survivors.select("node", *key(F.col("first.doc_id"), F.col("first.place")))
     if survivors.count() <= FEW:
         asked = F.broadcast(asked)
+    again = rows.select(*key(F.col("doc_id"), F.col("place"))).join(asked, ["i", "p"]).groupBy("node").agg(F.count("*").alias("rows")).where("rows > 1")
     texts = documents.select(*key(F.col("doc_id"), F.xxhash64("text")), "text").join(asked, ["i", "p"]).select("node", "text")
 
     def run(batches):
@@ -208,7 +213,8 @@ def _whole_sets(documents: DataFrame, survivors: DataFrame, words: int) -> DataF
             for node, s in zip(batch.column(0).to_pylist(), shingle_sets(texts, words), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array([node]), pa.array([_signed(s)], pa.list_(pa.int64()))], names=["node", "tokens"])
 
-    return texts.mapInArrow(run, "node bigint, tokens array<bigint>").dropDuplicates(["node"])
+    sets = texts.mapInArrow(run, "node bigint, tokens array<bigint>")
+    return sets if again.isEmpty() else sets.dropDuplicates(["node"])
 
 
 def _shared_tokens(sets: DataFrame) -> DataFrame:
@@ -223,13 +229,18 @@ def _shared_tokens(sets: DataFrame) -> DataFrame:
     return found.groupBy("node").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
 
 
-def _cells(entries: DataFrame, limit: int) -> DataFrame:
-    """entries (token, node, ...) with the cells (x, y) of their token: slices of about `limit` nodes that meet in pairs."""
-    counts = entries.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1")
+def _cells(kept: DataFrame, limit: int) -> DataFrame:
+    """token, x, y, node, at of the prefixes (node, prefix): the cells of each token, slices of about `limit` nodes that meet in pairs.
+
+    Where all nodes of a token have the same prefix shingle before it, all their pairs meet there or earlier, and it has no cells.
+    """
+    entries = kept.select("node", "prefix", F.posexplode("prefix").alias("at", "token")).select("token", "node", "at", F.get("prefix", F.col("at") - 1).alias("before"))
+    fresh = (F.count("before") < F.count("*")) | (F.min("before") != F.max("before"))
+    counts = entries.groupBy("token").agg(F.count("*").alias("sets"), fresh.alias("fresh")).where("sets > 1 and fresh").drop("fresh")
     slices = F.ceil(F.col("sets") / limit).cast("int")
     own = F.pmod(F.xxhash64("node"), slices).cast("int")
     to = F.transform(F.sequence(F.lit(0), slices - 1), lambda o: F.struct(F.least(o, own).alias("x"), F.greatest(o, own).alias("y")))
-    return entries.join(counts, "token").withColumn("cell", F.explode(to)).select(*entries.columns, "cell.x", "cell.y")
+    return entries.drop("before").join(counts, "token").withColumn("cell", F.explode(to)).select("token", "cell.x", "cell.y", "node", "at")
 
 
 def _groups(batches: Iterable[pa.RecordBatch], keys: int = 3) -> Iterator[pa.Table]:
@@ -373,9 +384,8 @@ def set_links(sets: DataFrame, shared: DataFrame, percent: int = PERCENT, limit:
     alone = n - F.size("tokens")  # shingles of this set only: the first of its prefix
     kept = sets.join(shared, "node").withColumn("prefix", F.slice("tokens", 1, F.greatest(F.lit(0), misses + 1 - alone).cast("int"))).select("node", "n", alone.alias("alone"), "prefix", "tokens")
     kept = materialize(kept.where(F.size("prefix") > 0), "prefixes")
-    entries = kept.select("node", "n", "alone", "prefix", F.posexplode("prefix").alias("at", "token"))
-    cells = _cells(entries.select("token", "node", "n", (F.col("at") + F.col("alone")).alias("place"), F.slice("prefix", 1, F.col("at")).alias("earlier")), limit)
     fields = ["token", "x", "y", "node", "n", "place", "earlier"]
+    cells = _cells(kept, limit).join(kept.select("node", "n", "alone", "prefix"), "node").withColumns({"place": F.col("at") + F.col("alone"), "earlier": F.slice("prefix", 1, F.col("at"))})
 
     def due(batches):
         for g in _groups(batches):
@@ -409,7 +419,7 @@ def jaccard_components(documents: DataFrame, words: int = WORDS, percent: int =
     first = F.min(F.struct(id_.isNull().alias("none"), "doc_id", "place")).alias("first")
     classes = materialize(rows.where("n > 0").groupBy("h1", "h2", "n").agg(first), "classes")
     survivors = _survivors(documents, classes, words, percent, part)
-    whole = materialize(_whole_sets(documents, survivors, words), "tokens")
+    whole = materialize(_whole_sets(documents, rows, survivors, words), "tokens")
     joined = connected_components(set_links(survivors.select("node", "n"), _shared_tokens(whole), percent, limit))
     named = survivors.join(joined, "node").select("h1", "h2", F.col("first.doc_id").alias("id"), "component")
     least = named.groupBy("component").agg(F.min("id").alias("component_id"))

@@ -3,11 +3,13 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from brindle.llm import jaccard, negatives, spelling
 
@@ -135,6 +137,39 @@ def test_jaccard_components(spark, texts, monkeypatch):
     assert sorted(map(tuple, jaccard.jaccard_components(docs.where("text is null or length(text) < 20"), words=2, percent=50, part=0.9).collect()), key=str) == brute_components(few, 2, 50)
 
 
+def test_near_copies_do_not_deal_out_their_earlier_shingles(spark):
+    r, parts = random.Random(4), spark.conf.get("spark.sql.shuffle.partitions")
+    pairs = [sorted(r.sample(range(1 << 62), 2990)) for _ in range(40)]
+    sets = spark.createDataFrame([(2 * i + j, 3000) for i in range(40) for j in (0, 1)], "node long, n long")
+    shared = spark.createDataFrame([(2 * i + j, t) for i, t in enumerate(pairs) for j in (0, 1)], "node long, tokens array<long>")
+
+    def shuffled():
+        time.sleep(2)  # the store lags
+        return spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    before = shuffled()
+    spark.conf.set("spark.sql.shuffle.partitions", 400)  # else lists of one set stand side by side and are compressed away
+    try:
+        links = jaccard.set_links(sets, shared).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert sorted(tuple(sorted(e)) for e in links) == [(2 * i, 2 * i + 1) for i in range(40)]
+    assert shuffled() - before < 12e6  # 4 MB; with the list of earlier shingles of each shingle 30 MB
+
+
+def test_whole_sets_are_dealt_out_only_where_rows_share_an_address(spark):
+    def sets(rows):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        known = jaccard.digests(docs)
+        survivors = known.groupBy("h1").agg(F.min(F.struct("doc_id", "place")).alias("first")).select(F.monotonically_increasing_id().alias("node"), "first").localCheckpoint()
+        return jaccard._whole_sets(docs, known, survivors, jaccard.WORDS)
+
+    one = sets([(1, "a b c d e"), (2, "a b c d f"), (None, "a b c d g"), (3, None)])
+    assert "hashpartitioning(node" not in one._jdf.queryExecution().toString()
+    again = sets([(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d g"), (None, "a b c d g"), (1, "a b c d f")])
+    assert (one.count(), again.count()) == (4, 3)
+
+
 def test_trie_walk_finds_what_pairs_do():
     r = random.Random(2)
     for _ in range(60):
